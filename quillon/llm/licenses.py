@@ -65,7 +65,7 @@ def folded_lines(text: Column) -> Column:
     """The lines with a word, in lower case, other than letters and digits as one space, in one spelling."""
     text = F.replace(F.replace(F.lower(text), F.lit("©"), F.lit(" c ")), F.lit("\n"), F.lit(" \n "))
     text = spelled(F.concat(F.lit(" "), F.regexp_replace(text, NOT_WORD, " "), F.lit(" ")))
-    return F.array_remove(F.transform(F.split(text, "\n"), F.trim), "")
+    return F.array_remove(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), "")
 
 
 def folded(lines: Column) -> Column:
