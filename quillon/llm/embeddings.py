@@ -21,7 +21,7 @@ from quillon.llm.common import components, cut, mix64
 #: Members of a bucket that one block compares with another.
 BLOCK = 2000
 #: Chance, from below, that close vectors agree on one hash or its probe.
-AGREE = 0.7
+AGREE = 0.6
 
 
 def rotations(dim: int, n: int, seed: int) -> np.ndarray:
@@ -67,7 +67,7 @@ def buckets(vectors: np.ndarray, n_tables: int, n_hashes: int, seed: int) -> np.
         own = first.copy()
         if p:
             own[..., p - 1] = near[..., p - 1, 1]
-        h = np.arange(1, n_tables + 1, dtype=np.uint64)[None, :] * np.ones((len(vectors), 1), np.uint64)
+        h = np.tile(mix64(np.arange(1, n_tables + 1, dtype=np.uint64) << np.uint64(32)), (len(vectors), 1))
         for k in range(n_hashes):
             h = mix64(h ^ (own[..., k].astype(np.uint64) + np.uint64(1)))
         out[..., p] = h
@@ -129,8 +129,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, n_tables: int |
     ignored; an empty table gives an empty table.
     """
     x = F.col("vector")
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) != float("inf")))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
     good = rows.where(usable).withColumns({"dim": F.size("vector"), "part": F.xxhash64("label", F.size("vector"))})
     classes = cut(good.groupBy("label", "part", "dim", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
