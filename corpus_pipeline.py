@@ -10,14 +10,14 @@ from quillon.llm.lines import without_repeats
 from quillon.llm.minhash import near_duplicates
 from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
-from quillon.llm.quality import quality_rules
+from quillon.llm.quality import keep_good
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep all quality rules."""
-    return quality_rules(docs).where("kept").select(DOCUMENTS)
+    return keep_good(docs.select(DOCUMENTS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ CACHE = 400_000
 #: Standard errors by which an estimate may fall short of the threshold and still be compared.
 SLACK = 4.5
 #: Members of a band that one block of the last round compares with another.
-BLOCK = 2000
+BLOCK = 500
 
 
 class WordHashes(dict):
@@ -148,30 +148,84 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return both.select("a", "b", "text_a", "text_b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long")
 
 
-def crossing(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one band and different components that the sketches find plausible.
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members of each band, dealt into blocks of about BLOCK; a pair of blocks (x, y) is one group.
 
-    A band is dealt into blocks of about BLOCK members, and each pair of blocks is one group,
-    so no task holds a whole band.
+    side tells the block (0 or 1) of the pair, or 2 where a block meets itself, so no task holds a
+    whole band and each two members meet in one group.
     """
-
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        left, right = (rows.filter(pa.array([s in (side, 2) for s in rows.column("side").to_pylist()])) for side in (0, 1))
-        rows_of = lambda x: (np.frombuffer(b"".join(x.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS), x.column("id").to_numpy(), x.column("component").to_numpy())
-        (p, p_id, p_c), (q, q_id, q_c) = rows_of(left), rows_of(right)
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in range(len(p_id)):
-            fit = (q_c != p_c[i]) & plausible(p[i][None, :], q, percent)
-            a.append(np.minimum(p_id[i], q_id[fit]))
-            b.append(np.maximum(p_id[i], q_id[fit]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     own = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    # a pair of different blocks is one group; side 0 and 1, or 2 (both) in a block by itself
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component", "sketch", F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
-    return dealt.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    return own.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "side": side}).drop("own", "other", "n_blocks")
+
+
+def open_pairs(rows: pa.Table, band: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a group with the later rows it is to be compared with: of another component and
+    block, plausible by their sketches, and with this as the first band they share."""
+    kept = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    words, marks = kept.view("<u8"), mix64(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32))
+    keys = mix64(words ^ marks).view(np.int64)
+    component, side = rows.column("component").to_numpy(), rows.column("side").to_numpy()
+    turn = int(np.flatnonzero(keys[0] == band)[0])
+    for i in range(len(kept) - 1):
+        j = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+        j = j[(side[j] != side[i]) | (side[j] == 2)]
+        j = j[~((words[j, :turn] == words[i, :turn]) & (words[i, :turn] != 0)).any(1)]
+        if len(j):
+            j = j[plausible(kept[i][None, :], kept[j], percent)]
+        if len(j):
+            yield i, j
+
+
+def crossing(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one band and different components.
+
+    Sketches tell, in blocks, which members have a plausible partner; only these are read, and
+    compared on their full sets in their group, one with all at once. A group gives the links
+    that join what was apart, so the rows made grow with the members.
+    """
+    small = "band long, x int, y int, id long, component long, side int"
+
+    def partnered(key: tuple, rows: pa.Table) -> pa.Table:
+        held = np.zeros(rows.num_rows, bool)
+        for i, j in open_pairs(rows, key[0].as_py(), percent):
+            held[i] = held[j] = True
+        return rows.select([x.split()[0] for x in small.split(", ")]).filter(pa.array(held))
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        sets = [shingle_set(x, width) for x in raw_bytes(rows.column("text"))]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        known, code = np.unique(np.concatenate(sets), return_inverse=True)
+        mark, ids, group = np.zeros(len(known), np.int32), rows.column("id").to_numpy(), list(range(len(sets)))
+        a, b = [], []
+
+        def root(i: int) -> int:
+            while group[i] != i:
+                i = group[i] = group[group[i]]
+            return i
+
+        for i, j in open_pairs(rows, key[0].as_py(), percent):
+            j = np.array([k for k in j if root(k) != root(i)], np.int64)
+            if not len(j):
+                continue
+            mark[code[starts[i] : starts[i] + sizes[i]]] = 1
+            part = np.repeat(np.arange(len(j)), sizes[j])
+            at = np.arange(len(part)) - np.repeat(np.cumsum(sizes[j]) - sizes[j], sizes[j]) + starts[j][part]
+            both = np.bincount(part, mark[code[at]], len(j)).astype(np.int64)
+            mark[code[starts[i] : starts[i] + sizes[i]]] = 0
+            for k in j[100 * both >= percent * (sizes[i] + sizes[j] - both)]:
+                if root(k) != root(i):
+                    group[root(k)] = root(i)
+                    a.append(min(ids[i], ids[k]))
+                    b.append(max(ids[i], ids[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    found = cut(in_blocks(members).groupBy("band", "x", "y").applyInArrow(partnered, small), "partnered")
+    read = found.join(texts.select("id", "text", "sketch"), "id")
+    return read.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
@@ -211,8 +265,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
             else:
                 pairs = pairs.groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b")
         else:
-            pairs = crossing(members.join(texts.select("id", "sketch"), "id").select("band", "id", "component", "sketch"), percent)
-        found = cut(linked(pairs, texts, width, percent), "links")
+            found = crossing(members.join(texts.select("id", "sketch"), "id").select("band", "id", "component", "sketch"), texts, width, percent)
+        found = cut(found if turn == rounds else linked(pairs, texts, width, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
         reached = components(edges)
         labels = cut(texts.select("id").join(reached.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")

@@ -89,6 +89,16 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: dict[str, tuple[st
     return df.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
 
 
+def keep_good(docs: DataFrame, text: str = "text", rules: dict[str, tuple[str, float | None, float | None]] = RULES) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with the columns they had.
+
+    The filter also reads a row number: the optimiser would else copy the signals, lambda in
+    lambda, into the condition and count them anew for each word.
+    """
+    judged = quality_rules(docs, text, rules).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(docs.columns)
+
+
 def rules_sql() -> str:
     """The query of operator 4 in DuckDB's SQL."""
     words = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
