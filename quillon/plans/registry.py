@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from quillon.plans import search_queries
+from quillon.plans import change_queries, governance_queries, search_queries  # noqa: F401  each registers its queries
 
-QUERIES = {**search_queries.QUERIES}
-ORACLES = {**search_queries.ORACLES}
+QUERIES, ORACLES = search_queries.QUERIES, search_queries.ORACLES
