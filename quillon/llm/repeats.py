@@ -155,14 +155,15 @@ class RunFamily:
     @staticmethod
     def _scan(new: dict[str, np.ndarray], old: dict[str, np.ndarray]) -> None:
         """Merge the two orders and mark what stands in both."""
+        both = []
         for mine, other in ((new, old), (old, new)):
             at = np.searchsorted(other["anchor"], mine["anchor"])
             found = other["anchor"][np.minimum(at, len(other["anchor"]) - 1)] == mine["anchor"]
             mine["again"] |= found
-            at = np.flatnonzero(found & ~mine["whole"])
-            if len(at):
-                pair = lambda x, i=slice(None): mix64(x["anchor"][i].view(np.uint64)) ^ x["context"][i].view(np.uint64)
-                mine["whole"][at] |= np.isin(pair(mine, at), pair(other, other["again"]))
+            at = np.flatnonzero(found)
+            both.append((mine, at, mix64(mine["anchor"][at].view(np.uint64)) ^ mine["context"][at].view(np.uint64)))
+        for (mine, at, pairs), (_, _, others) in (both, both[::-1]):
+            mine["whole"][at] |= np.isin(pairs, others)
 
     def add(self, batch: dict[str, np.ndarray]) -> None:
         n = len(batch["anchor"])
