@@ -32,10 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, an executor may be lost."""
-    spark = df.sparkSession
+    """Write ``df`` to the shared folder and read it back: lineage ends, an executor may be lost.
+
+    Shuffle files of the write are freed as soon as it is done.
+    """
+    spark, free = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(free, "false")
+    spark.conf.set(free, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(free, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +67,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base, modulo 2**64, and of its inverse."""
+    if len(_powers[0]) < n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            _powers[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, x, np.uint64))])
+    return _powers[0][:n], _powers[1][:n]
+
+
+class Fingerprints:
+    """64-bit fingerprints of any part of ``data`` (bytes or characters), from prefix sums of a polynomial."""
+
+    table = mix64(np.arange(1, 257, dtype=np.uint64) << np.uint64(20)) | np.uint64(1)
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
+        values = self.table[data] if data.dtype == np.uint8 else mix64(data.astype(np.uint64) + np.uint64(1))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values * up[:-1], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[end] - self.sums[start]) * self.down[start])
+
+    def each(self, size: int) -> np.ndarray:
+        return mix64((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, by alternating large and small stars.
 

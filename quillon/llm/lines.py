@@ -11,17 +11,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, components, cut
+from quillon.llm.common import WORD, Fingerprints, components, cut, mix64
 
 EDITS = 2
 #: Lines with fewer characters are only compared for equality.
 MIN_CHARS = 24
 #: Letters whose numbers in two lines are compared before the lines are read.
 COUNTED = "eantohri"
+#: Pairs of a key that are looked at together.
+PAIRS = 1 << 20
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -59,66 +62,126 @@ def within(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
-def segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of ``parts`` of a line of n characters; the later ones may be longer by one."""
-    short = F.lit(parts) - n % parts
-    return F.floor(n / parts) * i + F.greatest(F.lit(0), F.lit(i) - short), F.floor(n / parts) + (F.lit(i) >= short).cast("int")
+def segments(n: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Starts and sizes of the segments of lines of n characters; the later ones may be longer by one."""
+    short = parts - n % parts
+    return [(n // parts * i + np.maximum(0, i - short), n // parts + (i >= short)) for i in range(parts)]
 
 
-def piece(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), length.cast("int"), F.substring(line, (start + 1).cast("int"), size.cast("int")))
+class LineKeys:
+    """Keys of a batch of lines, as characters one after the other.
 
+    A key stands for (segment, length of the indexed line, substring).
+    """
 
-def index_keys(line: Column, n: Column, edits: int) -> Column:
-    return F.array(*(piece(line, n, i, *segment(n, i, edits + 1)) for i in range(edits + 1)))
+    def __init__(self, texts: list[str], edits: int, min_chars: int):
+        self.n = np.array([len(x) for x in texts], np.int64)
+        self.at = np.cumsum(self.n) - self.n
+        self.chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        self.prints, self.edits, self.min_chars = Fingerprints(self.chars), edits, min_chars
+
+    def _key(self, rows: np.ndarray, i: int, length: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        first = self.at[rows] + start
+        return mix64(self.prints.of(first, first + size) ^ mix64((length * 64 + i).astype(np.uint64) + np.uint64(1)))
+
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, keys): each line by each of its segments."""
+        rows = np.arange(len(self.n))
+        keys = [self._key(rows, i, self.n, *x) for i, x in enumerate(segments(self.n, self.edits + 1))]
+        return np.tile(rows, len(keys)), np.concatenate(keys)
+
+    def probe(self) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, keys): the keys that indexed lines, as long or shorter, within ``edits`` edits of a line can have.
+
+        A segment i may be moved by at most i, as the i segments before it differ (else an earlier
+        one would match), and likewise from the right; the windows of both sides are intersected.
+        """
+        found_rows, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for shorter in range(self.edits + 1):
+            rows = np.flatnonzero(self.n - shorter >= self.min_chars)
+            length = self.n[rows] - shorter
+            for i, (start, size) in enumerate(segments(length, self.edits + 1)):
+                for move in range(max(-i, shorter - (self.edits - i)), min(i, shorter + self.edits - i) + 1):
+                    fits = (start + move >= 0) & (start + move + size <= self.n[rows])
+                    found_rows.append(rows[fits])
+                    found.append(self._key(rows[fits], i, length[fits], start[fits] + move, size[fits]))
+        return np.concatenate(found_rows), np.concatenate(found)
+
+    def letter_counts(self) -> np.ndarray:
+        """The numbers of eight letters, modulo 256, as the bytes of one long."""
+        out = np.zeros((len(self.n), len(COUNTED)), np.uint8)
+        for k, letter in enumerate(COUNTED):
+            sums = np.concatenate([[0], np.cumsum(self.chars == ord(letter))])
+            out[:, k] = (sums[self.at + self.n] - sums[self.at]) % 256
+        return out.view("<i8").reshape(-1)
+
+
+def counts_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By how much packed letter counts differ in all."""
+    d = a.view(np.uint8).reshape(-1, 8) - b.view(np.uint8).reshape(-1, 8)
+    return np.minimum(d, np.uint8(0) - d).sum(1, dtype=np.int64)
 
 
-def probe_keys(line: Column, n: Column, edits: int, min_chars: int) -> Column:
-    """Keys of the indexed lines, as long or shorter, that a line within ``edits`` edits has.
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0) and line of each line with a word."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    return rows.where(F.col("line").rlike(WORD))
 
-    A segment i may be moved by at most i, as the i segments before it differ (else an earlier
-    one would match), and likewise from the right; the windows of both sides are intersected.
-    """
-    keys = []
-    for shorter in range(edits + 1):
-        length = n - shorter
-        for i in range(edits + 1):
-            start, size = segment(length, i, edits + 1)
-            for move in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                inside = (start + move >= 0) & (start + move + size <= n) & (length >= min_chars)
-                keys.append(F.when(inside, piece(line, length, i, start + move, size)))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
 
+def key_rows(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """key, h, counts, probe: the index rows and the probes of each line."""
 
-def letter_counts(line: Column) -> Column:
-    """The numbers of eight letters, modulo 256, in one long."""
-    packed = F.lit(0).cast("long")
-    for k, letter in enumerate(COUNTED):
-        number = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(number.bitwiseAND(F.lit(255).cast("long")), 8 * k))
-    return packed
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
+                keys, h = LineKeys(part.column("line").to_pylist(), edits, min_chars), part.column("h").to_numpy()
+                counts = keys.letter_counts()
+                for probe, (rows, found) in enumerate((keys.index(), keys.probe())):
+                    columns = [pa.array(found.view(np.int64)), pa.array(h[rows]), pa.array(counts[rows]), pa.array(np.full(len(rows), bool(probe)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "counts", "probe"])
 
+    return lines.select("line", "h").mapInArrow(read, "key long, h long, counts long, probe boolean")
 
-def counts_differ(a: str, b: str) -> str:
-    """SQL: by how much the packed letter counts differ in all."""
-    one = [f"(shiftrightunsigned({a}, {8 * k}) & 255L) - (shiftrightunsigned({b}, {8 * k}) & 255L)" for k in range(len(COUNTED))]
-    return " + ".join(f"least(abs({x}), 256L - abs({x}))" for x in one)
 
+def meet(rows: DataFrame, edits: int) -> DataFrame:
+    """Pairs (h_a, h_b) of a probe and an index row of one key whose letter counts allow ``edits`` edits.
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and line of each line with a word."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(WORD))
+    Pairs of a key are looked at in pieces and only plausible ones leave the task.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        key, h, counts, probe = (pa.Table.from_batches(got).column(c).to_numpy() for c in ("key", "h", "counts", "probe"))
+        order = np.argsort(key[~probe], kind="stable")
+        index_key, index_h, index_counts = (x[~probe][order] for x in (key, h, counts))
+        key, h, counts = key[probe], h[probe], counts[probe]
+        low, high = np.searchsorted(index_key, key, "left"), np.searchsorted(index_key, key, "right")
+        some = np.flatnonzero(high > low)
+        low, n = low[some], (high - low)[some]
+        upto = np.cumsum(n)
+        begin = 0
+        while begin < len(some):
+            # some probes, with about PAIRS pairs; a probe with more is a piece of its own
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, "right")))
+            each = np.repeat(np.arange(begin, end), n[begin:end])
+            place = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(n[begin:end]) - n[begin:end], n[begin:end])
+            row = some[each]
+            near = (h[row] != index_h[place]) & (counts_differ(np.ascontiguousarray(counts[row]), np.ascontiguousarray(index_counts[place])) <= 2 * edits)
+            a, b = h[row][near], index_h[place][near]
+            if len(a):
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["h_a", "h_b"])
+            begin = end
+
+    return rows.repartition("key").mapInArrow(join, "h_a long, h_b long").distinct()
 
 
 def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """Pairs of ids (a, b) of distinct lines at most ``edits`` edits apart. ``lines``: id, h, line, n."""
-    long = lines.where(F.col("n") >= min_chars).withColumn("counts", letter_counts(F.col("line")))
-    line, n = F.col("line"), F.col("n")
-    index = long.select(F.explode(index_keys(line, n, edits)).alias("key"), F.col("h").alias("h_a"), F.col("counts").alias("counts_a"))
-    probe = long.select(F.explode(probe_keys(line, n, edits, min_chars)).alias("key"), F.col("h").alias("h_b"), F.col("counts").alias("counts_b"))
-    near = (F.col("h_a") != F.col("h_b")) & (F.expr(counts_differ("counts_a", "counts_b")) <= 2 * edits)
-    met = index.join(probe, "key").where(near).select(F.least("h_a", "h_b").alias("h_a"), F.greatest("h_a", "h_b").alias("h_b")).distinct()
+    long = lines.where(F.col("n") >= min_chars)
+    met = cut(meet(key_rows(long, edits, min_chars), edits), "met")
     of = lambda x: long.select(F.col("h").alias(f"h_{x}"), F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
     pairs = met.join(of("a"), "h_a").join(of("b"), "h_b").select("a", "b", "line_a", "line_b")
 
