@@ -202,3 +202,42 @@ def property_inventory(pages: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """property, n, n_values: which properties occur, and how many values they have."""
     pairs = F.array(*(F.struct(F.lit(x).alias("property"), F.col(x).cast("string").alias("value")) for x in names))
     return pages.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("property").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+
+
+def claim_rules(claims: DataFrame, citations: DataFrame) -> DataFrame:
+    """claim_id, code: bad ids, kinds and statuses, no text, no source, malformed locators."""
+    rules = {
+        "bad-id": ~F.col("claim_id").rlike("^clm-[0-9a-f]{16}$"), "bad-kind": ~F.col("kind").isin("fact", "decision", "estimate", "rule"),
+        "bad-status": ~F.col("status").isin("active", "disputed", "superseded", "unsupported"), "no-text": F.trim("text") == "",
+    }
+    own = claims.select("claim_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("code"))
+    none = claims.join(citations.select("claim_id"), "claim_id", "left_anti").select("claim_id", F.lit("no-source").alias("code"))
+    odd = citations.where(~F.col("locator").rlike("^(?:document|(?:page|slide)=[0-9]+(?:-[0-9]+)?|(?:section|heading|sheet|timestamp)=.+)$")).select("claim_id", F.lit("malformed-locator").alias("code"))
+    return own.unionByName(none).unionByName(odd)
+
+
+def findability_check(questions: DataFrame, claims: DataFrame, ranked: DataFrame, limit: int = 12) -> DataFrame:
+    """fid, status: whether the page of a question's target claim is found. ``questions``: fid, claim_id."""
+    rows = questions.join(claims.select("claim_id", "path", "status"), "claim_id", "left").join(ranked.select("fid", "path", "rank"), ["fid", "path"], "left")
+    told = F.when(F.col("path").isNull(), "target_missing").when(~F.col("status").isin("active", "disputed"), "target_inactive").when(F.col("rank") <= limit, "found").otherwise("not_found")
+    return rows.select("fid", told.alias("status"))
+
+
+def alias_review(words: DataFrame, files: DataFrame, n_pages: int) -> DataFrame:
+    """term, n: alias words that stand on so many content pages that they do not tell pages apart. ``words``: term; ``files``: path, token."""
+    held = files.join(F.broadcast(words.select(F.col("term").alias("token")).distinct()), "token")
+    counts = held.groupBy(F.col("token").alias("term")).agg(F.countDistinct("path").alias("n"))
+    return counts.where(F.col("n") >= max(3, -(-n_pages // 10)))
+
+
+def page_preflight(pages: DataFrame) -> DataFrame:
+    """path, code: staged pages that must not be written."""
+    longest = F.array_max(F.transform(F.split("body", "\n"), lambda x: F.length(x)))
+    rules = {"empty-body": F.trim("body") == "", "nul-character": F.col("body").contains("\0"), "replacement-character": F.col("body").contains("�"), "long-line": longest > 2000}
+    return pages.select("path", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("code"))
+
+
+def write_tables(out: str, **tables: DataFrame) -> None:
+    """Each table as Parquet in a folder of its own name, for reports and graphs."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}")

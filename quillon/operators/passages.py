@@ -98,3 +98,22 @@ def excerpt(hits: DataFrame, found: DataFrame, terms: DataFrame, before: int = 1
     ahead = F.expr("length(regexp_extract(lower(text), concat('^(.*?)(?:', any, ')'), 1))")
     start = F.greatest(ahead - before, F.lit(0)) + 1
     return rows.select("fid", "pid", F.substring("text", start, F.lit(longest)).alias("excerpt"))
+
+
+def hit_evidence(hits: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
+    """fid, pid, term, token, rule: per word of a hit the member that carries it, the heaviest, then the first by spelling."""
+    held = passage_tokens(found).join(members, "token").join(hits.select("fid", "pid"), ["fid", "pid"])
+    best = F.row_number().over(Window.partitionBy("fid", "pid", "term").orderBy(F.desc("weight"), "token"))
+    return held.withColumn("n", best).where("n = 1").select("fid", "pid", "term", "token", "rule")
+
+
+def hit_order(hits: DataFrame, found: DataFrame) -> DataFrame:
+    """fid, pid, place: word-form hits before heuristic ones, then by page and line."""
+    rows = hits.join(found.select("pid", "line_no"), "pid")
+    place = F.row_number().over(Window.partitionBy("fid").orderBy(F.col("strength") != "word_form", "path", "line_no", "pid"))
+    return rows.select("fid", "pid", place.cast("long").alias("place"))
+
+
+def already_printed(hits: DataFrame, printed: DataFrame) -> DataFrame:
+    """fid, pid, shown_in: hits on pages whose results were already printed name the place instead of the text. ``printed``: fid, path, rank."""
+    return hits.join(printed.select("fid", "path", F.col("rank").alias("shown_in")), ["fid", "path"], "left").select("fid", "pid", "shown_in")

@@ -196,3 +196,52 @@ def index_listing(spark: SparkSession, d: str) -> DataFrame:
     pages = V.pages(spark, d)
     listed = pages.where("page_id % 6 = 0").select(F.concat(F.lit("wiki/"), "cluster", F.lit("/index.md")).alias("path"), F.col("path").alias("target_path"))
     return M.index_listing(pages, listed)
+
+
+@query(f"""WITH {HITS} SELECT fid, pid, term, token, rule FROM ptokens JOIN members USING (token) JOIN (SELECT fid, pid FROM hits) h USING (fid, pid)
+QUALIFY row_number() OVER (PARTITION BY fid, pid, term ORDER BY weight DESC, token) = 1""")
+def hit_evidence(spark: SparkSession, d: str) -> DataFrame:
+    _, _, members, found = _members(spark, d)
+    return P.hit_evidence(P.passage_hits(found, members), found, members)
+
+
+@query(f"WITH {HITS} SELECT fid, pid, row_number() OVER (PARTITION BY fid ORDER BY strength <> 'word_form', h.path, line_no, pid) AS place FROM hits h JOIN (SELECT pid, line_no FROM passages) USING (pid)")
+def hit_order(spark: SparkSession, d: str) -> DataFrame:
+    _, _, members, found = _members(spark, d)
+    return P.hit_order(P.passage_hits(found, members), found)
+
+
+@query(f"""WITH {V.CITATIONS}, r AS (SELECT claim_id, unnest([CASE WHEN NOT regexp_matches(claim_id, '^clm-[0-9a-f]{{16}}$') THEN 'bad-id' END, CASE WHEN kind NOT IN ('fact', 'decision', 'estimate', 'rule') THEN 'bad-kind' END,
+CASE WHEN status NOT IN ('active', 'disputed', 'superseded', 'unsupported') THEN 'bad-status' END, CASE WHEN trim(text) = '' THEN 'no-text' END]) AS code FROM claims)
+SELECT * FROM r WHERE code IS NOT NULL UNION ALL SELECT claim_id, 'malformed-locator' FROM citations WHERE NOT regexp_matches(locator, '^(?:document|(?:page|slide)=[0-9]+(?:-[0-9]+)?|(?:section|heading|sheet|timestamp)=.+)$')""")
+def claim_rules(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.operators import governance
+
+    return governance.claim_rules(V.claims(spark, d), V.citations(spark, d))
+
+
+@query(f"""WITH {SIGNALS}, {V.CLAIMS}, target AS (SELECT fid, 'clm-' || substr(sha256((fid * 3) || ':' || (fid % 4)), 1, 16) AS claim_id FROM questions)
+SELECT t.fid, CASE WHEN c.path IS NULL THEN 'target_missing' WHEN c.status NOT IN ('active', 'disputed') THEN 'target_inactive' WHEN rank <= 12 THEN 'found' ELSE 'not_found' END AS status
+FROM target t LEFT JOIN claims c USING (claim_id) LEFT JOIN ranked r ON r.fid = t.fid AND r.path = c.path""")
+def findability_check(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.operators import governance
+
+    questions = V.questions(spark, d)
+    target = questions.select("fid", F.concat(F.lit("clm-"), F.substring(F.sha2(F.concat(F.col("fid") * 3, F.lit(":"), F.col("fid") % 4), 256), 1, 16)).alias("claim_id"))
+    return governance.findability_check(target, V.claims(spark, d), S.ranking(V.pages(spark, d), questions))
+
+
+@query(f"""WITH {VOCABULARY} SELECT term, count(DISTINCT path) AS n FROM asked JOIN tok ON token = term GROUP BY term HAVING count(DISTINCT path) >= greatest(3, (SELECT ceil(count(*) / 10) FROM pages))""")
+def alias_review(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.operators import governance
+
+    pages = V.pages(spark, d)
+    return governance.alias_review(S.query_term_plan(V.questions(spark, d)).where("dropped IS NULL"), S.postings(S.split_fields(pages)), pages.count())
+
+
+@query(f"""WITH {V.PAGES}, r AS (SELECT path, unnest([CASE WHEN trim(body) = '' THEN 'empty-body' END, CASE WHEN contains(body, chr(0)) THEN 'nul-character' END, CASE WHEN contains(body, '�') THEN 'replacement-character' END,
+CASE WHEN list_max(list_transform(string_split(body, chr(10)), lambda x: length(x))) > 2000 THEN 'long-line' END]) AS code FROM pages) SELECT * FROM r WHERE code IS NOT NULL""")
+def page_preflight(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.operators import governance
+
+    return governance.page_preflight(V.pages(spark, d))
