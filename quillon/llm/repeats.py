@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, mix64, raw_bytes
+from quillon.llm.common import Fingerprints, cut, mix64, raw_bytes
 
 LENGTH, ANCHOR = 200, 32
 #: Window starts that the scan handles at once.
@@ -30,36 +30,6 @@ CHUNK = 1 << 20
 #: Places of an anchor in its window that one group of fingerprints holds.
 PLACES = 32
 
-_rng = np.random.default_rng(11)
-_TABLE = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base, modulo 2**64, and of its inverse."""
-    if len(_powers[0]) < n:
-        for k, x in enumerate((_BASE, _INVERSE)):
-            _powers[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, x, np.uint64))])
-    return _powers[0][:n], _powers[1][:n]
-
-
-class Fingerprints:
-    """64-bit fingerprints of any part of ``data``, from prefix sums of a polynomial."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[:-1], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start])
-
-    def each(self, size: int) -> np.ndarray:
-        return mix64((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
-
-
 def anchors(data: np.ndarray, last: np.ndarray, length: int, width: int) -> dict[str, np.ndarray]:
     """The anchors of ``data``, texts one after the other. ``last``: for each text, the end of its windows' starts.
 
@@ -94,12 +64,12 @@ def anchors(data: np.ndarray, last: np.ndarray, length: int, width: int) -> dict
 
 
 def scan(docs: DataFrame, length: int, width: int) -> DataFrame:
-    """An indexed suffix for each anchor: anchor, context, doc_id, text_hash, start, n, at."""
-    names = ["anchor", "context", "doc_id", "text_hash", "start", "n", "at"]
+    """An indexed suffix for each anchor: anchor, context, doc, text_hash, start, n, at."""
+    names = ["anchor", "context", "doc", "text_hash", "start", "n", "at"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, texts = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy(), raw_bytes(batch.column("text"))
+            ids, hashes, texts = batch.column("doc").to_numpy(), batch.column("text_hash").to_numpy(), raw_bytes(batch.column("text"))
             parts: list[tuple[int, int, bytes]] = []
             held = 0
 
@@ -125,7 +95,7 @@ def scan(docs: DataFrame, length: int, width: int) -> DataFrame:
             if parts:
                 yield flush(parts)
 
-    return docs.mapInArrow(read, "anchor long, context long, doc_id long, text_hash long, start long, n int, at long")
+    return docs.select("doc", "text_hash", "text").mapInArrow(read, "anchor long, context long, doc long, text_hash long, start long, n int, at long")
 
 
 class RunFamily:
@@ -181,7 +151,7 @@ class RunFamily:
 
 def shared_suffixes(suffixes: DataFrame) -> DataFrame:
     """The suffixes whose anchor occurs again. whole: so does their context; counted: their windows must be."""
-    names = ["anchor", "context", "doc_id", "text_hash", "start", "n", "at"]
+    names = ["anchor", "context", "doc", "text_hash", "start", "n", "at"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = RunFamily()
@@ -197,16 +167,16 @@ def shared_suffixes(suffixes: DataFrame) -> DataFrame:
             columns = [c for c in [*names, "whole", "counted"] if c != "context"]
             yield pa.RecordBatch.from_arrays([pa.array(run[c][keep]) for c in columns], names=columns)
 
-    return suffixes.repartition("anchor").mapInArrow(index, "anchor long, doc_id long, text_hash long, start long, n int, at long, whole boolean, counted boolean")
+    return suffixes.repartition("anchor").mapInArrow(index, "anchor long, doc long, text_hash long, start long, n int, at long, whole boolean, counted boolean")
 
 
 def window_prints(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
-    """Fingerprints of the windows of ``parts`` (doc_id, text_hash, start, n, at, anchor), in groups by anchor and place."""
-    names = ["key", "doc_id", "text_hash", "start", "prints"]
+    """Fingerprints of the windows of ``parts`` (doc, text_hash, start, n, at, anchor), in groups by anchor and place."""
+    names = ["key", "doc", "text_hash", "start", "prints"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, texts, every = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy(), raw_bytes(batch.column("text")), batch.column("parts").to_pylist()
+            ids, hashes, texts, every = batch.column("doc").to_numpy(), batch.column("text_hash").to_numpy(), raw_bytes(batch.column("text")), batch.column("parts").to_pylist()
             todo = [(i, x["start"], x["n"], x["at"], x["anchor"]) for i, own in enumerate(every) for x in own]
             for k in range(0, len(todo), 5000):
                 row, start, n, at, anchor = (np.array(x, np.int64) for x in zip(*todo[k : k + 5000], strict=True))
@@ -225,13 +195,14 @@ def window_prints(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
                 own = part[new]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row[own]]), pa.array(hashes[row[own]]), pa.array(start[own] + step[new]), blobs], names=names)
 
-    grouped = parts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n", "at", "anchor")).alias("parts"))
-    both = docs.join(grouped, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "parts")
-    return both.mapInArrow(read, "key long, doc_id long, text_hash long, start long, prints binary")
+    grouped = parts.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "n", "at", "anchor")).alias("parts"))
+    # doc_id is not read here, but keeps the shuffle of the texts the same as in the last join
+    both = docs.join(grouped, ["doc", "text_hash"]).select("doc_id", "doc", "text_hash", "text", "parts")
+    return both.mapInArrow(read, "key long, doc long, text_hash long, start long, prints binary")
 
 
 def repeated_windows(prints: DataFrame) -> DataFrame:
-    """Runs of windows (doc_id, text_hash, start, n) whose fingerprint occurs again."""
+    """Runs of windows (doc, text_hash, start, n) whose fingerprint occurs again."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -253,10 +224,10 @@ def repeated_windows(prints: DataFrame) -> DataFrame:
             return
         new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])])
         first = at[new]
-        columns = [whole.column("doc_id").to_numpy()[row[first]], whole.column("text_hash").to_numpy()[row[first]], whole.column("start").to_numpy()[row[first]] + step[first], np.diff(np.r_[new, len(at)]).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "text_hash", "start", "n"])
+        columns = [whole.column("doc").to_numpy()[row[first]], whole.column("text_hash").to_numpy()[row[first]], whole.column("start").to_numpy()[row[first]] + step[first], np.diff(np.r_[new, len(at)]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "text_hash", "start", "n"])
 
-    return prints.repartition("key").mapInArrow(count, "doc_id long, text_hash long, start long, n int")
+    return prints.repartition("key").mapInArrow(count, "doc long, text_hash long, start long, n int")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -268,11 +239,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, w
     other. Extra columns are ignored; an empty table gives an empty table.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    # keys that are never null, so that both joins below deal the texts alike and Spark shuffles them once
+    doc_id = F.col("doc_id").cast("long")
+    own = docs.select(doc_id, F.xxhash64(doc_id).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     shared = cut(shared_suffixes(scan(own, length, width)), "suffixes")
     single = repeated_windows(window_prints(own, shared.where("counted"), length))
-    found = shared.where("whole").select("doc_id", "text_hash", "start", "n").unionByName(single)
-    spans = cut(found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans")), "spans")
+    found = shared.where("whole").select("doc", "text_hash", "start", "n").unionByName(single)
+    spans = found.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,5 +266,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, w
             kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)])
 
-    both = own.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
+    both = own.join(spans, ["doc", "text_hash"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
