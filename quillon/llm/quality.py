@@ -86,17 +86,14 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: dict[str, tuple[st
     df = signals(docs, text)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = df.withColumn("base_failed", failed).withColumn("broken_rules", verdict(rules))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+    # the row number (never negative) keeps a filter on kept above this projection: the optimiser would
+    # else copy the signals, lambda in lambda, into the filter and count them anew for each word
+    return df.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0) & (F.monotonically_increasing_id() >= 0))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: dict[str, tuple[str, float | None, float | None]] = RULES) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, with the columns they had.
-
-    The filter also reads a row number: the optimiser would else copy the signals, lambda in
-    lambda, into the condition and count them anew for each word.
-    """
-    judged = quality_rules(docs, text, rules).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(docs.columns)
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with the columns they had."""
+    return quality_rules(docs, text, rules).where("kept").select(docs.columns)
 
 
 def rules_sql() -> str:
