@@ -6,7 +6,11 @@ vectors is the weight of the two terms standing in one document (an insult besid
 of a group), which no sum of single weights gives.
 
 The fit reads a bounded sample of labelled rows (``MAX_FIT`` of them, by a hash of the key)
-in one task. Scores read all words of every document.
+in one task. Every term of the sample has a weight and a vector from the first step on, and they
+are shrunk together: a value leaves its start once the slopes it has met exceed ``DOUBT`` standard
+deviations, by the model's own doubt of each row and by their squares (either alone misjudges rare terms). A term that tells only beside another is
+found that way, as its vector is judged by what the other one adds. Scores read all words of every
+document; terms that have neither a weight nor a vector after the fit add nothing and are not sent.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ from pyspark.sql import functions as F
 #: Labelled rows that the fit reads at most.
 MAX_FIT = 20_000
 BITS = 20
-#: Terms the model keeps: those that tell most of the label in the sample, by chi squared.
-TERMS = 512
 FACTORS = 8
+#: Standard deviations by which the slopes of a value must stand out before it counts.
+DOUBT = 3.0
 CACHE = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -88,44 +92,57 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> dict[str, np.ndarray]:
-    """Terms, weights, vectors and bias by AdaGrad on the logistic loss."""
-    rng, size = np.random.default_rng(seed), 1 << BITS
-    every = np.concatenate([*sets, np.empty(0, np.int64)]).astype(np.int64)
-    own = np.repeat(labels, [len(x) for x in sets]) if len(sets) else np.empty(0)
-    total, toxic = np.bincount(every, minlength=size), np.bincount(every[own == 1], minlength=size)
-    n, n_toxic = max(len(sets), 1), labels.sum()
-    expected = total * n_toxic / n
-    rest = np.maximum(expected * (1 - total / n) * (1 - n_toxic / n), 1e-9)
-    told = np.where(total >= 3, (toxic - expected) ** 2 / rest, 0)
-    kept = np.sort(np.argsort(-told, kind="stable")[:TERMS])
-    places = np.full(size, -1)
-    places[kept] = np.arange(len(kept))
-    sets = [p[p >= 0] for p in (places[x] for x in sets)]
-    bias, weights, vectors = 0.0, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))
-    sum_b, sum_w, sum_v = 1e-6, np.full(len(kept), 1e-6), np.full(vectors.shape, 1e-6)
-    for _ in range(epochs if n_toxic else 0):
-        order = rng.permutation(len(sets))
+def fit(sets: list[np.ndarray], labels: np.ndarray, rate: float = 0.2, seed: int = 3) -> dict[str, np.ndarray]:
+    """Terms, weights, vectors and bias by AdaGrad with dual averaging on the logistic loss, over all terms of ``sets``.
+
+    A small sample is met more often and in smaller batches.
+    """
+    epochs, batch = int(np.clip(80_000 // max(len(sets), 1), 5, 40)), int(np.clip(len(sets) // 50, 16, 256))
+    rng = np.random.default_rng(seed)
+    sizes = [len(x) for x in sets]
+    every, places = np.unique(np.concatenate([*sets, np.empty(0, np.int64)]).astype(np.int64), return_inverse=True)
+    own = np.split(places, np.cumsum(sizes)[:-1]) if sizes else []
+    n_toxic, size = labels.sum(), len(every)
+    share = (n_toxic + 1e-3) / (len(sets) + 2e-3)
+    bias, sum_b = np.log(share / (1 - share)), 1e-6
+    # a row for each term: its weight, then its vector
+    start = np.zeros((size, 1 + FACTORS), np.float32)
+    start[:, 1:] = rng.normal(0, 0.01, (size, FACTORS))
+    held, slopes, squares, spread = start.copy(), np.zeros_like(start), np.full_like(start, 1e-6), np.zeros_like(start)
+    hit, place = np.zeros(size, bool), np.zeros(size, np.int64)
+    for epoch in range(epochs if n_toxic else 0):
+        # each epoch meets the same rows, so their chance slopes add up and not their deviations
+        doubt = np.float32(DOUBT * np.sqrt(epoch + 1))
+        order = rng.permutation(len(own))
         for at in range(0, len(order), batch):
             now = order[at : at + batch]
-            rows = Rows(sets[i] for i in now)
-            log_odds, sums = margin(rows, bias, weights, vectors)
-            error = (sigmoid(log_odds) - labels[now]) / len(now)
-            each = error[rows.row]
-            used, back = np.unique(rows.terms, return_inverse=True)
-            grad_w = np.bincount(back, each, len(used)) + decay * weights[used]
-            grad_v = np.zeros((len(used), FACTORS))
-            np.add.at(grad_v, back, each[:, None] * (sums[rows.row] - vectors[rows.terms]))
-            grad_v += decay * vectors[used]
-            sum_b += error.sum() ** 2
-            sum_w[used] += grad_w**2
-            sum_v[used] += grad_v**2
-            bias -= rate * error.sum() / np.sqrt(sum_b)
-            weights[used] -= rate * grad_w / np.sqrt(sum_w[used])
-            vectors[used] -= 0.2 * rate * grad_v / np.sqrt(sum_v[used])
+            rows = Rows(own[i] for i in now)
+            hit[rows.terms] = True
+            used = np.flatnonzero(hit)
+            hit[used] = False
+            place[used] = np.arange(len(used))
+            back, n = place[rows.terms], len(used)
+            old = held[used]
+            sums = np.stack([np.bincount(rows.row, x[back], len(now)) for x in old.T])
+            own_squares = np.bincount(rows.row, (old[:, 1:] ** 2).sum(1)[back], len(now))
+            told = sigmoid(bias + sums[0] + 0.5 * ((sums[1:] ** 2).sum(0) - own_squares))
+            error, unsure, sums = told - labels[now], told * (1 - told), sums[1:]
+            per_term = lambda x: np.bincount(back, x[rows.row], n)  # noqa: B023, E731
+            slope, sure, vectors = per_term(error)[:, None], per_term(unsure)[:, None], old[:, 1:]
+            each, once, twice = (np.stack([per_term(x) for x in y], 1) for y in (sums * error, sums * unsure, sums**2 * unsure))
+            new = np.hstack([slope, each - vectors * slope])
+            bias -= rate * error.sum() / np.sqrt(sum_b := sum_b + error.sum() ** 2)
+            slopes[used] += new
+            squares[used] += new**2
+            spread[used] += np.hstack([sure, np.maximum(twice - 2 * vectors * once + vectors**2 * sure, 0)])
+            far = np.maximum(np.abs(slopes[used]) - doubt * np.sqrt((spread[used] + squares[used]) / 2), 0)
+            held[used] = start[used] - rate * np.sign(slopes[used]) * far / np.sqrt(squares[used])
     if not n_toxic:
         bias = -10.0
-    return {"terms": kept, "weights": weights, "vectors": vectors, "bias": np.array(bias)}
+    moved = (held[:, 1:] != start[:, 1:]).any(1)
+    held[~moved, 1:] = 0
+    tells = np.flatnonzero(moved | (held[:, 0] != 0))
+    return {"terms": every[tells], "weights": held[tells, 0].astype(np.float64), "vectors": held[tells, 1:].astype(np.float64), "bias": np.array(bias)}
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "toxic", max_rows: int = MAX_FIT) -> bytes:

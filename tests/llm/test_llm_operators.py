@@ -160,6 +160,19 @@ def test_toxicity_learns_pairs(spark, empty):
     assert toxicity.toxicity(empty, df.select("doc_id", "toxic")).count() == 0
 
 
+def test_toxicity_learns_a_pair_of_which_neither_word_tells(spark):
+    rng = np.random.default_rng(6)
+    filler = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(4000)]
+    rows = []
+    for i in range(4000):
+        one, other = rng.random(2) < 0.5
+        own = [*rng.choice(filler, 20), *(["numbskull"] if one else []), *(["gardeners"] if other else [])]
+        rows.append((i, " ".join(rng.permutation(own)), int(one != other)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(2)
+    got = {r.doc_id: r for r in toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    assert np.mean([got[i].predicted == y for i, _, y in rows if got[i].held_out]) >= 0.95
+
+
 # 6 ---------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(("length", "width", "chunk"), [(200, 32, 1 << 20), (30, 8, 64), (200, 32, 500)])
 def test_repeats(docs, rows, empty, length, width, chunk, monkeypatch):
