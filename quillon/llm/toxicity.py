@@ -165,7 +165,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str
 
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     learned = text.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(read, "doc_id long, label int, terms binary")
-    return learned.coalesce(1).mapInArrow(learn, "model binary").first()[0]
+    return learned.repartition(1).mapInArrow(learn, "model binary").first()[0]
 
 
 def score(docs: DataFrame, model: bytes) -> DataFrame:
