@@ -43,6 +43,15 @@ Permission is granted to anyone to use this software for any purpose, including
     "Reserved (notice)": "All rights reserved.",
 }
 
+#: Title lines that stand above a whole licence in its file.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+}
+
 #: Spellings that count as the same word.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "acknowledgement": "acknowledgment",
@@ -73,17 +82,19 @@ def folded(lines: Column) -> Column:
     return F.trim(spelled(F.concat(F.lit(" "), F.array_join(F.filter(lines, lambda x: ~x.rlike(OWNER_LINE)), " "), F.lit(" "))))
 
 
-def known_digests(spark: SparkSession, licenses: dict[str, str]) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("_text")) for k, v in sorted(licenses.items())))
+def known_digests(spark: SparkSession, licenses: dict[str, str], titles: dict[str, list[str]] = TITLES) -> DataFrame:
+    """license_id and canonical_sha256 of each known text, and of it below each of its titles."""
+    texts = [(k, x) for k, v in sorted(licenses.items()) for x in (v, *(f"{t}\n{v}" for t in titles.get(k, ())))]
+    rows = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(x).alias("_text")) for k, x in texts))
     known = spark.range(1).select(F.inline(rows)).withColumn("_lines", folded_lines(F.col("_text")))
-    return known.select("license_id", F.sha2(folded(F.col("_lines")), 256).alias("canonical_sha256"))
+    return known.select("license_id", F.sha2(folded(F.col("_lines")), 256).alias("canonical_sha256")).distinct()
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", licenses: dict[str, str] = LICENSES, max_known: int = 100_000) -> DataFrame:
     """Operator 2: ``docs`` with canonical_sha256, license_id and notices.
 
     license_id: the known licence that the entire text is, after folding case, punctuation,
-    copyright lines and spellings; else null. notices: sorted ids of the known texts that whole
+    copyright lines and spellings, with or without one of its title lines; else null. notices: sorted ids of the known texts that whole
     lines are, for licence lines inside other texts. The known digests are broadcast; more than
     ``max_known`` are refused. Null and empty texts have the digest of nothing and no licence.
     Repeated rows are scanned alike; an empty table gives an empty table. Columns of ``docs``

@@ -82,6 +82,13 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("license_id, title", [("MIT", "MIT License"), ("ISC", "ISC License"), ("0BSD", "BSD Zero Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("Zlib", "zlib License")])
+def test_license_files_with_their_title(spark, license_id, title):
+    text = f"{title}\n\nCopyright (c) 2021 A. Person\n\n{licenses.LICENSES[license_id]}\n"
+    df = spark.createDataFrame([(0, text), (1, "Another Title\n" + text)], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licenses.scan_licenses(df).collect()} == {0: license_id, 1: None}
+
+
 # 3 ---------------------------------------------------------------------------------------------
 def distance(a, b):
     row = list(range(len(b) + 1))
