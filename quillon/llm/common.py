@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one only where none is configured."""
+    """The folder that driver and executors share, as the session names it; a temporary one only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        folder = tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(folder)
+    if folder:
+        return folder
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_dir.isDefined():
+        return set_dir.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set, and a folder of this machine is not shared with the executors")
+    folder = tempfile.mkdtemp(prefix="quillon-")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: Folders of tables that were cut and not yet discarded, with the file system and path that delete them.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_left: dict[str, tuple] = {}
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, an executor may be lost.
 
-    Shuffle files of the write are freed as soon as it is done.
+    Shuffle files of the write are freed as soon as it is done. The folder goes with
+    :func:`discard`, or when the driver ends.
     """
     spark, free = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -44,7 +57,27 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(free, before)
-    return spark.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _left[path] = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables from :func:`cut` that nothing reads any more."""
+    for t in tables:
+        path = _folders.pop(t, None)
+        if path in _left:
+            system, place = _left.pop(path)
+            system.delete(place, True)
+
+
+@atexit.register
+def _discard_rest() -> None:
+    for system, place in _left.values():
+        with contextlib.suppress(Exception):  # the driver's Java may have ended before
+            system.delete(place, True)
 
 
 def shards_for(rows: int, per_shard: int) -> int:
@@ -97,6 +130,57 @@ class Fingerprints:
         return mix64((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Batches sorted by ``keys`` as tables of whole groups, with their number in a column group. Holds a batch and a group."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered() -> pa.Table:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(rows.num_rows, bool)
+        for c in keys:
+            x = rows.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return rows.append_column("group", pa.array(np.cumsum(new)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = 0
+        for c in keys:
+            x = batch.column(c).to_numpy()
+            last = max(last, int(np.max(np.flatnonzero(x[1:] != x[:-1]), initial=-1)) + 1)
+        if last:
+            held.append(batch.slice(0, last))
+            yield numbered()
+            held = []
+        elif held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in keys):
+            yield numbered()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield numbered()
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the links (a, b) that join all that the links join: each turn every root hooks below a smaller one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label, left, keep = np.arange(len(nodes)), np.arange(len(a)), [np.empty(0, np.int64)]
+    while len(left):
+        x, y = label[u[left]], label[v[left]]
+        left = left[x != y]
+        high, low = np.maximum(x, y)[x != y], np.minimum(x, y)[x != y]
+        roots, first = np.unique(high, return_index=True)
+        keep.append(left[first])
+        below = np.arange(len(nodes))
+        below[roots] = low[first]
+        while (further := below[below]).tobytes() != below.tobytes():
+            below = further
+        label = below[label]
+    kept = np.concatenate(keep)
+    return a[kept], b[kept]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, by alternating large and small stars.
 
@@ -119,6 +203,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(v.alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = cut(small.where(u > v).distinct(), "small")
+        before, e = e, cut(small.where(u > v).distinct(), "small")
+        discard(before, large)
     nodes = e.select(u.alias("node"), v.alias("component"))
     return nodes.unionByName(e.select(v.alias("node"), v.alias("component")).distinct())

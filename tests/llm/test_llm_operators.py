@@ -9,6 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from quillon.llm import embeddings, licenses, lines, minhash, mixing, packing, quality, repeats, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, shard string, line string"
@@ -106,44 +108,89 @@ def test_banded_distance(a, b, most):
     assert lines.within(a, b, most) == (distance(a, b) <= most)
 
 
-def test_line_dedup(spark, empty):
+def allowed(a, b):
+    return min(lines.EDITS, min(len(a), len(b)) // lines.PER_EDIT)
+
+
+def linked_lines(held):
+    """Brute force: which pairs of distinct lines are linked."""
+    for i, a in enumerate(held):
+        for b in held[:i]:
+            if abs(len(a) - len(b)) <= lines.EDITS and distance(a, b) <= allowed(a, b):
+                yield a, b
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=30), min_size=2, max_size=12, unique=True), st.integers(1, 3), st.integers(1, 6))
+def test_many_distances_at_once(texts, edits, per_edit):
+    held = lines.Lines(texts, edits, per_edit)
+    pairs = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and 0 <= len(b) - len(a) <= edits]
+    if pairs:
+        i, j = (np.array(x) for x in zip(*pairs))
+        bound = [min(edits, len(texts[k]) // per_edit) for k in i]
+        assert held.linked(i, j).tolist() == [distance(texts[x], texts[y]) <= m for x, y, m in zip(i, j, bound)]
+
+
+def edited(rng, x, n):
+    x = list(x)
+    for _ in range(n):
+        k = int(rng.integers(0, len(x)))
+        if rng.random() < 0.5:
+            x[k] = rng.choice(list("abcd"))
+        else:
+            x.pop(k) if rng.random() < 0.5 else x.insert(k, "a")
+    return "".join(x)
+
+
+@pytest.mark.parametrize("large", [lines.LARGE, 3])
+def test_line_dedup(spark, empty, large, monkeypatch):
+    monkeypatch.setattr(lines, "LARGE", large)
+    monkeypatch.setattr(lines, "BLOCK", large)
     rng = np.random.default_rng(1)
-    base = ["".join(rng.choice(list("abcd "), 40)) for _ in range(12)]
-    every = []
-    for b in base:
-        every.append(b)
-        for _ in range(5):
-            x = list(b)
-            for _ in range(rng.integers(0, 4)):
-                k = int(rng.integers(0, len(x)))
-                if rng.random() < 0.5:
-                    x[k] = rng.choice(list("abcd"))
-                else:
-                    x.pop(k) if rng.random() < 0.5 else x.insert(k, "a")
-            every.append("".join(x))
-    texts = ["\n".join(every[k : k + 6]) for k in range(0, len(every), 6)] + [None, "", "short\nshort\n", every[0] + "\n" + every[0]]
-    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, line_no string")
+    base = ["".join(rng.choice(list("abcd "), n)) for n in (8, 11, 12, 15, 20, 23, 24, 25, 40, 40, 41, 90)]
+    every = [x for b in base for x in (b, *(edited(rng, b, rng.integers(0, 4)) for _ in range(5)))]
+    texts = ["\n".join(every[k : k + 6]) for k in range(0, len(every), 6)] + [None, "", "short\nshort\n", every[0] + "\n" + every[0], "word " * 30_000 + "\nx", "word " * 30_000 + "y\nx"]
+    df = spark.createDataFrame([(i, t, "c", "k") for i, t in enumerate(texts)], "doc_id long, text string, line_no string, key string")
     got = {(r.doc_id, r.line_no): (r.n_links, r.class_doc_id, r.class_line_no, r.kept) for r in lines.dedup_lines(df).collect()}
     place, first = {}, {}
     for i, t in enumerate(texts):
         for k, x in enumerate((t or "").split("\n")):
-            if x.split():
+            if x.encode().split():
                 place[i, k] = x
                 first.setdefault(x, (i, k))
     parent, degree = {v: v for v in first.values()}, Counter()
-    held = [x for x in first if len(x) >= lines.MIN_CHARS]
-    for i, a in enumerate(held):
-        for b in held[:i]:
-            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
-                degree[first[a]] += 1
-                degree[first[b]] += 1
-                x, y = find(parent, first[a]), find(parent, first[b])
-                parent[max(x, y)] = min(x, y)
-    assert sum(degree.values()) > 20
+    n = len(texts)
+    links = [*linked_lines([x for x in first if len(x) < 1000]), (texts[n - 2].split("\n")[0], texts[n - 1].split("\n")[0])]
+    for a, b in links:
+        degree[first[a]] += 1
+        degree[first[b]] += 1
+        x, y = find(parent, first[a]), find(parent, first[b])
+        parent[max(x, y)] = min(x, y)
+    assert sum(degree.values()) > 20 and any(len(a) < 24 for a, _ in links)
     assert got == {k: (degree[first[x]], *find(parent, first[x]), k == find(parent, first[x])) for k, x in place.items()}
     assert lines.dedup_lines(empty).count() == 0
     left = {r.doc_id: r.text for r in lines.without_repeats(df).collect()}
-    assert left[len(texts) - 2] == "short\nshort\n" and len(texts) - 1 not in left and len(texts) - 3 in left
+    assert left[n - 4] == "short\n" and n - 3 not in left and n - 1 not in left and left[n - 6] is None
+    again = lines.dedup_lines(df.unionByName(df)).groupBy("doc_id", "line_no").count().collect()
+    assert len(again) == len(got) and all(r["count"] == 2 for r in again)
+
+
+def test_a_hot_group_of_near_lines(spark):
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcdefgh "), 60))
+    held = sorted({edited(rng, base, 1) for _ in range(3000)} | {edited(rng, base, 2) for _ in range(800)})
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(held)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    degree = Counter()
+    for i, a in enumerate(held):
+        for j in range(i):
+            if lines.within(a, held[j], 2):
+                degree[i] += 1
+                degree[j] += 1
+    assert len(held) > 900 and {i: r.n_links for i, r in got.items()} == {i: degree[i] for i in range(len(held))}
+    assert {r.class_doc_id for r in got.values()} == {0}
+    distinct = df.select(F.struct("doc_id", F.lit(0).alias("line_no"), F.xxhash64("text").alias("h")).alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("line"))
+    assert lines.linked_lines(distinct, 2, 12).count() < 20 * len(held)
 
 
 # 5 ---------------------------------------------------------------------------------------------
@@ -395,10 +442,10 @@ def line_classes(texts):
             if x.encode().split():
                 place[i, k] = x
                 first.setdefault(x, (i, k))
-    parent, held = {v: v for v in first.values()}, [x for x in first if len(x) >= lines.MIN_CHARS]
+    parent, held = {v: v for v in first.values()}, list(first)
     for i, a in enumerate(held):
         for b in held[:i]:
-            if abs(len(a) - len(b)) <= 2 and lines.within(a, b, 2):
+            if abs(len(a) - len(b)) <= 2 and lines.within(a, b, allowed(a, b)):
                 x, y = find(parent, first[a]), find(parent, first[b])
                 parent[max(x, y)] = min(x, y)
     return {k: find(parent, first[x]) for k, x in place.items()}
@@ -419,7 +466,7 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert {r.doc_id: r.text for r in stages[0]} == texts and len(texts) > 8
     classes, left = line_classes(texts), {}
     for i, t in texts.items():
-        own = [x for k, x in enumerate(t.split("\n")) if (i, k) not in classes or classes[i, k] == (i, k) or len(x) < lines.MIN_CHARS]
+        own = [x for k, x in enumerate(t.split("\n")) if (i, k) not in classes or classes[i, k] == (i, k)]
         if any(x.encode().split() for x in own):
             left[i] = "\n".join(own)
     assert {r.doc_id: r.text for r in stages[1]} == left and left != texts
