@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, Fingerprints, components, cut, discard, mix64, sorted_groups, spanning
+from quillon.llm.common import WORD, Fingerprints, components, cut, mix64, sorted_groups, spanning
 
 EDITS = 2
 #: Characters a line must have for each edit that it allows.
@@ -213,6 +213,10 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(WORD))
 
 
+def second_hash() -> Column:
+    return F.xxhash64(F.lit(1), "line")
+
+
 def key_rows(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """key, h, counts, segment: the index rows of each line, and its probes (segment -1)."""
 
@@ -348,7 +352,7 @@ def linked_lines(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
-    """A row for each distinct line: line, its first place (doc_id, line_no), copies, n_links, class_doc_id, class_line_no.
+    """A row for each distinct line: its hashes h and h2, its first place (doc_id, line_no), copies, n_links, class_doc_id, class_line_no.
 
     Lines are linked if they lie at most one edit apart for each ``per_edit`` characters of the
     shorter one, and at most ``edits``; so lines under ``per_edit`` characters only equal themselves.
@@ -357,12 +361,13 @@ def line_classes(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT)
     """
     place = F.struct("doc_id", "line_no", F.xxhash64("line").alias("h"))
     lines = line_table(docs).groupBy("line").agg(F.min(place).alias("id"), F.count("*").alias("copies"))
-    lines = cut(lines.select("id", F.col("id.h").alias("h"), "line", "copies"), "lines")
+    # two hashes stand for the line, so that texts are not shuffled again
+    lines = cut(lines.select("id", F.col("id.h").alias("h"), second_hash().alias("h2"), "line", "copies"), "lines")
     found = cut(linked_lines(lines, edits, per_edit), "line-links")
     degree = found.where("links > 0").groupBy("id").agg(F.sum("links").alias("n_links"))
     told = components(found.where("to IS NOT NULL"), "id", "to").withColumnRenamed("node", "id").join(degree, "id")
-    out = lines.join(told, "id", "left").withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("long"), "component": F.coalesce("component", "id")})
-    return out.select("line", "h", F.col("id.doc_id").alias("doc_id"), F.col("id.line_no").alias("line_no"), "copies", "n_links", F.col("component.doc_id").alias("class_doc_id"), F.col("component.line_no").alias("class_line_no"))
+    out = lines.drop("line").join(told, "id", "left").withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("long"), "component": F.coalesce("component", "id")})
+    return out.select("h", "h2", F.col("id.doc_id").alias("doc_id"), F.col("id.line_no").alias("line_no"), "copies", "n_links", F.col("component.doc_id").alias("class_doc_id"), F.col("component.line_no").alias("class_line_no"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
@@ -373,10 +378,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -
     the same lines. Extra columns are ignored; an empty table gives no row.
     """
     again = line_classes(docs, edits, per_edit).where("copies > 1 OR n_links > 0")
-    # two hashes stand for the line, so that texts are not shuffled again
-    mark: list[Column] = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    every = line_table(docs).select("doc_id", "line_no", *mark)
-    told = again.select(*mark, "n_links", "class_doc_id", "class_line_no")
+    every = line_table(docs).select("doc_id", "line_no", F.xxhash64("line").alias("h"), second_hash().alias("h2"))
+    told = again.select("h", "h2", "n_links", "class_doc_id", "class_line_no")
     out = every.join(told, ["h", "h2"], "left")
     out = out.select("doc_id", "line_no", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_doc_id", "doc_id").alias("class_doc_id"), F.coalesce("class_line_no", "line_no").alias("class_line_no"))
     return out.withColumn("kept", (F.col("doc_id") == F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
