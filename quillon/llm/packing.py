@@ -3,7 +3,8 @@
 Ids come from a public byte-level BPE vocabulary. Its pre-tokeniser never joins
 text across a single space, so a text is cut at spaces and each distinct chunk is
 encoded once per worker and kept (bounded); texts with runs of spaces are encoded
-whole. The ids are those the ``tokenizers`` library gives.
+whole. The ids are those the ``tokenizers`` library gives; as there, the spelling of an
+added token such as ``<|endoftext|>`` is that token, and a text is cut at it first.
 
 Operator 1 (:func:`token_matrices`) packs by best-fit decreasing: a segment tree
 over remaining capacities finds the fullest bin that still takes a piece.
@@ -13,12 +14,15 @@ the window, and counts are traced back.
 
 Both cut an overlong document into full windows and a rest, losing no id, and
 deal pieces by a hash of the document into shards of a bounded number of
-documents; a shard is packed by one task, so sources of any size spread evenly.
+documents, the windows of a long one into one shard after the other; a shard is packed
+by one task, so sources and documents of any size spread evenly.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,9 +44,9 @@ END = 1
 
 
 class ChunkEncoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes."""
+    """Token ids of a text as little-endian unsigned 32-bit bytes. ``added``: ids of whole spellings that are cut out first."""
 
-    def __init__(self, path: str, limit: int = CACHE):
+    def __init__(self, path: str, added: dict[str, int], limit: int = CACHE):
         import public_tokenizers
         import tiktoken
 
@@ -50,11 +54,18 @@ class ChunkEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.limit, self.known = limit, {}
+        self.added = {k: np.array([v], "<u4").tobytes() for k, v in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.at_added and any(x in text for x in self.added):
+            return b"".join(self.added.get(x) or self.plain(x) for x in self.at_added.split(text) if x)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         # a run of spaces, or one that ends the text, is matched together with its neighbours
         if "  " in text or text[-1:] == " ":
             return self.whole(text)
@@ -74,17 +85,21 @@ class ChunkEncoder:
         return b"".join(parts)
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str | None, ChunkEncoder] = {}
 
 
 def encoder(path: str | None) -> ChunkEncoder:
-    """One encoder a worker and vocabulary. ``path``: ranks of a byte-level BPE; None: the public 50k one."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    """One encoder a worker and vocabulary. ``path``: ranks of a byte-level BPE, without added tokens; None: the public 50k one, with its added tokens."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        added: dict[str, int] = {}
+        ranks = path
+        if path is None:
+            import public_tokenizers
+
+            ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+            with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+                added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        _encoders[path] = ChunkEncoder(ranks, added)
     return _encoders[path]
 
 
@@ -200,8 +215,21 @@ def minimum_bin_slack(sizes: list[int], window: int) -> list[tuple[int, int]]:
     return placed
 
 
+def narrow(ids: bytes, width: int) -> bytes:
+    """4-byte ids as ids of ``width`` bytes."""
+    if width == 4:
+        return ids
+    held = np.frombuffer(ids, "<u4")
+    if held.max(initial=0) > 0xFFFF:
+        raise ValueError(f"id {held.max()} does not fit 2 bytes; ask for wide ids")
+    return held.astype("<u2").tobytes()
+
+
 def pieces(docs: DataFrame, vocabulary: str | None, window: int, end: int, n_shards: int, with_ids: int) -> DataFrame:
-    """A row for each window-sized piece and each rest of a document, with the shard that packs it. ``with_ids``: bytes an id in a column ids, 0 for none."""
+    """A row for each window-sized piece and each rest of a document, with the shard that packs it.
+
+    ``with_ids``: bytes an id in a column ids, 0 for none. Ids that do not fit are refused.
+    """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard long" + ", ids binary" * bool(with_ids)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +239,10 @@ def pieces(docs: DataFrame, vocabulary: str | None, window: int, end: int, n_sha
             for doc_id, shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch, "text"), strict=True):
                 ids = encode(text) + mark
                 n = len(ids) // 4
-                for at in range(0, n, window):
+                for k, at in enumerate(range(0, n, window)):
                     piece = ids[4 * at : 4 * (at + window)]
-                    row = doc_id, at, len(piece) // 4, zlib.crc32(piece), n, shard
-                    rows.append((*row, np.frombuffer(piece, "<u4").astype("<u2" if with_ids == 2 else "<u4").tobytes()) if with_ids else row)
+                    row = doc_id, at, len(piece) // 4, zlib.crc32(piece), n, (shard + k) % n_shards
+                    rows.append((*row, narrow(piece, with_ids)) if with_ids else row)
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (6 + bool(with_ids))
             kinds = [pa.int64()] * 6 + [pa.binary()] * bool(with_ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
@@ -247,13 +275,16 @@ def token_matrices(docs: DataFrame, vocabulary: str | None = None, window: int =
     """Operator 1: one row per packed sequence, by best-fit decreasing.
 
     Columns: sequence_id; n_tokens; ids, the row of the id matrix (``window`` little-endian
-    unsigned ids of 2 bytes, 4 if ``wide``, padded with ``pad``); cu_seqlens, cumulative lengths
+    unsigned ids of 2 bytes, 4 if ``wide``, padded with ``pad``; larger ids are refused; n_tokens tells
+    padding from an equal id of a text); cu_seqlens, cumulative lengths
     from 0 to n_tokens; position_ids, 2- or 4-byte positions that restart at 0 with each piece and
     in the padding; doc_ids and doc_starts, the piece behind each segment. Joining a document's
     pieces by start gives back its ids. Documents with null or empty text are their end mark;
     repeated rows are packed as often as they occur; an empty table gives no row.
     """
     kind = "<u4" if wide else "<u2"
+    if not wide and max(window, pad, end) > 0xFFFF:
+        raise ValueError("window, pad and end must fit 2 bytes; ask for wide ids")
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -283,5 +314,8 @@ def token_matrices(docs: DataFrame, vocabulary: str | None = None, window: int =
 
 
 def write_matrices(sequences: DataFrame, path: str) -> None:
-    """Write the packed sequences as Parquet, one row a sequence."""
-    sequences.write.mode("overwrite").parquet(path)
+    """Write the sequences of :func:`token_matrices` as Parquet, one row a sequence; an existing path is refused.
+
+    Rows of a file lie in the order of their numbers, so the column ids of a file, joined, is a matrix.
+    """
+    sequences.sortWithinPartitions("sequence_id").write.parquet(path)

@@ -178,7 +178,7 @@ def test_line_dedup(spark, empty, large, monkeypatch):
 def test_a_hot_group_of_near_lines(spark):
     rng = np.random.default_rng(5)
     base = "".join(rng.choice(list("abcdefgh "), 60))
-    held = sorted({edited(rng, base, 1) for _ in range(3000)} | {edited(rng, base, 2) for _ in range(800)})
+    held = sorted({edited(rng, base, 1) for _ in range(1500)} | {edited(rng, base, 2) for _ in range(600)})
     df = spark.createDataFrame([(i, x) for i, x in enumerate(held)], "doc_id long, text string").repartition(4)
     got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
     degree = Counter()
@@ -187,7 +187,7 @@ def test_a_hot_group_of_near_lines(spark):
             if lines.within(a, held[j], 2):
                 degree[i] += 1
                 degree[j] += 1
-    assert len(held) > 900 and {i: r.n_links for i, r in got.items()} == {i: degree[i] for i in range(len(held))}
+    assert len(held) > 700 and {i: r.n_links for i, r in got.items()} == {i: degree[i] for i in range(len(held))}
     assert {r.class_doc_id for r in got.values()} == {0}
     distinct = df.select(F.struct("doc_id", F.lit(0).alias("line_no"), F.xxhash64("text").alias("h")).alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("line"))
     assert lines.linked_lines(distinct, 2, 12).count() < 20 * len(held)
@@ -261,8 +261,11 @@ def test_run_family_merges_geometrically():
 
 
 # 1 and 7 ---------------------------------------------------------------------------------------
-@settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("ab '\n\té1.,x s"), max_size=40))
+MARK = "<|endoftext|>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(st.sampled_from("ab '\n\té1.,x s"), max_size=12), st.text(max_size=6), st.sampled_from([MARK, " " + MARK, MARK[:-1], "<|"])), max_size=6).map("".join))
 def test_ids_are_those_of_the_public_tokenizer(text):
     assert np.frombuffer(packing.encoder(None)(text), "<u4").tolist() == public().encode(text, add_special_tokens=False).ids
 
@@ -320,6 +323,27 @@ def test_matrices(docs, rows, empty):
     assert packing.token_matrices(empty).count() == 0
 
 
+def test_written_matrices_are_read_back(spark, docs, rows, tmp_path):
+    df = spark.createDataFrame([(1, f"a {MARK} b"), (2, "x" * 9000), (3, None)], "doc_id long, text string")
+    packing.write_matrices(packing.token_matrices(df, window=64), str(tmp_path / "m"))
+    with pytest.raises(Exception, match="exist"):
+        packing.write_matrices(packing.token_matrices(df, window=64), str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m")).orderBy("sequence_id").collect()
+    matrix = np.stack([np.frombuffer(r.ids, "<u2") for r in back])
+    assert matrix.shape == (len(back), 64)
+    pieces = {(d, s): matrix[i, a:b].tolist() for i, r in enumerate(back) for d, s, a, b in zip(r.doc_ids, r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:])}
+    for i, t in ((1, f"a {MARK} b"), (2, "x" * 9000), (3, None)):
+        assert [x for (d, _), p in sorted(pieces.items()) if d == i for x in p] == ids_of(t)
+
+
+def test_ids_that_do_not_fit_are_refused(spark, docs):
+    assert packing.narrow(np.array([65535], "<u4").tobytes(), 2) == b"\xff\xff"
+    with pytest.raises(ValueError, match="65536"):
+        packing.narrow(np.array([1, 65536], "<u4").tobytes(), 2)
+    with pytest.raises(ValueError, match="2 bytes"):
+        packing.token_matrices(docs, end=70_000)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=14))
 def test_packers(sizes):
