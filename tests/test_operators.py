@@ -1,5 +1,10 @@
 """Rules of single operators on rows made by hand."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 from pyspark.sql import functions as F
 
 from quillon.functions.text import stem, tokens
@@ -60,7 +65,21 @@ def test_path_audit(spark):
     assert {tuple(r) for r in governance.path_audit(files).collect()} == {("a/CON.md", "reserved-name"), ("a/x.md", "case-clash"), ("a/X.md", "case-clash"), ("b/y .md ", "trailing-character"), ("b/n(1).md", "conflict-copy")}
 
 
-def test_entry_imports_without_the_optional_folder():
-    import __spark_entry__ as e
-
-    assert set(e.oracle_sql()) <= set(e.queries())
+def test_entry_imports_without_the_optional_folders(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("quillon", "__spark_entry__.py"):
+        copy = shutil.copytree if os.path.isdir(f"{root}/{name}") else shutil.copy
+        copy(f"{root}/{name}", f"{tmp_path}/{name}", **({"ignore": shutil.ignore_patterns("llm", "__pycache__")} if copy is shutil.copytree else {}))
+    assert not os.path.exists(f"{tmp_path}/quillon/llm")
+    code = "import __spark_entry__ as e; q = e.queries(); assert e.__file__.startswith({0!r}); assert set(e.oracle_sql()) <= set(q) and len(q) > 80; assert not any(x.startswith('op1_') for x in q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code.format(str(tmp_path))], cwd=tmp_path, env=env, check=True)
+
+
+def test_entry_tells_of_a_broken_dependency(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.isdir(f"{root}/quillon/llm"):
+        return
+    (tmp_path / "xxhash.py").write_text("raise ModuleNotFoundError('no xxhash', name='xxhash')")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{root}"}, capture_output=True, text=True)
+    assert done.returncode and "no xxhash" in done.stderr
