@@ -366,26 +366,42 @@ def test_packers(sizes):
 @pytest.mark.parametrize("block", [2000, 7])
 def test_embeddings(spark, block, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "LARGE", 2 * block)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 20))
     vectors = [base[i % 12] + rng.normal(size=20) * (0.02 * (i % 7)) for i in range(200)] + [base[0]] * 5 + [np.zeros(20)]
-    rows = [(i, [float(np.float32(x)) for x in v], i % 3 if i % 17 else None, "x") for i, v in enumerate(vectors)]
-    rows += [(900, None, 1, "x"), (901, [], 1, "x"), (902, [1.0, None], 1, "x"), (903, [float("nan")] * 20, 1, "x"), (904, [float("inf")] * 20, 1, "x"), (905, [1.0, 2.0], 1, "x"), (906, [2.0, 4.0], 1, "x")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, dim string")
+    rows = [(i, [float(np.float32(x)) for x in v], i % 3 if i % 17 else None, "x", "y") for i, v in enumerate(vectors)]
+    rows += [(900, None, 1, "x", "y"), (901, [], 1, "x", "y"), (902, [1.0, None], 1, "x", "y"), (903, [float("nan")] * 20, 1, "x", "y"), (904, [float("inf")] * 20, 1, "x", "y")]
+    rows += [(905, [1.0, 2.0], 1, "x", "y"), (906, [2.0, 4.0], 1, "x", "y"), (907, [0.0, 1.0], 1, "x", "y"), (908, [-0.0, 1.0], 1, "x", "y"), (909, [1e-30, 2e-30], 1, "x", "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, dim string, h string")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
     parent, degree = {r[0]: r[0] for r in rows}, Counter()
-    good = [(i, np.array(v, float), label) for i, v, label, _ in rows if label is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    for k, (i, v, a) in enumerate(good):
-        for j, w, b in good[:k]:
-            if a == b and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
-                degree[i] += 1
-                degree[j] += 1
-                x, y = find(parent, i), find(parent, j)
-                parent[max(x, y)] = min(x, y)
-    assert sum(degree.values()) > 500
-    assert sum(v[0] for v in got.values()) >= 0.99 * sum(degree.values()) and all(v[0] <= degree[k] for k, v in got.items())
-    assert np.mean([got[k] == (degree[k], find(parent, k), find(parent, k) == k) for k in parent]) >= 0.97
+    good = [(i, np.array(v, np.float32).astype(float), label) for i, v, label, *_ in rows if label is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    links = {(i, j) for k, (i, v, a) in enumerate(good) for j, w, b in good[:k] if a == b and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98}
+    for i, j in links:
+        degree[i] += 1
+        degree[j] += 1
+        x, y = find(parent, i), find(parent, j)
+        parent[max(x, y)] = min(x, y)
+    assert len(links) > 250
+    assert got == {k: (degree[k], find(parent, k), find(parent, k) == k) for k in parent}
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+    twice = embeddings.near_duplicates(df.unionByName(df)).groupBy("vec_id").agg(F.max("n_links").alias("n"), F.count("*").alias("c")).collect()
+    assert all(r.c == 2 and r.n == (2 * degree[r.vec_id] + 1 if any(r.vec_id == g[0] for g in good) else 0) for r in twice)
+
+
+@pytest.mark.parametrize(("dim", "n_hashes"), [(64, 2), (300, 1)])
+def test_tables_find_pairs_just_at_the_threshold(dim, n_hashes):
+    rng = np.random.default_rng(8)
+    x, z = rng.normal(size=(2, 2000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    n_tables, _ = embeddings.plan(50_000, dim, 0.98, 5)
+    a, b = (embeddings.buckets(v, n_tables, n_hashes, 5) for v in (x, y))
+    assert (a[..., :, None] == b[..., None, :]).any((1, 2, 3)).mean() >= 0.998
+    apart = np.bitwise_count(embeddings.bits(x, 5) ^ embeddings.bits(y, 5)).sum(1, dtype=int)
+    assert apart.max() <= embeddings.bits_apart(0.98)
 
 
 # 9 ---------------------------------------------------------------------------------------------
