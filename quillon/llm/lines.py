@@ -316,7 +316,8 @@ NODE = "struct<doc_id:bigint,line_no:int,h:bigint>"
 def linked_lines(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """Rows (id, links, to) of distinct lines: numbers of links, to be added up, and links that join what is linked (links 0). ``lines``: id, h, line."""
     met = cut(meeting(key_rows(lines, edits, per_edit), edits), "met-lines")
-    dealt = in_blocks(met).join(lines.select("h", "id", "line"), "h")
+    # both sides grow with the corpus: one plan at every size, never a broadcast
+    dealt = in_blocks(met).join(lines.select("h", "id", "line").hint("merge"), "h")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "segment", "h", "id", "line")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
