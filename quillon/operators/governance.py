@@ -41,13 +41,13 @@ def latest_review(reviews: DataFrame) -> DataFrame:
 
 
 def review_health(latest: DataFrame, now: str) -> DataFrame:
-    """collection, state: the worst over its reviews of overdue, due-soon (the last fifth of the interval, 3 to 14 days), attention-needed, current."""
+    """collection, state: the worst over its reviews of attention-needed (the outcome says so), overdue (as old as the interval), due-soon (the last fifth of it, 3 to 14 days), current."""
     days = F.coalesce(F.create_map(*(F.lit(x) for k, v in REVIEW_DAYS.items() for x in (k, v)))[F.col("kind")], F.lit(60))
-    soon = F.least(F.greatest(F.floor(days / 5), F.lit(3)), F.lit(14))
-    age = F.datediff(F.lit(now).cast("date"), F.col("reviewed_at").cast("date"))
-    rank = F.when(age > days, 3).when(F.col("outcome") == "failed", 2).when(age > days - soon, 1).otherwise(0)
+    soon = F.least(F.greatest(F.round(days * 0.2), F.lit(3)), F.lit(14))
+    age = F.greatest(F.floor((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("reviewed_at").cast("timestamp"))) / 86400), F.lit(0))
+    rank = F.when(F.col("outcome") == "failed", 3).when(age >= days, 2).when(days - age <= soon, 1).otherwise(0)
     worst = latest.withColumn("rank", rank).groupBy("collection").agg(F.max("rank").alias("rank"))
-    return worst.select("collection", F.element_at(F.array(*map(F.lit, ("current", "due-soon", "attention-needed", "overdue"))), F.col("rank") + 1).alias("state"))
+    return worst.select("collection", F.element_at(F.array(*map(F.lit, ("current", "due-soon", "overdue", "attention-needed"))), F.col("rank") + 1).alias("state"))
 
 
 def field_rules(pages: DataFrame) -> DataFrame:
@@ -114,33 +114,45 @@ def source_units(sources: DataFrame, lines_per_unit: int = 5) -> DataFrame:
     return lines.groupBy("source_no", F.col("unit_kind").alias("kind"), unit).agg(F.count_if(F.trim("line") != "").alias("n_lines")).where("n_lines > 0")
 
 
-def locator_resolve(citations: DataFrame, units: DataFrame) -> DataFrame:
-    """claim_id, source_no, locator, state, n_units: what a locator names. Each distinct locator is resolved once.
+#: Forms of a locator besides the whole document.
+LOCATOR_FORMS = ("page", "slide", "section", "heading", "sheet", "timestamp")
+LOCATOR = r"^\s*([A-Za-z]+)\s*=\s*(.*?)\s*$"
+RANGE = r"^([0-9]+)(?:\s*-\s*([0-9]+))?$"
+
+
+def named_units(citations: DataFrame, units: DataFrame) -> DataFrame:
+    """source_no, locator, form, low, high, state, n_units, total. Each distinct locator is resolved once.
 
-    Ranges need both ends. Other spellings are unchecked; a known form that names no unit is unresolved.
+    A locator names units of its own kind: pages and slides by a number or a range, whose two ends must be there and in
+    order; others by their mark. Other spellings are unchecked; a known form that names no unit of the source is unresolved.
     """
     parsed = citations.select("source_no", "locator").distinct()
-    low = F.expr("try_cast(nullif(regexp_extract(locator, '^page=([0-9]+)', 1), '') AS BIGINT)")
-    high = F.coalesce(F.expr("try_cast(nullif(regexp_extract(locator, '^page=[0-9]+-([0-9]+)$', 1), '') AS BIGINT)"), F.col("low"))
-    parsed = parsed.withColumn("low", low).withColumn("high", high)
-    names = F.when(F.col("low").isNotNull(), F.col("unit").between(F.col("low"), F.col("high"))).otherwise((F.col("locator") == "document") & F.col("unit").isNotNull())
-    hits = parsed.join(units.select("source_no", "unit"), "source_no", "left").groupBy("source_no", "locator", "low", "high")
-    hits = hits.agg(F.count_if(F.coalesce(names, F.lit(False))).alias("n_units"), F.count_if(F.coalesce(F.col("unit").isin(F.col("low"), F.col("high")), F.lit(False))).alias("ends"))
-    whole = F.when(F.col("low").isNull() & (F.col("locator") != "document"), "unchecked").when((F.col("n_units") > 0) & (F.col("low").isNull() | (F.col("ends") == F.when(F.col("low") == F.col("high"), 1).otherwise(2))), "resolved").otherwise("unresolved")
-    told = hits.select("source_no", "locator", whole.alias("state"), F.when(whole == "resolved", F.col("n_units")).otherwise(0).alias("n_units"))
+    form = F.when(F.lower(F.trim("locator")) == "document", "document").otherwise(F.lower(F.regexp_extract("locator", LOCATOR, 1)))
+    parsed = parsed.withColumn("form", F.when(form.isin("document", *LOCATOR_FORMS), form)).withColumn("value", F.regexp_extract("locator", LOCATOR, 2))
+    number = lambda i: F.nullif(F.regexp_extract("value", RANGE, i), F.lit("")).try_cast("long")
+    parsed = parsed.withColumn("low", number(1)).withColumn("high", F.coalesce(number(2), number(1)))
+    single = ~F.col("form").isin("page", "slide") & (F.col("low") != F.col("high"))
+    parsed = parsed.withColumns({"low": F.when(~single, F.col("low")), "high": F.when(~single, F.col("high"))}).drop("value")
+    unit, own = F.col("unit"), F.coalesce(F.col("kind") == F.col("form"), F.lit(False))
+    hits = parsed.join(units.select("source_no", "unit", "kind"), "source_no", "left").groupBy("source_no", "locator", "form", "low", "high")
+    within = F.when(F.col("form") == "document", unit.isNotNull()).otherwise(own & unit.between(F.col("low"), F.col("high")))
+    hits = hits.agg(F.count_if(F.coalesce(within, F.lit(False))).alias("n"), F.count_if(F.coalesce(own & unit.isin(F.col("low"), F.col("high")), F.lit(False))).alias("ends"), F.count("unit").alias("total"))
+    whole = (F.col("form") == "document") | (F.col("ends") == F.when(F.col("low") == F.col("high"), 1).otherwise(2))
+    state = F.when(F.col("form").isNull(), "unchecked").when((F.col("n") > 0) & whole, "resolved").otherwise("unresolved")
+    return hits.select("source_no", "locator", "form", "low", "high", state.alias("state"), F.when(state == "resolved", F.col("n")).otherwise(0).alias("n_units"), "total")
+
+
+def locator_resolve(citations: DataFrame, units: DataFrame) -> DataFrame:
+    """claim_id, source_no, locator, state, n_units: what a locator names, by the rules of :func:`named_units`."""
+    told = named_units(citations, units).select("source_no", "locator", "state", "n_units")
     return citations.join(told, ["source_no", "locator"]).select("claim_id", "source_no", "locator", "state", "n_units")
 
 
 def cited_units(citations: DataFrame, units: DataFrame) -> DataFrame:
     """source_no, unit: units that live claims cite by a locator that does not name the whole of a source of several units."""
     live = citations.where("claim_status IN ('active', 'disputed')")
-    good = locator_resolve(live, units).where("state = 'resolved'").select("source_no", "locator", "n_units").distinct()
-    n = units.groupBy("source_no").agg(F.count("*").alias("total"))
-    narrow = good.join(n, "source_no").where("total = 1 OR n_units < total")
-    low = F.expr("try_cast(nullif(regexp_extract(locator, '^page=([0-9]+)', 1), '') AS BIGINT)")
-    high = F.expr("coalesce(try_cast(nullif(regexp_extract(locator, '^page=[0-9]+-([0-9]+)$', 1), '') AS BIGINT), low)")
-    ranged = narrow.withColumn("low", low).withColumn("high", high)
-    return ranged.join(units.select("source_no", "unit"), "source_no").where("low IS NULL OR unit BETWEEN low AND high").select("source_no", "unit").distinct()
+    narrow = named_units(live, units).where("state = 'resolved' AND (total = 1 OR n_units < total)")
+    return narrow.join(units.select("source_no", "unit"), "source_no").where("form = 'document' OR unit BETWEEN low AND high").select("source_no", "unit").distinct()
 
 
 def source_coverage(citations: DataFrame, units: DataFrame) -> DataFrame:
@@ -151,10 +163,10 @@ def source_coverage(citations: DataFrame, units: DataFrame) -> DataFrame:
 
 def uncited_runs(citations: DataFrame, units: DataFrame) -> DataFrame:
     """source_no, label: neighbouring units that nobody cites, as one range."""
-    left = units.select("source_no", "unit").join(cited_units(citations, units), ["source_no", "unit"], "left_anti")
+    left = units.select("source_no", "kind", "unit").join(cited_units(citations, units), ["source_no", "unit"], "left_anti")
     island = F.col("unit") - F.row_number().over(Window.partitionBy("source_no").orderBy("unit"))
-    runs = left.withColumn("island", island).groupBy("source_no", "island").agg(F.min("unit").alias("a"), F.max("unit").alias("b"))
-    return runs.select("source_no", F.concat(F.lit("page="), F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat("a", F.lit("-"), "b"))).alias("label"))
+    runs = left.withColumn("island", island).groupBy("source_no", "kind", "island").agg(F.min("unit").alias("a"), F.max("unit").alias("b"))
+    return runs.select("source_no", F.concat("kind", F.lit("="), F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat("a", F.lit("-"), "b"))).alias("label"))
 
 
 def directory_index(pages: DataFrame) -> DataFrame:
@@ -176,8 +188,13 @@ def path_audit(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(reasons).alias("reason")).unionByName(clashing)
 
 
-#: Our own rules for credentials in text.
-SECRET_RULES = {"assigned-secret": r"(?i)(?:password|passwd|secret|api_?key|token)\s*[=:]\s*[^\s]{6,}", "private-key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "cloud-key": r"AKIA[0-9A-Z]{16}", "bearer": r"(?i)bearer [a-z0-9._-]{16,}"}
+#: Our own rules for credentials in text: published prefixes of tokens, and words that announce a secret.
+SECRET_RULES = {
+    "assigned-secret": r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token|credential)s?[\"']?\s*[=:]\s*[^\s]{6,}", "private-key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "cloud-key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "bearer": r"(?i)bearer [a-z0-9._-]{16,}", "code-host-token": r"\b(?:gh[pousr]_[0-9A-Za-z]{36}|github_pat_[0-9A-Za-z_]{22,}|glpat-[0-9A-Za-z_-]{20,})",
+    "chat-token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}", "web-token": r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}", "maps-key": r"\bAIza[0-9A-Za-z_-]{35}", "payment-key": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}",
+    "model-key": r"\bsk-[0-9A-Za-z_-]{20,}", "package-token": r"\b(?:npm_[0-9A-Za-z]{36}|pypi-[0-9A-Za-z_-]{16,})", "login-in-address": r"\b[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]{3,}@", "encrypted-key": r"-----BEGIN PGP PRIVATE KEY BLOCK-----",
+}
 
 
 def secret_screen(pages: DataFrame) -> DataFrame:

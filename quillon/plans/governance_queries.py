@@ -114,9 +114,9 @@ def latest_review(spark: SparkSession, d: str) -> DataFrame:
 HEALTH_DAY = "2024-03-01"
 
 
-@query(f"""WITH {LATEST}, aged AS (SELECT collection, outcome, DATE '{HEALTH_DAY}' - reviewed_at::DATE AS age, CASE kind WHEN 'quality' THEN 30 ELSE 90 END AS days FROM latest),
-ranked AS (SELECT collection, CASE WHEN age > days THEN 3 WHEN outcome = 'failed' THEN 2 WHEN age > days - least(greatest(days // 5, 3), 14) THEN 1 ELSE 0 END AS r FROM aged)
-SELECT collection, ['current', 'due-soon', 'attention-needed', 'overdue'][max(r) + 1] AS state FROM ranked GROUP BY collection""")
+@query(f"""WITH {LATEST}, aged AS (SELECT collection, outcome, greatest(floor((epoch(TIMESTAMP '{HEALTH_DAY}') - floor(epoch(reviewed_at))) / 86400), 0) AS age, CASE kind WHEN 'quality' THEN 30 ELSE 90 END AS days FROM latest),
+ranked AS (SELECT collection, CASE WHEN outcome = 'failed' THEN 3 WHEN age >= days THEN 2 WHEN days - age <= least(greatest(round(days * 0.2), 3), 14) THEN 1 ELSE 0 END AS r FROM aged)
+SELECT collection, ['current', 'due-soon', 'overdue', 'attention-needed'][max(r) + 1] AS state FROM ranked GROUP BY collection""")
 def review_health(spark: SparkSession, d: str) -> DataFrame:
     return G.review_health(G.latest_review(V.reviews(spark, d)), HEALTH_DAY)
 
@@ -168,12 +168,14 @@ def graph_links(spark: SparkSession, d: str) -> DataFrame:
 EVIDENCE = V.CITATIONS + ", " + V.SOURCES + """,
 unit_lines AS (SELECT source_no, unit_kind, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM sources),
 units AS (SELECT source_no, unit_kind AS kind, (line_no // 5 + 1)::BIGINT AS unit, count(*) FILTER (trim(line) <> '') AS n_lines FROM unit_lines GROUP BY ALL HAVING count(*) FILTER (trim(line) <> '') > 0),
-parsed AS (SELECT DISTINCT source_no, locator, try_cast(nullif(regexp_extract(locator, '^page=([0-9]+)', 1), '') AS BIGINT) AS low,
-  coalesce(try_cast(nullif(regexp_extract(locator, '^page=[0-9]+-([0-9]+)$', 1), '') AS BIGINT), try_cast(nullif(regexp_extract(locator, '^page=([0-9]+)', 1), '') AS BIGINT)) AS high FROM citations),
-hits AS (SELECT p.source_no, p.locator, low, high, count(*) FILTER (CASE WHEN low IS NOT NULL THEN unit BETWEEN low AND high ELSE locator = 'document' AND unit IS NOT NULL END) AS n_units, count(*) FILTER (unit IN (low, high)) AS ends, count(unit) AS total
+forms AS (SELECT DISTINCT source_no, locator, CASE WHEN lower(trim(locator)) = 'document' THEN 'document' WHEN lower(regexp_extract(locator, '^\\s*([A-Za-z]+)\\s*=', 1)) IN ('page', 'slide', 'section', 'heading', 'sheet', 'timestamp') THEN lower(regexp_extract(locator, '^\\s*([A-Za-z]+)\\s*=', 1)) END AS form,
+  trim(regexp_extract(locator, '=(.*)$', 1)) AS value FROM citations),
+ends_of AS (SELECT source_no, locator, form, try_cast(nullif(regexp_extract(value, '^([0-9]+)(?:\\s*-\\s*[0-9]+)?$', 1), '') AS BIGINT) AS a, try_cast(nullif(regexp_extract(value, '^[0-9]+\\s*-\\s*([0-9]+)$', 1), '') AS BIGINT) AS z FROM forms),
+parsed AS (SELECT source_no, locator, form, CASE WHEN form IN ('page', 'slide') OR z IS NULL OR z = a THEN a END AS low, CASE WHEN form IN ('page', 'slide') OR z IS NULL OR z = a THEN coalesce(z, a) END AS high FROM ends_of),
+hits AS (SELECT p.source_no, p.locator, form, low, high, count(*) FILTER (CASE WHEN form = 'document' THEN unit IS NOT NULL ELSE kind = form AND unit BETWEEN low AND high END) AS n_units, count(*) FILTER (kind = form AND unit IN (low, high)) AS ends, count(unit) AS total
   FROM parsed p LEFT JOIN units u ON u.source_no = p.source_no GROUP BY ALL),
-told AS (SELECT source_no, locator, low, high, total, CASE WHEN low IS NULL AND locator <> 'document' THEN 'unchecked' WHEN n_units > 0 AND (low IS NULL OR ends = CASE WHEN low = high THEN 1 ELSE 2 END) THEN 'resolved' ELSE 'unresolved' END AS state, n_units FROM hits),
-cited AS (SELECT DISTINCT u.source_no, u.unit FROM citations c JOIN told t USING (source_no, locator) JOIN units u ON u.source_no = c.source_no WHERE claim_status IN ('active', 'disputed') AND state = 'resolved' AND (total = 1 OR n_units < total) AND (low IS NULL OR unit BETWEEN low AND high))"""
+told AS (SELECT source_no, locator, form, low, high, total, CASE WHEN form IS NULL THEN 'unchecked' WHEN n_units > 0 AND (form = 'document' OR ends = CASE WHEN low = high THEN 1 ELSE 2 END) THEN 'resolved' ELSE 'unresolved' END AS state, n_units FROM hits),
+cited AS (SELECT DISTINCT u.source_no, u.unit FROM citations c JOIN told t USING (source_no, locator) JOIN units u ON u.source_no = c.source_no WHERE claim_status IN ('active', 'disputed') AND state = 'resolved' AND (total = 1 OR n_units < total) AND (form = 'document' OR unit BETWEEN low AND high))"""
 
 
 @query(f"WITH {EVIDENCE} SELECT * FROM units")
@@ -191,8 +193,8 @@ def source_coverage(spark: SparkSession, d: str) -> DataFrame:
     return G.source_coverage(V.citations(spark, d), G.source_units(V.sources(spark, d)))
 
 
-@query(f"""WITH {EVIDENCE}, left_over AS (SELECT source_no, unit, unit - row_number() OVER (PARTITION BY source_no ORDER BY unit) AS island FROM units u WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.source_no = u.source_no AND c.unit = u.unit))
-SELECT source_no, 'page=' || min(unit) || CASE WHEN max(unit) > min(unit) THEN '-' || max(unit) ELSE '' END AS label FROM left_over GROUP BY source_no, island""")
+@query(f"""WITH {EVIDENCE}, left_over AS (SELECT source_no, kind, unit, unit - row_number() OVER (PARTITION BY source_no ORDER BY unit) AS island FROM units u WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.source_no = u.source_no AND c.unit = u.unit))
+SELECT source_no, kind || '=' || min(unit) || CASE WHEN max(unit) > min(unit) THEN '-' || max(unit) ELSE '' END AS label FROM left_over GROUP BY source_no, kind, island""")
 def uncited_runs(spark: SparkSession, d: str) -> DataFrame:
     return G.uncited_runs(V.citations(spark, d), G.source_units(V.sources(spark, d)))
 
@@ -211,7 +213,7 @@ def directory_index(spark: SparkSession, d: str) -> DataFrame:
     return G.directory_index(V.pages(spark, d))
 
 
-SECRETS = "[" + ", ".join(f"CASE WHEN regexp_matches(line, '{rx}') THEN '{k}' END" for k, rx in G.SECRET_RULES.items()) + "]"
+SECRETS = "[" + ", ".join(f"CASE WHEN regexp_matches(line, '{rx.replace(chr(39), chr(39) * 2)}') THEN '{k}' END" for k, rx in G.SECRET_RULES.items()) + "]"
 
 
 @query(f"""WITH {V.PAGES}, ln AS (SELECT path, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line_no FROM pages)

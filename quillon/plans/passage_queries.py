@@ -213,7 +213,7 @@ def hit_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {V.CITATIONS}, r AS (SELECT claim_id, unnest([CASE WHEN NOT regexp_matches(claim_id, '^clm-[0-9a-f]{{16}}$') THEN 'bad-id' END, CASE WHEN kind NOT IN ('fact', 'decision', 'estimate', 'rule') THEN 'bad-kind' END,
 CASE WHEN status NOT IN ('active', 'disputed', 'superseded', 'unsupported') THEN 'bad-status' END, CASE WHEN trim(text) = '' THEN 'no-text' END]) AS code FROM claims)
-SELECT * FROM r WHERE code IS NOT NULL UNION ALL SELECT claim_id, 'malformed-locator' FROM citations WHERE NOT regexp_matches(locator, '^(?:document|(?:page|slide)=[0-9]+(?:-[0-9]+)?|(?:section|heading|sheet|timestamp)=.+)$')""")
+SELECT * FROM r WHERE code IS NOT NULL UNION ALL SELECT claim_id, 'no-source' FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM citations) UNION ALL SELECT claim_id, 'malformed-locator' FROM citations WHERE NOT regexp_matches(locator, '^(?:document|(?:page|slide)=[0-9]+(?:-[0-9]+)?|(?:section|heading|sheet|timestamp)=.+)$')""")
 def claim_rules(spark: SparkSession, d: str) -> DataFrame:
     from quillon.operators import governance
 

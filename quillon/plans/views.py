@@ -58,35 +58,34 @@ claims AS (SELECT 'wiki/' || source || '/' || doc_id || '.md' AS path, doc_id AS
   CASE (doc_id + n) % 8 WHEN 0 THEN 'disputed' WHEN 1 THEN 'superseded' WHEN 2 THEN 'unsupported' ELSE 'active' END AS status,
   CASE WHEN (doc_id + n) % 8 = 1 AND n > 0 THEN 'clm-' || substr(sha256(doc_id || ':' || (n - 1)), 1, 16) END AS replaces, text FROM claim_lines)"""
 
-#: Sources in the collection; a citation's number modulo this names one, and a few numbers have none.
-N_SOURCES = 97
-
-
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    """source_no, source_id, unit_kind, text: benchmark passages and every tenth document."""
+    """source_no, source_id, unit_kind, text: benchmark passages and documents."""
     bench = table(spark, d, "benchmark").select((F.col("item_id") * 2).alias("source_no"), "text")
-    docs = table(spark, d, "documents").where("doc_id % 10 = 0").select((F.col("doc_id") * 2 + 1).alias("source_no"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, d, "documents").select((F.col("doc_id") * 2 + 1).alias("source_no"), F.coalesce("text", F.lit("")).alias("text"))
     rows = bench.unionByName(docs)
     return rows.select("source_no", F.concat(F.lit("src-"), F.substring(F.sha2("text", 256), 1, 16)).alias("source_id"), F.when(F.col("source_no") % 4 < 2, "page").otherwise("section").alias("unit_kind"), "text")
 
 
 SOURCES = """
 sources AS (SELECT source_no, 'src-' || substr(sha256(text), 1, 16) AS source_id, CASE WHEN source_no % 4 < 2 THEN 'page' ELSE 'section' END AS unit_kind, text
-  FROM (SELECT item_id * 2 AS source_no, text FROM benchmark UNION ALL SELECT doc_id * 2 + 1, coalesce(text, '') FROM documents WHERE doc_id % 10 = 0))"""
+  FROM (SELECT item_id * 2 AS source_no, text FROM benchmark UNION ALL SELECT doc_id * 2 + 1, coalesce(text, '') FROM documents))"""
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    """claim_id, claim_status, source_no, locator: each claim cites one source."""
-    n = F.col("page_id") * 31 + F.col("line_no")
-    of = F.when(n % 50 == 0, F.lit(-1)).when(n % 2 == 0, n % 40 * 2).otherwise((n % 100) * 10 * 2 + 1)
-    first = (n % 3 + 1).cast("string")
-    locator = F.when(F.col("line_no") % 4 == 0, F.concat(F.lit("page="), first)).when(F.col("line_no") % 4 == 1, F.concat(F.lit("page=1-"), first)).when(F.col("line_no") % 4 == 2, F.lit("document")).otherwise(F.lit("see above"))
-    return claims(spark, d).select("claim_id", F.col("status").alias("claim_status"), of.cast("long").alias("source_no"), locator.alias("locator"))
+    """claim_id, claim_status, source_no, locator: each claim but an opinion cites one source; some cite one that is not there."""
+    n_bench, n_docs = table(spark, d, "benchmark").count(), table(spark, d, "documents").count()
+    n, k = F.col("page_id") * 31 + F.col("line_no"), F.col("line_no") % 7
+    of = F.when(n % 50 == 0, F.lit(-1)).when(n % 2 == 0, n % n_bench * 2).otherwise(n % n_docs * 2 + 1)
+    a = (n % 3 + 1).cast("string")
+    locator = F.when(k == 0, F.concat(F.lit("page="), a)).when(k == 1, F.concat(F.lit("page=2-"), a)).when(k == 2, "document").when(k == 3, "see above")
+    locator = locator.when(k == 4, F.concat(F.lit("Section = "), a)).when(k == 5, F.concat(F.lit("slide="), a)).otherwise(F.concat(F.lit("page=1-"), a))
+    return claims(spark, d).where("kind <> 'opinion'").select("claim_id", F.col("status").alias("claim_status"), of.cast("long").alias("source_no"), locator.alias("locator"))
 
 
 CITATIONS = CLAIMS + """,
-citations AS (SELECT claim_id, status AS claim_status, (CASE WHEN (page_id * 31 + line_no) % 50 = 0 THEN -1 WHEN (page_id * 31 + line_no) % 2 = 0 THEN (page_id * 31 + line_no) % 40 * 2 ELSE ((page_id * 31 + line_no) % 100) * 10 * 2 + 1 END)::BIGINT AS source_no,
-  CASE line_no % 4 WHEN 0 THEN 'page=' || ((page_id * 31 + line_no) % 3 + 1) WHEN 1 THEN 'page=1-' || ((page_id * 31 + line_no) % 3 + 1) WHEN 2 THEN 'document' ELSE 'see above' END AS locator FROM claims)"""
+citations AS (SELECT claim_id, status AS claim_status, (CASE WHEN n % 50 = 0 THEN -1 WHEN n % 2 = 0 THEN n % (SELECT count(*) FROM benchmark) * 2 ELSE n % (SELECT count(*) FROM documents) * 2 + 1 END)::BIGINT AS source_no,
+  CASE line_no % 7 WHEN 0 THEN 'page=' || a WHEN 1 THEN 'page=2-' || a WHEN 2 THEN 'document' WHEN 3 THEN 'see above' WHEN 4 THEN 'Section = ' || a WHEN 5 THEN 'slide=' || a ELSE 'page=1-' || a END AS locator
+  FROM (SELECT *, page_id * 31 + line_no AS n, (page_id * 31 + line_no) % 3 + 1 AS a FROM claims WHERE kind <> 'opinion'))"""
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
