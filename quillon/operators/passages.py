@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import tokens
@@ -11,16 +11,50 @@ from quillon.functions.text import tokens
 MIN_COUNTED = 2
 
 
-def passages(pages: DataFrame, longest: int = 3000) -> DataFrame:
-    """path, pid, line_no, kind, text: headings, list items and paragraphs; over-long lines are cut.
+#: A paragraph is cut at the first sentence end from this size on; characters of a hit that are printed, and of all hits.
+CUT_FROM, EXCERPT, BUDGET = 1_500, 400, 100_000
 
-    Neighbouring lines of one kind stay apart: a line is the unit of the derived pages.
+
+def passages(pages: DataFrame, cut_from: int = CUT_FROM) -> DataFrame:
+    """path, pid, line_no, kind, status, title, section, header, text: headings, list items, table rows and paragraphs.
+
+    Neighbouring lines of running text are one paragraph. section: the heading above; header: the first row of the table
+    a row stands in; title: that of the page. A passage is cut after the sentence with which it reaches ``cut_from``
+    characters, never inside one. All of it happens inside the row of a page, without a shuffle.
     """
-    lines = pages.select("path", "status", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    kind = F.when(F.col("line").rlike("^#{1,6} "), "heading").when(F.col("line").rlike(r"^\s*(?:[-*+]|[0-9]+[.)]) "), "item").when(F.col("line").startswith("|"), "table").otherwise("paragraph")
-    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length("line") - 1) / longest)), lambda i: F.substring(F.col("line"), (i * longest + 1).cast("int"), F.lit(longest)))
-    parts = lines.select("path", "status", F.col("line_no").cast("long").alias("line_no"), kind.alias("kind"), F.posexplode(cuts).alias("part", "text"))
-    return parts.select("path", F.concat_ws("#", "path", "line_no", "part").alias("pid"), "line_no", "kind", "status", "text")
+    kind = lambda x: F.when(F.trim(x) == "", "blank").when(x.rlike("^#{1,6} "), "heading").when(x.rlike(r"^\s*(?:[-*+]|[0-9]+[.)]) "), "item").when(x.startswith("|"), "table").otherwise("paragraph")
+    rows = pages.select("path", "status", "title", F.split("body", "\n").alias("lines")).withColumn("kinds", F.transform("lines", kind))
+    before = lambda i: F.coalesce(F.get("kinds", i - 1), F.lit("blank"))
+    own = lambda i: F.get("kinds", i)
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    rows = rows.withColumns({
+        "starts": F.filter(every, lambda i: (own(i) != "blank") & ((own(i) != "paragraph") | (before(i) != "paragraph"))),
+        "headings": F.filter(every, lambda i: own(i) == "heading"),
+        "tables": F.filter(every, lambda i: (own(i) == "table") & (before(i) != "table")),
+    })
+    last = lambda column, s: F.array_max(F.filter(column, lambda h: h < s))
+
+    def block(s: Column, j: Column) -> Column:
+        end = F.coalesce(F.get("starts", j + 1), F.size("lines"))
+        text = F.array_join(F.filter(F.slice("lines", s + 1, end - s), lambda x: F.trim(x) != ""), " ")
+        header = F.when((own(s) == "table") & (before(s) == "table"), F.get("lines", last("tables", s)))
+        return F.struct(s.cast("long").alias("line_no"), own(s).alias("kind"), F.get("lines", last("headings", s)).alias("section"), header.alias("header"), text.alias("text"))
+
+    blocks = rows.select("path", "status", "title", F.inline(F.transform("starts", block)))
+    sentences = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n")
+    full = lambda parts: F.length(F.element_at(parts, -1)) >= cut_from
+    more = lambda parts, x: F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.concat(F.element_at(parts, -1), F.lit(" "), x)))
+    cut = F.aggregate(F.slice(sentences, 2, F.size(sentences)), F.slice(sentences, 1, 1), lambda parts, x: F.when(full(parts), F.array_append(parts, x)).otherwise(more(parts, x)))
+    parts = blocks.select("path", "line_no", "kind", "status", "title", "section", "header", F.posexplode(F.when(F.length("text") < cut_from, F.array("text")).otherwise(cut)).alias("part", "text"))
+    return parts.select("path", F.concat_ws("#", "path", "line_no", "part").alias("pid"), "line_no", "kind", "status", "title", "section", "header", "text")
+
+
+def table_passages(found: DataFrame) -> DataFrame:
+    """pid, path, cells: the cells of each table row, with the header row that it carries."""
+    cells = lambda x: F.filter(F.transform(F.split(x, r"\|"), lambda c: F.trim(c)), lambda c: ~c.rlike("^[:-]*$"))
+    rows = found.where("kind = 'table'").select("pid", "path", cells(F.col("text")).alias("c"), F.when(F.col("header").isNotNull(), cells(F.col("header"))).alias("h"))
+    named = F.transform("c", lambda x, i: F.concat(F.coalesce(F.concat(F.get("h", i), F.lit(": ")), F.lit("")), x))
+    return rows.where(F.size("c") > 0).select("pid", "path", F.array_join(named, " | ").alias("cells"))
 
 
 def passage_tokens(found: DataFrame) -> DataFrame:
@@ -28,22 +62,38 @@ def passage_tokens(found: DataFrame) -> DataFrame:
     return found.select("pid", "path", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
 
 
-def passage_hits(found: DataFrame, members: DataFrame) -> DataFrame:
-    """fid, pid, path, strength: passages that hold a member of every word of a question.
+def context_tokens(found: DataFrame) -> DataFrame:
+    """pid, path, token, own: tokens of each passage, and (own false) others of its heading, table header and page title."""
+    held, around = F.array_distinct(tokens(F.col("text"))), F.array_distinct(tokens(F.concat_ws(" ", "section", "header", "title")))
+    listed = lambda x, own: F.transform(x, lambda t: F.struct(t.alias("token"), F.lit(own).alias("own")))
+    return found.select("pid", "path", held.alias("held"), around.alias("around")).select("pid", "path", F.inline(F.concat(listed(F.col("held"), True), listed(F.array_except("around", "held"), False))))
+
+
+def passage_context_join(found: DataFrame, members: DataFrame) -> DataFrame:
+    """fid, term, pid, path, own, sure: passages that hold a member of a word, or stand under a heading, table header or title that does.
+
+    sure: that member is a word form.
+    """
+    held = context_tokens(found).join(members, "token")
+    return held.groupBy("fid", "term", "pid", "path").agg(F.max("own").alias("own"), F.max(F.col("weight") >= 0.5).alias("sure"))
+
+
+def passage_hits(found: DataFrame, members: DataFrame, terms: DataFrame) -> DataFrame:
+    """fid, pid, path, strength: passages in whose context every word of a question stands, and one of them in the passage.
 
-    Relational division by counting. strength: word_form if a word form of each word is there, else heuristic.
+    Relational division by counting. ``terms``: the words asked (fid, term); a word without any member is not found, so
+    its question has no hit. strength: word_form if a word form of each word is there, else heuristic.
     """
-    need = members.select("fid", "term").distinct().groupBy("fid").agg(F.count("*").alias("need"))
-    held = passage_tokens(found).join(members, "token").groupBy("fid", "pid", "path", "term").agg(F.max((F.col("weight") >= 0.5).cast("int")).alias("sure"))
-    got = held.groupBy("fid", "pid", "path").agg(F.count("*").alias("got"), F.min("sure").alias("sure"))
-    return got.join(F.broadcast(need), "fid").where("got = need").select("fid", "pid", "path", F.when(F.col("sure") == 1, "word_form").otherwise("heuristic").alias("strength"))
+    need = terms.select("fid", "term").distinct().groupBy("fid").agg(F.count("*").alias("need"))
+    got = passage_context_join(found, members).groupBy("fid", "pid", "path").agg(F.count("*").alias("got"), F.bool_or("own").alias("own"), F.bool_and("sure").alias("sure"))
+    return got.join(need, "fid").where("got = need AND own").select("fid", "pid", "path", F.when(F.col("sure"), "word_form").otherwise("heuristic").alias("strength"))
 
 
-def token_census(found: DataFrame, members: DataFrame) -> DataFrame:
-    """term, passages, files: in how many passages and files a word stands; 0 for absent words."""
+def token_census(found: DataFrame, members: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, passages, files: in how many passages and files a word asked stands; 0 for absent words."""
     held = passage_tokens(found).join(members.select("term", "token").distinct(), "token").select("term", "pid", "path").distinct()
     n = held.groupBy("term").agg(F.count("*").alias("passages"), F.countDistinct("path").alias("files"))
-    return members.select("term").distinct().join(n, "term", "left").select("term", F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("files", F.lit(0)).alias("files"))
+    return terms.select("term").distinct().join(n, "term", "left").select("term", F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
 def counted_reformulations(kept: DataFrame) -> DataFrame:
@@ -57,22 +107,32 @@ def counted_reformulations(kept: DataFrame) -> DataFrame:
     return words.where("no > 0").select("qid", "no").join(inside, ["qid", "no"], "left").select("qid", "no", (F.coalesce("held", F.lit(0)) == 0).alias("counted"))
 
 
-def absence_check(questions: DataFrame, hits: DataFrame, counted: DataFrame, terms: DataFrame) -> DataFrame:
-    """fid, hits, complete, reasons: whether one may say that the collection holds nothing on a question."""
-    n_hits = hits.groupBy("fid").agg(F.count("*").alias("hits"))
+def absence_check(questions: DataFrame, hits: DataFrame | None, counted: DataFrame, terms: DataFrame, found: DataFrame | None = None, budget: int = BUDGET) -> DataFrame:
+    """fid, hits, needed_chars, complete, reasons: whether one may say that the collection holds nothing on a question.
+
+    ``hits`` None: the passages were not scanned, which is then the only reason, and what was not counted is null.
+    ``found``: the passages, for the characters that printing all hits needs; beyond ``budget`` the check is not complete.
+    """
+    if hits is None or found is None:
+        none = F.lit(None).cast("long")
+        return questions.select("fid", none.alias("hits"), none.alias("needed_chars"), F.lit(False).alias("complete"), F.lit("not_exhaustive").alias("reasons"))
+    size = found.select("pid", F.least(F.length("text"), F.lit(EXCERPT)).cast("long").alias("size"))
+    n_hits = hits.join(size, "pid").groupBy("fid").agg(F.count("*").alias("hits"), F.sum("size").alias("needed_chars"))
     n_counted = counted.where("counted").groupBy(F.col("qid").alias("fid")).agg(F.count("*").alias("n"))
     n_words = terms.where("dropped IS NULL").groupBy("fid").agg(F.count("*").alias("words"))
     rows = questions.select("fid").join(n_hits, "fid", "left").join(n_counted, "fid", "left").join(n_words, "fid", "left")
-    reasons = F.array_compact(F.array(F.when(F.coalesce("n", F.lit(0)) < MIN_COUNTED, "too_few_reformulations"), F.when(F.coalesce("words", F.lit(0)) == 0, "no_content_words")))
-    return rows.select("fid", F.coalesce("hits", F.lit(0)).alias("hits"), (F.size(reasons) == 0).alias("complete"), F.array_join(reasons, " ").alias("reasons"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    reasons = F.array_compact(F.array(
+        F.when(zero("n") < MIN_COUNTED, "too_few_reformulations"), F.when(zero("words") == 0, "no_content_words"), F.when(zero("needed_chars") > budget, "budget_exhausted")))
+    return rows.select("fid", zero("hits").alias("hits"), zero("needed_chars").alias("needed_chars"), (F.size(reasons) == 0).alias("complete"), F.array_join(reasons, " ").alias("reasons"))
 
 
-def coverage_account(members: DataFrame, found: DataFrame) -> DataFrame:
-    """fid, term, files, form_files: files per word by any member, and by other forms only."""
+def coverage_account(members: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """fid, term, files, form_files: files per word asked by any member, and by other forms only; 0 for absent words."""
     held = found.select("path", "token").distinct().join(members, "token")
     by_file = held.groupBy("fid", "term", "path").agg(F.max((F.col("term") == F.col("token")).cast("int")).alias("literal"))
     n = by_file.groupBy("fid", "term").agg(F.count("*").alias("files"), F.count_if(F.col("literal") == 0).alias("form_files"))
-    return members.select("fid", "term").distinct().join(n, ["fid", "term"], "left").select("fid", "term", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("form_files", F.lit(0)).alias("form_files"))
+    return terms.select("fid", "term").distinct().join(n, ["fid", "term"], "left").select("fid", "term", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("form_files", F.lit(0)).alias("form_files"))
 
 
 def match_rules(matches: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
@@ -85,7 +145,7 @@ def match_rules(matches: DataFrame, members: DataFrame, found: DataFrame) -> Dat
 def relevant_claims(matches: DataFrame, claims: DataFrame, terms: DataFrame, most: int = 8) -> DataFrame:
     """fid, path, claim_id, place: claims of a matching page that hold a word, by how many, then id."""
     words = terms.where("dropped IS NULL").groupBy("fid").agg(F.collect_set("term").alias("terms"))
-    rows = matches.select("fid", "path").join(F.broadcast(words), "fid").join(claims.select("path", "claim_id", "text"), "path")
+    rows = matches.select("fid", "path").join(words, "fid").join(claims.select("path", "claim_id", "text"), "path")
     hits = rows.select("fid", "path", "claim_id", F.size(F.array_intersect(tokens(F.col("text")), "terms")).alias("hits")).where("hits > 0")
     place = F.row_number().over(Window.partitionBy("fid", "path").orderBy(F.desc("hits"), "claim_id"))
     return hits.withColumn("place", place.cast("long")).where(F.col("place") <= most).select("fid", "path", "claim_id", "place")
@@ -94,7 +154,7 @@ def relevant_claims(matches: DataFrame, claims: DataFrame, terms: DataFrame, mos
 def excerpt(hits: DataFrame, found: DataFrame, terms: DataFrame, before: int = 100, longest: int = 400) -> DataFrame:
     """fid, pid, excerpt: up to ``longest`` characters from at most ``before`` ahead of the first word that matches."""
     words = terms.where("dropped IS NULL").groupBy("fid").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("any"))
-    rows = hits.select("fid", "pid").join(F.broadcast(words), "fid").join(found.select("pid", "text"), "pid")
+    rows = hits.select("fid", "pid").join(words, "fid").join(found.select("pid", "text"), "pid")
     ahead = F.expr("length(regexp_extract(lower(text), concat('^(.*?)(?:', any, ')'), 1))")
     start = F.greatest(ahead - before, F.lit(0)) + 1
     return rows.select("fid", "pid", F.substring("text", start, F.lit(longest)).alias("excerpt"))

@@ -33,9 +33,9 @@ def postings(fields: DataFrame) -> DataFrame:
 
 
 def build_vocabulary(fields: DataFrame) -> DataFrame:
-    """token, files: files per token, over all fields."""
-    listed = fields.groupBy("path").agg(F.array_distinct(F.flatten(F.collect_list(tokens(F.col("text"))))).alias("t"))
-    return listed.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("files"))
+    """token, files: files per token, over all fields. Tokens are made distinct within the row before any shuffle."""
+    listed = fields.select("path", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    return listed.distinct().groupBy("token").agg(F.count("*").alias("files"))
 
 
 def corpus_stats(pages: DataFrame, fields: DataFrame) -> DataFrame:
@@ -83,8 +83,11 @@ def phrase_match(questions: DataFrame, pages: DataFrame, scores: DataFrame) -> D
     """fid, path, phrase: whether all words of the question stand in a row in the body."""
     spaced = lambda x: F.concat(F.lit(" "), F.array_join(tokens(x), " "), F.lit(" "))
     asked = questions.select("fid", spaced(F.col("text")).alias("asked"))
-    body = pages.select("path", spaced(F.col("body")).alias("words"))
-    return scores.select("fid", "path").join(F.broadcast(asked), "fid").join(body, "path").select("fid", "path", (F.col("words").contains(F.col("asked")) & (F.length("asked") > 2)).alias("phrase"))
+    # a page is joined once, with the questions that it may answer, and not once for each of them
+    wanted = scores.select("fid", "path").join(asked, "fid").groupBy("path").agg(F.collect_list(F.struct("fid", "asked")).alias("wanted"))
+    body = wanted.join(pages.select("path", "body"), "path").select("path", "wanted", spaced(F.col("body")).alias("words"))
+    told = F.transform("wanted", lambda x: F.struct(x["fid"].alias("fid"), (F.col("words").contains(x["asked"]) & (F.length(x["asked"]) > 2)).alias("phrase")))
+    return body.select("path", F.inline(told)).select("fid", "path", "phrase")
 
 
 def score_signals(scores: DataFrame, pages: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import fold_sql, tokens_sql
+from quillon.functions.text import fold_sql, tokens, tokens_sql
 from quillon.operators import lexicon as L
 from quillon.operators import markup as M
 from quillon.operators import passages as P
 from quillon.operators import search as S
 from quillon.plans import views as V
 from quillon.plans.governance_queries import FAMILY, VOCABULARY
-from quillon.plans.search_queries import SIGNALS, query
+from quillon.plans.search_queries import SIGNALS, TERMS, TOKENS, query
 
 PASSAGES = """
-cut_lines AS (SELECT path, status, line, i - 1 AS line_no FROM (SELECT path, status, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM pages) WHERE trim(line) <> ''),
-passages AS (SELECT path, path || '#' || line_no || '#' || part AS pid, line_no, kind, status, substr(line, (part * 3000 + 1)::INT, 3000) AS text FROM (SELECT *, unnest(generate_series(0, (length(line) - 1) // 3000)) AS part,
-  CASE WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(line, '^\\s*(?:[-*+]|[0-9]+[.)]) ') THEN 'item' WHEN starts_with(line, '|') THEN 'table' ELSE 'paragraph' END AS kind FROM cut_lines))"""
+raw_lines AS (SELECT path, status, title, line, (i - 1)::BIGINT AS line_no, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(line, '^\\s*(?:[-*+]|[0-9]+[.)]) ') THEN 'item' WHEN starts_with(line, '|') THEN 'table' ELSE 'paragraph' END AS kind
+  FROM (SELECT path, status, title, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM pages)),
+beside AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY path ORDER BY line_no), 'blank') AS before FROM raw_lines),
+line_places AS (SELECT *, max(CASE WHEN kind = 'heading' THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above,
+  max(CASE WHEN kind = 'table' AND before <> 'table' THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS first_row,
+  sum(CASE WHEN kind <> 'blank' AND (kind <> 'paragraph' OR before <> 'paragraph') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS block FROM beside),
+blocks AS (SELECT path, status, title, min(line_no) AS line_no, arg_min(kind, line_no) AS kind, arg_min(above, line_no) AS above, arg_min(CASE WHEN kind = 'table' AND before = 'table' THEN first_row END, line_no) AS first_row, string_agg(line, ' ' ORDER BY line_no) AS text FROM line_places WHERE kind <> 'blank' GROUP BY path, status, title, block),
+in_section AS (SELECT b.*, a.line AS section, h.line AS header FROM blocks b LEFT JOIN raw_lines a ON a.path = b.path AND a.line_no = b.above LEFT JOIN raw_lines h ON h.path = b.path AND h.line_no = b.first_row),
+cut_texts AS (SELECT *, CASE WHEN length(text) < 1500 THEN [text] ELSE list_reduce(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: [x]),
+  lambda acc, x: CASE WHEN length(acc[-1]) >= 1500 THEN list_concat(acc, x) ELSE list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) END) END AS cuts FROM in_section),
+passages AS (SELECT path, path || '#' || line_no || '#' || (part - 1) AS pid, line_no, kind, status, title, section, header, text FROM (SELECT path, line_no, kind, status, title, section, header, unnest(cuts) AS text, generate_subscripts(cuts, 1) AS part FROM cut_texts))"""
 PTOKENS = f"""
 ptokens AS (SELECT pid, path, unnest(list_distinct({tokens_sql("text")})) AS token FROM passages)"""
 MEMBERS = VOCABULARY + ", " + FAMILY + ", " + PASSAGES + ", " + PTOKENS + """,
@@ -25,12 +33,12 @@ members AS (SELECT t.fid, t.term, f.token, f.b.rule AS rule, f.b.weight AS weigh
 
 
 def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """pages, terms, members (fid, term, token, rule, weight), passages."""
+    """pages, terms asked, members (fid, term, token, rule, weight), passages."""
     pages = V.pages(spark, d)
     terms = S.query_term_plan(V.questions(spark, d))
     asked = terms.where("dropped IS NULL")
     family = L.family_join(asked, S.build_vocabulary(S.split_fields(pages)))
-    return pages, terms, asked.select("fid", "term").join(family, "term"), P.passages(pages)
+    return pages, asked, asked.select("fid", "term").join(family, "term"), P.passages(pages)
 
 
 @query(f"WITH {V.PAGES}, {PASSAGES} SELECT * FROM passages")
@@ -43,22 +51,57 @@ def passage_tokens(spark: SparkSession, d: str) -> DataFrame:
     return P.passage_tokens(P.passages(V.pages(spark, d)))
 
 
-HITS = MEMBERS + """,
-need AS (SELECT fid, count(DISTINCT term) AS need FROM members GROUP BY fid),
-held AS (SELECT fid, pid, path, term, max(CASE WHEN weight >= 0.5 THEN 1 ELSE 0 END) AS sure FROM ptokens JOIN members USING (token) GROUP BY ALL),
-hits AS (SELECT fid, pid, path, CASE WHEN min(sure) = 1 THEN 'word_form' ELSE 'heuristic' END AS strength FROM held JOIN need USING (fid) GROUP BY fid, pid, path, need HAVING count(*) = need)"""
+HITS = MEMBERS + f""",
+need AS (SELECT fid, count(DISTINCT term) AS need FROM terms WHERE dropped IS NULL GROUP BY fid),
+around AS (SELECT pid, path, unnest(list_distinct({tokens_sql("concat_ws(' ', section, header, title)")})) AS token FROM passages),
+ctokens AS (SELECT pid, path, token, bool_or(own) AS own FROM (SELECT pid, path, token, true AS own FROM ptokens UNION ALL SELECT pid, path, token, false FROM around) GROUP BY ALL),
+in_context AS (SELECT fid, pid, path, term, bool_or(own) AS own, bool_or(weight >= 0.5) AS sure FROM ctokens JOIN members USING (token) GROUP BY fid, pid, path, term),
+hits AS (SELECT fid, pid, path, CASE WHEN bool_and(sure) THEN 'word_form' ELSE 'heuristic' END AS strength FROM in_context JOIN need USING (fid) GROUP BY fid, pid, path, need HAVING count(*) = need AND bool_or(own))"""
+
+
+@query(f"WITH {HITS} SELECT fid, term, pid, path, own, sure FROM in_context")
+def passage_context_join(spark: SparkSession, d: str) -> DataFrame:
+    _, _, members, found = _members(spark, d)
+    return P.passage_context_join(found, members)
 
 
 @query(f"WITH {HITS} SELECT * FROM hits")
 def passage_hits(spark: SparkSession, d: str) -> DataFrame:
-    _, _, members, found = _members(spark, d)
-    return P.passage_hits(found, members)
+    _, terms, members, found = _members(spark, d)
+    return P.passage_hits(found, members, terms)
 
 
-@query(f"WITH {MEMBERS} SELECT term, count(DISTINCT pid) AS passages, count(DISTINCT path) AS files FROM (SELECT DISTINCT term, token FROM members) m LEFT JOIN ptokens USING (token) GROUP BY term")
+@query(f"""WITH {MEMBERS} SELECT term, coalesce(passages, 0) AS passages, coalesce(files, 0) AS files FROM asked LEFT JOIN
+(SELECT term, count(DISTINCT pid) AS passages, count(DISTINCT path) AS files FROM (SELECT DISTINCT term, token FROM members) m JOIN ptokens USING (token) GROUP BY term) USING (term)""")
 def token_census(spark: SparkSession, d: str) -> DataFrame:
-    _, _, members, found = _members(spark, d)
-    return P.token_census(found, members)
+    _, terms, members, found = _members(spark, d)
+    return P.token_census(found, members, terms)
+
+
+CELLS = "list_filter(list_transform(string_split({}, '|'), lambda c: trim(c)), lambda c: NOT regexp_matches(c, '^[:-]*$'))"
+
+
+def table_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose body is a table: a row of the first words of each line."""
+    cells = lambda x: F.concat(F.lit("| "), F.array_join(F.slice(tokens(x), 1, 4), " | "), F.lit(" |"))
+    return pages.withColumn("body", F.concat(F.lit("# T\n| one | two |\n| :-- | --- |\n"), F.array_join(F.transform(F.split("body", "\n"), cells), "\n")))
+
+
+TABLE_PAGES = V.PAGES.replace("pages AS (", "plain_pages AS (") + f""",
+pages AS (SELECT * REPLACE ('# T' || chr(10) || '| one | two |' || chr(10) || '| :-- | --- |' || chr(10) || array_to_string(list_transform(string_split(body, chr(10)), lambda x: '| ' || array_to_string(({tokens_sql("x")})[1:4], ' | ') || ' |'), chr(10)) AS body) FROM plain_pages)"""
+
+
+@query(f"""WITH {TABLE_PAGES}, {PASSAGES}, r AS (SELECT pid, path, {CELLS.format("text")} AS c, CASE WHEN header IS NOT NULL THEN {CELLS.format("header")} END AS h FROM passages WHERE kind = 'table')
+SELECT pid, path, array_to_string(list_transform(c, lambda x, i: coalesce(h[i] || ': ', '') || x), ' | ') AS cells FROM r WHERE len(c) > 0""")
+def table_passages(spark: SparkSession, d: str) -> DataFrame:
+    return P.table_passages(P.passages(table_pages(V.pages(spark, d))))
+
+
+@query(f"""WITH {HITS}, w AS (SELECT fid, array_to_string(list_sort(list(DISTINCT term)), '|') AS words FROM terms WHERE dropped IS NULL GROUP BY fid)
+SELECT fid, pid, substr(text, greatest(length(regexp_extract(lower(text), '^(.*?)(?:' || words || ')', 1)) - 100, 0) + 1, 400) AS excerpt FROM hits JOIN w USING (fid) JOIN (SELECT pid, text FROM passages) USING (pid)""")
+def excerpt(spark: SparkSession, d: str) -> DataFrame:
+    _, terms, members, found = _members(spark, d)
+    return P.excerpt(P.passage_hits(found, members, terms), found, terms)
 
 
 COUNTED = V.FORMULATIONS + f""",
@@ -77,21 +120,22 @@ def counted_reformulations(spark: SparkSession, d: str) -> DataFrame:
     return P.counted_reformulations(_kept(spark, d))
 
 
-@query(f"""WITH {HITS}, {COUNTED}, r AS (SELECT q.fid, coalesce(h.n, 0) AS hits, concat_ws(' ', CASE WHEN coalesce(c.n, 0) < 2 THEN 'too_few_reformulations' END, CASE WHEN coalesce(w.n, 0) = 0 THEN 'no_content_words' END) AS reasons
-FROM questions q LEFT JOIN (SELECT fid, count(*) AS n FROM hits GROUP BY fid) h USING (fid) LEFT JOIN (SELECT qid AS fid, count(*) AS n FROM counted WHERE counted GROUP BY qid) c USING (fid)
-LEFT JOIN (SELECT fid, count(*) AS n FROM terms WHERE dropped IS NULL GROUP BY fid) w USING (fid)) SELECT fid, hits, reasons = '' AS complete, reasons FROM r""")
+@query(f"""WITH {HITS}, {COUNTED}, c AS (SELECT qid AS fid, count(*) AS n FROM counted WHERE counted GROUP BY qid), w AS (SELECT fid, count(*) AS n FROM terms WHERE dropped IS NULL GROUP BY fid),
+h AS (SELECT fid, count(*) AS n, sum(least(length(text), 400))::BIGINT AS needed FROM hits JOIN (SELECT pid, text FROM passages) USING (pid) GROUP BY fid),
+r AS (SELECT q.fid, coalesce(h.n, 0) AS hits, coalesce(needed, 0) AS needed_chars, concat_ws(' ', CASE WHEN coalesce(c.n, 0) < 2 THEN 'too_few_reformulations' END, CASE WHEN coalesce(w.n, 0) = 0 THEN 'no_content_words' END, CASE WHEN coalesce(needed, 0) > 2000 THEN 'budget_exhausted' END) AS reasons
+FROM questions q LEFT JOIN h USING (fid) LEFT JOIN c USING (fid) LEFT JOIN w USING (fid)) SELECT fid, hits, needed_chars, reasons = '' AS complete, reasons FROM r""")
 def absence_check(spark: SparkSession, d: str) -> DataFrame:
     _, terms, members, found = _members(spark, d)
-    return P.absence_check(V.questions(spark, d), P.passage_hits(found, members), P.counted_reformulations(_kept(spark, d)), terms)
+    return P.absence_check(V.questions(spark, d), P.passage_hits(found, members, terms), P.counted_reformulations(_kept(spark, d)), terms, found, budget=2000)
 
 
 FILES = MEMBERS + ", held_files AS (SELECT fid, term, path, max(CASE WHEN m.token = m.term THEN 1 ELSE 0 END) AS literal FROM (SELECT DISTINCT path, token FROM postings) p JOIN members m ON m.token = p.token GROUP BY ALL)"
 
 
-@query(f"WITH {FILES} SELECT m.fid, m.term, count(h.path) AS files, count(h.path) FILTER (literal = 0) AS form_files FROM (SELECT DISTINCT fid, term FROM members) m LEFT JOIN held_files h ON h.fid = m.fid AND h.term = m.term GROUP BY ALL")
+@query(f"WITH {FILES} SELECT m.fid, m.term, count(h.path) AS files, count(h.path) FILTER (literal = 0) AS form_files FROM (SELECT DISTINCT fid, term FROM terms WHERE dropped IS NULL) m LEFT JOIN held_files h ON h.fid = m.fid AND h.term = m.term GROUP BY ALL")
 def coverage_account(spark: SparkSession, d: str) -> DataFrame:
-    pages, _, members, _ = _members(spark, d)
-    return P.coverage_account(members, S.postings(S.split_fields(pages)))
+    pages, terms, members, _ = _members(spark, d)
+    return P.coverage_account(members, S.postings(S.split_fields(pages)), terms)
 
 
 @query(f"""WITH {MEMBERS}, got AS (SELECT DISTINCT fid, path, term || ':' || m.token || ':' || rule AS r FROM (SELECT DISTINCT path, token FROM postings) p JOIN members m ON m.token = p.token)
@@ -185,8 +229,6 @@ CONCEPTS = f"concepts AS (SELECT 'c' || (doc_id % 25) AS concept_id, {tokens_sql
 
 @query(f"WITH {CONCEPTS} SELECT {fold_sql('term')} AS key, count(DISTINCT concept_id) AS n FROM concepts WHERE term IS NOT NULL GROUP BY 1 HAVING count(DISTINCT concept_id) > 1")
 def ambiguous_terms(spark: SparkSession, d: str) -> DataFrame:
-    from quillon.functions.text import tokens
-
     docs = V.table(spark, d, "documents")
     return M.ambiguous_terms(docs.select(F.concat(F.lit("c"), F.col("doc_id") % 25).alias("concept_id"), F.get(tokens(F.col("text")), F.lit(0)).alias("term")))
 
@@ -201,14 +243,20 @@ def index_listing(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {HITS} SELECT fid, pid, term, token, rule FROM ptokens JOIN members USING (token) JOIN (SELECT fid, pid FROM hits) h USING (fid, pid)
 QUALIFY row_number() OVER (PARTITION BY fid, pid, term ORDER BY weight DESC, token) = 1""")
 def hit_evidence(spark: SparkSession, d: str) -> DataFrame:
-    _, _, members, found = _members(spark, d)
-    return P.hit_evidence(P.passage_hits(found, members), found, members)
+    _, terms, members, found = _members(spark, d)
+    return P.hit_evidence(P.passage_hits(found, members, terms), found, members)
 
 
 @query(f"WITH {HITS} SELECT fid, pid, row_number() OVER (PARTITION BY fid ORDER BY strength <> 'word_form', h.path, line_no, pid) AS place FROM hits h JOIN (SELECT pid, line_no FROM passages) USING (pid)")
 def hit_order(spark: SparkSession, d: str) -> DataFrame:
-    _, _, members, found = _members(spark, d)
-    return P.hit_order(P.passage_hits(found, members), found)
+    _, terms, members, found = _members(spark, d)
+    return P.hit_order(P.passage_hits(found, members, terms), found)
+
+
+@query(f"""WITH {SIGNALS}{HITS.removeprefix(TOKENS + ", " + TERMS)} SELECT h.fid, h.pid, r.rank AS shown_in FROM hits h LEFT JOIN (SELECT fid, path, rank FROM ranked WHERE rank <= 12) r ON r.fid = h.fid AND r.path = h.path""")
+def already_printed(spark: SparkSession, d: str) -> DataFrame:
+    pages, terms, members, found = _members(spark, d)
+    return P.already_printed(P.passage_hits(found, members, terms), S.ranking(pages, V.questions(spark, d)).where("rank <= 12"))
 
 
 @query(f"""WITH {V.CITATIONS}, r AS (SELECT claim_id, unnest([CASE WHEN NOT regexp_matches(claim_id, '^clm-[0-9a-f]{{16}}$') THEN 'bad-id' END, CASE WHEN kind NOT IN ('fact', 'decision', 'estimate', 'rule') THEN 'bad-kind' END,

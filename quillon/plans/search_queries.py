@@ -142,14 +142,14 @@ def dedupe_formulations(spark: SparkSession, d: str) -> DataFrame:
 
 def _formulation_ranks(spark: SparkSession, d: str) -> DataFrame:
     kept = S.dedupe_formulations(V.formulations(spark, d)).where("reason IS NULL")
-    ranked = S.ranking(V.pages(spark, d), kept.select((F.col("qid") * 10 + F.col("no")).alias("fid"), "text"))
-    return ranked.select(F.floor(F.col("fid") / 10).alias("qid"), (F.col("fid") % 10).alias("no"), "path", F.col("rank").cast("long").alias("rank"))
+    ranked = S.ranking(V.pages(spark, d), kept.select(F.struct("qid", "no").alias("fid"), "text"))
+    return ranked.select("fid.qid", "fid.no", "path", F.col("rank").cast("long").alias("rank"))
 
 
 FORM_RANKS = SIGNALS.replace(V.QUESTIONS, V.FORMULATIONS + f""",
 keyed AS (SELECT qid, no, text, array_to_string({tokens_sql("text")}, ' ') AS key FROM formulations),
-questions AS (SELECT qid * 10 + no AS fid, text FROM (SELECT *, min(no) OVER (PARTITION BY qid, key) AS f FROM keyed) WHERE key <> '' AND f = no AND length(text) <= 200)""") + """,
-by_form AS (SELECT fid // 10 AS qid, fid % 10 AS no, path, rank FROM ranked)"""
+questions AS (SELECT {{'qid': qid, 'no': no}} AS fid, text FROM (SELECT *, min(no) OVER (PARTITION BY qid, key) AS f FROM keyed) WHERE key <> '' AND f = no AND length(text) <= 200)""") + """,
+by_form AS (SELECT fid.qid AS qid, fid.no AS no, path, rank FROM ranked)"""
 
 
 @query(f"""WITH {FORM_RANKS}, best AS (SELECT qid, path, min(struct_pack(rank := rank, no := no)) AS b FROM by_form WHERE rank <= 12 AND no > 0 GROUP BY ALL),

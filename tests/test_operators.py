@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import functions as F
 
 from quillon.functions.text import stem, tokens
-from quillon.operators import change, governance, lexicon, search
+from quillon.operators import change, governance, lexicon, passages, search
 
 
 def test_tokens_fold_marks_and_keep_hyphens(spark):
@@ -71,6 +71,42 @@ def test_review_health_bounds(spark):
     assert got == {1: "overdue", 2: "due-soon", 3: "attention-needed", 4: "current", 5: "due-soon", 6: "current"}
 
 
+def page(spark, *bodies):
+    return spark.createDataFrame([(f"p{i}", "active", "Title" if i else "Sun", b) for i, b in enumerate(bodies)], "path string, status string, title string, body string")
+
+
+def test_passages_know_their_section_and_table(spark):
+    body = "one line\nand more\n\n# Head\n- item\ntext\n| a | b |\n|---|---|\n| 1 | 2 |\n"
+    got = [(r.line_no, r.kind, r.section, r.header, r.text) for r in passages.passages(page(spark, body)).orderBy("line_no").collect()]
+    assert got == [(0, "paragraph", None, None, "one line and more"), (3, "heading", None, None, "# Head"), (4, "item", "# Head", None, "- item"), (5, "paragraph", "# Head", None, "text"),
+                   (6, "table", "# Head", None, "| a | b |"), (7, "table", "# Head", "| a | b |", "|---|---|"), (8, "table", "# Head", "| a | b |", "| 1 | 2 |")]
+    cells = {r.cells for r in passages.table_passages(passages.passages(page(spark, body))).collect()}
+    assert cells == {"a | b", "a: 1 | b: 2"}
+
+
+def test_passages_are_cut_after_sentences(spark):
+    body = " ".join(f"Sentence number {i} ends here." for i in range(200)) + " " + "endless " * 500
+    got = [r.text for r in passages.passages(page(spark, body)).orderBy(F.length("pid"), "pid").collect()]
+    assert len(got) > 3 and all(len(x) >= 1500 and x.endswith(".") for x in got[:-1]) and " ".join(got).split() == body.split()
+    assert passages.passages(page(spark, "", "  \n ")).count() == 0
+
+
+def test_a_word_that_stands_nowhere_allows_no_hit(spark):
+    found = passages.passages(page(spark, "solar panel\n\nsolar roof", "wind mill\n\npanel"))
+    terms = spark.createDataFrame([(1, "solar"), (1, "zzzabsent"), (2, "solar"), (2, "roof"), (3, "panel"), (3, "sun")], "fid long, term string").withColumn("dropped", F.lit(None).cast("string"))
+    members = spark.createDataFrame([(1, "solar", "solar", 1.0), (2, "solar", "solar", 1.0), (2, "roof", "roof", 0.3), (3, "panel", "panel", 1.0), (3, "sun", "sun", 1.0)], "fid long, term string, token string, weight double")
+    hits = passages.passage_hits(found, members, terms)
+    assert {(r.fid, r.pid, r.strength) for r in hits.collect()} == {(2, "p0#2#0", "heuristic"), (3, "p0#0#0", "word_form")}
+    assert {tuple(r) for r in passages.token_census(found, members, terms).collect()} == {("solar", 2, 1), ("zzzabsent", 0, 0), ("roof", 1, 1), ("panel", 2, 2), ("sun", 0, 0)}
+    postings = passages.passage_tokens(found)
+    assert {tuple(r) for r in passages.coverage_account(members, postings, terms).collect() if r.term in ("zzzabsent", "roof")} == {(1, "zzzabsent", 0, 0), (2, "roof", 1, 0)}
+    questions = spark.createDataFrame([(1,), (2,), (3,), (4,)], "fid long")
+    counted = spark.createDataFrame([(i, no, True) for i in (1, 2, 3) for no in (1, 2)], "qid long, no long, counted boolean")
+    told = {r.fid: (r.hits, r.complete, r.reasons) for r in passages.absence_check(questions, hits, counted, terms, found, budget=10).collect()}
+    assert told == {1: (0, True, ""), 2: (1, True, ""), 3: (1, False, "budget_exhausted"), 4: (0, False, "too_few_reformulations no_content_words")}
+    assert {(r.hits, r.complete, r.reasons) for r in passages.absence_check(questions, None, counted, terms).collect()} == {(None, False, "not_exhaustive")}
+
+
 def test_path_audit(spark):
     files = spark.createDataFrame([("a/CON.md",), ("a/x.md",), ("a/X.md",), ("b/y .md ",), ("b/n(1).md",)], ["path"])
     assert {tuple(r) for r in governance.path_audit(files).collect()} == {("a/CON.md", "reserved-name"), ("a/x.md", "case-clash"), ("a/X.md", "case-clash"), ("b/y .md ", "trailing-character"), ("b/n(1).md", "conflict-copy")}
