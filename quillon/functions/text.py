@@ -30,16 +30,18 @@ def tokens_sql(text: str) -> str:
     return f"regexp_extract_all({normalize_sql(text)}, '{TOKEN}')"
 
 
-def stem(token: Column) -> Column:
-    """A token without at most one German or English inflection ending, if four letters are left."""
-    return F.coalesce(F.nullif(F.regexp_extract(token, STEM, 1), F.lit("")), token)
+#: Endings of German nouns and adjectives and of English plurals: what is left, and what takes their place. The first that fits counts.
+STEMS = ((r"^(.{2,}[^e])ies$", "y"), (r"^(.{4,}?)(?:ens|en|es|e)$", ""), (r"^(.{3,}e[lr])n$", ""), (r"^(.{3,}[^aiosu])s$", ""))
 
 
-STEM = r"^(.{4,}?)(?:ingen|ungen|est|ern|ing|en|er|es|em|ed|ly|e|n|s)$"
+def stem(token: Column) -> Column:
+    """A token without at most one inflection ending, if about four letters are left; derived words keep their ending."""
+    left = [F.nullif(F.regexp_extract(token, ending, 1), F.lit("")) for ending, _ in STEMS]
+    return F.coalesce(*(F.concat(x, F.lit(new)) for x, (_, new) in zip(left, STEMS, strict=True)), token)
 
 
 def stem_sql(token: str) -> str:
-    return f"coalesce(nullif(regexp_extract({token}, '{STEM}', 1), ''), {token})"
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({token}, '{ending}', 1), '') || '{new}'" for ending, new in STEMS) + f", {token})"
 
 
 def fold_key(token: Column) -> Column:

@@ -9,17 +9,33 @@ from quillon.functions.text import fold_key, stem
 from quillon.operators.search import FUNCTION_WORDS
 
 #: Weights of the rules by which a token counts for a word.
-RULE_WEIGHTS = {"exact": 1.0, "fold": 0.9, "stem": 0.6, "verb": 0.5, "irregular": 0.45, "compound_head": 0.45, "compound_modifier": 0.35, "typo": 0.3}
+RULE_WEIGHTS = {"exact": 1.0, "fold": 0.9, "stem": 0.6, "verb": 0.5, "irregular": 0.45, "derived": 0.45, "compound_link": 0.45, "compound_head": 0.45, "compound_modifier": 0.35, "query_part": 0.35, "typo": 0.3}
 MIN_TYPO = 8
 MIN_PART = 4
 MAX_COMPOUND = 64
 
-#: Forms of one verb or degree; our own short list, to be replaced by a table of the caller's.
+#: Forms of one verb or degree, without marks on letters; our own list, to be replaced by a table of the caller's.
 IRREGULAR = {
-    "be": "am is are was were been being", "go": "goes went gone", "see": "saw seen", "take": "took taken", "give": "gave given", "write": "wrote written",
-    "good": "better best", "bad": "worse worst", "man": "men", "child": "children", "foot": "feet",
-    "sein": "bin bist ist sind war waren gewesen", "gehen": "ging gegangen", "geben": "gab gegeben", "gut": "besser beste", "hoch": "hoeher hoechste",
+    "be": "am is are was were been being", "begin": "began begun", "break": "broke broken", "bring": "brought", "build": "built", "buy": "bought", "catch": "caught", "choose": "chose chosen", "come": "came", "cost": "costing",
+    "deal": "dealt", "do": "did done does", "draw": "drew drawn", "drive": "drove driven", "eat": "ate eaten", "fall": "fell fallen", "feel": "felt", "find": "found", "fly": "flew flown", "forget": "forgot forgotten",
+    "freeze": "froze frozen", "get": "got gotten", "give": "gave given", "go": "goes went gone", "grow": "grew grown", "have": "has had having", "hear": "heard", "hold": "held", "keep": "kept", "know": "knew known",
+    "lead": "led", "leave": "left", "lend": "lent", "lose": "lost", "make": "made", "mean": "meant", "meet": "met", "pay": "paid", "rise": "rose risen", "run": "ran", "say": "said", "see": "saw seen", "sell": "sold",
+    "send": "sent", "show": "showed shown", "speak": "spoke spoken", "spend": "spent", "stand": "stood", "take": "took taken", "teach": "taught", "tell": "told", "think": "thought", "understand": "understood", "win": "won", "write": "wrote written",
+    "good": "better best", "bad": "worse worst", "far": "further furthest farther farthest", "little": "less least", "man": "men", "woman": "women", "child": "children", "foot": "feet", "person": "people", "tooth": "teeth", "mouse": "mice",
+    "sein": "bin bist ist sind war waren gewesen", "haben": "hat hatte hatten gehabt", "werden": "wird wurde wurden geworden", "gehen": "ging gingen gegangen", "geben": "gibt gab gaben gegeben", "nehmen": "nimmt nahm nahmen genommen",
+    "bleiben": "blieb geblieben", "bringen": "brachte gebracht", "denken": "dachte gedacht", "finden": "fand fanden gefunden", "gelten": "gilt galt gegolten", "halten": "halt hielt gehalten", "kommen": "kam kamen gekommen", "lassen": "lasst liess gelassen",
+    "laufen": "lauft lief gelaufen", "lesen": "liest las gelesen", "liegen": "lag lagen gelegen", "messen": "misst mass gemessen", "schliessen": "schloss geschlossen", "schreiben": "schrieb geschrieben", "sehen": "sieht sah sahen gesehen", "sprechen": "spricht sprach gesprochen",
+    "stehen": "stand standen gestanden", "steigen": "stieg gestiegen", "tragen": "tragt trug getragen", "treffen": "trifft traf getroffen", "verlieren": "verlor verloren", "ziehen": "zog zogen gezogen", "gut": "besser beste", "hoch": "hoher hochste", "nah": "naher nachste", "viel": "mehr meiste",
 }
+#: Nouns made from a verb of that list.
+NOUNS_OF = {
+    "begin": "beginning", "build": "building", "buy": "buyer", "choose": "choice", "cost": "costs", "deal": "dealer", "drive": "driver", "fly": "flight", "give": "gift", "grow": "growth", "know": "knowledge", "lead": "leader", "lose": "loss",
+    "mean": "meaning", "meet": "meeting", "pay": "payment", "sell": "sale seller", "speak": "speech speaker", "teach": "teacher", "think": "thought", "win": "winner", "write": "writing writer",
+    "finden": "fund", "geben": "gabe", "gehen": "gang", "halten": "halt haltung", "laufen": "lauf", "liegen": "lage", "messen": "messung mass", "nehmen": "nahme", "schliessen": "schluss", "schreiben": "schrift schreiber", "sehen": "sicht", "sprechen": "sprache",
+    "stehen": "stand", "steigen": "steigung anstieg", "tragen": "trager", "treffen": "treffer", "verlieren": "verlust", "ziehen": "zug",
+}
+#: Letters that may join the parts of a compound.
+LINKS = ("", "s", "es", "n", "en", "e")
 
 
 def weight_of(rule: str) -> Column:
@@ -42,14 +58,25 @@ def family_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return best.select("term", "token", "b.rule", "b.weight")
 
 
+def by_form(terms: DataFrame, vocabulary: DataFrame, crossing: bool) -> DataFrame:
+    """term, token of one key of the tables of forms, of which the one is a noun and the other not (``crossing``), or both alike."""
+    listed = [(x, k, False) for k, v in IRREGULAR.items() for x in (k, *v.split())] + [(x, k, True) for k, v in NOUNS_OF.items() for x in v.split()]
+    rows = F.array(*(F.struct(F.lit(x).alias("form"), F.lit(k).alias("key"), F.lit(n).alias("noun")) for x, k, n in listed))
+    forms = terms.sparkSession.range(1).select(F.inline(rows))  # a few hundred rows, fixed
+    keyed = terms.select("term").distinct().join(F.broadcast(forms.withColumnRenamed("form", "term")), "term")
+    other = F.broadcast(forms.select(F.col("form").alias("token"), "key", F.col("noun").alias("noun_too")))
+    met = keyed.join(other, "key").where(F.col("noun") != F.col("noun_too") if crossing else F.col("noun") == F.col("noun_too"))
+    return met.join(vocabulary.select("token"), "token").where("term <> token").select("term", "token").distinct()
+
+
 def irregular_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """term, token, rule, weight: other forms of the same irregular word. The table of forms is fixed and small, so it is broadcast."""
-    spark = terms.sparkSession
-    pairs = F.array(*(F.struct(F.lit(x).alias("form"), F.lit(k).alias("key")) for k, v in IRREGULAR.items() for x in (k, *v.split())))
-    forms = F.broadcast(spark.range(1).select(F.inline(pairs)))
-    keyed = terms.select("term").distinct().join(forms.withColumnRenamed("form", "term"), "term")
-    found = keyed.join(F.broadcast(forms.withColumnRenamed("form", "token")), "key").join(vocabulary.select("token"), "token").where("term <> token")
-    return found.select("term", "token", F.lit("irregular").alias("rule"), weight_of("irregular").alias("weight")).distinct()
+    return by_form(terms, vocabulary, False).select("term", "token", F.lit("irregular").alias("rule"), weight_of("irregular").alias("weight"))
+
+
+def derived_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """term, token, rule, weight: the noun of a verb with forms of the verb, or the reverse, by the tables of forms."""
+    return by_form(terms, vocabulary, True).select("term", "token", F.lit("derived").alias("rule"), weight_of("derived").alias("weight"))
 
 
 def deletions(word: Column) -> Column:
@@ -72,7 +99,7 @@ def typo_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return met.where(near).select("term", "token", F.lit("typo").alias("rule"), weight_of("typo").alias("weight"))
 
 
-def compound_join(terms: DataFrame, vocabulary: DataFrame, links: tuple[str, ...] = ("", "s", "es", "n", "en", "e")) -> DataFrame:
+def compound_join(terms: DataFrame, vocabulary: DataFrame, links: tuple[str, ...] = LINKS) -> DataFrame:
     """term, token, rule, weight: tokens of two parts, both vocabulary words of at least MIN_PART letters, with the term as head or modifier.
 
     Each distinct token is cut at every place and linking element; cuts meet the vocabulary by equality.
@@ -91,14 +118,57 @@ def compound_join(terms: DataFrame, vocabulary: DataFrame, links: tuple[str, ...
     return found.withColumn("weight", F.when(F.col("rule") == "compound_head", weight_of("compound_head")).otherwise(weight_of("compound_modifier")))
 
 
+def words_of(vocabulary: DataFrame) -> DataFrame:
+    """part: words that may be a part of a compound, as spelled and without their ending."""
+    either = F.array_distinct(F.array("token", stem(F.col("token"))))
+    words = vocabulary.where(F.col("token").rlike(r"^\p{L}+$") & ~F.col("token").isin(FUNCTION_WORDS)).select(F.explode(either).alias("part"))
+    return words.where(F.length("part") >= MIN_PART).distinct()
+
+
+def query_splits(terms: DataFrame) -> DataFrame:
+    """term, key, ending, before, link, after: every cut of a term without its ending, with every linking element that stands there."""
+    named = terms.select("term").distinct().where(F.col("term").rlike(r"^\p{L}+$") & ~F.col("term").isin(FUNCTION_WORDS)).withColumn("key", stem(F.col("term")))
+    named = named.where(F.length("key").between(2 * MIN_PART, MAX_COMPOUND)).withColumn("ending", F.expr("substring(term, length(key) + 1)"))
+    cuts = named.withColumn("at", F.explode(F.sequence(F.lit(MIN_PART), F.length("key") - MIN_PART))).withColumn("link", F.explode(F.array(*map(F.lit, LINKS))))
+    cuts = cuts.withColumns({"before": F.expr("substring(key, 1, at)"), "rest": F.expr("substring(key, at + 1)")}).where("startswith(rest, link)")
+    return cuts.withColumn("after", F.expr("substring(rest, length(link) + 1)")).where(F.length("after") >= MIN_PART).select("term", "key", "ending", "before", "link", "after")
+
+
+def link_variant_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """term, token, rule, weight: tokens of the two parts of a term with another linking element, without ending or with the term's own.
+
+    Both parts must be words of the vocabulary. Meant for terms that have no word form of their own.
+    """
+    words = words_of(vocabulary)
+    split = query_splits(terms).join(words.withColumnRenamed("part", "before"), "before", "left_semi").join(words.withColumnRenamed("part", "after"), "after", "left_semi")
+    other = split.withColumn("other", F.explode(F.array(*map(F.lit, LINKS)))).where("other <> link")
+    variants = other.select("term", F.explode(F.array_distinct(F.array(F.concat("before", "other", "after"), F.concat("before", "other", "after", "ending")))).alias("token"))
+    found = variants.join(vocabulary.select("token"), "token").where("term <> token").select("term", "token").distinct()
+    return found.select("term", "token", F.lit("compound_link").alias("rule"), weight_of("compound_link").alias("weight"))
+
+
+def query_head_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """term, token, rule, weight: word forms of the longest head of a term whose head and rest are words of the vocabulary."""
+    words = words_of(vocabulary)
+    split = query_splits(terms).join(words.withColumnRenamed("part", "before"), "before", "left_semi").join(words.withColumnRenamed("part", "after"), "after", "left_semi")
+    heads = split.groupBy("term").agg(F.max_by("after", F.length("after")).alias("head"))
+    found = heads.join(family_join(heads.select(F.col("head").alias("term")), vocabulary).withColumnRenamed("term", "head"), "head").where("term <> token")
+    return found.select("term", "token", F.lit("query_part").alias("rule"), weight_of("query_part").alias("weight")).distinct()
+
+
 def resolve_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """term, token, rule, weight by precedence: word forms; irregular forms and compounds; a typing error only for a word with nothing else."""
-    stages = [family_join(terms, vocabulary), irregular_join(terms, vocabulary), compound_join(terms, vocabulary)]
-    found = None
-    for i, stage in enumerate(stages):
-        stage = stage.withColumn("stage", F.lit(i))
-        found = stage if found is None else found.unionByName(stage)
-    missing = terms.select("term").distinct().join(found.select("term").distinct(), "term", "left_anti")
-    found = found.unionByName(typo_join(missing, vocabulary).withColumn("stage", F.lit(len(stages))))
+    """term, token, rule, weight by precedence: word forms; irregular and derived forms and compounds; linking elements
+    for a word without word form; the head of a word with nothing else; a typing error for a word with nothing at all."""
+    named = terms.select("term").distinct()
+    stage = lambda df, i: df.select("term", "token", "rule", "weight", F.lit(i).alias("stage"))
+    without = lambda df: named.join(df.select("term").distinct(), "term", "left_anti")
+    family = family_join(terms, vocabulary)
+    sure = stage(family, 0)
+    for i, found in enumerate((irregular_join(terms, vocabulary), derived_join(terms, vocabulary), compound_join(terms, vocabulary)), 1):
+        sure = sure.unionByName(stage(found, i))
+    linked = stage(link_variant_join(without(family), vocabulary), 4)
+    heads = stage(query_head_join(without(sure), vocabulary), 5)
+    found = sure.unionByName(linked).unionByName(heads)
+    found = found.unionByName(stage(typo_join(without(found), vocabulary), 6))
     first = F.row_number().over(Window.partitionBy("term", "token").orderBy("stage"))
     return found.withColumn("n", first).where("n = 1").select("term", "token", "rule", "weight")

@@ -33,19 +33,54 @@ def family_join(spark: SparkSession, d: str) -> DataFrame:
     return L.family_join(*_terms(spark, d))
 
 
-FORMS = ", ".join(f"('{x}', '{k}')" for k, v in L.IRREGULAR.items() for x in (k, *v.split()))
+FORMS = ", ".join([f"('{x}', '{k}', false)" for k, v in L.IRREGULAR.items() for x in (k, *v.split())] + [f"('{x}', '{k}', true)" for k, v in L.NOUNS_OF.items() for x in v.split()])
 IRREGULAR = f"""
-forms AS (SELECT * FROM (VALUES {FORMS}) AS f(form, key)),
+forms AS (SELECT * FROM (VALUES {FORMS}) AS f(form, key, noun)),
 every_word AS (SELECT DISTINCT term FROM terms),
-irregular AS (SELECT DISTINCT w.term, v.token FROM every_word w JOIN forms a ON a.form = w.term JOIN forms b ON b.key = a.key JOIN vocabulary v ON v.token = b.form WHERE w.term <> v.token)"""
+by_form AS (SELECT DISTINCT w.term, v.token, a.noun <> b.noun AS crossing FROM every_word w JOIN forms a ON a.form = w.term JOIN forms b ON b.key = a.key JOIN vocabulary v ON v.token = b.form WHERE w.term <> v.token)"""
 
 
-@query(f"WITH {VOCABULARY}, {IRREGULAR} SELECT term, token, 'irregular' AS rule, 0.45::DOUBLE AS weight FROM irregular")
+@query(f"WITH {VOCABULARY}, {IRREGULAR} SELECT term, token, 'irregular' AS rule, 0.45::DOUBLE AS weight FROM by_form WHERE NOT crossing")
 def irregular_join(spark: SparkSession, d: str) -> DataFrame:
     _, vocabulary = _terms(spark, d)
     return L.irregular_join(S.query_term_plan(V.questions(spark, d)), vocabulary)
 
 
+def corpus_terms(vocabulary: DataFrame) -> DataFrame:
+    """Every word of the corpus, asked for: rules that few questions meet are run over all of them."""
+    return vocabulary.select(F.col("token").alias("term"))
+
+
+@query(f"WITH {VOCABULARY}, {IRREGULAR.replace('SELECT DISTINCT term FROM terms', 'SELECT token AS term FROM vocabulary')} SELECT term, token, 'derived' AS rule, 0.45::DOUBLE AS weight FROM by_form WHERE crossing")
+def derived_join(spark: SparkSession, d: str) -> DataFrame:
+    _, vocabulary = _terms(spark, d)
+    return L.derived_join(corpus_terms(vocabulary), vocabulary)
+
+
+LINKED = f"""
+word_parts AS (SELECT DISTINCT part FROM (SELECT unnest([token, {stem_sql("token")}]) AS part FROM vocabulary WHERE regexp_matches(token, '^\\p{{L}}+$') AND token NOT IN ({WORDS})) WHERE length(part) >= 4),
+keyed_terms AS (SELECT term, {stem_sql("term")} AS key FROM (SELECT DISTINCT term FROM split_terms) WHERE regexp_matches(term, '^\\p{{L}}+$') AND term NOT IN ({WORDS})),
+term_cuts AS (SELECT term, key, substr(term, length(key) + 1) AS ending, substr(key, 1, place) AS before, substr(key, place + 1) AS rest FROM (SELECT term, key, unnest(generate_series(4, length(key) - 4)) AS place FROM keyed_terms WHERE length(key) BETWEEN 8 AND 64)),
+split_words AS (SELECT term, ending, before, l AS link, substr(rest, length(l) + 1) AS after FROM term_cuts, (SELECT unnest(['', 's', 'es', 'n', 'en', 'e']) AS l) ls WHERE starts_with(rest, l) AND length(rest) - length(l) >= 4),
+sound AS (SELECT * FROM split_words WHERE before IN (SELECT part FROM word_parts) AND after IN (SELECT part FROM word_parts)),
+variants AS (SELECT term, unnest([before || l || after, before || l || after || ending]) AS token FROM sound, (SELECT unnest(['', 's', 'es', 'n', 'en', 'e']) AS l) ls WHERE l <> link),
+link_variants AS (SELECT DISTINCT term, token FROM variants WHERE token IN (SELECT token FROM vocabulary) AND term <> token),
+heads AS (SELECT term, arg_max(after, length(after)) AS head FROM sound GROUP BY term),
+head_family AS (SELECT DISTINCT term, token FROM heads JOIN vocabulary ON head = token OR (({fold_sql("head")} = {fold_sql("token")} OR {stem_sql("head")} = {stem_sql("token")}) AND head NOT IN ({WORDS}) AND token NOT IN ({WORDS})) WHERE term <> token)"""
+
+
+@query(f"WITH {VOCABULARY}, split_terms AS (SELECT token AS term FROM vocabulary), {LINKED} SELECT term, token, 'compound_link' AS rule, 0.45::DOUBLE AS weight FROM link_variants")
+def link_variant_join(spark: SparkSession, d: str) -> DataFrame:
+    _, vocabulary = _terms(spark, d)
+    return L.link_variant_join(corpus_terms(vocabulary), vocabulary)
+
+
+@query(f"WITH {VOCABULARY}, split_terms AS (SELECT token AS term FROM vocabulary), {LINKED} SELECT term, token, 'query_part' AS rule, 0.35::DOUBLE AS weight FROM head_family")
+def query_head_join(spark: SparkSession, d: str) -> DataFrame:
+    _, vocabulary = _terms(spark, d)
+    return L.query_head_join(corpus_terms(vocabulary), vocabulary)
+
+
 @query(f"""WITH {VOCABULARY} SELECT term, token, 'typo' AS rule, 0.3::DOUBLE AS weight FROM asked JOIN vocabulary ON abs(length(term) - length(token)) <= 1 AND term <> token
 WHERE length(term) >= 8 AND length(token) >= 7 AND damerau_levenshtein(term, token) <= 1""")
 def typo_join(spark: SparkSession, d: str) -> DataFrame:
@@ -66,13 +101,18 @@ def compound_join(spark: SparkSession, d: str) -> DataFrame:
     return L.compound_join(*_terms(spark, d))
 
 
-@query(f"""WITH {VOCABULARY}, {FAMILY}, {IRREGULAR}, {COMPOUND},
-staged AS (SELECT term, token, b.rule AS rule, b.weight AS weight, 0 AS stage FROM family
-  UNION ALL SELECT term, token, 'irregular', 0.45::DOUBLE, 1 FROM irregular WHERE term IN (SELECT term FROM asked)
-  UNION ALL SELECT term, token, rule, CASE rule WHEN 'compound_head' THEN 0.45 ELSE 0.35 END::DOUBLE, 2 FROM compound),
-every AS (SELECT * FROM staged UNION ALL SELECT term, token, 'typo', 0.3::DOUBLE, 3 FROM asked JOIN vocabulary ON abs(length(term) - length(token)) <= 1 AND term <> token
-  WHERE term NOT IN (SELECT term FROM staged) AND length(term) >= 8 AND length(token) >= 7 AND damerau_levenshtein(term, token) <= 1)
-SELECT term, token, rule, weight FROM every QUALIFY row_number() OVER (PARTITION BY term, token ORDER BY stage) = 1""")
+RESOLVED = f"""{FAMILY}, {IRREGULAR}, {COMPOUND}, split_terms AS (SELECT term FROM asked), {LINKED},
+sure AS (SELECT term, token, b.rule AS rule, b.weight AS weight, 0 AS stage FROM family
+  UNION ALL SELECT term, token, CASE WHEN crossing THEN 'derived' ELSE 'irregular' END, 0.45::DOUBLE, CASE WHEN crossing THEN 2 ELSE 1 END FROM by_form WHERE term IN (SELECT term FROM asked)
+  UNION ALL SELECT term, token, rule, CASE rule WHEN 'compound_head' THEN 0.45 ELSE 0.35 END::DOUBLE, 3 FROM compound),
+staged AS (SELECT * FROM sure UNION ALL SELECT term, token, 'compound_link', 0.45::DOUBLE, 4 FROM link_variants WHERE term NOT IN (SELECT term FROM family)
+  UNION ALL SELECT term, token, 'query_part', 0.35::DOUBLE, 5 FROM head_family WHERE term NOT IN (SELECT term FROM sure)),
+every AS (SELECT * FROM staged UNION ALL SELECT term, token, 'typo', 0.3::DOUBLE, 6 FROM asked JOIN vocabulary ON abs(length(term) - length(token)) <= 1 AND term <> token
+  WHERE term NOT IN (SELECT term FROM staged) AND length(term) >= 8 AND length(token) >= 7 AND damerau_levenshtein(term, token) <= 1),
+resolved AS (SELECT term, token, rule, weight FROM every QUALIFY row_number() OVER (PARTITION BY term, token ORDER BY stage) = 1)"""
+
+
+@query(f"WITH {VOCABULARY}, {RESOLVED} SELECT term, token, rule, weight FROM resolved")
 def resolve_terms(spark: SparkSession, d: str) -> DataFrame:
     return L.resolve_terms(*_terms(spark, d))
 

@@ -16,9 +16,10 @@ def test_tokens_fold_marks_and_keep_hyphens(spark):
     assert row == ["grosse", "der", "wind-kraft", "ete_2"]
 
 
-def test_stem_keeps_four_letters(spark):
-    rows = spark.createDataFrame([("houses",), ("gas",), ("walking",)], ["t"]).select(stem(F.col("t"))).collect()
-    assert [r[0] for r in rows] == ["hous", "gas", "walk"]
+def test_stem_takes_one_inflection_ending(spark):
+    pairs = {"houses": "hous", "house": "hous", "gas": "gas", "zahlungen": "zahlung", "zahlung": "zahlung", "zahlern": "zahler", "zahler": "zahler", "batteries": "battery", "preise": "preis", "status": "status", "glass": "glass", "walking": "walking", "meters": "meter"}
+    rows = spark.createDataFrame([(x,) for x in pairs], ["t"]).select("t", stem(F.col("t"))).collect()
+    assert {r[0]: r[1] for r in rows} == pairs
 
 
 def test_budget_is_a_prefix(spark):
@@ -38,6 +39,23 @@ def test_compound_needs_both_parts(spark):
     assert {(r.token, r.rule) for r in lexicon.compound_join(terms, vocabulary).collect()} == {("arbeitspreis", "compound_head"), ("preisarbeit", "compound_modifier")}
 
 
+def named(spark, column, *words):
+    return spark.createDataFrame([(w,) for w in words], [column])
+
+
+def test_linking_elements_and_heads(spark):
+    vocabulary = named(spark, "token", "abschlag", "zahlung", "abschlagszahlung", "abschlagszahlungen", "kirchturm", "kirche", "turm", "tarif", "strom", "stromtarife")
+    got = lambda f, *t: {(r.term, r.token) for r in f(named(spark, "term", *t), vocabulary).collect()}
+    assert got(lexicon.link_variant_join, "abschlagzahlung", "abschlagzahlungen", "kirchenturm") == {("abschlagzahlung", "abschlagszahlung"), ("abschlagzahlungen", "abschlagszahlung"), ("abschlagzahlungen", "abschlagszahlungen"), ("kirchenturm", "kirchturm")}
+    assert got(lexicon.query_head_join, "stromtarif", "unbekannttarif") == {("stromtarif", "tarif")}
+
+
+def test_resolve_takes_the_first_rule_that_finds(spark):
+    vocabulary = named(spark, "token", "payment", "paid", "pays", "preis", "arbeit", "arbeitspreis", "stromtarife", "tarif", "strom")
+    got = {(r.term, r.token): r.rule for r in lexicon.resolve_terms(named(spark, "term", "pay", "paid", "preis", "stromtarifs", "paymemt"), vocabulary).collect()}
+    assert got == {("pay", "payment"): "derived", ("pay", "paid"): "irregular", ("paid", "paid"): "exact", ("paid", "payment"): "derived", ("preis", "preis"): "exact", ("preis", "arbeitspreis"): "compound_head", ("stromtarifs", "stromtarife"): "stem"}
+
+
 def test_stale_plan_changes_nothing(spark):
     pages = spark.createDataFrame([("a", "active"), ("b", "draft")], ["path", "status"])
     plan = change.plan_property(pages, F.lit(True), "status", F.lit("superseded"))
