@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.settled import settled
 from quillon.functions.text import fold_key, stem
 from quillon.operators.search import FUNCTION_WORDS
 
 #: Weights of the rules by which a token counts for a word.
-RULE_WEIGHTS = {"exact": 1.0, "fold": 0.9, "stem": 0.6, "verb": 0.5, "irregular": 0.45, "derived": 0.45, "compound_link": 0.45, "compound_head": 0.45, "compound_modifier": 0.35, "query_part": 0.35, "typo": 0.3}
+RULE_WEIGHTS = {"exact": 1.0, "fold": 0.9, "stem": 0.6, "verb": 0.5, "irregular": 0.45, "derived": 0.45, "compound_link": 0.45, "compound_head": 0.45, "compound_modifier": 0.35, "query_part": 0.35, "short_part": 0.35, "typo": 0.3}
 MIN_TYPO = 8
 MIN_PART = 4
 MAX_COMPOUND = 64
@@ -151,24 +152,41 @@ def query_head_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """term, token, rule, weight: word forms of the longest head of a term whose head and rest are words of the vocabulary."""
     words = words_of(vocabulary)
     split = query_splits(terms).join(words.withColumnRenamed("part", "before"), "before", "left_semi").join(words.withColumnRenamed("part", "after"), "after", "left_semi")
-    heads = split.groupBy("term").agg(F.max_by("after", F.length("after")).alias("head"))
+    heads = settled(split.groupBy("term").agg(F.max_by("after", F.length("after")).alias("head")))
     found = heads.join(family_join(heads.select(F.col("head").alias("term")), vocabulary).withColumnRenamed("term", "head"), "head").where("term <> token")
     return found.select("term", "token", F.lit("query_part").alias("rule"), weight_of("query_part").alias("weight")).distinct()
 
 
+def short_parts(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """term, token, rule, weight: tokens with a term of two or three letters as first part, before a word, or as last part, after one of at least three letters.
+
+    Prefixes and suffixes of the distinct tokens meet the terms, and what is left meets the vocabulary, by equality.
+    """
+    named = terms.select("term").distinct().where(F.col("term").rlike(r"^\p{L}{2,3}$") & ~F.col("term").isin(FUNCTION_WORDS))
+    whole = vocabulary.where(F.col("token").rlike(r"^\p{L}{6,}$")).select("token", F.explode(F.array(F.lit(2), F.lit(3))).alias("n"))
+    words = words_of(vocabulary)
+    first = whole.select("token", F.expr("left(token, n)").alias("term"), F.expr("substring(token, n + 1)").alias("part")).join(named, "term").join(words, "part", "left_semi")
+    before = vocabulary.where(F.col("token").rlike(r"^\p{L}{3,}$") & ~F.col("token").isin(FUNCTION_WORDS)).select(F.col("token").alias("part"))
+    last = whole.select("token", F.expr("right(token, n)").alias("term"), F.expr("left(token, length(token) - n)").alias("part")).join(named, "term").join(before, "part", "left_semi")
+    found = first.select("term", "token").unionByName(last.select("term", "token")).distinct()
+    return found.select("term", "token", F.lit("short_part").alias("rule"), weight_of("short_part").alias("weight"))
+
+
 def resolve_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """term, token, rule, weight by precedence: word forms; irregular and derived forms and compounds; linking elements
     for a word without word form; the head of a word with nothing else; a typing error for a word with nothing at all."""
-    named = terms.select("term").distinct()
+    named, vocabulary = settled(terms.select("term").distinct()), settled(vocabulary.select("token"))
+    terms = named
     stage = lambda df, i: df.select("term", "token", "rule", "weight", F.lit(i).alias("stage"))
     without = lambda df: named.join(df.select("term").distinct(), "term", "left_anti")
-    family = family_join(terms, vocabulary)
+    family = settled(family_join(terms, vocabulary))
     sure = stage(family, 0)
     for i, found in enumerate((irregular_join(terms, vocabulary), derived_join(terms, vocabulary), compound_join(terms, vocabulary)), 1):
         sure = sure.unionByName(stage(found, i))
+    sure = settled(sure)
     linked = stage(link_variant_join(without(family), vocabulary), 4)
     heads = stage(query_head_join(without(sure), vocabulary), 5)
-    found = sure.unionByName(linked).unionByName(heads)
+    found = settled(sure.unionByName(linked).unionByName(heads))
     found = found.unionByName(stage(typo_join(without(found), vocabulary), 6))
     first = F.row_number().over(Window.partitionBy("term", "token").orderBy("stage"))
     return found.withColumn("n", first).where("n = 1").select("term", "token", "rule", "weight")

@@ -62,6 +62,21 @@ def passage_tokens(found: DataFrame) -> DataFrame:
     return found.select("pid", "path", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
 
 
+SUSPENDED = r"(?i)([\p{L}]{3,})-(?:,? (?:und|oder|sowie|bis|and|or) |/)([\p{L}]{6,})"
+
+
+def suspended_compounds(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """pid, path, token: words that a passage holds in the form "Grund- und Leistungspreis" (grundpreis).
+
+    The first part takes any end of the second word of at least four letters; what results is a token of the vocabulary or no word.
+    """
+    pairs = found.select("pid", "path", F.explode(F.regexp_extract_all("text", F.lit(SUSPENDED), F.lit(0))).alias("x"))
+    fold = lambda i: F.element_at(tokens(F.regexp_extract("x", SUSPENDED, i)), 1)
+    named = pairs.select("pid", "path", fold(1).alias("front"), fold(2).alias("back"))
+    ends = F.transform(F.sequence(F.lit(4), F.length("back") - 1), lambda n: F.concat("front", F.right("back", n)))
+    return named.select("pid", "path", F.explode(ends).alias("token")).distinct().join(vocabulary.select("token"), "token", "left_semi").select("pid", "path", "token")
+
+
 def context_tokens(found: DataFrame) -> DataFrame:
     """pid, path, token, own: tokens of each passage, and (own false) others of its heading, table header and page title."""
     held, around = F.array_distinct(tokens(F.col("text"))), F.array_distinct(tokens(F.concat_ws(" ", "section", "header", "title")))

@@ -37,3 +37,14 @@ def concept_trigger(terms: DataFrame, concepts: DataFrame) -> DataFrame:
     met = asked.join(named, "key").select("fid", "concept_id", "no", "ord", (F.col("at") - F.col("ord")).alias("start")).distinct()
     runs = met.groupBy("fid", "concept_id", "no", "start").agg(F.count("*").alias("n")).join(F.broadcast(width), ["concept_id", "no"]).where("n = width")
     return runs.groupBy("fid", "concept_id").agg(F.min(F.struct("no", "start")).alias("b")).select("fid", "concept_id", F.col("b.start").alias("start"))
+
+
+def quantity_bridge(asked: DataFrame, members: DataFrame, held: DataFrame, amounts: DataFrame) -> DataFrame:
+    """fid, term, token, rule, weight: a quantity token counts for a word if some page holds it and none of the word's other members.
+
+    ``asked``: fid, term, token (the quantity the word may stand for); ``members``: fid, term, token; ``held``: path, token of words; ``amounts``: path, token of quantities.
+    """
+    holders = asked.join(amounts.select("path", "token").distinct(), "token").select("fid", "term", "token", "path")
+    known = members.join(held.select("path", "token").distinct(), "token").select("fid", "term", "path").distinct()
+    found = holders.join(known, ["fid", "term", "path"], "left_anti").select("fid", "term", "token").distinct()
+    return found.withColumns({"rule": F.lit("quantity"), "weight": F.lit(0.9)})

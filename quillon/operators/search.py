@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.settled import settled
 from quillon.functions.text import stem, tokens
 
 #: Fixed values of the ranking: saturation, length share, field weights, status factors.
@@ -173,14 +176,18 @@ def search_quality_gate(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_questions"), *(within(k) for k in (1, 3, 12, 100)))
 
 
-def ranking(pages: DataFrame, questions: DataFrame, with_signals: bool = True) -> DataFrame:
-    """fid, path, score, rank of every match: the whole chain from pages and questions."""
+def ranking(pages: DataFrame, questions: DataFrame, with_signals: bool = True, resolve: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """fid, path, score, rank of every match: the whole chain from pages and questions.
+
+    ``resolve``: (terms, vocabulary) -> (term, token, weight), the tokens a word stands for; None: the word itself.
+    """
     fields = split_fields(pages)
-    terms = query_term_plan(questions)
-    wanted = terms.where("dropped IS NULL").select("fid", "term", F.col("term").alias("token"), F.lit(1.0).alias("weight"))
+    terms = query_term_plan(questions).where("dropped IS NULL")
+    if resolve is None:
+        wanted = terms.select("fid", "term", F.col("term").alias("token"), F.lit(1.0).alias("weight"))
+    else:
+        wanted = settled(terms.select("fid", "term").join(resolve(terms, build_vocabulary(fields)).select("term", "token", "weight"), "term"))
     # only postings of asked tokens go on; the list of asked tokens is one row each
-    found = postings(fields).join(wanted.select("token").distinct(), "token", "left_semi")
-    scores = bm25f_score(found, term_groups(wanted, found), corpus_stats(pages, fields))
+    found = settled(postings(fields).join(wanted.select("token").distinct(), "token", "left_semi"))
+    scores = settled(bm25f_score(found, term_groups(wanted, found), corpus_stats(pages, fields)))
     return rank_pages(score_signals(scores, pages, phrase_match(questions, pages, scores)) if with_signals else scores)
-
-

@@ -66,7 +66,9 @@ sound AS (SELECT * FROM split_words WHERE before IN (SELECT part FROM word_parts
 variants AS (SELECT term, unnest([before || l || after, before || l || after || ending]) AS token FROM sound, (SELECT unnest(['', 's', 'es', 'n', 'en', 'e']) AS l) ls WHERE l <> link),
 link_variants AS (SELECT DISTINCT term, token FROM variants WHERE token IN (SELECT token FROM vocabulary) AND term <> token),
 heads AS (SELECT term, arg_max(after, length(after)) AS head FROM sound GROUP BY term),
-head_family AS (SELECT DISTINCT term, token FROM heads JOIN vocabulary ON head = token OR (({fold_sql("head")} = {fold_sql("token")} OR {stem_sql("head")} = {stem_sql("token")}) AND head NOT IN ({WORDS}) AND token NOT IN ({WORDS})) WHERE term <> token)"""
+head_family AS (SELECT DISTINCT term, token FROM (SELECT term, head AS token FROM heads WHERE head IN (SELECT token FROM vocabulary)
+  UNION ALL SELECT term, token FROM heads JOIN vocabulary ON {fold_sql("head")} = {fold_sql("token")} WHERE head NOT IN ({WORDS}) AND token NOT IN ({WORDS})
+  UNION ALL SELECT term, token FROM heads JOIN vocabulary ON {stem_sql("head")} = {stem_sql("token")} WHERE head NOT IN ({WORDS}) AND token NOT IN ({WORDS})) WHERE term <> token)"""
 
 
 @query(f"WITH {VOCABULARY}, split_terms AS (SELECT token AS term FROM vocabulary), {LINKED} SELECT term, token, 'compound_link' AS rule, 0.45::DOUBLE AS weight FROM link_variants")
