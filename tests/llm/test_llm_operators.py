@@ -228,36 +228,55 @@ def test_toxicity_learns_a_pair_of_which_neither_word_tells(spark):
 
 
 # 6 ---------------------------------------------------------------------------------------------
-@pytest.mark.parametrize(("length", "width", "chunk"), [(200, 32, 1 << 20), (30, 8, 64), (200, 32, 500)])
-def test_repeats(docs, rows, empty, length, width, chunk, monkeypatch):
-    monkeypatch.setattr(repeats, "CHUNK", chunk)
-    small = docs if length == 200 else docs.where("doc_id < 14")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(small, length, width).collect()}
-    raw = {i: (t or "").encode() for i, t, *_ in rows if i in got}
-    n = Counter(t[k : k + length] for t in raw.values() for k in range(len(t) - length + 1))
+def repeats_by_force(raw, length):
+    n, out = Counter(t[k : k + length] for t in raw.values() for k in range(len(t) - length + 1)), {}
     for i, t in raw.items():
         gone = bytearray(len(t))
         for k in range(len(t) - length + 1):
             if n[t[k : k + length]] > 1:
                 gone[k : k + length] = b"\1" * length
         spans = sum(1 for k in range(len(t)) if gone[k] and not (k and gone[k - 1]))
-        kept = bytes(x for x, g in zip(t, gone) if not g)
-        assert got[i] == (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out[i] = (len(t), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize(("length", "width", "chunk", "hot", "shard", "batches"), [(200, 32, 1 << 20, 4096, 1 << 18, 4), (30, 8, 64, 4096, 2000, 5), (200, 32, 500, 3, 5000, 3)])
+def test_repeats(docs, rows, empty, length, width, chunk, hot, shard, batches, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    small = docs if length == 200 else docs.where("doc_id < 14")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(small, length, width, batches=batches).collect()}
+    assert got == repeats_by_force({i: (t or "").encode() for i, t, *_ in rows if i in got}, length)
     assert repeats.remove_repeats(empty).count() == 0
 
 
-def test_run_family_merges_geometrically():
-    family, rng = repeats.RunFamily(), np.random.default_rng(0)
-    every = []
-    for _ in range(40):
-        anchor, context = rng.integers(0, 300, 20), rng.integers(0, 3, 20)
-        every += list(zip(anchor, context))
-        family.add({"anchor": anchor, "context": context})
-    assert len(family.runs) <= 7 and sum(len(r["anchor"]) for r in family.runs) == 800
-    n, m = Counter(a for a, _ in every), Counter(every)
-    for r in family.runs:
-        for a, c, again, whole in zip(r["anchor"], r["context"], r["again"], r["whole"]):
-            assert again == (n[a] > 1) and whole == (m[a, c] > 1)
+def test_repeated_rows_are_copies_of_each_other(spark):
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abcdef\0é"), 700))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text[:150]), (3, None), (3, text[300:520] + "x" * 50)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(df).collect())
+    n = len(text.encode())
+    assert got[:2] == [(1, n, n), (1, n, n)] and got[2][2] == 0 and got[3] == (3, 0, 0) and got[4][2] == len(text[300:520].encode())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.binary(min_size=4, max_size=12).map(lambda x: bytes(b"\0ab"[y % 3] for y in x)), min_size=1, max_size=4), min_size=2, max_size=4))
+def test_suffix_arrays_scan_and_merge(parts):
+    held, texts = [], []
+    for i, p in enumerate(parts):
+        texts.append(p)
+        held.append(repeats.Suffixes.of(np.full(len(p), i), np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), p, 4))
+    windows = lambda p: [x[k : k + 4] for x in p for k in range(len(x) - 3)]
+    raw = lambda s: [s.text[o : o + 4] for o in s.order]
+    for s, p in zip(held, texts):
+        assert raw(s) == sorted(windows(p)) and s.twice().tolist() == [raw(s).count(x) > 1 for x in raw(s)]
+    a, b = held[:2]
+    here, there = a.scan(b)
+    assert here.tolist() == [x in raw(b) for x in raw(a)] and there.tolist() == [x in raw(a) for x in raw(b)]
+    both = a.merged(b)
+    assert raw(both) == sorted(windows(texts[0]) + windows(texts[1]))
+    assert sum(both.runs(np.ones(len(both.order), bool))[3]) == len(both.order)
 
 
 # 1 and 7 ---------------------------------------------------------------------------------------
