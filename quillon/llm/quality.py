@@ -17,7 +17,7 @@ STOP_WORDS = (
 
 #: rule -> (signal, lowest allowed, highest allowed); None: no bound. A document is kept if all hold.
 RULES: dict[str, tuple[str, float | None, float | None]] = {
-    "length": ("n_words", 50, 1_000_000),
+    "length": ("n_words", 50, None),
     "word_length": ("mean_word_chars", 2.0, 14.0),
     "symbols": ("symbol_ratio", None, 0.1),
     "shouting": ("exclamation_ratio", None, 0.4),

@@ -227,6 +227,26 @@ def test_toxicity_learns_a_pair_of_which_neither_word_tells(spark):
     assert np.mean([got[i].predicted == y for i, _, y in rows if got[i].held_out]) >= 0.95
 
 
+def test_margin_is_the_sum_over_pairs():
+    rng = np.random.default_rng(9)
+    weights, vectors = rng.normal(size=12), rng.normal(size=(12, 3))
+    sets = [[], [4], [0, 3, 7], list(range(12))]
+    got, _ = toxicity.margin(toxicity.Rows(sets), 0.7, weights, vectors)
+    want = [0.7 + sum(weights[i] for i in x) + sum(vectors[i] @ vectors[j] for k, i in enumerate(x) for j in x[:k]) for x in sets]
+    assert np.allclose(got, want)
+
+
+def test_factors_tell_what_weights_cannot():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.concatenate([rng.integers(2, 200, 8), np.flatnonzero(rng.random(2) < 0.5)])) for _ in range(3000)]
+    labels = np.array([float((0 in x) != (1 in x)) for x in sets])
+    model = toxicity.fit(sets[:2400], labels[:2400])
+    places = {int(t): i for i, t in enumerate(model["terms"])}
+    rows = toxicity.Rows([[places[int(t)] for t in x if int(t) in places] for x in sets[2400:]])
+    right = lambda vectors: np.mean((toxicity.margin(rows, float(model["bias"]), model["weights"], vectors)[0] > 0) == labels[2400:])
+    assert right(model["vectors"]) >= 0.95 and right(0 * model["vectors"]) <= 0.85
+
+
 # 6 ---------------------------------------------------------------------------------------------
 def repeats_by_force(raw, length):
     n, out = Counter(t[k : k + length] for t in raw.values() for k in range(len(t) - length + 1)), {}
@@ -547,3 +567,11 @@ def test_pipeline(spark, docs, rows, tmp_path):
     for r in stages[4]:
         packed[r.doc_id] += r.length
     assert packed == {i: n * len(ids_of(left[i])) for i, n in used.items()}
+
+
+def test_pipeline_over_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline as P
+
+    empty.select(P.DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = P.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
