@@ -83,11 +83,12 @@ def folded(lines: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, licenses: dict[str, str], titles: dict[str, list[str]] = TITLES) -> DataFrame:
-    """license_id and canonical_sha256 of each known text, and of it below each of its titles."""
+    """canonical_sha256 and license_id of each known text, and of it below each of its titles; of texts that fold to one, the first id."""
     texts = [(k, x) for k, v in sorted(licenses.items()) for x in (v, *(f"{t}\n{v}" for t in titles.get(k, ())))]
     rows = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(x).alias("_text")) for k, x in texts))
     known = spark.range(1).select(F.inline(rows)).withColumn("_lines", folded_lines(F.col("_text")))
-    return known.select("license_id", F.sha2(folded(F.col("_lines")), 256).alias("canonical_sha256")).distinct()
+    known = known.select("license_id", F.sha2(folded(F.col("_lines")), 256).alias("canonical_sha256"))
+    return known.groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", licenses: dict[str, str] = LICENSES, max_known: int = 100_000) -> DataFrame:
@@ -96,7 +97,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", licenses: dict[str, str]
     license_id: the known licence that the entire text is, after folding case, punctuation,
     copyright lines and spellings, with or without one of its title lines; else null. notices: sorted ids of the known texts that whole
     lines are, for licence lines inside other texts. The known digests are broadcast; more than
-    ``max_known`` are refused. Null and empty texts have the digest of nothing and no licence.
+    ``max_known`` are refused. Of known texts that fold to one, the first id is given. Null and empty texts have the digest of nothing and no licence.
     Repeated rows are scanned alike; an empty table gives an empty table. Columns of ``docs``
     with a name of the result are replaced.
     """
@@ -108,9 +109,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", licenses: dict[str, str]
     df = df.withColumn("canonical_sha256", F.sha2(folded(F.col("_lines")), 256))
     df = df.join(F.broadcast(known), "canonical_sha256", "left")
     # a line is judged by itself: known texts of one line, by the digest of the folded line
-    ids = F.create_map(*(x for k, v in sorted(licenses.items()) if "\n" not in v for x in (F.sha2(F.array_join(folded_lines(F.lit(v)), " "), 256), F.lit(k))))
-    found = F.transform("_lines", lambda x: F.try_element_at(ids, F.sha2(x, 256)))
-    return df.withColumn("notices", F.array_sort(F.array_distinct(F.array_compact(found)))).drop("_lines")
+    single = [k for k, v in sorted(licenses.items()) if "\n" not in v]
+    digests = docs.sparkSession.range(1).select(F.array(*(F.sha2(F.array_join(folded_lines(F.lit(licenses[k])), " "), 256) for k in single)).cast("array<string>")).first()[0]
+    ids = dict(zip(reversed(digests), reversed(single), strict=True))  # of texts that fold to one, the first id
+    by_digest = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair)) if ids else F.create_map().cast("map<string,string>")
+    found = F.array_compact(F.transform("_lines", lambda x: F.try_element_at(by_digest, F.sha2(x, 256))))
+    return df.withColumn("notices", F.array_sort(F.array_distinct(found))).drop("_lines")
 
 
 def _quoted(x: str) -> str:

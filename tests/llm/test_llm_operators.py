@@ -91,6 +91,14 @@ def test_license_files_with_their_title(spark, license_id, title):
     assert {r.doc_id: r.license_id for r in licenses.scan_licenses(df).collect()} == {0: license_id, 1: None}
 
 
+def test_known_texts_that_fold_to_one(spark):
+    known = {"B": "One line.\nTwo lines!", "A": "one LINE\n\ntwo, lines", "Y": "Free for all.", "X": "free for: ALL"}
+    df = spark.createDataFrame([(0, "One line\ntwo lines"), (1, "x\nfree for all\nfree for all"), (1, "x\nfree for all\nfree for all"), (2, "word " * 200_000 + "\nFree for all")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license_id, r.notices) for r in licenses.scan_licenses(df, licenses=known).collect())
+    assert licenses.scan_licenses(df, licenses={"B": known["B"]}).where("doc_id = 0").first().license_id == "B"
+    assert got == [(0, "A", []), (1, None, ["X"]), (1, None, ["X"]), (2, None, ["X"])]
+
+
 # 3 ---------------------------------------------------------------------------------------------
 def distance(a, b):
     row = list(range(len(b) + 1))
