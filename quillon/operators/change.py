@@ -89,6 +89,33 @@ def restore_plan(snapshot: DataFrame, files: DataFrame, with_missing: bool = Fal
     return (rows if with_missing else rows.where("before IS NOT NULL")).select("path", "before", "after")
 
 
+def snapshot_table(files: DataFrame, snapshot_id: str, chosen: DataFrame | None = None) -> DataFrame:
+    """snapshot_id, path, content, sha256, bytes: a copy of the chosen files (``chosen``: path; None: all), to be kept as a table."""
+    rows = files if chosen is None else files.join(chosen.select("path").distinct(), "path", "left_semi")
+    return rows.select(F.lit(snapshot_id).alias("snapshot_id"), "path", "content", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+def write_snapshot(snapshot: DataFrame, out: str) -> None:
+    """Add a snapshot to the table of snapshots, in a folder of its own; earlier ones stay."""
+    snapshot.write.mode("append").partitionBy("snapshot_id").parquet(out)
+
+
+def restore(files: DataFrame, snapshot: DataFrame, plan: DataFrame, recovery_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files after the restore, recovery snapshot, conflicts). ``plan``: path, before, after, as ``restore_plan`` gives it.
+
+    recovery: what the restore replaces, to be written before it. A conflict is a planned path whose file is no longer
+    the planned one, or whose copy is not; with any conflict the files stay as they are.
+    """
+    now = files.select("path", F.sha2("content", 256).alias("now"))
+    copies = snapshot.select("path", F.col("content").alias("copy"), F.sha2("content", 256).alias("held"))
+    checked = plan.join(now, "path", "left").join(copies.select("path", "held"), "path", "left")
+    conflicts = checked.where(~F.col("now").eqNullSafe(F.col("before")) | ~F.col("held").eqNullSafe(F.col("after"))).select("path")
+    free = F.broadcast(conflicts.agg((F.count("*") == 0).alias("_free")))
+    wanted = plan.select("path").join(copies.select("path", "copy"), "path").crossJoin(free).where("_free").select("path", "copy", F.lit(True).alias("_hit"))
+    after = files.select("path", "content").join(wanted, "path", "full_outer").select("path", F.when(F.col("_hit"), F.col("copy")).otherwise(F.col("content")).alias("content"))
+    return after, snapshot_table(files, recovery_id, plan), conflicts
+
+
 def register_sources(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     """source_no, source_id, outcome: registered, duplicate (of the registry or an earlier candidate) or empty."""
     known = registry.select("source_id").distinct().withColumn("known", F.lit(True))

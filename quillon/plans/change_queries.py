@@ -63,6 +63,18 @@ def restore_plan(spark: SparkSession, d: str) -> DataFrame:
     return C.restore_plan(C.build_manifest(V.release(spark, d, 1)), V.release(spark, d, 2), with_missing=True)
 
 
+@query(f"WITH {V.RELEASES} SELECT 's1' AS snapshot_id, path, sha256(content) AS sha256, strlen(content)::BIGINT AS bytes FROM v1 WHERE path IN (SELECT path FROM chosen)".replace("v2 AS", "chosen AS (SELECT 'wiki/' || doc_id || '.md' AS path FROM documents WHERE lang = 'en'), v2 AS"))
+def snapshot_table(spark: SparkSession, d: str) -> DataFrame:
+    chosen = V.table(spark, d, "documents").where("lang = 'en'").select(F.concat(F.lit("wiki/"), "doc_id", F.lit(".md")).alias("path"))
+    return C.snapshot_table(V.release(spark, d, 1), "s1", chosen).drop("content")
+
+
+@query(f"WITH {V.RELEASES} SELECT coalesce(v1.path, v2.path) AS path, sha256(coalesce(v1.content, v2.content)) AS sha256 FROM v1 FULL JOIN v2 ON v1.path = v2.path")
+def restore(spark: SparkSession, d: str) -> DataFrame:
+    old, new = C.snapshot_table(V.release(spark, d, 1), "s1"), V.release(spark, d, 2)
+    return C.build_manifest(C.restore(new, old, C.restore_plan(old, new, with_missing=True), "s2")[0]).drop("bytes")
+
+
 @query(f"""WITH {V.SOURCES}, numbered AS (SELECT source_no, source_id, text, row_number() OVER (PARTITION BY source_id ORDER BY source_no) AS n FROM sources),
 known AS (SELECT DISTINCT source_id FROM sources WHERE source_no % 7 = 0)
 SELECT source_no, source_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN n > 1 OR source_id IN (SELECT source_id FROM known) THEN 'duplicate' ELSE 'registered' END AS outcome FROM numbered""")

@@ -148,3 +148,65 @@ def test_entry_tells_of_a_broken_dependency(tmp_path):
     (tmp_path / "xxhash.py").write_text("raise ModuleNotFoundError('no xxhash', name='xxhash')")
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{root}"}, capture_output=True, text=True)
     assert done.returncode and "no xxhash" in done.stderr
+
+
+def test_definitions_end_at_headings_and_skip_blocks(spark):
+    from quillon.operators import definitions
+
+    text = "## a-b\n- Preferred: One\n- preferred: Two\n### more\n- Status: late\n````\n## no\n```\n- Status: no\n`````\n<!-- one line -->\n<!-- two\n## no\n-->\n## Not An Id\n- Definition: lost\n## a-b\n- Status:\n- Related: a-b | zz"
+    files = spark.createDataFrame([("s", text), ("e", ""), ("n", None), ("x", "- Status: first\n# T\n~~~\n## open"), ("t", "    # no heading\n## t\r\n- Label: L\r\n")], "path string, content string")
+    found, orphans = definitions.load_definitions(files)
+    assert {(r.path, r.id, r.line, tuple(sorted(r.fields.items())), r.current) for r in found.collect()} == {
+        ("s", "a-b", 1, (("preferred", "Two"),), False), ("s", "a-b", 17, (("related", "a-b | zz"), ("status", "")), True), ("t", "t", 2, (("label", "L"),), True)}
+    assert {tuple(r) for r in orphans.collect()} == {("s", 5, "status", "### more", "a-b"), ("s", 16, "definition", "## Not An Id", "a-b")}
+    told = {(r.line, r.code, r.detail) for r in definitions.definition_rules(found, orphans).where("path = 's'").collect()}
+    assert told == {(17, "missing-field", x) for x in ("preferred", "status", "definition")} | {(17, "bad-status", ""), (17, "duplicate-id", "1"), (17, "relation-to-itself", "a-b"), (17, "unknown-concept", "zz"), (5, "orphaned-field", "status: move the field"), (16, "orphaned-field", "definition: move the field")}
+    clusters = spark.createDataFrame([("c", "k", 1, {"label": "L", "color": "#fe8f11", "status": "active", "purpose": "p", "directory": "wiki/../x"}, True), ("c", "m", 9, {"label": "L", "color": "red", "status": "active", "purpose": "p", "directory": "wiki/m"}, True)], found.schema)
+    assert {(r.id, r.code) for r in definitions.definition_rules(clusters, orphans.limit(0), "cluster").collect()} == {("k", "bad-directory"), ("m", "bad-color")}
+
+
+def test_scan_variants_by_rule(spark):
+    from quillon.operators import variants
+
+    vocabulary = named(spark, "token", "sms-warndienst", "e-mail-adresse", "krankenhauser", "tage", "kundinnen", "gunstigste", "senken", "abgeschaltet", "abzuschalten", "cancelled", "applied", "charging", "kundigungsfrist2", "vitamin-c", "polster", "the")
+    got = {(r.term, r.token): r.rule for r in variants.scan_variants(named(spark, "term", "sms", "mail", "e-mail", "krankenhaus", "tag", "kunden", "gunstiger", "senkt", "abschalten", "cancel", "apply", "charge", "kundigungsfrist", "c", "pol", "the"), vocabulary).collect()}
+    assert got == {
+        ("sms", "sms-warndienst"): "hyphen_part", ("mail", "e-mail-adresse"): "hyphen_part", ("e-mail", "e-mail-adresse"): "hyphen_part", ("krankenhaus", "krankenhauser"): "ending", ("tag", "tage"): "ending", ("kunden", "kundinnen"): "ending", ("gunstiger", "gunstigste"): "ending",
+        ("senkt", "senken"): "verb_ending", ("abschalten", "abgeschaltet"): "verb_ending", ("abschalten", "abzuschalten"): "verb_ending", ("cancel", "cancelled"): "verb_ending", ("apply", "applied"): "verb_ending", ("charge", "charging"): "verb_ending", ("kundigungsfrist", "kundigungsfrist2"): "footnote_mark"}
+
+
+def test_split_verbs_stay_in_their_sentence(spark):
+    from quillon.operators import variants
+
+    rows = [("a", "Der Netzbetreiber lehnt sie ab. Dann kommt nichts."), ("b", "Er lehnt. Sie geht ab und bleibt"), ("c", "Ab Mai gilt es"), ("d", None), ("e", "Sie schaltet " + "x " * 300 + "ab."), ("f", "Er lehnt am 3. Mai den Antrag »ab«, und zieht ihn zurück!")]
+    found = spark.createDataFrame([(k, k, t) for k, t in rows], "pid string, path string, text string")
+    got = {(r.pid, r.token) for r in variants.split_verbs(found).collect()}
+    assert ("a", "+lehnt+ab") in got and ("b", "+geht+ab") in got and ("b", "+lehnt+ab") not in got and ("f", "+lehnt+ab") in got and ("f", "+zieht+zuruck") in got
+    assert {p for p, _ in got} == {"a", "b", "f"}
+    assert {r.token for r in variants.split_forms(named(spark, "term", "ablehnen")).collect()} >= {"+lehnt+ab", "+lehnen+ab"}
+
+
+def test_restore_keeps_what_it_replaces(spark):
+    old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], ["path", "content"])
+    new = spark.createDataFrame([("a", "1"), ("b", "x"), ("d", "4")], ["path", "content"])
+    snapshot = change.snapshot_table(old, "s1")
+    plan = change.restore_plan(snapshot, new, with_missing=True)
+    after, recovery, conflicts = change.restore(new, snapshot, plan, "s2")
+    assert {tuple(r) for r in after.collect()} == {("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")} and conflicts.isEmpty()
+    assert {(r.snapshot_id, r.path, r.content) for r in recovery.collect()} == {("s2", "b", "x")}
+    moved = new.withColumn("content", F.when(F.col("path") == "b", "y").otherwise(F.col("content")))
+    after, _, conflicts = change.restore(moved, snapshot, plan, "s2")
+    assert {tuple(r) for r in after.collect()} == {tuple(r) for r in moved.collect()} and [r.path for r in conflicts.collect()] == ["b"]
+
+
+def test_export_writes_links_and_leaves_out_claims(spark, tmp_path):
+    from quillon.operators import bundle
+
+    body = "[[a/b.md#x|Label ]] [[./c d]] [[e|]]\n<!-- Claim\nid: 1\n-->\n kept \n<!-- /claim -->!"
+    assert named(spark, "t", body).select(bundle.exported_body(F.col("t"))).first()[0] == "[Label](/a/b.md) [c d](/c d.md) [e](/e.md)\nkept!"
+    nodes, links = spark.createDataFrame([("file", "p")], "kind string, id string"), spark.createDataFrame([("wikilink", "p", None), ("wikilink", "p", "q")], "kind string, source string, target string")
+    bundle.write_graph(nodes, links, f"{tmp_path}/g")
+    assert {r.part for r in spark.read.parquet(f"{tmp_path}/g").collect()} == {"node", "link", "unresolved"}
+    change.write_snapshot(change.snapshot_table(spark.createDataFrame([("a", "1")], ["path", "content"]), "s1"), f"{tmp_path}/s")
+    change.write_snapshot(change.snapshot_table(spark.createDataFrame([("a", "2")], ["path", "content"]), "s2"), f"{tmp_path}/s")
+    assert {(r.snapshot_id, r.content) for r in spark.read.parquet(f"{tmp_path}/s").collect()} == {("s1", "1"), ("s2", "2")}
