@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from quillon.functions.settled import settled
 from quillon.functions.text import stem, tokens
 
-#: Fixed values of the ranking: saturation, length share, field weights, status factors.
+#: Fixed values of the ranking: saturation, length share, field weights, factors of concepts and status.
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"title": 10.0, "aliases": 7.0, "headings": 5.0, "description": 4.0, "body": 1.0, "quantities": 1.0}
+CONCEPT_FACTOR = 0.5
 STATUS_FACTOR = {"active": 1.15, "draft": 0.95, "superseded": 0.75, "withdrawn": 0.75}
 #: Words that a question may hold without asking for them.
 FUNCTION_WORDS = sorted(set("the of and a an to in is for on that with as by it this be are was or from at not der die das und ist von zu den dem ein eine im auf mit nicht le la les des du un une et est pour dans que qui el los las y del con se".split()))
@@ -93,11 +94,20 @@ def phrase_match(questions: DataFrame, pages: DataFrame, scores: DataFrame) -> D
     return body.select("path", F.inline(told)).select("fid", "path", "phrase")
 
 
-def score_signals(scores: DataFrame, pages: DataFrame, phrases: DataFrame) -> DataFrame:
-    """fid, path, score with the factors of phrase and status; a page that matches nothing stays out."""
+def score_signals(scores: DataFrame, pages: DataFrame, phrases: DataFrame, triggers: DataFrame | None = None) -> DataFrame:
+    """fid, path, score with the factors of phrase, shared concepts and status; a page that matches nothing stays out.
+
+    ``triggers``: fid, concept_id, the concepts that a question names; None: no factor of concepts. A page has ``concept``,
+    null for none.
+    """
     factor = F.coalesce(F.create_map(*(F.lit(x) for k, v in STATUS_FACTOR.items() for x in (k, v)))[F.col("status")], F.lit(1.0))
-    rows = scores.join(pages.select("path", "status"), "path").join(phrases, ["fid", "path"], "left")
-    return rows.select("fid", "path", (F.col("score") * F.when(F.col("phrase"), 1.5).otherwise(1.0) * factor).alias("score"))
+    rows = scores.join(pages.select("path", "status", "concept") if triggers is not None else pages.select("path", "status"), "path").join(phrases, ["fid", "path"], "left")
+    told = F.col("score") * F.when(F.col("phrase"), 1.5).otherwise(1.0)
+    if triggers is not None:
+        # the concepts of a question are few words long, so one array a question
+        rows = rows.join(triggers.groupBy("fid").agg(F.collect_set("concept_id").alias("asked")), "fid", "left")
+        told = told * F.when(F.array_contains("asked", F.col("concept")), 1 + CONCEPT_FACTOR).otherwise(1.0)
+    return rows.select("fid", "path", (told * factor).alias("score"))
 
 
 def rank_pages(scores: DataFrame) -> DataFrame:

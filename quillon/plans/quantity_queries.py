@@ -9,7 +9,7 @@ from quillon.functions.text import fold_sql, stem_sql, tokens, tokens_sql
 from quillon.operators import quantities as Q
 from quillon.operators import search as S
 from quillon.plans import views as V
-from quillon.plans.search_queries import TERMS, query
+from quillon.plans.search_queries import SIGNALS, STATUS, TERMS, query
 
 UNIT = "CASE u " + " ".join(f"WHEN '{k}' THEN '{u}'" for k, (u, _) in Q.UNITS.items()) + " END"
 FACTOR = "CASE u " + " ".join(f"WHEN '{k}' THEN {f}" for k, (_, f) in Q.UNITS.items()) + " END"
@@ -28,11 +28,26 @@ named AS (SELECT 'c' || item_id AS concept_id, 0::BIGINT AS no, ({tokens_sql("te
 concepts AS (SELECT concept_id, no, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS ord FROM named)"""
 
 
-@query(f"""WITH {TERMS}, {CONCEPTS}, met AS (SELECT DISTINCT fid, concept_id, no, c.ord, t.ord - c.ord AS start FROM terms t, concepts c WHERE list_has_any([term, {fold_sql("term")}, {stem_sql("term")}], [word, {fold_sql("word")}, {stem_sql("word")}])),
-runs AS (SELECT fid, concept_id, no, start FROM met m JOIN (SELECT concept_id, no, count(*) AS width FROM concepts GROUP BY ALL) USING (concept_id, no) GROUP BY fid, concept_id, no, start, width HAVING count(*) = width)
-SELECT fid, concept_id, arg_min(start, struct_pack(no := no, start := start)) AS start FROM runs GROUP BY ALL""")
+TRIGGERED = f"""
+met AS (SELECT DISTINCT fid, concept_id, no, c.ord, t.ord - c.ord AS start FROM terms t, concepts c WHERE list_has_any([term, {fold_sql("term")}, {stem_sql("term")}], [word, {fold_sql("word")}, {stem_sql("word")}])),
+runs AS (SELECT fid, concept_id, no, start FROM met m JOIN (SELECT concept_id, no, count(*) AS width FROM concepts GROUP BY ALL) USING (concept_id, no) GROUP BY fid, concept_id, no, start, width HAVING count(*) = width)"""
+
+
+@query(f"WITH {TERMS}, {CONCEPTS}, {TRIGGERED} SELECT fid, concept_id, arg_min(start, struct_pack(no := no, start := start)) AS start FROM runs GROUP BY ALL")
 def concept_trigger(spark: SparkSession, d: str) -> DataFrame:
     bench = V.table(spark, d, "benchmark").select(F.concat(F.lit("c"), "item_id").alias("concept_id"), tokens(F.col("text")).alias("t"))
     parts = [bench.select("concept_id", F.lit(no).cast("long").alias("no"), F.posexplode(F.slice("t", a, n)).alias("ord", "word")) for no, (a, n) in enumerate(((2, 2), (5, 1)))]
     concepts = parts[0].unionByName(parts[1]).withColumn("ord", F.col("ord").cast("long"))
     return Q.concept_trigger(S.query_term_plan(V.questions(spark, d)).select("fid", "ord", "term"), concepts)
+
+
+@query(f"""WITH {SIGNALS}, {CONCEPTS}, {TRIGGERED} SELECT s.fid, s.path, round(score * CASE WHEN phrase THEN 1.5 ELSE 1.0 END * CASE WHEN (s.fid, concept) IN (SELECT (fid, concept_id) FROM runs) THEN 1.5 ELSE 1.0 END * {STATUS}, 4) AS score
+FROM scores s JOIN pages USING (path) JOIN phrases p ON p.fid = s.fid AND p.path = s.path""")
+def score_signals(spark: SparkSession, d: str) -> DataFrame:
+    pages, questions = V.pages(spark, d), V.questions(spark, d)
+    fields, terms = S.split_fields(pages), S.query_term_plan(questions).where("dropped IS NULL")
+    wanted = terms.select("fid", "term", F.col("term").alias("token"), F.lit(1.0).alias("weight"))
+    found = S.postings(fields).join(wanted.select("token").distinct(), "token", "left_semi")
+    scores = S.bm25f_score(found, S.term_groups(wanted, found), S.corpus_stats(pages, fields))
+    told = S.score_signals(scores, pages, S.phrase_match(questions, pages, scores), concept_trigger(spark, d))
+    return told.withColumn("score", F.round("score", 4))

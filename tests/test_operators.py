@@ -210,3 +210,12 @@ def test_export_writes_links_and_leaves_out_claims(spark, tmp_path):
     change.write_snapshot(change.snapshot_table(spark.createDataFrame([("a", "1")], ["path", "content"]), "s1"), f"{tmp_path}/s")
     change.write_snapshot(change.snapshot_table(spark.createDataFrame([("a", "2")], ["path", "content"]), "s2"), f"{tmp_path}/s")
     assert {(r.snapshot_id, r.content) for r in spark.read.parquet(f"{tmp_path}/s").collect()} == {("s1", "1"), ("s2", "2")}
+
+
+def test_shared_concepts_raise_a_score(spark):
+    pages = spark.createDataFrame([("a", "active", "c1"), ("b", "draft", None), ("c", None, "c2")], "path string, status string, concept string")
+    scores = spark.createDataFrame([(1, x, 2.0) for x in "abc"] + [(2, "a", 2.0)], "fid long, path string, score double")
+    phrases = scores.select("fid", "path", F.lit(False).alias("phrase"))
+    triggers = spark.createDataFrame([(1, "c1"), (1, "c1"), (1, "c3")], "fid long, concept_id string")
+    got = {(r.fid, r.path): round(r.score, 6) for r in search.score_signals(scores, pages, phrases, triggers).collect()}
+    assert got == {(1, "a"): 3.45, (1, "b"): 1.9, (1, "c"): 2.0, (2, "a"): 2.3}
