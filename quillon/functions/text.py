@@ -44,6 +44,25 @@ def stem_sql(token: str) -> str:
     return "coalesce(" + ", ".join(f"nullif(regexp_extract({token}, '{ending}', 1), '') || '{new}'" for ending, new in STEMS) + f", {token})"
 
 
+#: Verb stems after which German writes -et: after d and t, and after m and n behind another consonant (rechnet, not filmt).
+TAKES_ET = "(?:[dt]|.[^aeiouylrhm]m|.[^aeiouylrhn]n|ch[mn])et$"
+
+
+def verb_keys(key: Column) -> Column:
+    """Stems of the verb that a stem in -t, -et or ge-...-t may be a form of; none for other stems."""
+    n, et = F.length(key), key.endswith("et")
+    bare = F.when(et & key.rlike(TAKES_ET), F.left(key, n - 2)).when(~et, F.left(key, n - 1))
+    rest = F.substring(key, F.lit(3), n - F.when(et, 4).otherwise(3))
+    found = F.array_compact(F.array(F.when(n >= 6, bare), F.when(key.startswith("ge") & (F.length(rest) >= 4), rest)))
+    return F.when(key.rlike(r"^\p{L}+t$"), F.array_distinct(found))
+
+
+def verb_keys_sql(key: str) -> str:
+    bare = f"CASE WHEN length({key}) < 6 THEN NULL WHEN NOT ends_with({key}, 'et') THEN {key}[:-2] WHEN regexp_matches({key}, '{TAKES_ET}') THEN {key}[:-3] END"
+    rest = f"nullif(regexp_extract({key}, CASE WHEN ends_with({key}, 'et') THEN '^ge(.{{4,}})et$' ELSE '^ge(.{{4,}})t$' END, 1), '')"
+    return f"CASE WHEN regexp_matches({key}, '^\\p{{L}}+t$') THEN list_distinct([{bare}, {rest}]) END"
+
+
 def fold_key(token: Column) -> Column:
     """One spelling for umlaut digraphs and hyphens."""
     for pair, one in (("ae", "a"), ("oe", "o"), ("ue", "u"), ("-", ""), ("_", "")):

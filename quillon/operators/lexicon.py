@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.settled import settled
-from quillon.functions.text import fold_key, stem
+from quillon.functions.text import fold_key, stem, verb_keys
 from quillon.operators.search import FUNCTION_WORDS
 
 #: Weights of the rules by which a token counts for a word.
@@ -44,18 +44,25 @@ def weight_of(rule: str) -> Column:
 
 
 def family_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """term, token, rule, weight: tokens with the term's spelling, folded spelling or stem; the best rule of a token wins.
+    """term, token, rule, weight: tokens with the term's spelling, folded spelling or stem, and forms of the same verb; the best rule of a token wins.
 
-    Function words match only themselves. Keys are computed once per distinct token, and joined on equality.
+    Function words match only themselves. A form in -t counts for a term that may be a verb (in -n, or a bare stem).
+    Keys are computed once per distinct token, and joined on equality.
     """
     named = terms.select("term").distinct()
-    closed = F.col("term").isin(FUNCTION_WORDS) | F.col("token").isin(FUNCTION_WORDS)
+    open_words = vocabulary.where(~F.col("token").isin(FUNCTION_WORDS)).select("token")
+    asked = named.where(~F.col("term").isin(FUNCTION_WORDS))
     found = named.join(vocabulary.select("token"), F.col("term") == F.col("token")).withColumn("rule", F.lit("exact"))
     for rule, key in (("fold", fold_key), ("stem", stem)):
-        joined = named.withColumn("key", key(F.col("term"))).join(vocabulary.select("token", key(F.col("token")).alias("key")), "key").where(~closed)
+        joined = asked.withColumn("key", key(F.col("term"))).join(open_words.withColumn("key", key(F.col("token"))), "key")
         found = found.unionByName(joined.select("term", "token").withColumn("rule", F.lit(rule)))
+    asked, words = asked.withColumn("stem", stem(F.col("term"))), open_words.withColumn("stem", stem(F.col("token")))
+    may_be_verb = F.col("stem").rlike(r"^\p{L}+$") & (F.col("term").endswith("n") | (F.col("term") == F.col("stem")))
+    left = asked.where(may_be_verb).select("term", F.col("stem").alias("key"), F.lit(True).alias("bare")).unionByName(asked.select("term", F.explode(verb_keys(F.col("stem"))).alias("key"), F.lit(False).alias("bare")))
+    right = words.select("token", F.col("stem").alias("key"), F.lit(True).alias("base")).unionByName(words.select("token", F.explode(verb_keys(F.col("stem"))).alias("key"), F.lit(False).alias("base")))
+    verbs = left.join(right, "key").where("NOT (bare AND base)").select("term", "token", F.lit("verb").alias("rule"))
     weight = F.create_map(*(F.lit(x) for k, v in RULE_WEIGHTS.items() for x in (k, v)))[F.col("rule")]
-    best = found.withColumn("weight", weight).groupBy("term", "token").agg(F.max(F.struct("weight", "rule")).alias("b"))
+    best = found.unionByName(verbs).withColumn("weight", weight).groupBy("term", "token").agg(F.max(F.struct("weight", "rule")).alias("b"))
     return best.select("term", "token", "b.rule", "b.weight")
 
 
@@ -100,22 +107,35 @@ def typo_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return met.where(near).select("term", "token", F.lit("typo").alias("rule"), weight_of("typo").alias("weight"))
 
 
+def pieces(wholes: DataFrame) -> DataFrame:
+    """whole, start, stop, part: every run of at least MIN_PART letters of a word; MAX_COMPOUND bounds their number."""
+    runs = wholes.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("whole") - MIN_PART)))
+    runs = runs.withColumn("stop", F.explode(F.sequence(F.col("start") + MIN_PART, F.length("whole"))))
+    return runs.select("whole", "start", "stop", F.substring(F.col("whole"), F.col("start") + 1, F.col("stop") - F.col("start")).alias("part"))
+
+
 def compound_join(terms: DataFrame, vocabulary: DataFrame, links: tuple[str, ...] = LINKS) -> DataFrame:
-    """term, token, rule, weight: tokens of two parts, both vocabulary words of at least MIN_PART letters, with the term as head or modifier.
+    """term, token, rule, weight: tokens that hold the term, without their endings, as last part (head) or as another part (modifier).
 
-    Each distinct token is cut at every place and linking element; cuts meet the vocabulary by equality.
+    All letters before and after the term must be words of the vocabulary, one or more, with or without linking elements.
+    Runs of letters of each distinct token meet the terms by equality; only tokens that hold one are cut into their
+    parts, which meet the vocabulary by equality. What can be reached from either end is one fold over a word's parts.
     """
-    words = vocabulary.where((F.length("token") >= MIN_PART) & ~F.col("token").isin(FUNCTION_WORDS)).select(F.col("token").alias("part"))
-    whole = vocabulary.where(F.length("token").between(2 * MIN_PART, MAX_COMPOUND)).select("token")
-    cuts = whole.select("token", F.explode(F.sequence(F.lit(MIN_PART), F.length("token") - MIN_PART)).alias("at"))
-    head = F.substring(F.col("token"), F.col("at") + 1, F.length("token"))
-    before = F.substring(F.col("token"), F.lit(1), F.col("at"))
-    variants = F.array_compact(F.array(*(F.when(before.endswith(x) & (F.length(before) >= MIN_PART + len(x)), F.substring(before, F.lit(1), F.length(before) - len(x))) for x in links)))
-    split = cuts.select("token", head.alias("head"), F.explode(variants).alias("modifier"))
-    named = terms.select("term").distinct().where((F.length("term") >= MIN_PART) & ~F.col("term").isin(FUNCTION_WORDS))
-    as_head = split.join(named, F.col("head") == F.col("term")).join(words.withColumnRenamed("part", "modifier"), "modifier", "left_semi").select("term", "token").withColumn("rule", F.lit("compound_head"))
-    as_modifier = split.join(named, F.col("modifier") == F.col("term")).join(words.withColumnRenamed("part", "head"), "head", "left_semi").select("term", "token").withColumn("rule", F.lit("compound_modifier"))
-    found = as_head.unionByName(as_modifier).groupBy("term", "token").agg(F.min("rule").alias("rule"))
+    letters = lambda c: F.col(c).rlike(r"^\p{L}+$") & ~F.col(c).isin(FUNCTION_WORDS)
+    named = terms.where(letters("term")).select("term", stem(F.col("term")).alias("part")).distinct().where(F.length("part") >= MIN_PART)
+    whole = vocabulary.where(letters("token")).select("token", stem(F.col("token")).alias("whole")).where(F.length("whole").between(2 * MIN_PART, MAX_COMPOUND))
+    runs = pieces(whole.select("whole").distinct()).where("NOT (start = 0 AND stop = length(whole))")
+    held = settled(runs.join(named, "part").select("term", "whole", "start", "stop"))
+    parts = pieces(held.select("whole").distinct()).join(words_of(vocabulary), "part", "left_semi").groupBy("whole").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
+    word = F.col("whole")
+    after = lambda at: F.array_compact(F.array(*(F.when(F.substring(word, at + 1, F.lit(len(x))) == x, at + len(x)) for x in links)))
+    before = lambda at: F.array_compact(F.array(*(F.when((at >= len(x)) & (F.substring(word, at - len(x) + 1, F.lit(len(x))) == x), at - len(x)) for x in links)))
+    starts = F.aggregate(F.array_sort("parts"), F.array(F.lit(0)), lambda got, p: F.when(F.array_contains(got, p["start"]), F.array_union(got, after(p["stop"]))).otherwise(got))
+    by_stop = F.reverse(F.array_sort(F.transform("parts", lambda p: F.struct(p["stop"].alias("stop"), p["start"].alias("start")))))
+    stops = F.aggregate(by_stop, F.array(F.length(word)), lambda got, p: F.when(F.array_contains(got, p["stop"]), F.array_union(got, before(p["start"]))).otherwise(got))
+    sound = held.join(parts.select("whole", starts.alias("starts"), stops.alias("stops")), "whole").where("array_contains(starts, start) AND array_contains(stops, stop)")
+    place = F.when(F.col("stop") == F.length("whole"), "compound_head").otherwise("compound_modifier")
+    found = sound.groupBy("term", "whole").agg(F.min(place).alias("rule")).join(whole, "whole").select("term", "token", "rule")
     return found.withColumn("weight", F.when(F.col("rule") == "compound_head", weight_of("compound_head")).otherwise(weight_of("compound_modifier")))
 
 

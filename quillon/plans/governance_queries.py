@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import fold_sql, stem_sql
+from quillon.functions.text import fold_sql, stem_sql, verb_keys_sql
 from quillon.operators import governance as G
 from quillon.operators import lexicon as L
 from quillon.operators import search as S
@@ -21,11 +21,23 @@ def _terms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return S.query_term_plan(V.questions(spark, d)).where("dropped IS NULL"), S.build_vocabulary(S.split_fields(V.pages(spark, d)))
 
 
-FAMILY = f"""
-family AS (SELECT term, token, max(struct_pack(weight := w, rule := r)) AS b FROM (
-  SELECT term, token, 1.0::DOUBLE AS w, 'exact' AS r FROM asked JOIN vocabulary ON term = token
-  UNION ALL SELECT term, token, 0.9, 'fold' FROM asked JOIN vocabulary ON {fold_sql("term")} = {fold_sql("token")} WHERE term NOT IN ({WORDS}) AND token NOT IN ({WORDS})
-  UNION ALL SELECT term, token, 0.6, 'stem' FROM asked JOIN vocabulary ON {stem_sql("term")} = {stem_sql("token")} WHERE term NOT IN ({WORDS}) AND token NOT IN ({WORDS})) GROUP BY ALL)"""
+LETTERS = "^\\p{L}+$"
+
+
+def family_sql(name: str, asked: str) -> str:
+    return f"""
+{name}_asked AS (SELECT term, {stem_sql("term")} AS key FROM {asked} WHERE term NOT IN ({WORDS})),
+{name}_words AS (SELECT token, {stem_sql("token")} AS key FROM vocabulary WHERE token NOT IN ({WORDS})),
+{name}_left AS (SELECT term, key, true AS bare FROM {name}_asked WHERE regexp_matches(key, '{LETTERS}') AND (ends_with(term, 'n') OR term = key) UNION ALL SELECT term, unnest({verb_keys_sql("key")}), false FROM {name}_asked),
+{name}_right AS (SELECT token, key, true AS base FROM {name}_words UNION ALL SELECT token, unnest({verb_keys_sql("key")}), false FROM {name}_words),
+{name} AS (SELECT term, token, max(struct_pack(weight := w, rule := r)) AS b FROM (
+  SELECT term, token, 1.0::DOUBLE AS w, 'exact' AS r FROM {asked} JOIN vocabulary ON term = token
+  UNION ALL SELECT term, token, 0.9, 'fold' FROM {name}_asked a JOIN {name}_words v ON {fold_sql("term")} = {fold_sql("token")}
+  UNION ALL SELECT term, token, 0.6, 'stem' FROM {name}_asked a JOIN {name}_words v ON a.key = v.key
+  UNION ALL SELECT term, token, 0.5, 'verb' FROM {name}_left a JOIN {name}_right v ON a.key = v.key WHERE NOT (bare AND base)) GROUP BY ALL)"""
+
+
+FAMILY = family_sql("family", "asked")
 
 
 @query(f"WITH {VOCABULARY}, {FAMILY} SELECT term, token, b.rule AS rule, b.weight AS weight FROM family")
@@ -57,8 +69,9 @@ def derived_join(spark: SparkSession, d: str) -> DataFrame:
     return L.derived_join(corpus_terms(vocabulary), vocabulary)
 
 
+WORD_PARTS = f"word_parts AS (SELECT DISTINCT part FROM (SELECT unnest([token, {stem_sql('token')}]) AS part FROM vocabulary WHERE regexp_matches(token, '{LETTERS}') AND token NOT IN ({WORDS})) WHERE length(part) >= 4)"
 LINKED = f"""
-word_parts AS (SELECT DISTINCT part FROM (SELECT unnest([token, {stem_sql("token")}]) AS part FROM vocabulary WHERE regexp_matches(token, '^\\p{{L}}+$') AND token NOT IN ({WORDS})) WHERE length(part) >= 4),
+{WORD_PARTS},
 keyed_terms AS (SELECT term, {stem_sql("term")} AS key FROM (SELECT DISTINCT term FROM split_terms) WHERE regexp_matches(term, '^\\p{{L}}+$') AND term NOT IN ({WORDS})),
 term_cuts AS (SELECT term, key, substr(term, length(key) + 1) AS ending, substr(key, 1, place) AS before, substr(key, place + 1) AS rest FROM (SELECT term, key, unnest(generate_series(4, length(key) - 4)) AS place FROM keyed_terms WHERE length(key) BETWEEN 8 AND 64)),
 split_words AS (SELECT term, ending, before, l AS link, substr(rest, length(l) + 1) AS after FROM term_cuts, (SELECT unnest(['', 's', 'es', 'n', 'en', 'e']) AS l) ls WHERE starts_with(rest, l) AND length(rest) - length(l) >= 4),
@@ -66,9 +79,8 @@ sound AS (SELECT * FROM split_words WHERE before IN (SELECT part FROM word_parts
 variants AS (SELECT term, unnest([before || l || after, before || l || after || ending]) AS token FROM sound, (SELECT unnest(['', 's', 'es', 'n', 'en', 'e']) AS l) ls WHERE l <> link),
 link_variants AS (SELECT DISTINCT term, token FROM variants WHERE token IN (SELECT token FROM vocabulary) AND term <> token),
 heads AS (SELECT term, arg_max(after, length(after)) AS head FROM sound GROUP BY term),
-head_family AS (SELECT DISTINCT term, token FROM (SELECT term, head AS token FROM heads WHERE head IN (SELECT token FROM vocabulary)
-  UNION ALL SELECT term, token FROM heads JOIN vocabulary ON {fold_sql("head")} = {fold_sql("token")} WHERE head NOT IN ({WORDS}) AND token NOT IN ({WORDS})
-  UNION ALL SELECT term, token FROM heads JOIN vocabulary ON {stem_sql("head")} = {stem_sql("token")} WHERE head NOT IN ({WORDS}) AND token NOT IN ({WORDS})) WHERE term <> token)"""
+head_words AS (SELECT DISTINCT head AS term FROM heads), {family_sql("family_of_heads", "head_words")},
+head_family AS (SELECT DISTINCT h.term, f.token FROM heads h JOIN family_of_heads f ON f.term = h.head WHERE h.term <> f.token)"""
 
 
 @query(f"WITH {VOCABULARY}, split_terms AS (SELECT token AS term FROM vocabulary), {LINKED} SELECT term, token, 'compound_link' AS rule, 0.45::DOUBLE AS weight FROM link_variants")
@@ -90,20 +102,25 @@ def typo_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 COMPOUND = f"""
-parts AS (SELECT token AS part FROM vocabulary WHERE length(token) >= 4 AND token NOT IN ({WORDS})),
-cuts AS (SELECT token, substr(token, place + 1) AS head, substr(token, 1, place) AS front FROM (SELECT token, unnest(generate_series(4, length(token) - 4)) AS place FROM vocabulary WHERE length(token) BETWEEN 8 AND 64)),
-split AS (SELECT token, head, substr(front, 1, length(front) - length(l)) AS modifier FROM cuts, (SELECT unnest(['', 's', 'es', 'n', 'en', 'e']) AS l) ls WHERE (l = '' OR ends_with(front, l)) AND length(front) >= 4 + length(l)),
-named AS (SELECT term FROM asked WHERE length(term) >= 4 AND term NOT IN ({WORDS})),
-compound AS (SELECT term, token, min(rule) AS rule FROM (SELECT term, token, 'compound_head' AS rule FROM split JOIN named ON head = term WHERE modifier IN (SELECT part FROM parts)
-  UNION ALL SELECT term, token, 'compound_modifier' FROM split JOIN named ON modifier = term WHERE head IN (SELECT part FROM parts)) GROUP BY ALL)"""
-
-
-@query(f"WITH {VOCABULARY}, {COMPOUND} SELECT term, token, rule, CASE rule WHEN 'compound_head' THEN 0.45 ELSE 0.35 END::DOUBLE AS weight FROM compound")
+named AS (SELECT DISTINCT term, {stem_sql("term")} AS part FROM asked WHERE regexp_matches(term, '{LETTERS}') AND term NOT IN ({WORDS})),
+wholes AS (SELECT token, {stem_sql("token")} AS whole FROM vocabulary WHERE regexp_matches(token, '{LETTERS}') AND token NOT IN ({WORDS})),
+pieces AS (SELECT whole, start, stop, substr(whole, start + 1, stop - start) AS part FROM (SELECT whole, start, unnest(generate_series(start + 4, length(whole))) AS stop
+  FROM (SELECT whole, unnest(generate_series(0, length(whole) - 4)) AS start FROM (SELECT DISTINCT whole FROM wholes WHERE length(whole) BETWEEN 8 AND 64)))),
+held AS (SELECT term, whole, start, stop FROM pieces JOIN named USING (part) WHERE stop - start < length(whole)),
+edges AS (SELECT whole, start, stop FROM pieces WHERE whole IN (SELECT whole FROM held) AND part IN (SELECT part FROM word_parts)),
+link AS (SELECT unnest(['', 's', 'es', 'n', 'en', 'e']) AS l),
+reached AS (SELECT whole, 0::BIGINT AS place FROM (SELECT DISTINCT whole FROM held) UNION SELECT e.whole, e.stop + length(l) FROM reached r JOIN edges e ON e.whole = r.whole AND e.start = r.place JOIN link ON starts_with(substr(e.whole, e.stop + 1), l)),
+reaching AS (SELECT whole, length(whole)::BIGINT AS place FROM (SELECT DISTINCT whole FROM held) UNION SELECT e.whole, e.start - length(l) FROM reaching r JOIN edges e ON e.whole = r.whole AND e.stop = r.place JOIN link ON ends_with(substr(e.whole, 1, e.start), l)),
+compound AS (SELECT term, token, min(CASE WHEN stop = length(whole) THEN 'compound_head' ELSE 'compound_modifier' END) AS rule FROM held h JOIN wholes USING (whole)
+  WHERE (whole, start) IN (SELECT (whole, place) FROM reached) AND (whole, stop) IN (SELECT (whole, place) FROM reaching) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {VOCABULARY}, {WORD_PARTS}, {COMPOUND} SELECT term, token, rule, CASE rule WHEN 'compound_head' THEN 0.45 ELSE 0.35 END::DOUBLE AS weight FROM compound")
 def compound_join(spark: SparkSession, d: str) -> DataFrame:
     return L.compound_join(*_terms(spark, d))
 
 
-RESOLVED = f"""{FAMILY}, {IRREGULAR}, {COMPOUND}, split_terms AS (SELECT term FROM asked), {LINKED},
+RESOLVED = f"""{FAMILY}, {IRREGULAR}, split_terms AS (SELECT term FROM asked), {LINKED}, {COMPOUND},
 sure AS (SELECT term, token, b.rule AS rule, b.weight AS weight, 0 AS stage FROM family
   UNION ALL SELECT term, token, CASE WHEN crossing THEN 'derived' ELSE 'irregular' END, 0.45::DOUBLE, CASE WHEN crossing THEN 2 ELSE 1 END FROM by_form WHERE term IN (SELECT term FROM asked)
   UNION ALL SELECT term, token, rule, CASE rule WHEN 'compound_head' THEN 0.45 ELSE 0.35 END::DOUBLE, 3 FROM compound),
@@ -114,7 +131,7 @@ every AS (SELECT * FROM staged UNION ALL SELECT term, token, 'typo', 0.3::DOUBLE
 resolved AS (SELECT term, token, rule, weight FROM every QUALIFY row_number() OVER (PARTITION BY term, token ORDER BY stage) = 1)"""
 
 
-@query(f"WITH {VOCABULARY}, {RESOLVED} SELECT term, token, rule, weight FROM resolved")
+@query(f"WITH RECURSIVE {VOCABULARY}, {RESOLVED} SELECT term, token, rule, weight FROM resolved")
 def resolve_terms(spark: SparkSession, d: str) -> DataFrame:
     return L.resolve_terms(*_terms(spark, d))
 

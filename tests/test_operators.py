@@ -219,3 +219,17 @@ def test_shared_concepts_raise_a_score(spark):
     triggers = spark.createDataFrame([(1, "c1"), (1, "c1"), (1, "c3")], "fid long, concept_id string")
     got = {(r.fid, r.path): round(r.score, 6) for r in search.score_signals(scores, pages, phrases, triggers).collect()}
     assert got == {(1, "a"): 3.45, (1, "b"): 1.9, (1, "c"): 2.0, (2, "a"): 2.3}
+
+
+def test_verb_forms_of_a_family(spark):
+    vocabulary = named(spark, "token", "kundigt", "gekundigt", "andert", "rechnet", "gerechnet", "planet", "internet", "filmt")
+    got = {(r.term, r.token): r.rule for r in lexicon.family_join(named(spark, "term", "kundigen", "andere", "rechnen", "kundigt", "plan", "filmen"), vocabulary).collect()}
+    assert got == {("kundigen", "kundigt"): "verb", ("kundigen", "gekundigt"): "verb", ("kundigt", "kundigt"): "exact", ("kundigt", "gekundigt"): "verb", ("rechnen", "rechnet"): "verb", ("rechnen", "gerechnet"): "verb"}
+
+
+def test_compounds_of_many_parts(spark):
+    vocabulary = named(spark, "token", "strom", "netz", "entgelt", "vertrag", "stromnetzentgelt", "stromnetzentgelten", "netzentgeltvertrags", "stromxnetzentgelt", "vertragsstromnetz")
+    got = {(r.term, r.token): r.rule for r in lexicon.compound_join(named(spark, "term", "netz", "entgelt", "strom"), vocabulary).collect()}
+    head, other = "compound_head", "compound_modifier"
+    assert got == {("netz", "stromnetzentgelt"): other, ("netz", "stromnetzentgelten"): other, ("netz", "netzentgeltvertrags"): other, ("netz", "vertragsstromnetz"): head, ("entgelt", "stromnetzentgelt"): head,
+        ("entgelt", "stromnetzentgelten"): head, ("entgelt", "netzentgeltvertrags"): other, ("strom", "stromnetzentgelt"): other, ("strom", "stromnetzentgelten"): other, ("strom", "vertragsstromnetz"): other}
