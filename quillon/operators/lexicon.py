@@ -49,20 +49,18 @@ def family_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     Function words match only themselves. A form in -t counts for a term that may be a verb (in -n, or a bare stem).
     Keys are computed once per distinct token, and joined on equality.
     """
-    named = terms.select("term").distinct()
-    open_words = vocabulary.where(~F.col("token").isin(FUNCTION_WORDS)).select("token")
-    asked = named.where(~F.col("term").isin(FUNCTION_WORDS))
-    found = named.join(vocabulary.select("token"), F.col("term") == F.col("token")).withColumn("rule", F.lit("exact"))
-    for rule, key in (("fold", fold_key), ("stem", stem)):
-        joined = asked.withColumn("key", key(F.col("term"))).join(open_words.withColumn("key", key(F.col("token"))), "key")
-        found = found.unionByName(joined.select("term", "token").withColumn("rule", F.lit(rule)))
-    asked, words = asked.withColumn("stem", stem(F.col("term"))), open_words.withColumn("stem", stem(F.col("token")))
-    may_be_verb = F.col("stem").rlike(r"^\p{L}+$") & (F.col("term").endswith("n") | (F.col("term") == F.col("stem")))
-    left = asked.where(may_be_verb).select("term", F.col("stem").alias("key"), F.lit(True).alias("bare")).unionByName(asked.select("term", F.explode(verb_keys(F.col("stem"))).alias("key"), F.lit(False).alias("bare")))
-    right = words.select("token", F.col("stem").alias("key"), F.lit(True).alias("base")).unionByName(words.select("token", F.explode(verb_keys(F.col("stem"))).alias("key"), F.lit(False).alias("base")))
-    verbs = left.join(right, "key").where("NOT (bare AND base)").select("term", "token", F.lit("verb").alias("rule"))
+    keyed = lambda rule, kind, key: F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), key.alias("key"))
+    each = lambda rule, kind, keys: F.coalesce(F.transform(keys, lambda k: keyed(rule, kind, k)), F.array().cast("array<struct<rule:string,kind:string,key:string>>"))
+    term, token = F.col("term"), F.col("token")
+    may_be_verb = stem(term).rlike(r"^\p{L}+$") & (term.endswith("n") | (term == stem(term)))
+    verbs = F.concat(each("verb", "verb", F.when(may_be_verb, F.array(stem(term)))), each("verb", "stem", verb_keys(stem(term))), each("verb", "verb", verb_keys(stem(term))))
+    asked = F.concat(F.array(keyed("exact", "word", term), keyed("fold", "fold", fold_key(term)), keyed("stem", "stem", stem(term))), verbs)
+    given = F.concat(F.array(keyed("", "word", token), keyed("", "fold", fold_key(token)), keyed("", "stem", stem(token))), each("", "verb", verb_keys(stem(token))))
+    open_only = lambda word, keys: F.when(word.isin(FUNCTION_WORDS), F.slice(keys, 1, 1)).otherwise(keys)
+    left = terms.select("term").distinct().select("term", F.inline(open_only(term, asked)))
+    right = vocabulary.select("token", F.inline(open_only(token, given))).drop("rule")
     weight = F.create_map(*(F.lit(x) for k, v in RULE_WEIGHTS.items() for x in (k, v)))[F.col("rule")]
-    best = found.unionByName(verbs).withColumn("weight", weight).groupBy("term", "token").agg(F.max(F.struct("weight", "rule")).alias("b"))
+    best = left.join(right, ["kind", "key"]).withColumn("weight", weight).groupBy("term", "token").agg(F.max(F.struct("weight", "rule")).alias("b"))
     return best.select("term", "token", "b.rule", "b.weight")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.settled import settled
 from quillon.functions.text import fold_sql, stem_sql, verb_keys_sql
 from quillon.operators import governance as G
 from quillon.operators import lexicon as L
@@ -117,7 +118,8 @@ compound AS (SELECT term, token, min(CASE WHEN stop = length(whole) THEN 'compou
 
 @query(f"WITH RECURSIVE {VOCABULARY}, {WORD_PARTS}, {COMPOUND} SELECT term, token, rule, CASE rule WHEN 'compound_head' THEN 0.45 ELSE 0.35 END::DOUBLE AS weight FROM compound")
 def compound_join(spark: SparkSession, d: str) -> DataFrame:
-    return L.compound_join(*_terms(spark, d))
+    terms, vocabulary = _terms(spark, d)
+    return L.compound_join(terms, settled(vocabulary))
 
 
 RESOLVED = f"""{FAMILY}, {IRREGULAR}, split_terms AS (SELECT term FROM asked), {LINKED}, {COMPOUND},
