@@ -5,23 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import fold_key, stem
+from quillon.functions.text import fold_key, normalize, stem
 
-#: Spelling -> (unit, factor).
-UNITS = {"%": ("percent", 1), "percent": ("percent", 1), "€": ("EUR", 1), "EUR": ("EUR", 1), "kWh": ("kWh", 1), "MWh": ("kWh", 1000), "GWh": ("kWh", 1_000_000), "kW": ("kW", 1), "MW": ("kW", 1000)}
-NUMBER = r"(?:[0-9]+(?:[.,][0-9]+)?)"
-QUANTITY = rf"({NUMBER})\s?(percent|kWh|MWh|GWh|EUR|kW|MW|%|€)"
+#: Unit as written -> (canonical unit, power of ten to it).
+UNITS = {
+    "wh": ("kwh", -3), "kwh": ("kwh", 0), "mwh": ("kwh", 3), "gwh": ("kwh", 6), "twh": ("kwh", 9), "wattstunde": ("kwh", -3), "wattstunden": ("kwh", -3), "kilowattstunde": ("kwh", 0), "kilowattstunden": ("kwh", 0),
+    "megawattstunde": ("kwh", 3), "megawattstunden": ("kwh", 3), "gigawattstunde": ("kwh", 6), "gigawattstunden": ("kwh", 6), "terawattstunde": ("kwh", 9), "terawattstunden": ("kwh", 9),
+    "w": ("kw", -3), "watt": ("kw", -3), "kw": ("kw", 0), "kilowatt": ("kw", 0), "mw": ("kw", 3), "megawatt": ("kw", 3), "gw": ("kw", 6), "gigawatt": ("kw", 6),
+    "ct": ("eur", -2), "cent": ("eur", -2), "eur": ("eur", 0), "euro": ("eur", 0), "€": ("eur", 0), "%": ("prozent", 0), "prozent": ("prozent", 0), "percent": ("prozent", 0),
+}
+#: Number words without marks on letters.
+NUMBER_WORDS = {
+    "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "funf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9, "zehn": 10, "elf": 11, "zwolf": 12, "dreizehn": 13, "vierzehn": 14, "funfzehn": 15, "sechzehn": 16,
+    "siebzehn": 17, "achtzehn": 18, "neunzehn": 19, "zwanzig": 20, "dreissig": 30, "vierzig": 40, "funfzig": 50, "sechzig": 60, "siebzig": 70, "achtzig": 80, "neunzig": 90,
+}
+#: What a number may count, and its forms.
+COUNTED = {
+    "tag": "tag tage tagen tages", "werktag": "werktag werktage werktagen werktages", "kalendertag": "kalendertag kalendertage kalendertagen kalendertages", "woche": "woche wochen", "monat": "monat monate monaten monats",
+    "quartal": "quartal quartale quartalen quartals", "jahr": "jahr jahre jahren jahres", "stunde": "stunde stunden", "minute": "minute minuten", "person": "person personen", "rate": "rate raten",
+}
+COUNT_UNITS = {form: unit for unit, forms in COUNTED.items() for form in forms.split()}
+CANONICAL = {form: unit for form, (unit, _) in UNITS.items()} | COUNT_UNITS
+
+_words = "|".join(NUMBER_WORDS)
+_named = "|".join(x for x in CANONICAL if x.isalpha())
+_glued = "|".join(x for x in UNITS if x.isalpha() and 2 <= len(x) <= 4)
+_dash = "(?:,(?:--?|–))?"
+#: Digits in groups of three, or digits with a decimal sign.
+GROUPED = r"[0-9]{1,3}(?:[. '’][0-9]{3})+(?:,[0-9]{1,6})?"
+DIGITS = rf"(?:{GROUPED}|[0-9]+(?:[.,][0-9]{{1,6}})?)"
+NUMBER = rf"(?:{DIGITS}|(?:{_words})\b)"
+_one = rf"(?:{DIGITS}{_dash}(?:[ \t]*(?:[%€]|(?:{_glued})\b-?)|[ \t]+(?:{_named})\b-?)|(?:{_words})[ \t]+(?:[%€]|(?:{_named})\b-?))"
+_scale = "hundert|tausend|tsd|mio|mrd|million|millionen|milliarde|milliarden"
+_money = rf"(?:€|eur)[ \t]*{DIGITS}{_dash}(?:[%€_\p{{L}}-]|[ \t]*(?:{_scale})\b)?"
+_cited = r"abs\.|absatz|nr\.|nummer|art\.|artikel|ziff\.|ziffer|satz"
+#: What stands before a number that is no quantity of its own: a citation, a sign, another number, the first one of a range.
+_lead = rf"(?:(?:§|{_cited}|minus|plus|komma|[−+±-])[ \t]*|{NUMBER}(?:[ \t]*[–—][ \t]*|[ \t]+bis[ \t]+|[ \t]+)|zwischen[ \t]+{NUMBER}[ \t]+und[ \t]+)"
+#: A number with its unit, with what stands before it and with the second number of its range.
+SPAN = rf"(?:^|[^\p{{L}}\p{{N}}_])(?:zwischen[ \t]+{_one}[ \t]+und[ \t]+{_one}|{_money}|{_lead}??{_one}(?:[ \t]+bis[ \t]+{_one})?)"
+_free = r"[^\p{L}\p{N}_.,'’/:⁄−+±=–—-]?"
+#: A span that is a quantity: number and unit; or an amount of money behind its unit.
+ACCEPTED = rf"^(?:\n?-[ \t]+|{_free})(?:zwischen[ \t]+)?({NUMBER}){_dash}[ \t]*([%€]|{_named})(?:[ \t]|$)"
+MONEY = rf"^{_free}(?:€|eur)[ \t]*({DIGITS}){_dash}$"
 
 
 def extract_quantities(pages: DataFrame) -> DataFrame:
-    """path, value, unit, token: numbers with a known unit, as exact decimals of the canonical unit."""
-    found = pages.select("path", F.explode(F.regexp_extract_all("body", F.lit(QUANTITY), F.lit(0))).alias("q"))
-    number, unit = F.replace(F.regexp_extract("q", QUANTITY, 1), F.lit(","), F.lit(".")), F.regexp_extract("q", QUANTITY, 2)
-    named = F.create_map(*(F.lit(x) for k, (u, _) in UNITS.items() for x in (k, u)))
-    factor = F.create_map(*(F.lit(x) for k, (_, f) in UNITS.items() for x in (k, f)))
-    value = (number.try_cast("decimal(28,6)") * factor[unit]).cast("decimal(38,6)")
-    rows = found.where(number != "").select("path", value.alias("value"), named[unit].alias("unit"))
-    return rows.where("value IS NOT NULL").select("path", F.col("value").cast("double").alias("value"), "unit", F.concat("value", "unit").alias("token"))
+    """path, value, unit, token: numbers with a known unit, as exact decimals of the canonical unit; the token is the same in every notation.
+
+    Number words and digits that a number word names may count days, months and the like; money may stand behind its
+    unit. Citations, signed numbers, scaled amounts and the second number of a range are no quantities.
+    """
+    named = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
+    spans = pages.select("path", F.explode(F.regexp_extract_all(normalize(F.col("body")), F.lit(SPAN), F.lit(0))).alias("q"))
+    money = F.regexp_extract("q", MONEY, 1)
+    found = spans.select("path", F.when(money != "", money).otherwise(F.regexp_extract("q", ACCEPTED, 1)).alias("n"), F.when(money != "", "eur").otherwise(F.regexp_extract("q", ACCEPTED, 2)).alias("u")).where("n <> ''")
+    plain = F.when(F.col("n").rlike(f"^{GROUPED}$"), F.regexp_replace("n", "[. '’]", "")).otherwise(F.col("n"))
+    number = F.coalesce(named(NUMBER_WORDS)[F.col("n")].cast("decimal(21,6)"), F.replace(plain, F.lit(","), F.lit(".")).try_cast("decimal(21,6)"))
+    power = F.coalesce(named({k: p for k, (_, p) in UNITS.items()})[F.col("u")], F.lit(0))
+    value = F.when(power < 0, number * F.pow(F.lit(10), power).cast("decimal(4,3)")).otherwise(number * F.pow(F.lit(10), power).cast("decimal(10,0)")).cast("decimal(38,9)")
+    rows = found.select("path", value.alias("value"), named(CANONICAL)[F.col("u")].alias("unit"), F.col("u").isin(list(COUNT_UNITS)).alias("counted"))
+    rows = rows.where(F.col("value").isNotNull() & (~F.col("counted") | F.col("value").isin(list(NUMBER_WORDS.values()))))
+    return rows.select("path", F.col("value").cast("double").alias("value"), "unit", F.concat(F.lit("="), F.regexp_replace(F.col("value").cast("string"), r"\.?0+$", ""), "unit").alias("token"))
 
 
 def concept_trigger(terms: DataFrame, concepts: DataFrame) -> DataFrame:

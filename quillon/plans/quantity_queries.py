@@ -5,22 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import fold_sql, stem_sql, tokens, tokens_sql
+from quillon.functions.text import fold_sql, normalize_sql, stem_sql, tokens, tokens_sql
 from quillon.operators import quantities as Q
 from quillon.operators import search as S
 from quillon.plans import views as V
 from quillon.plans.search_queries import SIGNALS, STATUS, TERMS, query
 
-UNIT = "CASE u " + " ".join(f"WHEN '{k}' THEN '{u}'" for k, (u, _) in Q.UNITS.items()) + " END"
-FACTOR = "CASE u " + " ".join(f"WHEN '{k}' THEN {f}" for k, (_, f) in Q.UNITS.items()) + " END"
+def cased(column: str, given: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in given.items()) + " END"
 
 
-@query(f"""WITH {V.PAGES}, q AS (SELECT path, unnest(regexp_extract_all(body, '{Q.QUANTITY}')) AS q FROM pages),
-p AS (SELECT path, regexp_extract(q, '{Q.QUANTITY}', 2) AS u, try_cast(replace(regexp_extract(q, '{Q.QUANTITY}', 1), ',', '.') AS DECIMAL(28,6)) AS n FROM q),
-v AS (SELECT path, (n * {FACTOR})::DECIMAL(38,6) AS value, {UNIT} AS unit FROM p WHERE n IS NOT NULL)
-SELECT path, value::DOUBLE AS value, unit, value::VARCHAR || unit AS token FROM v""")
+def quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def amount_pages(pages: DataFrame) -> DataFrame:
+    """Pages with a line of amounts in several notations, and of numbers that are none, behind the text."""
+    n = F.col("page_id") % 50
+    return pages.withColumn("body", F.concat("body", F.lit("\n"), n, F.lit(" MWh, § 3 Monate, "), n, F.lit(" Monate, zwischen 10 € und "), n, F.lit(" €, zwei bis "), n, F.lit(" Prozent, EUR 2.500,"), n, F.lit(", minus "), n, F.lit(" %, drei Wochen")))
+
+
+AMOUNT_PAGES = "amount_pages AS (SELECT path, body || chr(10) || n || ' MWh, § 3 Monate, ' || n || ' Monate, zwischen 10 € und ' || n || ' €, zwei bis ' || n || ' Prozent, EUR 2.500,' || n || ', minus ' || n || ' %, drei Wochen' AS body FROM (SELECT *, page_id % 50 AS n FROM pages))"
+
+
+@query(f"""WITH {V.PAGES}, {AMOUNT_PAGES}, spans AS (SELECT path, unnest(regexp_extract_all({normalize_sql("body")}, '{quoted(Q.SPAN)}')) AS q FROM amount_pages),
+forms AS (SELECT path, regexp_extract(q, '{quoted(Q.MONEY)}', 1) AS money, regexp_extract(q, '{quoted(Q.ACCEPTED)}', 1) AS number, regexp_extract(q, '{quoted(Q.ACCEPTED)}', 2) AS u FROM spans),
+told AS (SELECT path, CASE WHEN money <> '' THEN money ELSE number END AS n, CASE WHEN money <> '' THEN 'eur' ELSE u END AS u FROM forms WHERE money <> '' OR number <> ''),
+amounts AS (SELECT path, u, coalesce({cased("n", Q.NUMBER_WORDS)}::DECIMAL(21,6), try_cast(replace(CASE WHEN regexp_full_match(n, '{quoted(Q.GROUPED)}') THEN regexp_replace(n, '[. ''’]', '', 'g') ELSE n END, ',', '.') AS DECIMAL(21,6)))
+  * coalesce({cased("u", {k: f"{10.0**p:.3f}" for k, (_, p) in Q.UNITS.items()})}, 1.000)::DECIMAL(13,3) AS value FROM told),
+named AS (SELECT path, value::DECIMAL(38,9) AS value, {cased("u", {k: f"'{u}'" for k, u in Q.CANONICAL.items()})} AS unit FROM amounts
+  WHERE value IS NOT NULL AND (u NOT IN ({", ".join(f"'{x}'" for x in Q.COUNT_UNITS)}) OR value IN ({", ".join(map(str, Q.NUMBER_WORDS.values()))})))
+SELECT path, value::DOUBLE AS value, unit, '=' || regexp_replace(value::VARCHAR, '\\.?0+$', '') || unit AS token FROM named""")
 def extract_quantities(spark: SparkSession, d: str) -> DataFrame:
-    return Q.extract_quantities(V.pages(spark, d)).withColumn("token", F.concat(F.regexp_extract("token", r"^([0-9.]+)", 1), "unit"))
+    return Q.extract_quantities(amount_pages(V.pages(spark, d)))
 
 
 CONCEPTS = f"""

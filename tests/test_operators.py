@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import functions as F
 
 from quillon.functions.text import stem, tokens
-from quillon.operators import change, governance, lexicon, passages, search
+from quillon.operators import change, governance, lexicon, passages, quantities, search
 
 
 def test_tokens_fold_marks_and_keep_hyphens(spark):
@@ -233,3 +233,14 @@ def test_compounds_of_many_parts(spark):
     head, other = "compound_head", "compound_modifier"
     assert got == {("netz", "stromnetzentgelt"): other, ("netz", "stromnetzentgelten"): other, ("netz", "netzentgeltvertrags"): other, ("netz", "vertragsstromnetz"): head, ("entgelt", "stromnetzentgelt"): head,
         ("entgelt", "stromnetzentgelten"): head, ("entgelt", "netzentgeltvertrags"): other, ("strom", "stromnetzentgelt"): other, ("strom", "stromnetzentgelten"): other, ("strom", "vertragsstromnetz"): other}
+
+
+def test_quantities_in_every_notation(spark):
+    texts = {"2,5 MWh und 2.500 kWh": ["=2500kwh", "=2500kwh"], "drei Monate": ["=3monat"], "3 Monaten": ["=3monat"], "37 Monate": [], "€ 75 und 75,- € und EUR 25,50": ["=75eur", "=75eur", "=25.5eur"], "§ 3 Monate": [], "Nr. 2 Tage": [],
+        "minus 5 %": [], "−5 %": [], "2 bis 4 Wochen": [], "10 € bis 20 €": ["=10eur"], "zwischen 10 und 20 Prozent": [], "zwischen 10 € und 20 €": ["=10eur"], "10 € und 20 €": ["=10eur", "=20eur"], "€ 1,5 Mio.": [], "- 14 Tage": ["=14tag"],
+        "Wert - 14 Tage": [], "Frist – drei Monate": ["=3monat"], "9,84 ct": ["=0.0984eur"], "3 Monats-Frist": [], "abc5 %": [], "1/5 %": [], "(5 %)": ["=5prozent"], "0 %": ["=0prozent"], "": []}
+    pages = spark.createDataFrame([(t, t) for t in texts], "path string, body string")
+    got = {t: [] for t in texts}
+    for r in quantities.extract_quantities(pages).collect():
+        got[r.path].append(r.token)
+    assert got == texts
