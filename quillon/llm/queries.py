@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import alignment, audit, embeddings, licenses, lines, minhash, mixing, packing, quality, repeats, toxicity
+from quillon.llm import alignment, audit, embeddings, extraction, licenses, lines, minhash, mixing, packing, quality, repeats, toxicity
 from quillon.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "block_order", "doc_order")
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
