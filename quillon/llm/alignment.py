@@ -2,7 +2,7 @@
 
 Tokenizer A is a byte-level BPE, B a BPE of pieces with bytes to fall back on. Both spell a space and the text, so their
 tokens are two partitions of the same bytes: byte ends that both have cut them into groups, and tokens are linked where
-their bytes overlap. A batch of texts is aligned at once, as ends in one run of bytes.
+their bytes overlap. A text is aligned as two rising rows of byte ends.
 
 Counts come from inverted bitmaps. A task numbers its documents in blocks of at most 65,536 and turns the links of a
 block into postings: for each pair of ids one compressed bitmap of the block's documents that hold it (16-bit numbers,
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,6 @@ from quillon.llm.packing import encoder
 BLOCK = 1 << 16
 #: Links that a task holds before it closes a block.
 HELD = 1 << 21
-#: Distinct chunks whose pieces a worker remembers.
-CACHE = 400_000
 SPACE_MARK = "▁"
 
 ROWS = "block long, plane int, pair long, n int, docs binary, doc_id long, low int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -40,92 +39,85 @@ ROWS = "block long, plane int, pair long, n int, docs binary, doc_id long, low i
 DOC = -1
 
 
-class Pieces:
-    """Piece ids of a text by tokenizer B. No piece joins a space to what is before it, so a text without two spaces in a row is cut at spaces and chunks are remembered."""
+class Aligned(NamedTuple):
+    """Numbers of tokens and groups of a text, digest of its groups, and its links as a_id * n_b + b_id."""
 
-    def __init__(self, path: str, limit: int = CACHE):
-        import sentencepiece
+    n_a: int
+    n_b: int
+    n_groups: int
+    digest: str
+    pairs: np.ndarray
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.limit, self.known = limit, {}
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
-        self.spelled = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.apart = all(not p.strip(SPACE_MARK) or SPACE_MARK not in p[1:] for p in pieces)
-
-    def __call__(self, text: str) -> list[int]:
-        if not self.apart or "  " in text or text[:1] == " ":
-            return self.model.encode(text, num_threads=1)
-        chunks, known = text.split(" "), self.known
-        new = [x for x in dict.fromkeys(chunks) if x and x not in known]
-        own = dict(zip(new, self.model.encode(new, num_threads=1))) if new else {}
-        # an empty chunk ends a text: its space stands alone
-        own[""] = self.model.encode("a ", num_threads=1)[-1:]
-        if len(known) < self.limit:
-            known.update((k, v) for k, v in own.items() if len(k) < 64)
-        out: list[int] = []
-        for chunk in chunks:
-            out += own.get(chunk) or known[chunk]
-        return out
-
-
-class Pair:
-    """Both tokenizers of a worker, with the bytes of each id."""
-
-    def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = encoder(path_a), Pieces(path_b)
-        encoding = self.a.encoding
-        self.spelled_a = [encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)]
-        self.length_a = np.array([len(x) for x in self.spelled_a], np.int64)
-        self.length_b = np.array([len(x) for x in self.b.spelled], np.int64)
-
-    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text by A and B; none if either does not spell a space and the text."""
-        none = np.empty(0, np.int64)
-        if not text or SPACE_MARK in text:
-            return none, none
-        a = np.frombuffer(self.a(" " + text), "<u4").astype(np.int64)
-        b = np.array(self.b(text), np.int64)
-        said = b" " + text.encode("utf-8", "surrogatepass")
-        alike = self.length_a[a].sum() == len(said) == self.length_b[b].sum()
-        if not alike or b"".join(map(self.spelled_a.__getitem__, a.tolist())) != said or b"".join(map(self.b.spelled.__getitem__, b.tolist())) != said:
-            return none, none
-        return a, b
 
+NOTHING = Aligned(0, 0, 0, "", np.empty(0, np.int64))
 
-_pairs: dict[tuple[str, str], Pair] = {}
 
+def ends_shared(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of A, and of B, end where one of the other ends."""
+    return end_b[np.searchsorted(end_b, end_a)] == end_a, end_a[np.searchsorted(end_a, end_b)] == end_b
 
-def pair_of(path_a: str | None, path_b: str | None) -> Pair:
-    """The tokenizers of this worker. Paths: ranks of a byte-level BPE and a piece model; None: the public ones."""
-    import public_tokenizers
 
-    key = path_a or public_tokenizers.path("byte_bpe_50k.tiktoken"), path_b or public_tokenizers.path("piece_bpe_32k.model")
-    if key not in _pairs:
-        _pairs[key] = Pair(*key)
-    return _pairs[key]
+def links(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in A, in B) of tokens that share a byte; ends rise in both, to the same last one."""
+    first = np.concatenate([[0], np.searchsorted(end_b, end_a[:-1], "right")])
+    n = np.searchsorted(end_b, end_a) + 1 - first
+    at_a = np.repeat(np.arange(len(end_a)), n)
+    return at_a, np.arange(len(at_a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-def written_groups(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> tuple[int, str]:
-    """Number of groups of a text and their digest: `a1,a2|b1;a3|b2,b3`."""
-    common = np.intersect1d(end_a, end_b, assume_unique=True)
-    cut_a, cut_b = (np.searchsorted(x, common).tolist() for x in (end_a, end_b))
-    said_a, said_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    parts, i, j = [], 0, 0
-    for p, q in zip(cut_a, cut_b):
-        p, q = p + 1, q + 1
-        parts.append((said_a[i] if p == i + 1 else ",".join(said_a[i:p])) + "|" + (said_b[j] if q == j + 1 else ",".join(said_b[j:q])))
-        i, j = p, q
-    return len(parts), hashlib.sha256(";".join(parts).encode()).hexdigest()
+class Aligner:
+    """Both tokenizers of a worker."""
 
+    def __init__(self, path_a: str, path_b: str, n_b: int):
+        import sentencepiece
+
+        # ranks alone: special tokens in a text are text
+        self.encoding, self.model, self.n_b = encoder(path_a).encoding, sentencepiece.SentencePieceProcessor(model_file=path_b), n_b
+        n_a, pieces = self.encoding.n_vocab, [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        if len(pieces) > n_b:
+            raise ValueError(f"tokenizer B has {len(pieces)} ids, more than {n_b}")
+        self.spelled_a = [self.encoding.decode_single_token_bytes(i) for i in range(n_a)]
+        self.spelled_b = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.spelled_a, self.spelled_b))
+        # an id with what stands behind it: in its group or at its end, for A and for B
+        self.n_a, ends = n_a, ((n_a, b","), (n_a, b"|"), (n_b, b","), (n_b, b";"))
+        self.written = np.array([b"%d%s" % (i, end) for n, end in ends for i in range(n)], object)
+
+    def groups(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> tuple[int, bytes]:
+        """Number of groups, and the groups: `a1,a2|b1;a3|b2,b3`."""
+        last_a, last_b = ends_shared(end_a, end_b)
+        cut_a, cut_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        out = np.empty(len(a) + len(b), np.int64)
+        # ids of A stand behind all of B in earlier groups, those of B behind all of A up to their own
+        out[np.arange(len(a)) + np.concatenate([[0], cut_b])[np.cumsum(last_a) - last_a]] = a + last_a * self.n_a
+        out[np.arange(len(b)) + cut_a[np.cumsum(last_b) - last_b]] = b + 2 * self.n_a + last_b * self.n_b
+        return len(cut_a), b"".join(self.written[out].tolist())[:-1]
+
+    def __call__(self, text: str | None) -> Aligned:
+        """``text`` behind a space; nothing if a tokenizer does not spell just that."""
+        if not text or SPACE_MARK in text:
+            return NOTHING
+        a, b = self.encoding.encode_ordinary(" " + text), self.model.encode(text, num_threads=1)
+        if not b"".join([self.spelled_a[i] for i in a]) == b"".join([self.spelled_b[i] for i in b]) == b" " + text.encode():
+            return NOTHING
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        n_groups, written = self.groups(a, b, end_a, end_b)
+        at_a, at_b = links(end_a, end_b)
+        return Aligned(len(a), len(b), n_groups, hashlib.sha256(written).hexdigest(), a[at_a] * self.n_b + b[at_b])
 
-def links(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in A, in B) of tokens that share a byte; ends rise in both."""
-    start_a = np.concatenate([[0], end_a[:-1]])
-    start_b = np.concatenate([[0], end_b[:-1]])
-    first = np.searchsorted(end_b, start_a, "right")
-    n = np.searchsorted(start_b, end_a, "left") - first
-    at_a = np.repeat(np.arange(len(end_a)), n)
-    return at_a, np.arange(len(at_a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+_aligners: dict[tuple, Aligner] = {}
+
+
+def aligner_of(path_a: str | None, path_b: str | None, n_b: int) -> Aligner:
+    """The tokenizers of this worker. Paths: ranks of a byte-level BPE and a piece model; None: the public ones."""
+    import public_tokenizers
+
+    key = path_a or public_tokenizers.path("byte_bpe_50k.tiktoken"), path_b or public_tokenizers.path("piece_bpe_32k.model"), n_b
+    if key not in _aligners:
+        _aligners[key] = Aligner(*key)
+    return _aligners[key]
 
 
 def container(low: np.ndarray) -> bytes:
@@ -164,18 +156,13 @@ class Block:
         self.pairs: list[np.ndarray] = []
         self.lows: list[np.ndarray] = []
 
-    def add(self, doc_id: int | None, a: np.ndarray, b: np.ndarray, tokens: Pair, n_b: int) -> None:
-        low = len(self.docs)
-        if not len(a):
-            self.docs.append((doc_id, low, 0, 0, 0, 0, ""))
-            return
-        end_a, end_b = np.cumsum(tokens.length_a[a]), np.cumsum(tokens.length_b[b])
-        at_a, at_b = links(end_a, end_b)
-        n_groups, digest = written_groups(a, b, end_a, end_b)
-        self.docs.append((doc_id, low, len(a), len(b), n_groups, len(at_a), digest))
-        self.pairs.append(a[at_a] * n_b + b[at_b])
-        self.lows.append(np.full(len(at_a), low, np.int64))
-        self.n_links += len(at_a)
+    def add(self, doc_id: int | None, found: Aligned) -> None:
+        low, n = len(self.docs), len(found.pairs)
+        self.docs.append((doc_id, low, found.n_a, found.n_b, found.n_groups, n, found.digest))
+        if n:
+            self.pairs.append(found.pairs)
+            self.lows.append(np.full(n, low, np.int64))
+            self.n_links += n
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         schema = [x.split() for x in ROWS.split(", ")]
@@ -200,15 +187,13 @@ class Block:
             yield batch(len(met), plane=pa.array(np.full(len(met), plane), pa.int32()), pair=pa.array(met), n=pa.array(n, pa.int32()), docs=docs)
 
 
-def _postings(path_a: str | None, path_b: str | None, held: int):
+def _postings(path_a: str | None, path_b: str | None, n_b: int, held: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task = pair_of(path_a, path_b), TaskContext.get().partitionId()
-        n_b, n_blocks = len(tokens.length_b), 0
+        align_text, task, n_blocks = aligner_of(path_a, path_b, n_b), TaskContext.get().partitionId(), 0
         block = Block(task << 32)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                a, b = tokens.ids(text)
-                block.add(doc_id, a, b, tokens, n_b)
+                block.add(doc_id, align_text(text))
                 if len(block.docs) == BLOCK or block.n_links >= held:
                     yield from block.rows()
                     n_blocks += 1
@@ -274,7 +259,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     best. An empty table gives an empty table. Other columns are ignored.
     """
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = cut(read.mapInArrow(_postings(path_a, path_b, held), ROWS), "postings")
+    rows = cut(read.mapInArrow(_postings(path_a, path_b, n_b, held), ROWS), "postings")
     postings = rows.where(F.col("plane") >= 0)
     counts = pair_counts(postings).drop("links").withColumn("a", F.floor(F.col("pair") / n_b))
     best = counts.groupBy("a").agg(F.max("count").alias("most"))

@@ -341,7 +341,8 @@ def fit_model(labelled: DataFrame, max_pages: int = MAX_PAGES) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit(pages)).encode()], pa.binary())], names=["model"])
 
     sample = labelled.select(F.col("html").cast("string")).orderBy(F.xxhash64("html")).limit(max_pages)
-    return sample.coalesce(1).mapInArrow(learn, "model binary").first()[0]
+    held = sample.repartition(1).mapInArrow(learn, "model binary").first()
+    return held[0] if held else json.dumps(fit([])).encode()
 
 
 def extract(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
