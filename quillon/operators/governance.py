@@ -107,68 +107,6 @@ def lint_report(findings: DataFrame, errors: tuple[str, ...]) -> DataFrame:
     return findings.groupBy("code").agg(F.count("*").alias("n")).select("code", level.alias("level"), "n")
 
 
-def source_units(sources: DataFrame, lines_per_unit: int = 5) -> DataFrame:
-    """source_no, unit, kind, n_lines: citable units; a new page every few lines."""
-    lines = sources.select("source_no", "unit_kind", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    unit = (F.floor(F.col("line_no") / lines_per_unit) + 1).cast("long").alias("unit")
-    return lines.groupBy("source_no", F.col("unit_kind").alias("kind"), unit).agg(F.count_if(F.trim("line") != "").alias("n_lines")).where("n_lines > 0")
-
-
-#: Forms of a locator besides the whole document.
-LOCATOR_FORMS = ("page", "slide", "section", "heading", "sheet", "timestamp")
-LOCATOR = r"^\s*([A-Za-z]+)\s*=\s*(.*?)\s*$"
-RANGE = r"^([0-9]+)(?:\s*-\s*([0-9]+))?$"
-
-
-def named_units(citations: DataFrame, units: DataFrame) -> DataFrame:
-    """source_no, locator, form, low, high, state, n_units, total. Each distinct locator is resolved once.
-
-    A locator names units of its own kind: pages and slides by a number or a range, whose two ends must be there and in
-    order; others by their mark. Other spellings are unchecked; a known form that names no unit of the source is unresolved.
-    """
-    parsed = citations.select("source_no", "locator").distinct()
-    form = F.when(F.lower(F.trim("locator")) == "document", "document").otherwise(F.lower(F.regexp_extract("locator", LOCATOR, 1)))
-    parsed = parsed.withColumn("form", F.when(form.isin("document", *LOCATOR_FORMS), form)).withColumn("value", F.regexp_extract("locator", LOCATOR, 2))
-    number = lambda i: F.nullif(F.regexp_extract("value", RANGE, i), F.lit("")).try_cast("long")
-    parsed = parsed.withColumn("low", number(1)).withColumn("high", F.coalesce(number(2), number(1)))
-    single = ~F.col("form").isin("page", "slide") & (F.col("low") != F.col("high"))
-    parsed = parsed.withColumns({"low": F.when(~single, F.col("low")), "high": F.when(~single, F.col("high"))}).drop("value")
-    unit, own = F.col("unit"), F.coalesce(F.col("kind") == F.col("form"), F.lit(False))
-    hits = parsed.join(units.select("source_no", "unit", "kind"), "source_no", "left").groupBy("source_no", "locator", "form", "low", "high")
-    within = F.when(F.col("form") == "document", unit.isNotNull()).otherwise(own & unit.between(F.col("low"), F.col("high")))
-    hits = hits.agg(F.count_if(F.coalesce(within, F.lit(False))).alias("n"), F.count_if(F.coalesce(own & unit.isin(F.col("low"), F.col("high")), F.lit(False))).alias("ends"), F.count("unit").alias("total"))
-    whole = (F.col("form") == "document") | (F.col("ends") == F.when(F.col("low") == F.col("high"), 1).otherwise(2))
-    state = F.when(F.col("form").isNull(), "unchecked").when((F.col("n") > 0) & whole, "resolved").otherwise("unresolved")
-    return hits.select("source_no", "locator", "form", "low", "high", state.alias("state"), F.when(state == "resolved", F.col("n")).otherwise(0).alias("n_units"), "total")
-
-
-def locator_resolve(citations: DataFrame, units: DataFrame) -> DataFrame:
-    """claim_id, source_no, locator, state, n_units: what a locator names, by the rules of :func:`named_units`."""
-    told = named_units(citations, units).select("source_no", "locator", "state", "n_units")
-    return citations.join(told, ["source_no", "locator"]).select("claim_id", "source_no", "locator", "state", "n_units")
-
-
-def cited_units(citations: DataFrame, units: DataFrame) -> DataFrame:
-    """source_no, unit: units that live claims cite by a locator that does not name the whole of a source of several units."""
-    live = citations.where("claim_status IN ('active', 'disputed')")
-    narrow = named_units(live, units).where("state = 'resolved' AND (total = 1 OR n_units < total)")
-    return narrow.join(units.select("source_no", "unit"), "source_no").where("form = 'document' OR unit BETWEEN low AND high").select("source_no", "unit").distinct()
-
-
-def source_coverage(citations: DataFrame, units: DataFrame) -> DataFrame:
-    """source_no, total, cited."""
-    got = cited_units(citations, units).withColumn("hit", F.lit(1))
-    return units.join(got, ["source_no", "unit"], "left").groupBy("source_no").agg(F.count("*").alias("total"), F.count("hit").alias("cited"))
-
-
-def uncited_runs(citations: DataFrame, units: DataFrame) -> DataFrame:
-    """source_no, label: neighbouring units that nobody cites, as one range."""
-    left = units.select("source_no", "kind", "unit").join(cited_units(citations, units), ["source_no", "unit"], "left_anti")
-    island = F.col("unit") - F.row_number().over(Window.partitionBy("source_no").orderBy("unit"))
-    runs = left.withColumn("island", island).groupBy("source_no", "kind", "island").agg(F.min("unit").alias("a"), F.max("unit").alias("b"))
-    return runs.select("source_no", F.concat("kind", F.lit("="), F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat("a", F.lit("-"), "b"))).alias("label"))
-
-
 def directory_index(pages: DataFrame) -> DataFrame:
     """directory, n, entries: one sorted listing per directory with titles and statuses that are not the default."""
     entry = F.concat(F.lit("- ["), "title", F.lit("]("), "path", F.lit(")"), F.when(F.col("status") != "active", F.concat(F.lit(" ("), "status", F.lit(")"))).otherwise(""))

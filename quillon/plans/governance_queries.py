@@ -226,40 +226,6 @@ def graph_links(spark: SparkSession, d: str) -> DataFrame:
     return G.graph_links(V.pages(spark, d), V.links(spark, d))
 
 
-EVIDENCE = V.CITATIONS + ", " + V.SOURCES + """,
-unit_lines AS (SELECT source_no, unit_kind, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM sources),
-units AS (SELECT source_no, unit_kind AS kind, (line_no // 5 + 1)::BIGINT AS unit, count(*) FILTER (trim(line) <> '') AS n_lines FROM unit_lines GROUP BY ALL HAVING count(*) FILTER (trim(line) <> '') > 0),
-forms AS (SELECT DISTINCT source_no, locator, CASE WHEN lower(trim(locator)) = 'document' THEN 'document' WHEN lower(regexp_extract(locator, '^\\s*([A-Za-z]+)\\s*=', 1)) IN ('page', 'slide', 'section', 'heading', 'sheet', 'timestamp') THEN lower(regexp_extract(locator, '^\\s*([A-Za-z]+)\\s*=', 1)) END AS form,
-  trim(regexp_extract(locator, '=(.*)$', 1)) AS value FROM citations),
-ends_of AS (SELECT source_no, locator, form, try_cast(nullif(regexp_extract(value, '^([0-9]+)(?:\\s*-\\s*[0-9]+)?$', 1), '') AS BIGINT) AS a, try_cast(nullif(regexp_extract(value, '^[0-9]+\\s*-\\s*([0-9]+)$', 1), '') AS BIGINT) AS z FROM forms),
-parsed AS (SELECT source_no, locator, form, CASE WHEN form IN ('page', 'slide') OR z IS NULL OR z = a THEN a END AS low, CASE WHEN form IN ('page', 'slide') OR z IS NULL OR z = a THEN coalesce(z, a) END AS high FROM ends_of),
-hits AS (SELECT p.source_no, p.locator, form, low, high, count(*) FILTER (CASE WHEN form = 'document' THEN unit IS NOT NULL ELSE kind = form AND unit BETWEEN low AND high END) AS n_units, count(*) FILTER (kind = form AND unit IN (low, high)) AS ends, count(unit) AS total
-  FROM parsed p LEFT JOIN units u ON u.source_no = p.source_no GROUP BY ALL),
-told AS (SELECT source_no, locator, form, low, high, total, CASE WHEN form IS NULL THEN 'unchecked' WHEN n_units > 0 AND (form = 'document' OR ends = CASE WHEN low = high THEN 1 ELSE 2 END) THEN 'resolved' ELSE 'unresolved' END AS state, n_units FROM hits),
-cited AS (SELECT DISTINCT u.source_no, u.unit FROM citations c JOIN told t USING (source_no, locator) JOIN units u ON u.source_no = c.source_no WHERE claim_status IN ('active', 'disputed') AND state = 'resolved' AND (total = 1 OR n_units < total) AND (form = 'document' OR unit BETWEEN low AND high))"""
-
-
-@query(f"WITH {EVIDENCE} SELECT * FROM units")
-def source_units(spark: SparkSession, d: str) -> DataFrame:
-    return G.source_units(V.sources(spark, d))
-
-
-@query(f"WITH {EVIDENCE} SELECT claim_id, source_no, locator, state, CASE WHEN state = 'resolved' THEN n_units ELSE 0 END AS n_units FROM citations JOIN told USING (source_no, locator)")
-def locator_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return G.locator_resolve(V.citations(spark, d), G.source_units(V.sources(spark, d)))
-
-
-@query(f"WITH {EVIDENCE} SELECT u.source_no, count(*) AS total, count(c.unit) AS cited FROM units u LEFT JOIN cited c ON c.source_no = u.source_no AND c.unit = u.unit GROUP BY u.source_no")
-def source_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return G.source_coverage(V.citations(spark, d), G.source_units(V.sources(spark, d)))
-
-
-@query(f"""WITH {EVIDENCE}, left_over AS (SELECT source_no, kind, unit, unit - row_number() OVER (PARTITION BY source_no ORDER BY unit) AS island FROM units u WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.source_no = u.source_no AND c.unit = u.unit))
-SELECT source_no, kind || '=' || min(unit) || CASE WHEN max(unit) > min(unit) THEN '-' || max(unit) ELSE '' END AS label FROM left_over GROUP BY source_no, kind, island""")
-def uncited_runs(spark: SparkSession, d: str) -> DataFrame:
-    return G.uncited_runs(V.citations(spark, d), G.source_units(V.sources(spark, d)))
-
-
 @query(f"""WITH {V.PAGES}, {V.LINKS}, {V.CITATIONS}, {V.SOURCES}
 SELECT 'unknown-replaced-claim' AS code, claim_id AS subject FROM claims WHERE replaces IS NOT NULL AND replaces NOT IN (SELECT claim_id FROM claims)
 UNION ALL SELECT 'unknown-source', claim_id FROM citations WHERE source_no NOT IN (SELECT source_no FROM sources)

@@ -72,16 +72,6 @@ def test_not_operators_hold_for_absent_properties(spark):
     assert {r.path: r.selected for r in chosen.collect()} == {"a": True, "b": False}
 
 
-def test_locators_name_units_of_their_kind(spark):
-    units = spark.createDataFrame([(1, "page", 1), (1, "page", 2), (2, "section", 1), (2, "section", 2), (3, "slide", 4)], "source_no long, kind string, unit long")
-    rows = [(1, "page=1-2", "resolved"), (1, "page=2-9", "unresolved"), (1, "page=2-1", "unresolved"), (1, "see", "unchecked"), (9, "document", "unresolved"), (2, "page=1", "unresolved"), (2, "section=1", "resolved"),
-            (2, "section=1-2", "unresolved"), (2, "heading=x", "unresolved"), (3, " Slide = 4 ", "resolved"), (3, "Document", "resolved"), (1, "figure=1", "unchecked"), (1, "timestamp=00:10", "unresolved")]
-    cited = spark.createDataFrame([(f"c{i}", n, x, "active") for i, (n, x, _) in enumerate(rows)], "claim_id string, source_no long, locator string, claim_status string")
-    assert {r.claim_id: r.state for r in governance.locator_resolve(cited, units).collect()} == {f"c{i}": s for i, (_, _, s) in enumerate(rows)}
-    assert {tuple(r) for r in governance.source_coverage(cited, units).collect()} == {(1, 2, 0), (2, 2, 1), (3, 1, 1)}
-    assert {tuple(r) for r in governance.uncited_runs(cited, units).collect()} == {(1, "page=1-2"), (2, "section=2")}
-
-
 def test_review_health_bounds(spark):
     rows = [(1, "quality", "2024-01-31 00:00:00", "passed"), (2, "quality", "2024-02-01 00:00:00", "passed"), (3, "quality", "2024-01-01 00:00:00", "failed"), (4, "quality", "2024-02-07 00:00:00", "passed"), (5, "quality", "2024-02-06 00:00:00", "passed"), (6, "cleaning", "2023-12-17 00:00:00", "passed")]
     latest = spark.createDataFrame(rows, "collection long, kind string, reviewed_at string, outcome string")
