@@ -29,8 +29,10 @@ LENGTH, ANCHOR = 200, 32
 CHUNK, PLACE_BITS = 1 << 20, 22
 #: Places of an anchor in its window that one piece of text holds.
 PLACES = 32
-#: Bytes of text that a shard of the index holds on average, and pieces of one key above which windows are dealt one by one.
+#: Bytes of text that a shard of the index holds on average, and pieces of one key above which ranges of windows are told apart before the index.
 SHARD, HOT = 1 << 18, 4096
+#: Places of an anchor in a range of windows, from step to step; the last are single windows.
+SIZES = (PLACES, 4, 1)
 #: Batches in which a corpus is added to the index.
 BATCHES = 4
 
@@ -144,7 +146,7 @@ def standing_again(found: DataFrame) -> DataFrame:
     return order.mapInArrow(read, "doc long, text_hash long, start long, n int, at long, anchor long, whole boolean, counted boolean")
 
 
-PIECE = "key long, doc long, text_hash long, start long, piece binary"
+PIECE = "key long, doc long, text_hash long, start long, place int, piece binary"
 
 
 def window_pieces(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
@@ -161,12 +163,12 @@ def window_pieces(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
                     while at < end:
                         group = (x["at"] - at) // PLACES
                         upto = min(end, x["at"] - group * PLACES + 1)
-                        rows.append((x["anchor"], group, doc, text_hash, at, text[at : upto - 1 + length]))
+                        rows.append((x["anchor"], group, doc, text_hash, at, x["at"] - at, text[at : upto - 1 + length]))
                         at = upto
             for k in range(0, len(rows), 5000):
-                anchor, group, doc, text_hash, start, piece = zip(*rows[k : k + 5000], strict=True)
+                anchor, group, doc, text_hash, start, place, piece = zip(*rows[k : k + 5000], strict=True)
                 key = mix64(np.array(anchor, np.int64).view(np.uint64) ^ mix64(np.array(group, np.uint64) + np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(np.array(x, np.int64)) for x in (doc, text_hash, start)), pa.array(piece, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(np.array(x, np.int64)) for x in (doc, text_hash, start)), pa.array(place, pa.int32()), pa.array(piece, pa.binary())], names=names)
 
     grouped = parts.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "n", "at", "anchor")).alias("parts"))
     # doc_id is not read here, but keeps the shuffle of the texts the same as in the last join
@@ -174,23 +176,64 @@ def window_pieces(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
     return both.mapInArrow(read, PIECE)
 
 
-def single_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """Each window of ``pieces`` as a piece of its own, dealt by its bytes: for keys that too many pieces share."""
-    names = [x.split()[0] for x in PIECE.split(", ")]
+RANGE = "key long, whole binary, core binary, doc long, text_hash long, start long, n int, place int, piece binary"
+
+
+def ranges(pieces: DataFrame, length: int, size: int) -> DataFrame:
+    """The windows of ``pieces`` in ranges of at most ``size`` places of their anchor.
+
+    whole: fingerprint of all bytes of the range and their places; core: that of the bytes which every window
+    at these places holds. Windows can only be equal at one place and in ranges of one core.
+    """
+    names = [x.split()[0] for x in RANGE.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                texts = raw_bytes(part.column("piece"))
-                n = np.array([len(x) - length + 1 for x in texts], np.int64)
-                row = np.repeat(np.arange(len(n)), n)
-                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                base = np.cumsum(n + length - 1) - (n + length - 1)
-                prints = Fingerprints(np.frombuffer(b"".join(texts), np.uint8)).of(base[row] + step, base[row] + step + length)
-                columns = [pa.array(prints.view(np.int64)), pa.array(part.column("doc").to_numpy()[row]), pa.array(part.column("text_hash").to_numpy()[row]), pa.array(part.column("start").to_numpy()[row] + step)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([texts[i][s : s + length] for i, s in zip(row, step, strict=True)], pa.binary())], names=names)
-
-    return pieces.mapInArrow(read, PIECE)
+            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
+                rows = []
+                for key, doc, text_hash, start, place, piece in zip(*(part.column(c).to_pylist() for c in ("key", "doc", "text_hash", "start", "place", "piece")), strict=True):
+                    i, n = 0, len(piece) - length + 1
+                    while i < n:
+                        low = (place - i) // size * size
+                        end = min(n, place - low + 1)
+                        own, shape = piece[i : end - 1 + length], b"%d,%d:" % (place - i, end - i)
+                        core = piece[place - low : place - low - size + 1 + length]
+                        rows.append((key, print_of(shape + own), print_of(b"%d:" % low + core), doc, text_hash, start + i, end - i, place - i, own))
+                        i = end
+                columns = zip(*rows, strict=True)
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return pieces.mapInArrow(read, RANGE)
+
+
+def print_of(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def hot_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """Runs of windows (doc, text_hash, start, n) of ``pieces`` whose bytes stand in them again, for keys of any number of pieces.
+
+    The windows of a piece are judged in ranges of falling size. Where a range stands again, all its windows do, and one
+    copy goes on; where its core does not, none of its windows does, and it goes no further. What is left, ranges of distinct bytes
+    about a core that others have, is cut smaller. So what goes on grows with distinct bytes and not with copies.
+    """
+    found, keep, left = None, [], pieces
+    for size in SIZES:
+        rows = cut(ranges(left, length, size), "ranges")
+        place = F.struct("doc", "text_hash", "start")
+        again = rows.groupBy("key", "whole").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1")
+        told = rows.join(again, ["key", "whole"], "left")
+        met = cut(told.where("copies > 1").select("doc", "text_hash", "start", "n"), "met-ranges")
+        found = met if found is None else found.unionByName(met)
+        keep.append(rows)
+        if size > 1:
+            one = told.where(F.col("copies").isNull() | (F.col("first") == place)).select("key", "core", "doc", "text_hash", "start", "place", "piece")
+            shared = one.groupBy("key", "core").agg(F.count("*").alias("n")).where("n > 1").select("key", "core")
+            left = cut(one.join(shared, ["key", "core"], "left_semi").select([x.split()[0] for x in PIECE.split(", ")]), "ranges-left")
+            keep.append(left)
+    discard(*keep)
+    return found
 
 
 class Suffixes:
@@ -327,17 +370,17 @@ class LevelFamily:
 
 def repeated_windows(pieces: DataFrame, length: int, batches: int) -> DataFrame:
     """Runs of windows (doc, text_hash, start, n) of ``pieces`` whose bytes stand in them again."""
-    hot = pieces.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")
-    dealt = pieces.join(hot, "key", "left_anti").unionByName(single_windows(pieces.join(hot, "key", "left_semi").select(*pieces.columns), length))
+    hot = cut(pieces.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot-keys")
+    met = None if hot.isEmpty() else hot_windows(pieces.join(hot, "key", "left_semi").select(*pieces.columns), length)
+    dealt = pieces.join(hot, "key", "left_anti").drop("place")
     dealt = cut(dealt.withColumn("batch", F.pmod(F.xxhash64("doc", "text_hash"), F.lit(batches))), "pieces")
     size = dealt.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
     family = LevelFamily(max(1, -(-size // SHARD)), length)
-    met = None
     for i in range(batches):
         found = family.add(dealt.where(F.col("batch") == i).drop("batch"))
         met = found if met is None else met.unionByName(found)
     family.close()
-    discard(dealt)
+    discard(dealt, hot)
     return met.distinct()
 
 

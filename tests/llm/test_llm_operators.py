@@ -279,6 +279,24 @@ def test_repeats(docs, rows, empty, length, width, chunk, hot, shard, batches, m
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_a_passage_between_different_neighbours(spark, monkeypatch):
+    """A hot key: what goes on grows with distinct bytes near the passage, not with windows of all copies."""
+    monkeypatch.setattr(repeats, "HOT", 12)
+    rng = np.random.default_rng(2)
+    some = lambda n, letters: "".join(rng.choice(list(letters), n))
+    passage, raw = some(400, "abcdefghij"), {}
+    for i in range(90):
+        raw[i] = some(150, "xy" if i % 3 else "abcdefghij") + (passage if i % 5 else passage[:230]) + some(150, "xyz")
+    raw |= {100: raw[1], 101: raw[1][20:], 102: passage, 103: ""}
+    held, cut = {}, repeats.cut
+    monkeypatch.setattr(repeats, "cut", lambda df, tag: (out := cut(df, tag), held.setdefault(tag, []).append(out.count()))[0])
+    df = spark.createDataFrame(list(raw.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect()}
+    assert got == repeats_by_force({i: t.encode() for i, t in raw.items()}, 200)
+    windows = sum(max(0, len(t) - 199) for t in raw.values())
+    assert len(held["ranges"]) == 3 and held["ranges"][2] < windows / 10 and held["pieces"][0] < windows / 10
+
+
 def test_repeated_rows_are_copies_of_each_other(spark):
     rng = np.random.default_rng(1)
     text = "".join(rng.choice(list("abcdef\0é"), 700))
