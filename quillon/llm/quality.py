@@ -27,26 +27,22 @@ RULES: dict[str, tuple[str, float | None, float | None]] = {
 }
 
 
-def signals(docs: DataFrame, text: str = "text") -> DataFrame:
+def signals(docs: DataFrame, text: str = "text", hash_bits: int = 64) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the ratios the rules read.
 
-    A null text has no words. Repeated words: 3-word windows are hashed; where two are
-    equal, (hash, start) of each is packed in one long and sorted, so equal windows are
-    neighbours, and words under starts with an equal neighbour are counted once.
+    A null text has no words. Repeated words: 3-word windows are hashed (to ``hash_bits`` bits); where two hashes are
+    equal, windows are sorted by hash and words, so equal windows, and no others, are equal neighbours, and words under
+    starts with an equal neighbour are counted once. The hash only saves comparing words: a tie changes nothing.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = docs.withColumn("_words", F.array_remove(F.split(whole, f"{SPACE}+"), "")).withColumn("n_words", F.size("_words").cast("long"))
     df = df.withColumn("_lines", F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD)))
-    df = df.withColumn("_hashes", F.expr("""
-        CASE WHEN n_words > 3 THEN transform(arrays_zip(slice(_words, 1, n_words - 2), slice(_words, 2, n_words - 2), slice(_words, 3, n_words - 2)), x -> xxhash64(x)) END"""))
+    df = df.withColumn("_hashes", F.expr(f"""
+        CASE WHEN n_words > 3 THEN transform(arrays_zip(slice(_words, 1, n_words - 2), slice(_words, 2, n_words - 2), slice(_words, 3, n_words - 2)), x -> shiftright(xxhash64(x), {64 - hash_bits})) END"""))
     df = df.withColumn("_repeats", F.size(F.array_distinct("_hashes")) < F.size("_hashes"))
-    df = df.withColumn("_bits", F.length(F.bin("n_words")).cast("int"))
-    df = df.withColumn("_windows", F.expr("CASE WHEN _repeats THEN sort_array(transform(_hashes, (h, i) -> shiftleft(shiftright(h, _bits), _bits) | i)) END"))
+    df = df.withColumn("_windows", F.expr("CASE WHEN _repeats THEN sort_array(transform(_hashes, (h, i) -> struct(struct(h, _words[i] AS a, _words[i + 1] AS b, _words[i + 2] AS c) AS w, i AS i))) END"))
     df = df.withColumn("_starts", F.expr("""
-        CASE WHEN _repeats THEN sort_array(transform(filter(sequence(0, size(_windows) - 1),
-            k -> shiftright(_windows[k], _bits) = coalesce(shiftright(get(_windows, k - 1), _bits), ~shiftright(_windows[k], _bits))
-              OR shiftright(_windows[k], _bits) = coalesce(shiftright(get(_windows, k + 1), _bits), ~shiftright(_windows[k], _bits))),
-            k -> _windows[k] & (shiftleft(1L, _bits) - 1L))) END"""))
+        CASE WHEN _repeats THEN sort_array(transform(filter(sequence(0, size(_windows) - 1), k -> _windows[k].w <=> get(_windows, k - 1).w OR _windows[k].w <=> get(_windows, k + 1).w), k -> cast(_windows[k].i AS long))) END"""))
     df = df.withColumns({
         "word_chars": (F.length(whole) - F.regexp_count(whole, F.lit(SPACE))).cast("long"),
         "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long"),
@@ -60,7 +56,7 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({
         "mean_word_chars": F.col("word_chars") / words, "symbol_ratio": F.col("n_symbols") / words, "exclamation_ratio": F.col("n_exclamations") / words,
         "stop_word_ratio": F.col("n_stop_words") / words, "dup_line_ratio": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), "repeat_word_ratio": F.col("n_repeat_words") / words,
-    }).drop("_words", "_lines", "_hashes", "_repeats", "_bits", "_windows", "_starts")
+    }).drop("_words", "_lines", "_hashes", "_repeats", "_windows", "_starts")
 
 
 def verdict(rules: dict[str, tuple[str, float | None, float | None]] = RULES) -> Column:

@@ -74,6 +74,21 @@ def test_quality_signals(docs, rows, empty):
     assert set(quality.keep_good(docs).columns) == set(docs.columns)
 
 
+def test_repeated_words_are_exact_under_hash_ties(spark, docs):
+    rng = np.random.default_rng(5)
+    long = ["w%d" % x for x in rng.integers(0, 10**9, 200_000)]
+    long[150_000:150_003] = long[10:13]
+    texts = [" ".join(long), " ".join("ab"[x] for x in rng.integers(0, 2, 40)), " ".join("w%d" % x for x in range(500)), "a b c x a b c", "a b a b a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for bits in (64, 6, 1):
+        got = {r.doc_id: r.n_repeat_words for r in quality.signals(df.where("doc_id > 0") if bits < 64 else df, hash_bits=bits).collect()}
+        for i, n in got.items():
+            w = texts[i].split()
+            three = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+            count = Counter(three)
+            assert n == len({k + j for k, x in enumerate(three) if count[x] > 1 for j in range(3)}), (bits, i)
+
+
 # 2 ---------------------------------------------------------------------------------------------
 def test_licenses(spark, empty):
     mit = licenses.LICENSES["MIT"]
