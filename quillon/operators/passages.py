@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import tokens
+from quillon.operators.blocks import blocks
 
 #: Reformulations that must count before absence may be stated.
 MIN_COUNTED = 2
@@ -16,37 +17,17 @@ CUT_FROM, EXCERPT, BUDGET = 1_500, 400, 100_000
 
 
 def passages(pages: DataFrame, cut_from: int = CUT_FROM) -> DataFrame:
-    """path, pid, line_no, kind, status, title, section, header, text: headings, list items, table rows and paragraphs.
+    """path, pid, line_no, kind, status, title, locator, section, header, text: the blocks of a page (:func:`quillon.operators.blocks.blocks`), long ones cut.
 
-    Neighbouring lines of running text are one paragraph. section: the heading above; header: the first row of the table
-    a row stands in; title: that of the page. A passage is cut after the sentence with which it reaches ``cut_from``
-    characters, never inside one. All of it happens inside the row of a page, without a shuffle.
+    A passage is cut after the sentence with which it reaches ``cut_from`` characters, never inside one.
     """
-    kind = lambda x: F.when(F.trim(x) == "", "blank").when(x.rlike("^#{1,6} "), "heading").when(x.rlike(r"^\s*(?:[-*+]|[0-9]+[.)]) "), "item").when(x.startswith("|"), "table").otherwise("paragraph")
-    rows = pages.select("path", "status", "title", F.split("body", "\n").alias("lines")).withColumn("kinds", F.transform("lines", kind))
-    before = lambda i: F.coalesce(F.get("kinds", i - 1), F.lit("blank"))
-    own = lambda i: F.get("kinds", i)
-    every = F.sequence(F.lit(0), F.size("lines") - 1)
-    rows = rows.withColumns({
-        "starts": F.filter(every, lambda i: (own(i) != "blank") & ((own(i) != "paragraph") | (before(i) != "paragraph"))),
-        "headings": F.filter(every, lambda i: own(i) == "heading"),
-        "tables": F.filter(every, lambda i: (own(i) == "table") & (before(i) != "table")),
-    })
-    last = lambda column, s: F.array_max(F.filter(column, lambda h: h < s))
-
-    def block(s: Column, j: Column) -> Column:
-        end = F.coalesce(F.get("starts", j + 1), F.size("lines"))
-        text = F.array_join(F.filter(F.slice("lines", s + 1, end - s), lambda x: F.trim(x) != ""), " ")
-        header = F.when((own(s) == "table") & (before(s) == "table"), F.get("lines", last("tables", s)))
-        return F.struct(s.cast("long").alias("line_no"), own(s).alias("kind"), F.get("lines", last("headings", s)).alias("section"), header.alias("header"), text.alias("text"))
-
-    blocks = rows.select("path", "status", "title", F.inline(F.transform("starts", block)))
+    found = blocks(pages)
     sentences = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n")
     full = lambda parts: F.length(F.element_at(parts, -1)) >= cut_from
     more = lambda parts, x: F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.concat(F.element_at(parts, -1), F.lit(" "), x)))
     cut = F.aggregate(F.slice(sentences, 2, F.size(sentences)), F.slice(sentences, 1, 1), lambda parts, x: F.when(full(parts), F.array_append(parts, x)).otherwise(more(parts, x)))
-    parts = blocks.select("path", "line_no", "kind", "status", "title", "section", "header", F.posexplode(F.when(F.length("text") < cut_from, F.array("text")).otherwise(cut)).alias("part", "text"))
-    return parts.select("path", F.concat_ws("#", "path", "line_no", "part").alias("pid"), "line_no", "kind", "status", "title", "section", "header", "text")
+    parts = found.select("path", "line_no", "kind", "status", "title", "locator", "section", "header", F.posexplode(F.when(F.length("text") < cut_from, F.array("text")).otherwise(cut)).alias("part", "text"))
+    return parts.select("path", F.concat_ws("#", "path", "line_no", "part").alias("pid"), "line_no", "kind", "status", "title", "locator", "section", "header", "text")
 
 
 def table_passages(found: DataFrame) -> DataFrame:
@@ -79,7 +60,7 @@ def suspended_compounds(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def context_tokens(found: DataFrame) -> DataFrame:
     """pid, path, token, own: tokens of each passage, and (own false) others of its heading, table header and page title."""
-    held, around = F.array_distinct(tokens(F.col("text"))), F.array_distinct(tokens(F.concat_ws(" ", "section", "header", "title")))
+    held, around = F.array_distinct(tokens(F.col("text"))), F.array_distinct(tokens(F.concat_ws(" ", F.array_join("section", " "), "header", "title")))
     listed = lambda x, own: F.transform(x, lambda t: F.struct(t.alias("token"), F.lit(own).alias("own")))
     return found.select("pid", "path", held.alias("held"), around.alias("around")).select("pid", "path", F.inline(F.concat(listed(F.col("held"), True), listed(F.array_except("around", "held"), False))))
 

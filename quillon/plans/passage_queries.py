@@ -15,17 +15,28 @@ from quillon.plans.governance_queries import FAMILY, VOCABULARY
 from quillon.plans.search_queries import SIGNALS, TERMS, TOKENS, query
 
 PASSAGES = """
-raw_lines AS (SELECT path, status, title, line, (i - 1)::BIGINT AS line_no, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(line, '^\\s*(?:[-*+]|[0-9]+[.)]) ') THEN 'item' WHEN starts_with(line, '|') THEN 'table' ELSE 'paragraph' END AS kind
+every_line AS (SELECT path, status, title, rtrim(line) AS line, (i - 1)::BIGINT AS line_no, CASE WHEN starts_with(line, '<!-- page: ') AND ends_with(line, ' -->') THEN 'page=' || split_part(line, ' ', 3) END AS mark
   FROM (SELECT path, status, title, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM pages)),
-beside AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY path ORDER BY line_no), 'blank') AS before FROM raw_lines),
-line_places AS (SELECT *, max(CASE WHEN kind = 'heading' THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above,
-  max(CASE WHEN kind = 'table' AND before <> 'table' THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS first_row,
-  sum(CASE WHEN kind <> 'blank' AND (kind <> 'paragraph' OR before <> 'paragraph') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS block FROM beside),
-blocks AS (SELECT path, status, title, min(line_no) AS line_no, arg_min(kind, line_no) AS kind, arg_min(above, line_no) AS above, arg_min(CASE WHEN kind = 'table' AND before = 'table' THEN first_row END, line_no) AS first_row, string_agg(line, ' ' ORDER BY line_no) AS text FROM line_places WHERE kind <> 'blank' GROUP BY path, status, title, block),
-in_section AS (SELECT b.*, a.line AS section, h.line AS header FROM blocks b LEFT JOIN raw_lines a ON a.path = b.path AND a.line_no = b.above LEFT JOIN raw_lines h ON h.path = b.path AND h.line_no = b.first_row),
+located AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS loc FROM every_line),
+raw_lines AS (SELECT * EXCLUDE (mark), CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6} +[^ ]') THEN 'heading' WHEN regexp_matches(line || ' ', '^\\s*(?:[-*+]|[0-9]{1,9}[.)])\\s') THEN 'item' WHEN starts_with(ltrim(line), '|') THEN 'table' ELSE 'paragraph' END AS kind FROM located WHERE mark IS NULL),
+beside AS (SELECT *, coalesce(lag(kind) OVER w, 'blank') AS before, coalesce(lag(line) OVER w, '') AS above FROM raw_lines WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+islands AS (SELECT *, kind IN ('paragraph', 'item') AND before NOT IN ('paragraph', 'item') AS first, sum((kind IN ('paragraph', 'item') AND before NOT IN ('paragraph', 'item'))::INT) OVER (PARTITION BY path ORDER BY line_no) AS island,
+  sum((kind = 'table' AND before <> 'table')::INT) OVER (PARTITION BY path ORDER BY line_no) AS table_no FROM beside),
+modes AS (SELECT *, min(CASE WHEN kind = 'item' AND (first OR ends_with(above, ':')) THEN line_no END) OVER (PARTITION BY path, island) AS listed FROM islands WHERE kind <> 'blank'),
+line_places AS (SELECT *, sum((kind IN ('heading', 'table') OR first OR (kind = 'item' AND coalesce(line_no >= listed, false)))::INT) OVER (PARTITION BY path ORDER BY line_no) AS block FROM modes),
+plain_blocks AS (SELECT path, status, title, min(line_no) AS line_no, arg_min(kind, line_no) AS kind, arg_min(table_no, line_no) AS table_no, count(*) AS n_lines, arg_min(line, line_no) AS first_line, string_agg(trim(line), ' ' ORDER BY line_no) AS joined, arg_min(loc, line_no) AS a, arg_max(loc, line_no) AS z FROM line_places GROUP BY path, status, title, block),
+blocks AS (SELECT path, status, title, line_no, kind, table_no, n_lines, CASE kind WHEN 'heading' THEN trim(ltrim(first_line, '#')) WHEN 'table' THEN first_line ELSE joined END AS text, CASE WHEN a = z OR z = '' THEN a WHEN a = '' THEN z ELSE a || '-' || split_part(z, '=', 2) END AS locator,
+  CASE WHEN kind = 'heading' THEN length(first_line) - length(ltrim(first_line, '#')) WHEN kind = 'paragraph' AND n_lines = 1 AND length(joined) <= 100 AND ends_with(joined, ':') THEN 7 END AS level FROM plain_blocks),
+heads AS (SELECT path, line_no, level, text, min(line_no) FILTER (level <= 1) OVER w AS n1, min(line_no) FILTER (level <= 2) OVER w AS n2, min(line_no) FILTER (level <= 3) OVER w AS n3, min(line_no) FILTER (level <= 7) OVER w AS n7 FROM blocks WHERE level IS NOT NULL
+  WINDOW w AS (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+spans AS (SELECT path, line_no, text, level, CASE level WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE n7 END AS until FROM heads),
+sections AS (SELECT b.path, b.line_no, list(s.text ORDER BY s.line_no) AS section FROM blocks b JOIN spans s ON s.path = b.path AND s.line_no < b.line_no AND (s.until IS NULL OR b.line_no < s.until OR (b.line_no = s.until AND b.level > s.level)) GROUP BY ALL),
+headers AS (SELECT path, table_no, arg_min(text, line_no) AS header, min(line_no) AS top FROM blocks WHERE kind = 'table' GROUP BY ALL),
+in_section AS (SELECT b.path, b.status, b.title, b.line_no, b.kind, b.locator, coalesce(s.section, []) AS section, CASE WHEN b.kind = 'table' AND b.line_no > h.top THEN h.header END AS header, b.text
+  FROM blocks b LEFT JOIN sections s ON s.path = b.path AND s.line_no = b.line_no LEFT JOIN headers h ON h.path = b.path AND h.table_no = b.table_no AND b.kind = 'table'),
 cut_texts AS (SELECT *, CASE WHEN length(text) < 1500 THEN [text] ELSE list_reduce(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: [x]),
   lambda acc, x: CASE WHEN length(acc[-1]) >= 1500 THEN list_concat(acc, x) ELSE list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) END) END AS cuts FROM in_section),
-passages AS (SELECT path, path || '#' || line_no || '#' || (part - 1) AS pid, line_no, kind, status, title, section, header, text FROM (SELECT path, line_no, kind, status, title, section, header, unnest(cuts) AS text, generate_subscripts(cuts, 1) AS part FROM cut_texts))"""
+passages AS (SELECT path, path || '#' || line_no || '#' || (part - 1) AS pid, line_no, kind, status, title, locator, section, header, text FROM (SELECT path, line_no, kind, status, title, locator, section, header, unnest(cuts) AS text, generate_subscripts(cuts, 1) AS part FROM cut_texts))"""
 PTOKENS = f"""
 ptokens AS (SELECT pid, path, unnest(list_distinct({tokens_sql("text")})) AS token FROM passages)"""
 MEMBERS = VOCABULARY + ", " + FAMILY + ", " + PASSAGES + ", " + PTOKENS + """,
@@ -41,9 +52,29 @@ def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return pages, asked, asked.select("fid", "term").join(family, "term"), P.passages(pages)
 
 
-@query(f"WITH {V.PAGES}, {PASSAGES} SELECT * FROM passages")
+def structured_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose lines stand under headings, labels and page marks, some of them as list items."""
+    words = lambda x: F.array_join(F.slice(tokens(x), 1, 2), " ")
+
+    def line(x, i):
+        above = F.when(i % 7 == 0, F.concat(F.lit("\n## H "), words(x), F.lit("\n"))).when(i % 7 == 3, F.concat(F.lit("### K "), words(x), F.lit("\n"))).when(i % 7 == 5, F.concat(F.lit("\nOf "), words(x), F.lit(":\n\n")))
+        above = above.when(i % 7 == 2, F.concat(F.lit("<!-- page: "), i + 1, F.lit(" -->\n"))).otherwise("")
+        return F.concat(above, F.when(i % 5 == 4, "- ").otherwise(""), x)
+
+    return pages.withColumn("body", F.concat(F.when(F.col("page_id") % 2 == 0, "# Top\n").otherwise(""), F.array_join(F.transform(F.split("body", "\n"), line), "\n")))
+
+
+MARK_WORDS = f"array_to_string(({tokens_sql('x')})[1:2], ' ')"
+STRUCTURED = V.PAGES.replace("pages AS (", "plain_pages AS (") + f""",
+page_lines AS (SELECT path, unnest(string_split(body, chr(10))) AS x, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS i FROM plain_pages),
+bodies AS (SELECT path, string_agg(CASE i % 7 WHEN 0 THEN chr(10) || '## H ' || {MARK_WORDS} || chr(10) WHEN 3 THEN '### K ' || {MARK_WORDS} || chr(10) WHEN 5 THEN chr(10) || 'Of ' || {MARK_WORDS} || ':' || chr(10) || chr(10) WHEN 2 THEN '<!-- page: ' || (i + 1) || ' -->' || chr(10) ELSE '' END
+  || CASE WHEN i % 5 = 4 THEN '- ' ELSE '' END || x, chr(10) ORDER BY i) AS marked FROM page_lines GROUP BY path),
+pages AS (SELECT p.* REPLACE (CASE WHEN page_id % 2 = 0 THEN '# Top' || chr(10) ELSE '' END || marked AS body) FROM plain_pages p JOIN bodies USING (path))"""
+
+
+@query(f"WITH {STRUCTURED}, {PASSAGES} SELECT * FROM passages")
 def passages(spark: SparkSession, d: str) -> DataFrame:
-    return P.passages(V.pages(spark, d))
+    return P.passages(structured_pages(V.pages(spark, d)))
 
 
 @query(f"WITH {V.PAGES}, {PASSAGES}, {PTOKENS} SELECT * FROM ptokens")
@@ -53,7 +84,7 @@ def passage_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 HITS = MEMBERS + f""",
 need AS (SELECT fid, count(DISTINCT term) AS need FROM terms WHERE dropped IS NULL GROUP BY fid),
-around AS (SELECT pid, path, unnest(list_distinct({tokens_sql("concat_ws(' ', section, header, title)")})) AS token FROM passages),
+around AS (SELECT pid, path, unnest(list_distinct({tokens_sql("concat_ws(' ', array_to_string(section, ' '), header, title)")})) AS token FROM passages),
 ctokens AS (SELECT pid, path, token, bool_or(own) AS own FROM (SELECT pid, path, token, true AS own FROM ptokens UNION ALL SELECT pid, path, token, false FROM around) GROUP BY ALL),
 in_context AS (SELECT fid, pid, path, term, bool_or(own) AS own, bool_or(weight >= 0.5) AS sure FROM ctokens JOIN members USING (token) GROUP BY fid, pid, path, term),
 hits AS (SELECT fid, pid, path, CASE WHEN bool_and(sure) THEN 'word_form' ELSE 'heuristic' END AS strength FROM in_context JOIN need USING (fid) GROUP BY fid, pid, path, need HAVING count(*) = need AND bool_or(own))"""

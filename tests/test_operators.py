@@ -86,8 +86,8 @@ def page(spark, *bodies):
 def test_passages_know_their_section_and_table(spark):
     body = "one line\nand more\n\n# Head\n- item\ntext\n| a | b |\n|---|---|\n| 1 | 2 |\n"
     got = [(r.line_no, r.kind, r.section, r.header, r.text) for r in passages.passages(page(spark, body)).orderBy("line_no").collect()]
-    assert got == [(0, "paragraph", None, None, "one line and more"), (3, "heading", None, None, "# Head"), (4, "item", "# Head", None, "- item"), (5, "paragraph", "# Head", None, "text"),
-                   (6, "table", "# Head", None, "| a | b |"), (7, "table", "# Head", "| a | b |", "|---|---|"), (8, "table", "# Head", "| a | b |", "| 1 | 2 |")]
+    assert got == [(0, "paragraph", [], None, "one line and more"), (3, "heading", [], None, "Head"), (4, "item", ["Head"], None, "- item text"),
+                   (6, "table", ["Head"], None, "| a | b |"), (7, "table", ["Head"], "| a | b |", "|---|---|"), (8, "table", ["Head"], "| a | b |", "| 1 | 2 |")]
     cells = {r.cells for r in passages.table_passages(passages.passages(page(spark, body))).collect()}
     assert cells == {"a | b", "a: 1 | b: 2"}
 
