@@ -26,7 +26,7 @@ from quillon.llm.common import Fingerprints, cut, discard, mix64, raw_bytes
 
 LENGTH, ANCHOR = 200, 32
 #: Window starts that the scan handles at once, and bits that hold a place among them.
-CHUNK, PLACE_BITS = 1 << 20, 22
+CHUNK, PLACE_BITS = 1 << 19, 22
 #: Places of an anchor in its window that one piece of text holds.
 PLACES = 32
 #: Bytes of text that a shard of the index holds on average, and pieces of one key above which ranges of windows are told apart before the index.
