@@ -188,7 +188,7 @@ def alias_review(words: DataFrame, files: DataFrame, n_pages: int) -> DataFrame:
 def page_preflight(pages: DataFrame) -> DataFrame:
     """path, code: staged pages that must not be written."""
     longest = F.array_max(F.transform(F.split("body", "\n"), lambda x: F.length(x)))
-    rules = {"empty-body": F.trim("body") == "", "nul-character": F.col("body").contains("\0"), "replacement-character": F.col("body").contains("�"), "long-line": longest > 2000}
+    rules = {"empty-body": F.trim("body") == "", "nul-character": F.col("body").contains("\0"), "replacement-character": F.col("body").contains("�"), "long-line": longest > 20_000}
     return pages.select("path", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("code"))
 
 

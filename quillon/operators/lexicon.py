@@ -13,7 +13,6 @@ from quillon.operators.search import FUNCTION_WORDS
 RULE_WEIGHTS = {"exact": 1.0, "fold": 0.9, "stem": 0.6, "verb": 0.5, "irregular": 0.45, "derived": 0.45, "compound_link": 0.45, "compound_head": 0.45, "compound_modifier": 0.35, "query_part": 0.35, "short_part": 0.35, "typo": 0.3}
 MIN_TYPO = 8
 MIN_PART = 4
-MAX_COMPOUND = 64
 
 #: Forms of one verb or degree, without marks on letters; our own list, to be replaced by a table of the caller's.
 IRREGULAR = {
@@ -105,26 +104,42 @@ def typo_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return met.where(near).select("term", "token", F.lit("typo").alias("rule"), weight_of("typo").alias("weight"))
 
 
-def pieces(wholes: DataFrame) -> DataFrame:
-    """whole, start, stop, part: every run of at least MIN_PART letters of a word; MAX_COMPOUND bounds their number."""
-    runs = wholes.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("whole") - MIN_PART)))
-    runs = runs.withColumn("stop", F.explode(F.sequence(F.col("start") + MIN_PART, F.length("whole"))))
-    return runs.select("whole", "start", "stop", F.substring(F.col("whole"), F.col("start") + 1, F.col("stop") - F.col("start")).alias("part"))
+def part_lengths(words: DataFrame) -> DataFrame:
+    """lengths: the distinct lengths of ``words`` (part), in one row; as many as lengths occur."""
+    return F.broadcast(words.agg(F.array_sort(F.collect_set(F.length("part"))).alias("lengths")))
+
+
+def pieces(wholes: DataFrame, words: DataFrame) -> DataFrame:
+    """whole, start, stop, part: the runs of letters of each word whose length one of ``words`` has."""
+    runs = wholes.crossJoin(part_lengths(words)).select("whole", F.explode("lengths").alias("n")).where("n <= length(whole)")
+    runs = runs.withColumn("start", F.explode(F.expr("sequence(0, length(whole) - n)")))
+    return runs.select("whole", "start", (F.col("start") + F.col("n")).alias("stop"), F.expr("substring(whole, start + 1, n)").alias("part"))
+
+
+def holding(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """term, whole, start, stop: where a word holds a term's part, but for the whole of it.
+
+    Words and parts meet on the part's first letters, so a word has a row for each of its letters and not for each of its runs.
+    """
+    seeds = parts.withColumn("seed", F.left("part", F.lit(MIN_PART)))
+    grams = wholes.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("whole") - MIN_PART))).withColumn("seed", F.expr(f"substring(whole, start + 1, {MIN_PART})"))
+    met = grams.join(seeds, "seed").where("substring(whole, start + 1, length(part)) = part AND length(part) < length(whole)")
+    return met.select("term", "whole", "start", (F.col("start") + F.length("part")).alias("stop"))
 
 
 def compound_join(terms: DataFrame, vocabulary: DataFrame, links: tuple[str, ...] = LINKS) -> DataFrame:
     """term, token, rule, weight: tokens that hold the term, without their endings, as last part (head) or as another part (modifier).
 
     All letters before and after the term must be words of the vocabulary, one or more, with or without linking elements.
-    Runs of letters of each distinct token meet the terms by equality; only tokens that hold one are cut into their
-    parts, which meet the vocabulary by equality. What can be reached from either end is one fold over a word's parts.
+    Letters of each distinct token meet the first letters of the terms by equality; only tokens that hold one are cut into
+    runs of the lengths that words have, which meet the vocabulary by equality. What can be reached from either end is one fold over a word's parts.
     """
     letters = lambda c: F.col(c).rlike(r"^\p{L}+$") & ~F.col(c).isin(FUNCTION_WORDS)
     named = terms.where(letters("term")).select("term", stem(F.col("term")).alias("part")).distinct().where(F.length("part") >= MIN_PART)
-    whole = vocabulary.where(letters("token")).select("token", stem(F.col("token")).alias("whole")).where(F.length("whole").between(2 * MIN_PART, MAX_COMPOUND))
-    runs = pieces(whole.select("whole").distinct()).where("NOT (start = 0 AND stop = length(whole))")
-    held = settled(runs.join(named, "part").select("term", "whole", "start", "stop"))
-    parts = pieces(held.select("whole").distinct()).join(words_of(vocabulary), "part", "left_semi").groupBy("whole").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
+    whole = vocabulary.where(letters("token")).select("token", stem(F.col("token")).alias("whole")).where(F.length("whole") >= 2 * MIN_PART)
+    held = settled(holding(settled(named), whole.select("whole").distinct()))
+    words = settled(words_of(vocabulary))
+    parts = pieces(held.select("whole").distinct(), words).join(words, "part", "left_semi").groupBy("whole").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
     word = F.col("whole")
     after = lambda at: F.array_compact(F.array(*(F.when(F.substring(word, at + 1, F.lit(len(x))) == x, at + len(x)) for x in links)))
     before = lambda at: F.array_compact(F.array(*(F.when((at >= len(x)) & (F.substring(word, at - len(x) + 1, F.lit(len(x))) == x), at - len(x)) for x in links)))
@@ -144,13 +159,15 @@ def words_of(vocabulary: DataFrame) -> DataFrame:
     return words.where(F.length("part") >= MIN_PART).distinct()
 
 
-def query_splits(terms: DataFrame) -> DataFrame:
-    """term, key, ending, before, link, after: every cut of a term without its ending, with every linking element that stands there."""
+def query_splits(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """term, key, ending, before, link, after: cuts of a term without its ending into two of ``words``, with every linking element that stands there."""
     named = terms.select("term").distinct().where(F.col("term").rlike(r"^\p{L}+$") & ~F.col("term").isin(FUNCTION_WORDS)).withColumn("key", stem(F.col("term")))
-    named = named.where(F.length("key").between(2 * MIN_PART, MAX_COMPOUND)).withColumn("ending", F.expr("substring(term, length(key) + 1)"))
-    cuts = named.withColumn("at", F.explode(F.sequence(F.lit(MIN_PART), F.length("key") - MIN_PART))).withColumn("link", F.explode(F.array(*map(F.lit, LINKS))))
+    named = named.where(F.length("key") >= 2 * MIN_PART).withColumn("ending", F.expr("substring(term, length(key) + 1)"))
+    # only cuts behind as many letters as some word has
+    cuts = named.crossJoin(part_lengths(words)).withColumn("at", F.explode("lengths")).where(F.col("at") <= F.length("key") - MIN_PART).drop("lengths").withColumn("link", F.explode(F.array(*map(F.lit, LINKS))))
     cuts = cuts.withColumns({"before": F.expr("substring(key, 1, at)"), "rest": F.expr("substring(key, at + 1)")}).where("startswith(rest, link)")
-    return cuts.withColumn("after", F.expr("substring(rest, length(link) + 1)")).where(F.length("after") >= MIN_PART).select("term", "key", "ending", "before", "link", "after")
+    cuts = cuts.withColumn("after", F.expr("substring(rest, length(link) + 1)")).where(F.length("after") >= MIN_PART).select("term", "key", "ending", "before", "link", "after")
+    return cuts.join(words.withColumnRenamed("part", "before"), "before", "left_semi").join(words.withColumnRenamed("part", "after"), "after", "left_semi")
 
 
 def link_variant_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -158,8 +175,7 @@ def link_variant_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     Both parts must be words of the vocabulary. Meant for terms that have no word form of their own.
     """
-    words = words_of(vocabulary)
-    split = query_splits(terms).join(words.withColumnRenamed("part", "before"), "before", "left_semi").join(words.withColumnRenamed("part", "after"), "after", "left_semi")
+    split = query_splits(terms, settled(words_of(vocabulary)))
     other = split.withColumn("other", F.explode(F.array(*map(F.lit, LINKS)))).where("other <> link")
     variants = other.select("term", F.explode(F.array_distinct(F.array(F.concat("before", "other", "after"), F.concat("before", "other", "after", "ending")))).alias("token"))
     found = variants.join(vocabulary.select("token"), "token").where("term <> token").select("term", "token").distinct()
@@ -168,8 +184,7 @@ def link_variant_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def query_head_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """term, token, rule, weight: word forms of the longest head of a term whose head and rest are words of the vocabulary."""
-    words = words_of(vocabulary)
-    split = query_splits(terms).join(words.withColumnRenamed("part", "before"), "before", "left_semi").join(words.withColumnRenamed("part", "after"), "after", "left_semi")
+    split = query_splits(terms, settled(words_of(vocabulary)))
     heads = settled(split.groupBy("term").agg(F.max_by("after", F.length("after")).alias("head")))
     found = heads.join(family_join(heads.select(F.col("head").alias("term")), vocabulary).withColumnRenamed("term", "head"), "head").where("term <> token")
     return found.select("term", "token", F.lit("query_part").alias("rule"), weight_of("query_part").alias("weight")).distinct()

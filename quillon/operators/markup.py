@@ -85,10 +85,15 @@ def ambiguous_terms(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy(key.alias("key")).agg(F.countDistinct("concept_id").alias("n")).where("n > 1 AND key <> ''")
 
 
-def index_listing(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """path: pages that no index page links. ``links``: path (of the linking page), target_path."""
-    listed = links.where(F.col("path").endswith("index.md")).select(F.col("target_path").alias("path")).distinct()
-    return pages.where(~F.col("path").endswith("index.md")).select("path").join(listed, "path", "left_anti")
+def index_listing(pages: DataFrame, links: DataFrame, root: str = "wiki") -> DataFrame:
+    """path, index: pages that neither the index of their own directory nor the root index links, with the index that should.
+
+    ``links``: path (of the linking page), target_path. Pages right under ``root`` belong to its index; index pages are not listed.
+    """
+    own = pages.where(~F.col("path").rlike("(^|/)index[.]md$")).select("path", F.concat(F.regexp_extract("path", "^(.*/)[^/]*$", 1), F.lit("index.md")).alias("index"))
+    links = links.select(F.col("path").alias("index"), F.col("target_path").alias("path")).distinct()
+    listed = own.join(links, ["index", "path"], "left_semi").select("path").unionByName(links.where(F.col("index") == f"{root}/index.md").select("path"))
+    return own.join(listed, "path", "left_anti").select("path", "index")
 
 
 def okf_report(properties: DataFrame, pages: DataFrame) -> DataFrame:

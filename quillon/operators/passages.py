@@ -65,26 +65,41 @@ def context_tokens(found: DataFrame) -> DataFrame:
     return found.select("pid", "path", held.alias("held"), around.alias("around")).select("pid", "path", F.inline(F.concat(listed(F.col("held"), True), listed(F.array_except("around", "held"), False))))
 
 
-def passage_context_join(found: DataFrame, members: DataFrame) -> DataFrame:
+def passage_context_join(found: DataFrame, members: DataFrame, alternatives: DataFrame | None = None) -> DataFrame:
     """fid, term, pid, path, own, sure: passages that hold a member of a word, or stand under a heading, table header or title that does.
 
-    sure: that member is a word form.
+    sure: that member is a word form. ``alternatives`` (fid, term, alt, token, weight): other ways to say a word, each of several
+    tokens (the parts of a hyphenated word, a term of a concept, a split verb); one counts where all its tokens are in
+    the context of a passage, and is sure if all of them are.
     """
     held = context_tokens(found).join(members, "token")
-    return held.groupBy("fid", "term", "pid", "path").agg(F.max("own").alias("own"), F.max(F.col("weight") >= 0.5).alias("sure"))
+    told = held.groupBy("fid", "term", "pid", "path").agg(F.max("own").alias("own"), F.max(F.col("weight") >= 0.5).alias("sure"))
+    if alternatives is None:
+        return told
+    size = alternatives.groupBy("fid", "term", "alt").agg(F.countDistinct("token").alias("size"))
+    parts = context_tokens(found).join(alternatives, "token").groupBy("fid", "term", "alt", "pid", "path").agg(F.countDistinct("token").alias("n"), F.max("own").alias("own"), F.min(F.col("weight") >= 0.5).alias("sure"))
+    whole = parts.join(size, ["fid", "term", "alt"]).where("n = size").select("fid", "term", "pid", "path", "own", "sure")
+    return told.unionByName(whole).groupBy("fid", "term", "pid", "path").agg(F.max("own").alias("own"), F.max("sure").alias("sure"))
 
 
-def passage_hits(found: DataFrame, members: DataFrame, terms: DataFrame) -> DataFrame:
+def passage_hits(found: DataFrame, members: DataFrame, terms: DataFrame, alternatives: DataFrame | None = None) -> DataFrame:
     """fid, pid, path, strength: passages in whose context every word of a question stands, and one of them in the passage.
 
-    Relational division by counting. ``terms``: the words asked (fid, term); a word without any member is not found, so
-    its question has no hit. strength: word_form if a word form of each word is there, else heuristic.
+    Relational division by counting, on two levels where ``alternatives`` are given (:func:`passage_context_join`).
+    ``terms``: the words asked (fid, term); a word without any member is not found, so its question has no hit.
+    strength: word_form if a word form of each word is there, else heuristic.
     """
     need = terms.select("fid", "term").distinct().groupBy("fid").agg(F.count("*").alias("need"))
-    got = passage_context_join(found, members).groupBy("fid", "pid", "path").agg(F.count("*").alias("got"), F.bool_or("own").alias("own"), F.bool_and("sure").alias("sure"))
+    got = passage_context_join(found, members, alternatives).groupBy("fid", "pid", "path").agg(F.count("*").alias("got"), F.bool_or("own").alias("own"), F.bool_and("sure").alias("sure"))
     return got.join(need, "fid").where("got = need AND own").select("fid", "pid", "path", F.when(F.col("sure"), "word_form").otherwise("heuristic").alias("strength"))
 
 
+def hyphen_alternatives(terms: DataFrame) -> DataFrame:
+    """fid, term, alt, token, weight: a word joined by hyphens is also said by all its parts. ``terms``: fid, term."""
+    parts = F.filter(F.split("term", "[-_]"), lambda x: F.length(x) > 1)
+    return terms.select("fid", "term", parts.alias("parts")).where("size(parts) > 1").select("fid", "term", F.lit("hyphen_part").alias("alt"), F.explode(F.array_distinct("parts")).alias("token"), F.lit(0.5).alias("weight"))
+
+
 def token_census(found: DataFrame, members: DataFrame, terms: DataFrame) -> DataFrame:
     """term, passages, files: in how many passages and files a word asked stands; 0 for absent words."""
     held = passage_tokens(found).join(members.select("term", "token").distinct(), "token").select("term", "pid", "path").distinct()
@@ -147,20 +162,45 @@ def relevant_claims(matches: DataFrame, claims: DataFrame, terms: DataFrame, mos
     return hits.withColumn("place", place.cast("long")).where(F.col("place") <= most).select("fid", "path", "claim_id", "place")
 
 
-def excerpt(hits: DataFrame, found: DataFrame, terms: DataFrame, before: int = 100, longest: int = 400) -> DataFrame:
-    """fid, pid, excerpt: up to ``longest`` characters from at most ``before`` ahead of the first word that matches."""
-    words = terms.where("dropped IS NULL").groupBy("fid").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("any"))
-    rows = hits.select("fid", "pid").join(words, "fid").join(found.select("pid", "text"), "pid")
-    ahead = F.expr("length(regexp_extract(lower(text), concat('^(.*?)(?:', any, ')'), 1))")
-    start = F.greatest(ahead - before, F.lit(0)) + 1
-    return rows.select("fid", "pid", F.substring("text", start, F.lit(longest)).alias("excerpt"))
+def excerpt(hits: DataFrame, found: DataFrame, members: DataFrame, before: int = 100, longest: int = EXCERPT) -> DataFrame:
+    """fid, pid, excerpt: a text of at most ``longest`` characters whole; of others, whole words from at most ``before`` characters ahead of the first that holds a member.
+
+    ``members``: fid, token. Cut ends are marked. A first word longer than the window is cut itself.
+    """
+    room = longest - 4
+    asked = members.groupBy("fid").agg(F.collect_set("token").alias("wanted"))
+    rows = hits.select("fid", "pid").join(asked, "fid").join(found.select("pid", "text"), "pid").withColumn("words", F.split("text", " "))
+    n = F.size("words")
+    meets = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.arrays_overlap(tokens(F.get("words", i)), "wanted"))
+    rows = rows.withColumn("first", F.when(F.length("text") > longest, F.coalesce(F.get(meets, F.lit(0)), F.lit(0))))
+    # characters from word first - k to the first: the words between, each with its space
+    ahead = lambda k: F.length(F.array_join(F.slice("words", F.col("first") - k + 1, k), " ")) + 1
+    back = F.array_max(F.filter(F.sequence(F.lit(0), F.least("first", F.lit(before))), lambda k: F.when(k == 0, True).otherwise(ahead(k) <= before)))
+    rows = rows.withColumn("start", F.col("first") - back)
+
+    def taken(start: Column) -> Column:
+        """How many words from ``start`` on fit."""
+        empty = F.struct(F.lit(-1).alias("size"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+        step = lambda acc, w: F.struct((acc["size"] + 1 + F.length(w)).alias("size"), F.when(acc["full"] | (acc["size"] + 1 + F.length(w) > room), acc["n"]).otherwise(acc["n"] + 1).alias("n"), (acc["full"] | (acc["size"] + 1 + F.length(w) > room)).alias("full"))
+        return F.aggregate(F.slice("words", start + 1, F.lit(room + 1)), empty, step)["n"]
+
+    rows = rows.withColumn("n", taken(F.col("start")))
+    missed = F.col("start") + F.col("n") <= F.col("first")
+    rows = rows.withColumn("start", F.when(missed, F.col("first")).otherwise(F.col("start"))).withColumn("n", taken(F.col("start")))
+    cut = F.col("n") == 0
+    body = F.when(cut, F.left(F.get("words", "start"), F.lit(room))).otherwise(F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " "))
+    window = F.concat(F.when(F.col("start") > 0, "… ").otherwise(""), body, F.when(cut | (F.col("start") + F.col("n") < n), " …").otherwise(""))
+    return rows.select("fid", "pid", F.when(F.col("first").isNull(), F.col("text")).otherwise(window).alias("excerpt"))
 
 
 def hit_evidence(hits: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
-    """fid, pid, term, token, rule: per word of a hit the member that carries it, the heaviest, then the first by spelling."""
-    held = passage_tokens(found).join(members, "token").join(hits.select("fid", "pid"), ["fid", "pid"])
-    best = F.row_number().over(Window.partitionBy("fid", "pid", "term").orderBy(F.desc("weight"), "token"))
-    return held.withColumn("n", best).where("n = 1").select("fid", "pid", "term", "token", "rule")
+    """fid, pid, term, token, rule, place: per word of a hit the member that carries it: of the text before the heading before the table header before the title, then the heaviest, then the first by spelling."""
+    where = (("text", F.col("text")), ("heading", F.array_join("section", " ")), ("header", F.col("header")), ("title", F.col("title")))
+    marked = lambda x, i, name: F.transform(F.array_distinct(tokens(x)), lambda t: F.struct(t.alias("token"), F.lit(i).alias("n"), F.lit(name).alias("place")))
+    listed = F.concat(*(marked(x, i, name) for i, (name, x) in enumerate(where)))
+    held = found.join(hits.select("pid").distinct(), "pid", "left_semi").select("pid", F.inline(listed)).join(members, "token").join(hits.select("fid", "pid"), ["fid", "pid"])
+    best = F.row_number().over(Window.partitionBy("fid", "pid", "term").orderBy("n", F.desc("weight"), "token"))
+    return held.withColumn("best", best).where("best = 1").select("fid", "pid", "term", "token", "rule", "place")
 
 
 def hit_order(hits: DataFrame, found: DataFrame) -> DataFrame:

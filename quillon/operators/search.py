@@ -19,6 +19,10 @@ STATUS_FACTOR = {"active": 1.15, "draft": 0.95, "superseded": 0.75, "withdrawn":
 FUNCTION_WORDS = sorted(set("the of and a an to in is for on that with as by it this be are was or from at not der die das und ist von zu den dem ein eine im auf mit nicht le la les des du un une et est pour dans que qui el los las y del con se".split()))
 
 
+#: Weight from which a member is a form of the word, and no guess.
+WORD_FORM = 0.5
+
+
 def split_fields(pages: DataFrame) -> DataFrame:
     """path, field, text: the weighted fields of each page; empty ones have no row."""
     fields = F.array(*(F.struct(F.lit(x).alias("field"), F.col(x).alias("text")) for x in ("title", "description", "body")))
@@ -62,12 +66,18 @@ def exact_postings_join(terms: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def term_groups(members: DataFrame, found: DataFrame) -> DataFrame:
-    """fid, label, token, weight, df. Terms of one stem are one group with the best weight of a token; df counts pages that hold a member."""
+    """fid, label, token, weight, df. Terms of one stem are one group with the best weight of a token.
+
+    df counts the pages that hold a word form (a member of weight ``WORD_FORM`` or more); only for a group without such a page
+    those that hold a guess, so compounds and typing errors never make a word look common. A group that no page holds has no row.
+    """
     named = members.withColumn("stem", stem(F.col("term")))
     label = F.min("term").over(Window.partitionBy("fid", "stem")).alias("label")
     groups = named.select("fid", label, "token", "weight").groupBy("fid", "label", "token").agg(F.max("weight").alias("weight"))
-    held = groups.join(found.select("path", "token").distinct(), "token").select("fid", "label", "path").distinct()
-    return groups.join(held.groupBy("fid", "label").agg(F.count("*").alias("df")), ["fid", "label"])
+    held = groups.join(found.select("path", "token").distinct(), "token").groupBy("fid", "label", "path").agg(F.max(F.col("weight") >= WORD_FORM).alias("sure"))
+    forms = F.count_if("sure")
+    counted = held.groupBy("fid", "label").agg(F.when(forms > 0, forms).otherwise(F.count("*")).alias("df"))
+    return groups.join(counted, ["fid", "label"])
 
 
 def bm25f_score(found: DataFrame, groups: DataFrame, stats: DataFrame) -> DataFrame:

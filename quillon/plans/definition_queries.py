@@ -88,7 +88,7 @@ def okf_export(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns(flat).drop("generated")
 
 
-@query(f"""WITH {SIGNALS}{HITS.removeprefix(TOKENS + ", " + TERMS)}, {COUNTED}, c AS (SELECT qid AS fid, count(*) AS n FROM counted WHERE counted GROUP BY qid),
+@query(f"""WITH RECURSIVE {SIGNALS}{HITS.removeprefix(TOKENS + ", " + TERMS)}, {COUNTED}, c AS (SELECT qid AS fid, count(*) AS n FROM counted WHERE counted GROUP BY qid),
 needed AS (SELECT fid, count(*) AS n, sum(least(length(text), 400)) AS chars FROM hits JOIN (SELECT pid, text FROM passages) USING (pid) GROUP BY fid), r AS (SELECT fid, count(*) AS n, string_agg(path, ' ' ORDER BY rank) FILTER (rank <= 12) AS results FROM ranked GROUP BY fid),
 printed AS (SELECT fid, count(*) AS n FROM hits GROUP BY fid), f AS (SELECT fid, count(DISTINCT (status, language)) AS n FROM ranked JOIN pages USING (path) GROUP BY fid),
 told AS (SELECT q.fid, q.text, coalesce(results, '') AS results, coalesce(r.n, 0) AS n_matches, coalesce(needed.n, 0) AS n_hits, least(coalesce(needed.n, 0), 5) AS n_printed, concat_ws(',', CASE WHEN coalesce(c.n, 0) < 2 THEN 'too_few_reformulations' END,

@@ -74,7 +74,7 @@ WORD_PARTS = f"word_parts AS (SELECT DISTINCT part FROM (SELECT unnest([token, {
 LINKED = f"""
 {WORD_PARTS},
 keyed_terms AS (SELECT term, {stem_sql("term")} AS key FROM (SELECT DISTINCT term FROM split_terms) WHERE regexp_matches(term, '^\\p{{L}}+$') AND term NOT IN ({WORDS})),
-term_cuts AS (SELECT term, key, substr(term, length(key) + 1) AS ending, substr(key, 1, place) AS before, substr(key, place + 1) AS rest FROM (SELECT term, key, unnest(generate_series(4, length(key) - 4)) AS place FROM keyed_terms WHERE length(key) BETWEEN 8 AND 64)),
+term_cuts AS (SELECT term, key, substr(term, length(key) + 1) AS ending, substr(key, 1, place) AS before, substr(key, place + 1) AS rest FROM (SELECT term, key, unnest(generate_series(4, length(key) - 4)) AS place FROM keyed_terms WHERE length(key) >= 8)),
 split_words AS (SELECT term, ending, before, l AS link, substr(rest, length(l) + 1) AS after FROM term_cuts, (SELECT unnest(['', 's', 'es', 'n', 'en', 'e']) AS l) ls WHERE starts_with(rest, l) AND length(rest) - length(l) >= 4),
 sound AS (SELECT * FROM split_words WHERE before IN (SELECT part FROM word_parts) AND after IN (SELECT part FROM word_parts)),
 variants AS (SELECT term, unnest([before || l || after, before || l || after || ending]) AS token FROM sound, (SELECT unnest(['', 's', 'es', 'n', 'en', 'e']) AS l) ls WHERE l <> link),
@@ -106,13 +106,13 @@ COMPOUND = f"""
 named AS (SELECT DISTINCT term, {stem_sql("term")} AS part FROM asked WHERE regexp_matches(term, '{LETTERS}') AND term NOT IN ({WORDS})),
 wholes AS (SELECT token, {stem_sql("token")} AS whole FROM vocabulary WHERE regexp_matches(token, '{LETTERS}') AND token NOT IN ({WORDS})),
 pieces AS (SELECT whole, start, stop, substr(whole, start + 1, stop - start) AS part FROM (SELECT whole, start, unnest(generate_series(start + 4, length(whole))) AS stop
-  FROM (SELECT whole, unnest(generate_series(0, length(whole) - 4)) AS start FROM (SELECT DISTINCT whole FROM wholes WHERE length(whole) BETWEEN 8 AND 64)))),
-held AS (SELECT term, whole, start, stop FROM pieces JOIN named USING (part) WHERE stop - start < length(whole)),
-edges AS (SELECT whole, start, stop FROM pieces WHERE whole IN (SELECT whole FROM held) AND part IN (SELECT part FROM word_parts)),
+  FROM (SELECT whole, unnest(generate_series(0, length(whole) - 4)) AS start FROM (SELECT DISTINCT whole FROM wholes WHERE length(whole) >= 8)))),
+in_compound AS (SELECT term, whole, start, stop FROM pieces JOIN named USING (part) WHERE stop - start < length(whole)),
+edges AS (SELECT whole, start, stop FROM pieces WHERE whole IN (SELECT whole FROM in_compound) AND part IN (SELECT part FROM word_parts)),
 link AS (SELECT unnest(['', 's', 'es', 'n', 'en', 'e']) AS l),
-reached AS (SELECT whole, 0::BIGINT AS place FROM (SELECT DISTINCT whole FROM held) UNION SELECT e.whole, e.stop + length(l) FROM reached r JOIN edges e ON e.whole = r.whole AND e.start = r.place JOIN link ON starts_with(substr(e.whole, e.stop + 1), l)),
-reaching AS (SELECT whole, length(whole)::BIGINT AS place FROM (SELECT DISTINCT whole FROM held) UNION SELECT e.whole, e.start - length(l) FROM reaching r JOIN edges e ON e.whole = r.whole AND e.stop = r.place JOIN link ON ends_with(substr(e.whole, 1, e.start), l)),
-compound AS (SELECT term, token, min(CASE WHEN stop = length(whole) THEN 'compound_head' ELSE 'compound_modifier' END) AS rule FROM held h JOIN wholes USING (whole)
+reached AS (SELECT whole, 0::BIGINT AS place FROM (SELECT DISTINCT whole FROM in_compound) UNION SELECT e.whole, e.stop + length(l) FROM reached r JOIN edges e ON e.whole = r.whole AND e.start = r.place JOIN link ON starts_with(substr(e.whole, e.stop + 1), l)),
+reaching AS (SELECT whole, length(whole)::BIGINT AS place FROM (SELECT DISTINCT whole FROM in_compound) UNION SELECT e.whole, e.start - length(l) FROM reaching r JOIN edges e ON e.whole = r.whole AND e.stop = r.place JOIN link ON ends_with(substr(e.whole, 1, e.start), l)),
+compound AS (SELECT term, token, min(CASE WHEN stop = length(whole) THEN 'compound_head' ELSE 'compound_modifier' END) AS rule FROM in_compound h JOIN wholes USING (whole)
   WHERE (whole, start) IN (SELECT (whole, place) FROM reached) AND (whole, stop) IN (SELECT (whole, place) FROM reaching) GROUP BY ALL)"""
 
 

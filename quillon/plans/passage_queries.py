@@ -11,7 +11,7 @@ from quillon.operators import markup as M
 from quillon.operators import passages as P
 from quillon.operators import search as S
 from quillon.plans import views as V
-from quillon.plans.governance_queries import FAMILY, VOCABULARY
+from quillon.plans.governance_queries import RESOLVED, VOCABULARY, WORD_PARTS
 from quillon.plans.search_queries import SIGNALS, TERMS, TOKENS, query
 
 PASSAGES = """
@@ -27,10 +27,10 @@ line_places AS (SELECT *, sum((kind IN ('heading', 'table') OR first OR (kind =
 plain_blocks AS (SELECT path, status, title, min(line_no) AS line_no, arg_min(kind, line_no) AS kind, arg_min(table_no, line_no) AS table_no, count(*) AS n_lines, arg_min(line, line_no) AS first_line, string_agg(trim(line), ' ' ORDER BY line_no) AS joined, arg_min(loc, line_no) AS a, arg_max(loc, line_no) AS z FROM line_places GROUP BY path, status, title, block),
 blocks AS (SELECT path, status, title, line_no, kind, table_no, n_lines, CASE kind WHEN 'heading' THEN trim(ltrim(first_line, '#')) WHEN 'table' THEN first_line ELSE joined END AS text, CASE WHEN a = z OR z = '' THEN a WHEN a = '' THEN z ELSE a || '-' || split_part(z, '=', 2) END AS locator,
   CASE WHEN kind = 'heading' THEN length(first_line) - length(ltrim(first_line, '#')) WHEN kind = 'paragraph' AND n_lines = 1 AND length(joined) <= 100 AND ends_with(joined, ':') THEN 7 END AS level FROM plain_blocks),
-heads AS (SELECT path, line_no, level, text, min(line_no) FILTER (level <= 1) OVER w AS n1, min(line_no) FILTER (level <= 2) OVER w AS n2, min(line_no) FILTER (level <= 3) OVER w AS n3, min(line_no) FILTER (level <= 7) OVER w AS n7 FROM blocks WHERE level IS NOT NULL
+page_heads AS (SELECT path, line_no, level, text, min(line_no) FILTER (level <= 1) OVER w AS n1, min(line_no) FILTER (level <= 2) OVER w AS n2, min(line_no) FILTER (level <= 3) OVER w AS n3, min(line_no) FILTER (level <= 7) OVER w AS n7 FROM blocks WHERE level IS NOT NULL
   WINDOW w AS (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-spans AS (SELECT path, line_no, text, level, CASE level WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE n7 END AS until FROM heads),
-sections AS (SELECT b.path, b.line_no, list(s.text ORDER BY s.line_no) AS section FROM blocks b JOIN spans s ON s.path = b.path AND s.line_no < b.line_no AND (s.until IS NULL OR b.line_no < s.until OR (b.line_no = s.until AND b.level > s.level)) GROUP BY ALL),
+page_spans AS (SELECT path, line_no, text, level, CASE level WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE n7 END AS until FROM page_heads),
+sections AS (SELECT b.path, b.line_no, list(s.text ORDER BY s.line_no) AS section FROM blocks b JOIN page_spans s ON s.path = b.path AND s.line_no < b.line_no AND (s.until IS NULL OR b.line_no < s.until OR (b.line_no = s.until AND b.level > s.level)) GROUP BY ALL),
 headers AS (SELECT path, table_no, arg_min(text, line_no) AS header, min(line_no) AS top FROM blocks WHERE kind = 'table' GROUP BY ALL),
 in_section AS (SELECT b.path, b.status, b.title, b.line_no, b.kind, b.locator, coalesce(s.section, []) AS section, CASE WHEN b.kind = 'table' AND b.line_no > h.top THEN h.header END AS header, b.text
   FROM blocks b LEFT JOIN sections s ON s.path = b.path AND s.line_no = b.line_no LEFT JOIN headers h ON h.path = b.path AND h.table_no = b.table_no AND b.kind = 'table'),
@@ -39,8 +39,8 @@ cut_texts AS (SELECT *, CASE WHEN length(text) < 1500 THEN [text] ELSE list_redu
 passages AS (SELECT path, path || '#' || line_no || '#' || (part - 1) AS pid, line_no, kind, status, title, locator, section, header, text FROM (SELECT path, line_no, kind, status, title, locator, section, header, unnest(cuts) AS text, generate_subscripts(cuts, 1) AS part FROM cut_texts))"""
 PTOKENS = f"""
 ptokens AS (SELECT pid, path, unnest(list_distinct({tokens_sql("text")})) AS token FROM passages)"""
-MEMBERS = VOCABULARY + ", " + FAMILY + ", " + PASSAGES + ", " + PTOKENS + """,
-members AS (SELECT t.fid, t.term, f.token, f.b.rule AS rule, f.b.weight AS weight FROM terms t JOIN family f USING (term) WHERE dropped IS NULL)"""
+MEMBERS = VOCABULARY + ", " + WORD_PARTS + ", " + RESOLVED.replace(WORD_PARTS + ",", "") + ", " + PASSAGES + ", " + PTOKENS + """,
+members AS (SELECT t.fid, t.term, f.token, f.rule, f.weight FROM terms t JOIN resolved f USING (term) WHERE dropped IS NULL)"""
 
 
 def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -48,8 +48,8 @@ def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     pages = V.pages(spark, d)
     terms = S.query_term_plan(V.questions(spark, d))
     asked = terms.where("dropped IS NULL")
-    family = L.family_join(asked, S.build_vocabulary(S.split_fields(pages)))
-    return pages, asked, asked.select("fid", "term").join(family, "term"), P.passages(pages)
+    members = L.resolve_terms(asked, S.build_vocabulary(S.split_fields(pages)))
+    return pages, asked, asked.select("fid", "term").join(members, "term"), P.passages(pages)
 
 
 def structured_pages(pages: DataFrame) -> DataFrame:
@@ -90,19 +90,19 @@ in_context AS (SELECT fid, pid, path, term, bool_or(own) AS own, bool_or(weight
 hits AS (SELECT fid, pid, path, CASE WHEN bool_and(sure) THEN 'word_form' ELSE 'heuristic' END AS strength FROM in_context JOIN need USING (fid) GROUP BY fid, pid, path, need HAVING count(*) = need AND bool_or(own))"""
 
 
-@query(f"WITH {HITS} SELECT fid, term, pid, path, own, sure FROM in_context")
+@query(f"WITH RECURSIVE {HITS} SELECT fid, term, pid, path, own, sure FROM in_context")
 def passage_context_join(spark: SparkSession, d: str) -> DataFrame:
     _, _, members, found = _members(spark, d)
     return P.passage_context_join(found, members)
 
 
-@query(f"WITH {HITS} SELECT * FROM hits")
+@query(f"WITH RECURSIVE {HITS} SELECT * FROM hits")
 def passage_hits(spark: SparkSession, d: str) -> DataFrame:
     _, terms, members, found = _members(spark, d)
     return P.passage_hits(found, members, terms)
 
 
-@query(f"""WITH {MEMBERS} SELECT term, coalesce(passages, 0) AS passages, coalesce(files, 0) AS files FROM asked LEFT JOIN
+@query(f"""WITH RECURSIVE {MEMBERS} SELECT term, coalesce(passages, 0) AS passages, coalesce(files, 0) AS files FROM asked LEFT JOIN
 (SELECT term, count(DISTINCT pid) AS passages, count(DISTINCT path) AS files FROM (SELECT DISTINCT term, token FROM members) m JOIN ptokens USING (token) GROUP BY term) USING (term)""")
 def token_census(spark: SparkSession, d: str) -> DataFrame:
     _, terms, members, found = _members(spark, d)
@@ -128,11 +128,38 @@ def table_passages(spark: SparkSession, d: str) -> DataFrame:
     return P.table_passages(P.passages(table_pages(V.pages(spark, d))))
 
 
-@query(f"""WITH {HITS}, w AS (SELECT fid, array_to_string(list_sort(list(DISTINCT term)), '|') AS words FROM terms WHERE dropped IS NULL GROUP BY fid)
-SELECT fid, pid, substr(text, greatest(length(regexp_extract(lower(text), '^(.*?)(?:' || words || ')', 1)) - 100, 0) + 1, 400) AS excerpt FROM hits JOIN w USING (fid) JOIN (SELECT pid, text FROM passages) USING (pid)""")
+ROOM = 396
+
+
+@query(f"""WITH RECURSIVE {HITS}, w AS (SELECT fid, list(DISTINCT token) AS wanted FROM members GROUP BY fid),
+x AS (SELECT fid, pid, text, string_split(text, ' ') AS words, wanted FROM hits JOIN w USING (fid) JOIN (SELECT pid, text FROM passages) USING (pid)),
+f AS (SELECT *, coalesce(list_filter(range(1, len(words) + 1), lambda i: list_has_any({tokens_sql("words[i]")}, wanted))[1], 1) AS first FROM x),
+b AS (SELECT *, first - list_max([0] || list_filter(range(1, least(first - 1, 100) + 1), lambda k: length(array_to_string(words[first - k:first - 1], ' ')) + 1 <= 100)) AS start FROM f),
+n0 AS (SELECT *, list_max([0] || list_filter(range(1, 398), lambda k: start + k - 1 <= len(words) AND length(array_to_string(words[start:start + k - 1], ' ')) <= {ROOM})) AS n_first FROM b),
+s1 AS (SELECT * REPLACE (CASE WHEN start + n_first <= first THEN first ELSE start END AS start) FROM n0),
+n1 AS (SELECT *, list_max([0] || list_filter(range(1, 398), lambda k: start + k - 1 <= len(words) AND length(array_to_string(words[start:start + k - 1], ' ')) <= {ROOM})) AS n FROM s1)
+SELECT fid, pid, CASE WHEN length(text) <= 400 THEN text ELSE CASE WHEN start > 1 THEN '… ' ELSE '' END || CASE WHEN n = 0 THEN substr(words[start], 1, {ROOM}) ELSE array_to_string(words[start:start + n - 1], ' ') END || CASE WHEN n = 0 OR start + n - 1 < len(words) THEN ' …' ELSE '' END END AS excerpt FROM n1""")
 def excerpt(spark: SparkSession, d: str) -> DataFrame:
     _, terms, members, found = _members(spark, d)
-    return P.excerpt(P.passage_hits(found, members, terms), found, terms)
+    return P.excerpt(P.passage_hits(found, members, terms), found, members)
+
+
+ALTERNATIVES = HITS + """,
+alternatives AS (SELECT DISTINCT a.fid, a.term, 'concept' AS alt, b.token, b.weight FROM terms a JOIN terms o ON o.fid = a.fid AND o.dropped IS NULL AND o.term <> a.term JOIN members b ON b.fid = o.fid AND b.term = o.term AND b.token = o.term
+  WHERE a.dropped IS NULL AND a.ord = (SELECT min(ord) FROM terms m WHERE m.fid = a.fid AND m.dropped IS NULL)),
+alt_size AS (SELECT fid, term, alt, count(DISTINCT token) AS size FROM alternatives GROUP BY ALL),
+alt_met AS (SELECT fid, term, pid, path, bool_or(own) AS own, bool_and(weight >= 0.5) AS sure FROM ctokens JOIN alternatives USING (token) JOIN alt_size USING (fid, term, alt) GROUP BY fid, term, alt, size, pid, path HAVING count(DISTINCT token) = size),
+either AS (SELECT fid, term, pid, path, bool_or(own) AS own, bool_or(sure) AS sure FROM (SELECT fid, term, pid, path, own, sure FROM in_context UNION ALL SELECT * FROM alt_met) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {ALTERNATIVES} SELECT fid, pid, path, CASE WHEN bool_and(sure) THEN 'word_form' ELSE 'heuristic' END AS strength FROM either JOIN need USING (fid) GROUP BY fid, pid, path, need HAVING count(*) = need AND bool_or(own)")
+def passage_hits_by_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """The first word of each question is also said by all others of it together."""
+    _, terms, members, found = _members(spark, d)
+    first = terms.groupBy("fid").agg(F.min_by("term", "ord").alias("term"))
+    others = terms.select("fid", F.col("term").alias("token")).join(members.where("token = term").select("fid", "token", "weight"), ["fid", "token"])
+    alternatives = first.join(others, "fid").where("token <> term").select("fid", "term", F.lit("concept").alias("alt"), "token", "weight").distinct()
+    return P.passage_hits(found, members, terms, alternatives)
 
 
 COUNTED = V.FORMULATIONS + f""",
@@ -151,7 +178,7 @@ def counted_reformulations(spark: SparkSession, d: str) -> DataFrame:
     return P.counted_reformulations(_kept(spark, d))
 
 
-@query(f"""WITH {HITS}, {COUNTED}, c AS (SELECT qid AS fid, count(*) AS n FROM counted WHERE counted GROUP BY qid), w AS (SELECT fid, count(*) AS n FROM terms WHERE dropped IS NULL GROUP BY fid),
+@query(f"""WITH RECURSIVE {HITS}, {COUNTED}, c AS (SELECT qid AS fid, count(*) AS n FROM counted WHERE counted GROUP BY qid), w AS (SELECT fid, count(*) AS n FROM terms WHERE dropped IS NULL GROUP BY fid),
 h AS (SELECT fid, count(*) AS n, sum(least(length(text), 400))::BIGINT AS needed FROM hits JOIN (SELECT pid, text FROM passages) USING (pid) GROUP BY fid),
 r AS (SELECT q.fid, coalesce(h.n, 0) AS hits, coalesce(needed, 0) AS needed_chars, concat_ws(' ', CASE WHEN coalesce(c.n, 0) < 2 THEN 'too_few_reformulations' END, CASE WHEN coalesce(w.n, 0) = 0 THEN 'no_content_words' END, CASE WHEN coalesce(needed, 0) > 2000 THEN 'budget_exhausted' END) AS reasons
 FROM questions q LEFT JOIN h USING (fid) LEFT JOIN c USING (fid) LEFT JOIN w USING (fid)) SELECT fid, hits, needed_chars, reasons = '' AS complete, reasons FROM r""")
@@ -163,13 +190,13 @@ def absence_check(spark: SparkSession, d: str) -> DataFrame:
 FILES = MEMBERS + ", held_files AS (SELECT fid, term, path, max(CASE WHEN m.token = m.term THEN 1 ELSE 0 END) AS literal FROM (SELECT DISTINCT path, token FROM postings) p JOIN members m ON m.token = p.token GROUP BY ALL)"
 
 
-@query(f"WITH {FILES} SELECT m.fid, m.term, count(h.path) AS files, count(h.path) FILTER (literal = 0) AS form_files FROM (SELECT DISTINCT fid, term FROM terms WHERE dropped IS NULL) m LEFT JOIN held_files h ON h.fid = m.fid AND h.term = m.term GROUP BY ALL")
+@query(f"WITH RECURSIVE {FILES} SELECT m.fid, m.term, count(h.path) AS files, count(h.path) FILTER (literal = 0) AS form_files FROM (SELECT DISTINCT fid, term FROM terms WHERE dropped IS NULL) m LEFT JOIN held_files h ON h.fid = m.fid AND h.term = m.term GROUP BY ALL")
 def coverage_account(spark: SparkSession, d: str) -> DataFrame:
     pages, terms, members, _ = _members(spark, d)
     return P.coverage_account(members, S.postings(S.split_fields(pages)), terms)
 
 
-@query(f"""WITH {MEMBERS}, got AS (SELECT DISTINCT fid, path, term || ':' || m.token || ':' || rule AS r FROM (SELECT DISTINCT path, token FROM postings) p JOIN members m ON m.token = p.token)
+@query(f"""WITH RECURSIVE {MEMBERS}, got AS (SELECT DISTINCT fid, path, term || ':' || m.token || ':' || rule AS r FROM (SELECT DISTINCT path, token FROM postings) p JOIN members m ON m.token = p.token)
 SELECT fid, path, array_to_string(list_sort(list(r)), ' ') AS rules FROM got GROUP BY ALL""")
 def match_rules(spark: SparkSession, d: str) -> DataFrame:
     pages, _, members, _ = _members(spark, d)
@@ -264,27 +291,30 @@ def ambiguous_terms(spark: SparkSession, d: str) -> DataFrame:
     return M.ambiguous_terms(docs.select(F.concat(F.lit("c"), F.col("doc_id") % 25).alias("concept_id"), F.get(tokens(F.col("text")), F.lit(0)).alias("term")))
 
 
-@query(f"WITH {V.PAGES} SELECT path FROM pages WHERE page_id % 6 <> 0")
+@query(f"""WITH {V.PAGES}, l AS (SELECT CASE page_id % 6 WHEN 0 THEN 'wiki/' || cluster || '/index.md' WHEN 1 THEN 'wiki/index.md' ELSE 'wiki/other/index.md' END AS path, path AS target FROM pages WHERE page_id % 6 < 3)
+SELECT path, 'wiki/' || cluster || '/index.md' AS index FROM pages p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.target = p.path AND l.path IN ('wiki/index.md', 'wiki/' || p.cluster || '/index.md'))""")
 def index_listing(spark: SparkSession, d: str) -> DataFrame:
-    pages = V.pages(spark, d)
-    listed = pages.where("page_id % 6 = 0").select(F.concat(F.lit("wiki/"), "cluster", F.lit("/index.md")).alias("path"), F.col("path").alias("target_path"))
-    return M.index_listing(pages, listed)
+    pages, i = V.pages(spark, d), F.col("page_id") % 6
+    by = F.when(i == 0, F.concat(F.lit("wiki/"), "cluster", F.lit("/index.md"))).when(i == 1, "wiki/index.md").otherwise("wiki/other/index.md")
+    return M.index_listing(pages, pages.where(i < 3).select(by.alias("path"), F.col("path").alias("target_path")))
 
 
-@query(f"""WITH {HITS} SELECT fid, pid, term, token, rule FROM ptokens JOIN members USING (token) JOIN (SELECT fid, pid FROM hits) h USING (fid, pid)
-QUALIFY row_number() OVER (PARTITION BY fid, pid, term ORDER BY weight DESC, token) = 1""")
+@query(f"""WITH RECURSIVE {HITS}, placed_tokens AS (SELECT DISTINCT pid, n, place, token FROM (SELECT pid, 0 AS n, 'text' AS place, unnest({tokens_sql("text")}) AS token FROM passages UNION ALL SELECT pid, 1, 'heading', unnest({tokens_sql("array_to_string(section, ' ')")}) FROM passages
+  UNION ALL SELECT pid, 2, 'header', unnest({tokens_sql("header")}) FROM passages UNION ALL SELECT pid, 3, 'title', unnest({tokens_sql("title")}) FROM passages))
+SELECT fid, pid, term, token, rule, place FROM placed_tokens JOIN members USING (token) JOIN (SELECT fid, pid FROM hits) h USING (fid, pid)
+QUALIFY row_number() OVER (PARTITION BY fid, pid, term ORDER BY n, weight DESC, token) = 1""")
 def hit_evidence(spark: SparkSession, d: str) -> DataFrame:
     _, terms, members, found = _members(spark, d)
     return P.hit_evidence(P.passage_hits(found, members, terms), found, members)
 
 
-@query(f"WITH {HITS} SELECT fid, pid, row_number() OVER (PARTITION BY fid ORDER BY strength <> 'word_form', h.path, line_no, pid) AS place FROM hits h JOIN (SELECT pid, line_no FROM passages) USING (pid)")
+@query(f"WITH RECURSIVE {HITS} SELECT fid, pid, row_number() OVER (PARTITION BY fid ORDER BY strength <> 'word_form', h.path, line_no, pid) AS place FROM hits h JOIN (SELECT pid, line_no FROM passages) USING (pid)")
 def hit_order(spark: SparkSession, d: str) -> DataFrame:
     _, terms, members, found = _members(spark, d)
     return P.hit_order(P.passage_hits(found, members, terms), found)
 
 
-@query(f"""WITH {SIGNALS}{HITS.removeprefix(TOKENS + ", " + TERMS)} SELECT h.fid, h.pid, r.rank AS shown_in FROM hits h LEFT JOIN (SELECT fid, path, rank FROM ranked WHERE rank <= 12) r ON r.fid = h.fid AND r.path = h.path""")
+@query(f"""WITH RECURSIVE {SIGNALS}{HITS.removeprefix(TOKENS + ", " + TERMS)} SELECT h.fid, h.pid, r.rank AS shown_in FROM hits h LEFT JOIN (SELECT fid, path, rank FROM ranked WHERE rank <= 12) r ON r.fid = h.fid AND r.path = h.path""")
 def already_printed(spark: SparkSession, d: str) -> DataFrame:
     pages, terms, members, found = _members(spark, d)
     return P.already_printed(P.passage_hits(found, members, terms), S.ranking(pages, V.questions(spark, d)).where("rank <= 12"))
@@ -319,7 +349,7 @@ def alias_review(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {V.PAGES}, r AS (SELECT path, unnest([CASE WHEN trim(body) = '' THEN 'empty-body' END, CASE WHEN contains(body, chr(0)) THEN 'nul-character' END, CASE WHEN contains(body, '�') THEN 'replacement-character' END,
-CASE WHEN list_max(list_transform(string_split(body, chr(10)), lambda x: length(x))) > 2000 THEN 'long-line' END]) AS code FROM pages) SELECT * FROM r WHERE code IS NOT NULL""")
+CASE WHEN list_max(list_transform(string_split(body, chr(10)), lambda x: length(x))) > 20000 THEN 'long-line' END]) AS code FROM pages) SELECT * FROM r WHERE code IS NOT NULL""")
 def page_preflight(spark: SparkSession, d: str) -> DataFrame:
     from quillon.operators import governance
 
