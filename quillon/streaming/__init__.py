@@ -1 +1 @@
-
+"""Logs read and appended as streams."""
