@@ -74,6 +74,16 @@ def by_form(terms: DataFrame, vocabulary: DataFrame, crossing: bool) -> DataFram
     return met.join(vocabulary.select("token"), "token").where("term <> token").select("term", "token").distinct()
 
 
+def irregular_keys() -> dict[str, list[str]]:
+    """Form -> keys of the irregular words that it is a form or a noun of."""
+    found: dict[str, set[str]] = {}
+    for table, with_key in ((IRREGULAR, True), (NOUNS_OF, False)):
+        for key, forms in table.items():
+            for form in (*([key] if with_key else []), *forms.split()):
+                found.setdefault(form, set()).add(key)
+    return {form: sorted(keys) for form, keys in sorted(found.items())}
+
+
 def irregular_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """term, token, rule, weight: other forms of the same irregular word. The table of forms is fixed and small, so it is broadcast."""
     return by_form(terms, vocabulary, False).select("term", "token", F.lit("irregular").alias("rule"), weight_of("irregular").alias("weight"))

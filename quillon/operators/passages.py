@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import tokens
+from quillon.functions.text import fold_key, normalize, stem, tokens, verb_keys
 from quillon.operators.blocks import blocks
+from quillon.operators.lexicon import irregular_keys
+from quillon.operators.search import FUNCTION_WORDS
 
 #: Reformulations that must count before absence may be stated.
 MIN_COUNTED = 2
@@ -43,19 +45,29 @@ def passage_tokens(found: DataFrame) -> DataFrame:
     return found.select("pid", "path", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
 
 
-SUSPENDED = r"(?i)([\p{L}]{3,})-(?:,? (?:und|oder|sowie|bis|and|or) |/)([\p{L}]{6,})"
+#: Words that join parts of a chain, and the shortest part that a word may hand on.
+JOINTS, SHORTEST = "und|oder|sowie|bis|and|or", 4
+#: Fronts that wait for the end of the last word ("Grund-, Arbeits- und Leistungspreis", "Strom-/Gasnetz"), and ends that take the front of the first ("Vertragsbeginn, -dauer und -ende").
+FRONTS = rf"(?i)(?<![\p{{L}}-])((?:\p{{L}}{{2,}}-(?:, | ?/ ?))*\p{{L}}{{2,}})-(?:,? (?:{JOINTS}) | ?/ ?)(\p{{L}}{{5,}})"
+ENDS = rf"(?i)(?<![\p{{L}}-])(\p{{L}}{{5,}})((?:, -\p{{L}}{{3,}})*,? (?:{JOINTS}) -\p{{L}}{{3,}})(?!\p{{L}})"
 
 
 def suspended_compounds(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """pid, path, token: words that a passage holds in the form "Grund- und Leistungspreis" (grundpreis).
+    """pid, path, token: words that a passage holds by halves, in chains of any length.
 
-    The first part takes any end of the second word of at least four letters; what results is a token of the vocabulary or no word.
+    "Grund-, Arbeits- und Leistungspreis" holds grundpreis and arbeitspreis: each front takes any end of the last word of at
+    least four letters. "Vertragsbeginn, -dauer und -ende" holds vertragsdauer and vertragsende: each end takes any front of
+    the first word of at least four letters. What results is a token of the vocabulary or no word.
     """
-    pairs = found.select("pid", "path", F.explode(F.regexp_extract_all("text", F.lit(SUSPENDED), F.lit(0))).alias("x"))
-    fold = lambda i: F.element_at(tokens(F.regexp_extract("x", SUSPENDED, i)), 1)
-    named = pairs.select("pid", "path", fold(1).alias("front"), fold(2).alias("back"))
-    ends = F.transform(F.sequence(F.lit(4), F.length("back") - 1), lambda n: F.concat("front", F.right("back", n)))
-    return named.select("pid", "path", F.explode(ends).alias("token")).distinct().join(vocabulary.select("token"), "token", "left_semi").select("pid", "path", "token")
+    letters = lambda x: F.filter(F.split(normalize(x), r"[^\p{L}]+"), lambda w: F.length(w) > 1)
+    part = lambda pattern, i: F.regexp_extract("x", pattern, i)
+    chains = lambda pattern: found.select("pid", "path", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("x"))
+    cuts = lambda w: F.when(F.length(w) > SHORTEST, F.sequence(F.lit(SHORTEST), F.length(w) - 1)).otherwise(F.array().cast("array<int>"))
+    back = normalize(part(FRONTS, 2))
+    fronts = chains(FRONTS).select("pid", "path", back.alias("word"), F.explode(letters(part(FRONTS, 1))).alias("half")).select("pid", "path", F.explode(F.transform(cuts(F.col("word")), lambda n: F.concat("half", F.right("word", n)))).alias("token"))
+    first = normalize(part(ENDS, 1))
+    ends = chains(ENDS).select("pid", "path", first.alias("word"), F.explode(letters(F.regexp_replace(part(ENDS, 2), rf"(?i) (?:{JOINTS}) ", " "))).alias("half")).select("pid", "path", F.explode(F.transform(cuts(F.col("word")), lambda n: F.concat(F.left("word", n), "half"))).alias("token"))
+    return fronts.unionByName(ends).distinct().join(vocabulary.select("token"), "token", "left_semi").select("pid", "path", "token")
 
 
 def context_tokens(found: DataFrame) -> DataFrame:
@@ -107,15 +119,50 @@ def token_census(found: DataFrame, members: DataFrame, terms: DataFrame) -> Data
     return terms.select("term").distinct().join(n, "term", "left").select("term", F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
-def counted_reformulations(kept: DataFrame) -> DataFrame:
-    """qid, no, counted: a reformulation counts unless it holds all words of the question or of an earlier reformulation.
+def word_keys(word: Column) -> Column:
+    """Keys of a word; two words that share one are forms of one word: by spelling and ending, as a verb, or by the table of irregular forms."""
+    none, key = F.array().cast("array<string>"), stem(word)
+    verbs = F.when(key.rlike(r"^\p{L}+$"), F.transform(F.concat(F.array(key), F.coalesce(verb_keys(key), none)), lambda k: F.concat(F.lit("verb:"), k))).otherwise(none)
+    forms = F.create_map(*(x for form, keys in irregular_keys().items() for x in (F.lit(form), F.array(*(F.lit(f"form:{k}") for k in keys)))))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("stem:"), stem(fold_key(word)))), verbs, F.coalesce(F.try_element_at(forms, word), none)))
 
-    ``kept``: qid, no, text; words are tokens.
+
+def content_words(text: Column) -> Column:
+    """Distinct words without function words and single letters; all of them if nothing else is left."""
+    words = F.array_distinct(tokens(text))
+    content = F.filter(words, lambda w: ~w.isin(FUNCTION_WORDS) & (F.length(w) > 1))
+    return F.when(F.size(content) > 0, content).otherwise(words)
+
+
+def counted_reformulations(kept: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """qid, no, counted: a reformulation counts unless it holds all content words of the question or of another reformulation; of equal ones the first counts.
+
+    ``kept``: qid, no, text; no 0 is the question. A word is held where a form of it stands (:func:`word_keys`), where both
+    stand for one concept (``concepts``: qid, no, word, concept_id), or where all parts of a hyphenated word stand. Words
+    meet by equality of keys, and sets are compared by counting what is met.
     """
-    words = kept.select("qid", "no", F.array_distinct(tokens(F.col("text"))).alias("w"))
-    other = words.select("qid", F.col("no").alias("other"), F.col("w").alias("o"))
-    inside = words.join(other, "qid").where("other < no").groupBy("qid", "no").agg(F.max((F.size(F.array_except("o", "w")) == 0).cast("int")).alias("held"))
-    return words.where("no > 0").select("qid", "no").join(inside, ["qid", "no"], "left").select("qid", "no", (F.coalesce("held", F.lit(0)) == 0).alias("counted"))
+    words = kept.select("qid", "no", F.explode(content_words(F.col("text"))).alias("word"))
+    parts = F.filter(F.split("word", "[-_]"), lambda x: F.length(x) > 1)
+    units = words.select("qid", "no", "word", F.explode(F.when(F.size(parts) > 1, parts)).alias("unit")).distinct()
+    keyed = lambda df, c: df.withColumn("key", F.explode(word_keys(F.col(c))))
+    pool = words.unionByName(units.select("qid", "no", F.col("unit").alias("word"))).distinct()
+    have = keyed(pool, "word").select("qid", F.col("no").alias("by"), "key")
+    if concepts is not None:
+        named = concepts.select("qid", "no", "word", F.concat(F.lit("concept:"), "concept_id").alias("key"))
+        have = have.unionByName(named.select("qid", F.col("no").alias("by"), "key"))
+    have = have.distinct()
+    want = keyed(words, "word").select("qid", "no", "word", "key")
+    want = want.unionByName(named.select("qid", "no", "word", "key")) if concepts is not None else want
+    met = want.join(have, ["qid", "key"]).where("by <> no").select("qid", "no", "by", "word")
+    by_unit = keyed(units, "unit").join(have, ["qid", "key"]).where("by <> no").groupBy("qid", "no", "by", "word").agg(F.countDistinct("unit").alias("n"))
+    whole = by_unit.join(units.groupBy("qid", "no", "word").agg(F.count("*").alias("n_units")), ["qid", "no", "word"]).where("n = n_units").select("qid", "no", "by", "word")
+    size = words.groupBy("qid", "no").agg(F.count("*").alias("size"))
+    # by holds all words of no
+    holds = met.unionByName(whole).distinct().groupBy("qid", "no", "by").agg(F.count("*").alias("n")).join(size, ["qid", "no"]).where("n = size").select("qid", "no", "by")
+    back = holds.select("qid", F.col("by").alias("no"), F.col("no").alias("by"), F.lit(True).alias("equal"))
+    lost = holds.join(back, ["qid", "no", "by"], "left").where("by > 0 AND (no = 0 OR equal IS NULL OR no < by)").select("qid", F.col("by").alias("no")).distinct().withColumn("lost", F.lit(True))
+    rows = kept.where("no > 0").select("qid", "no").distinct().join(size, ["qid", "no"], "left").join(lost, ["qid", "no"], "left")
+    return rows.select("qid", "no", (F.col("lost").isNull() & F.col("size").isNotNull()).alias("counted"))
 
 
 def absence_check(questions: DataFrame, hits: DataFrame | None, counted: DataFrame, terms: DataFrame, found: DataFrame | None = None, budget: int = BUDGET) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import fold_sql, tokens, tokens_sql
+from quillon.functions.text import fold_sql, stem_sql, tokens, tokens_sql, verb_keys_sql
 from quillon.operators import lexicon as L
 from quillon.operators import markup as M
 from quillon.operators import passages as P
 from quillon.operators import search as S
 from quillon.plans import views as V
-from quillon.plans.governance_queries import RESOLVED, VOCABULARY, WORD_PARTS
-from quillon.plans.search_queries import SIGNALS, TERMS, TOKENS, query
+from quillon.plans.governance_queries import FORMS, RESOLVED, VOCABULARY, WORD_PARTS
+from quillon.plans.search_queries import SIGNALS, TERMS, TOKENS, WORDS, query
 
 PASSAGES = """
 every_line AS (SELECT path, status, title, rtrim(line) AS line, (i - 1)::BIGINT AS line_no, CASE WHEN starts_with(line, '<!-- page: ') AND ends_with(line, ' -->') THEN 'page=' || split_part(line, ' ', 3) END AS mark
@@ -165,8 +165,19 @@ def passage_hits_by_alternatives(spark: SparkSession, d: str) -> DataFrame:
 COUNTED = V.FORMULATIONS + f""",
 keyed AS (SELECT qid, no, text, array_to_string({tokens_sql("text")}, ' ') AS key FROM formulations),
 kept AS (SELECT qid, no, text FROM (SELECT *, min(no) OVER (PARTITION BY qid, key) AS f FROM keyed) WHERE key <> '' AND f = no AND length(text) <= 200),
-kw AS (SELECT qid, no, list_distinct({tokens_sql("text")}) AS w FROM kept),
-counted AS (SELECT a.qid, a.no, NOT EXISTS (SELECT 1 FROM kw b WHERE b.qid = a.qid AND b.no < a.no AND list_has_all(a.w, b.w)) AS counted FROM kw a WHERE a.no > 0)"""
+kw AS (SELECT qid, no, CASE WHEN len(c) > 0 THEN c ELSE w END AS w FROM (SELECT qid, no, list_distinct({tokens_sql("text")}) AS w, list_filter(list_distinct({tokens_sql("text")}), lambda x: x NOT IN ({WORDS}) AND length(x) > 1) AS c FROM kept)),
+kwords AS (SELECT DISTINCT qid, no, unnest(w) AS word FROM kw),
+kunits AS (SELECT DISTINCT qid, no, word, unnest(u) AS unit FROM (SELECT *, list_filter(regexp_split_to_array(word, '[-_]'), lambda x: length(x) > 1) AS u FROM kwords) WHERE len(u) > 1),
+kpool AS (SELECT qid, no, word FROM kwords UNION SELECT qid, no, unit FROM kunits),
+kstems AS (SELECT word, {stem_sql("word")} AS st, {stem_sql(fold_sql("word"))} AS fst FROM (SELECT DISTINCT word FROM kpool)),
+kforms AS (SELECT * FROM (VALUES {FORMS}) AS f(form, key, noun)),
+kkeys AS (SELECT word, 's:' || fst AS key FROM kstems UNION SELECT word, 'v:' || st FROM kstems WHERE regexp_matches(st, '^\\p{{L}}+$') UNION SELECT word, 'v:' || unnest({verb_keys_sql("st")}) FROM kstems WHERE regexp_matches(st, '^\\p{{L}}+$') UNION SELECT word, 'f:' || f.key FROM kstems JOIN kforms f ON f.form = word),
+ksame AS (SELECT DISTINCT a.word AS x, b.word AS y FROM kkeys a JOIN kkeys b USING (key)),
+kheld AS (SELECT DISTINCT w.qid, w.no, p.no AS by_no, w.word FROM kwords w JOIN ksame ON x = w.word JOIN kpool p ON p.qid = w.qid AND p.word = y AND p.no <> w.no),
+kunit_held AS (SELECT DISTINCT u.qid, u.no, p.no AS by_no, u.word, u.unit FROM kunits u JOIN ksame ON x = u.unit JOIN kpool p ON p.qid = u.qid AND p.word = y AND p.no <> u.no),
+kall AS (SELECT qid, no, by_no, word FROM kheld UNION SELECT qid, no, by_no, word FROM kunit_held JOIN (SELECT qid, no, word, count(*) AS n FROM kunits GROUP BY ALL) USING (qid, no, word) GROUP BY qid, no, by_no, word, n HAVING count(*) = n),
+kholds AS (SELECT qid, no, by_no FROM kall JOIN (SELECT qid, no, count(*) AS n FROM kwords GROUP BY ALL) USING (qid, no) GROUP BY qid, no, by_no, n HAVING count(*) = n),
+counted AS (SELECT a.qid, a.no, NOT EXISTS (SELECT 1 FROM kholds h WHERE h.qid = a.qid AND h.by_no = a.no AND (h.no = 0 OR h.no < a.no OR NOT EXISTS (SELECT 1 FROM kholds r WHERE r.qid = a.qid AND r.no = a.no AND r.by_no = h.no))) AND len(w) > 0 AS counted FROM kw a WHERE a.no > 0)"""
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
