@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import html
 import html.entities
-import json
 import unicodedata
 from collections.abc import Callable
 
@@ -53,8 +52,9 @@ def rewritten(text: Column, pattern: str, told: Callable[[Column], Column]) -> C
 
 
 def lookup(given: dict[str, str]) -> Column:
-    """A constant map; as JSON, so that a table of thousands of rows is one literal of the plan."""
-    return F.from_json(F.lit(json.dumps(given)), "map<string,string>")
+    """A constant map, which Spark folds to one literal however many rows it has."""
+    keys, values = (F.split(F.lit("\x01".join(x)), "\x01", -1) for x in (given.keys(), given.values()))
+    return F.map_from_arrays(keys, values)
 
 
 def _reference(ref: Column) -> Column:
@@ -90,6 +90,14 @@ def join_superscripts(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?<={_word})\^([^\s^]{{1,16}})\^", "$1")
 
 
+def _class(letters: list[str]) -> str:
+    """A pattern for one of ``letters`` as ranges; plain letters are passed by before the ranges are looked at."""
+    codes = sorted(map(ord, letters))
+    held = set(codes)
+    starts, ends = [c for c in codes if c - 1 not in held], [c for c in codes if c + 1 not in held]
+    return r"(?=[^\x00-\x7F])[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 def _folding() -> tuple[str, str, dict[str, str]]:
     """By rule of Unicode: letters with one base letter, and it; marks, which go; letters that stand for several."""
     one, base, marks, several = [], [], [], {}
@@ -107,12 +115,13 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 
 
 FOLDED, BASE, SEVERAL = _folding()
+LIGATURE = _class(list(SEVERAL))
 
 
 def fold(text: Column) -> Column:
     """Lower case, compatibility forms as plain letters, without marks. Hangul stays composed."""
     text = F.translate(F.lower(text), FOLDED, BASE)
-    return rewritten(text, "[" + "".join(SEVERAL) + "]", lambda c: F.try_element_at(lookup(SEVERAL), c))
+    return rewritten(text, LIGATURE, lambda c: F.try_element_at(lookup(SEVERAL), c))
 
 
 def number_spelling(text: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.repair import repaired_tokens as repaired
 from quillon.functions.text import stem_sql, tokens_sql
 from quillon.operators import fields as D
 from quillon.operators import search as S
@@ -42,7 +41,7 @@ def field_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def field_questions(spark: SparkSession, d: str) -> DataFrame:
     """fid, text: six tokens of a passage and an amount in megawatt hours, which pages write in kilowatt hours."""
-    text = F.array_join(F.slice(F.regexp_extract_all(F.lower(plain("text")), F.lit(r"\w+"), F.lit(0)), 1, 6), " ")
+    text = F.array_join(F.slice(F.regexp_extract_all(F.lower(plain("text")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 6), " ")
     return V.table(spark, d, "benchmark").select(F.col("item_id").alias("fid"), F.concat(text, F.lit(" 2,5"), F.format_string("%02d", F.col("item_id") % 50), F.lit(" MWh")).alias("text"))
 
 
