@@ -49,7 +49,11 @@ def field_stats(pages: DataFrame) -> DataFrame:
     """field, n_docs, avg_len: mean tokens of each of the six fields over all pages."""
     words = document_fields(pages).select("field", F.size("tokens").cast("long").alias("n"))
     amounts = page_quantities(pages).select(F.lit("quantities").alias("field"), F.lit(1).cast("long").alias("n"))
-    total = words.unionByName(amounts).groupBy("field").agg(F.sum("n").alias("n"))
+    return _mean_lengths(words.unionByName(amounts), pages)
+
+
+def _mean_lengths(lengths: DataFrame, pages: DataFrame) -> DataFrame:
+    total = lengths.groupBy("field").agg(F.sum("n").alias("n"))
     return total.crossJoin(F.broadcast(pages.agg(F.count("*").alias("n_docs")))).select("field", "n_docs", (F.col("n") / F.col("n_docs")).alias("avg_len"))
 
 
@@ -67,25 +71,28 @@ def asked_quantities(questions: DataFrame) -> DataFrame:
     return Q.extract_quantities(spans).join(written, "path").select("path.fid", "term", "token").distinct()
 
 
-def field_ranking(pages: DataFrame, questions: DataFrame, resolve: Callable[[DataFrame, DataFrame], DataFrame] | None = None, with_signals: bool = True) -> DataFrame:
+def field_ranking(pages: DataFrame, questions: DataFrame, resolve: Callable[[DataFrame, DataFrame], DataFrame] | None = None, with_signals: bool = True, posted: DataFrame | None = None) -> DataFrame:
     """fid, path, score, rank over six fields. ``resolve`` as in ``search.ranking``.
 
+    ``posted``: the ``field_postings`` of the pages, as a table that is kept; None: they are written once for this ranking.
+
     Questions and pages are repaired alike, so "2.500 kWh", "2500kWh" and, as a quantity, "2,5 MWh" meet.
     """
+    posted = settled(field_postings(pages)) if posted is None else posted
     questions = questions.select("fid", "text", F.array_join(repaired_tokens(F.col("text")), " ").alias("words"))
     terms = S.query_term_plan(questions.select("fid", F.col("words").alias("text"))).where("dropped IS NULL").select("fid", "term")
     amounts = asked_quantities(questions).join(terms, ["fid", "term"], "left_semi")
     if resolve is None:
         members = terms.select("fid", "term", F.col("term").alias("token"), F.lit(1.0).alias("weight"))
     else:
-        vocabulary = document_fields(pages).select("path", F.explode(F.array_distinct("tokens")).alias("token")).distinct().groupBy("token").agg(F.count("*").alias("files"))
+        vocabulary = posted.where("field <> 'quantities'").select("path", "token").distinct().groupBy("token").agg(F.count("*").alias("files"))
         members = settled(terms.join(resolve(terms, vocabulary).select("term", "token", "weight"), "term"))
     asked = members.select("token").unionByName(amounts.select("token")).distinct()
-    found = settled(field_postings(pages).join(asked, "token", "left_semi"))
+    found = settled(posted.join(asked, "token", "left_semi"))
     held, counted = found.where("field <> 'quantities'").select("path", "token"), found.where("field = 'quantities'").select("path", "token")
     bridge = Q.quantity_bridge(amounts, members.select("fid", "term", "token"), held, counted).select("fid", "term", "token", "weight")
     wanted = members.select("fid", "term", "token", "weight").unionByName(bridge)
-    scores = settled(S.bm25f_score(found, S.term_groups(wanted, found), field_stats(pages)))
+    scores = settled(S.bm25f_score(found, S.term_groups(wanted, found), _mean_lengths(posted.select("field", F.col("tf").alias("n")), pages)))
     if not with_signals:
         return S.rank_pages(scores)
     matched = pages.join(scores.select("path").distinct(), "path", "left_semi").select("path", F.array_join(repaired_tokens(F.col("body")), " ").alias("body"))
