@@ -23,7 +23,7 @@ def truth(spark: SparkSession, d: str) -> DataFrame:
     asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("fid"), tokens(F.col("text")).alias("t")).where(F.size("t") >= 14).select("fid", F.array_join(F.slice("t", 7, 8), " ").alias("run"))
     runs = V.pages(spark, d).select("path", tokens(F.col("body")).alias("t")).where(F.size("t") >= 8)
     every = F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " "))
-    return runs.select("path", F.explode(F.array_distinct(every)).alias("run")).join(asked, "run").select("fid", "path").distinct()
+    return runs.select("path", F.explode_outer(F.array_distinct(every)).alias("run")).join(asked, "run").select("fid", "path").distinct()
 
 
 def accepted(required: DataFrame) -> DataFrame:
