@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.text import TOKEN
+from quillon.functions.text import TOKEN_RUN
 
 #: Hidden characters, hyphens that are spelled "-", words after a hyphen at a line end that do not continue the word.
 HIDDEN, HYPHENS = "­​‌‍⁠﻿", "‐‑"
@@ -57,16 +57,21 @@ def lookup(given: dict[str, str]) -> Column:
     return F.map_from_arrays(keys, values)
 
 
+def named_references() -> dict[str, str]:
+    """Reference -> letters. A map is read from its start, so the plain letters come first, those of Europe before others."""
+    letters = sorted(html.entities.html5.items(), key=lambda x: (not (len(x[1]) == 1 and x[1].isalpha()), x[1], x[0]))
+    return {f"&{k}": v for k, v in letters if k.endswith(";")}
+
+
 def _reference(ref: Column) -> Column:
     # numbers 128 to 159 stand for the letters of a code page, as HTML has it
-    named = {f"&{k}": v for k, v in html.entities.html5.items() if k.endswith(";")} | {f"#{n}": html.unescape(f"&#{n};") for n in range(128, 160)}
+    paged = {f"#{n}": html.unescape(f"&#{n};") for n in range(128, 160)}
     digits = F.regexp_extract(ref, r"^&#[xX]?(\p{XDigit}+);$", 1)
     code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("int")).otherwise(F.conv(digits, 10, 10).cast("int"))
     valid = code.between(9, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     letter = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("�")
-    table = lookup(named)
     # a name that is none stays as it is written
-    return F.when(digits != "", F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), code)), letter)).otherwise(F.coalesce(F.try_element_at(table, ref), ref))
+    return F.when(digits != "", F.when(code.between(128, 159), F.try_element_at(lookup(paged), F.concat(F.lit("#"), code))).otherwise(letter)).otherwise(F.coalesce(F.try_element_at(lookup(named_references()), ref), ref))
 
 
 def repair(text: Column) -> Column:
@@ -136,7 +141,7 @@ def number_groups(text: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(number_spelling(fold(text)), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(number_spelling(fold(text)), F.lit(TOKEN_RUN), F.lit(0))
 
 
 def repaired_tokens(text: Column) -> Column:

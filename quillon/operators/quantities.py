@@ -56,7 +56,7 @@ def extract_quantities(pages: DataFrame) -> DataFrame:
     unit. Citations, signed numbers, scaled amounts and the second number of a range are no quantities.
     """
     named = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
-    spans = pages.select("path", F.explode(F.regexp_extract_all(normalize(F.col("body")), F.lit(SPAN), F.lit(0))).alias("q"))
+    spans = pages.select("path", F.explode_outer(F.regexp_extract_all(normalize(F.col("body")), F.lit(SPAN), F.lit(0))).alias("q"))
     money = F.regexp_extract("q", MONEY, 1)
     found = spans.select("path", F.when(money != "", money).otherwise(F.regexp_extract("q", ACCEPTED, 1)).alias("n"), F.when(money != "", "eur").otherwise(F.regexp_extract("q", ACCEPTED, 2)).alias("u")).where("n <> ''")
     plain = F.when(F.col("n").rlike(f"^{GROUPED}$"), F.regexp_replace("n", "[. '’]", "")).otherwise(F.col("n"))

@@ -62,7 +62,7 @@ stats AS (SELECT field, (SELECT count(*) FROM pages) AS n_docs, sum(len(t)) / (S
 
 @query(f"WITH {CLEAN} SELECT path, field, i - 1 AS pos, token FROM (SELECT path, field, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM fields WHERE field <> 'quantities')")
 def repaired_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return D.document_fields(field_pages(spark, d)).select("path", "field", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    return D.document_fields(field_pages(spark, d)).select("path", "field", F.posexplode_outer("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"WITH {CLEAN} SELECT path, field, token, tf, field_len FROM postings")

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon.functions import repair as R
+from quillon.operators import fields as D
 
 CASES = [
     ("Ab 2.500 kWh", "ab 2500 kwh"), ("Ab 2 500 kWh", "ab 2500 kwh"), ("Ab 2 500 kWh", "ab 2500 kwh"), ("Ab 2 500 kWh", "ab 2500 kwh"), ("Ab 2 500 kWh", "ab 2500 kwh"), ("Ab 2'500 kWh", "ab 2500 kwh"),
@@ -71,3 +72,18 @@ def told(spark):
 @given(st.lists(st.lists(st.sampled_from(["12", "3", "500", "1000", ".", " ", "'", ",", "x", "Ä", "&auml;", "&#228;", "­", "-", "_", "ß", "ﬁ", "é", "́", " und "]), max_size=14).map("".join), min_size=40, max_size=60))
 def test_random_texts(told, texts):
     assert told(texts) == [by_hand(t) for t in texts]
+
+
+def test_only_postings_of_asked_tokens_are_counted(spark):
+    fields = spark.createDataFrame([("p", "body", ["a", "b", "a"]), ("q", "title", ["b"])], "path string, field string, tokens array<string>")
+    amounts = spark.createDataFrame([("p", "=1kwh"), ("p", "=2kwh"), ("p", "=2kwh")], "path string, token string")
+    asked = spark.createDataFrame([("a",), ("=2kwh",)], "token string")
+    got = {tuple(r) for r in D.counted_fields(fields, amounts, asked).collect()}
+    assert got == {("p", "body", "a", 2, 3), ("p", "quantities", "=2kwh", 2, 3)}
+    assert D.counted_fields(fields, amounts).count() == 5
+
+
+def test_plain_letters_of_references_are_found_first(spark):
+    row = spark.range(1).select(R._reference(F.lit("&uuml;")).alias("u"), R._reference(F.lit("&hellip;")).alias("h"), R._reference(F.lit("&#150;")).alias("n"), R._reference(F.lit("&nothing;")).alias("x"), R._reference(F.lit("&NotEqualTilde;")).alias("two"))
+    assert tuple(row.first()) == ("ü", "…", "–", "&nothing;", "≂̸")
+    assert list(R.named_references()).index("&uuml;") < 200
