@@ -45,7 +45,7 @@ metrics AS (SELECT unnest(['answerable_queries', 'negative_queries', 'required_f
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     pages, questions = V.pages(spark, d), V.questions(spark, d)
-    return G.quality_metrics(S.ranking(pages, questions), questions, truth(spark, d), F.col("path").rlike("1[.]md$"))
+    return G.quality_metrics(S.ranking(pages, questions, limit=G.RANK_LIMIT), questions, truth(spark, d), F.col("path").rlike("1[.]md$"))
 
 
 @query(f"WITH {TRUTH} SELECT metric, value FROM metrics")
@@ -67,5 +67,5 @@ UNION ALL SELECT fid, path, CASE WHEN held <= 3 AND coalesce(now, 101) > 3 THEN
 def rank_regressions(spark: SparkSession, d: str) -> DataFrame:
     pages, questions = V.pages(spark, d), V.questions(spark, d)
     required = truth(spark, d)
-    found = G.rank_regressions(S.ranking(pages, questions), S.ranking(pages, questions, with_signals=False), required, accepted(required))
+    found = G.rank_regressions(S.ranking(pages, questions, limit=G.RANK_LIMIT), S.ranking(pages, questions, with_signals=False), required, accepted(required))
     return found.withColumns({x: F.col(x).cast("long") for x in ("held", "now")})
