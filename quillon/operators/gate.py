@@ -21,6 +21,18 @@ def is_navigation(path: Column) -> Column:
     return path.isin("WIKI.md", "meta/questions.md") | path.rlike("(?:^|/)index[.]md$")
 
 
+def holders_of_runs(pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """fid, path: pages that hold the tokens of a run in a row. ``pages``: path, t; ``runs``: fid, run (arrays of tokens).
+
+    A page's tokens meet the longest token of each run, which are broadcast; only where that stands is the run compared.
+    """
+    longest = F.array_max(F.transform("run", lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("at"), x.alias("token"))))
+    keyed = runs.where(F.size("run") > 0).select("fid", "run", longest.alias("k")).select("fid", "run", (-F.col("k.at")).alias("at"), F.col("k.token").alias("token"))
+    placed = pages.select("path", "t", F.posexplode_outer("t").alias("i", "token")).join(F.broadcast(keyed), "token")
+    start = F.col("i") - F.col("at") + 1
+    return placed.where((start > 0) & (F.slice("t", F.greatest(start, F.lit(1)), F.size("run")) == F.col("run"))).select("fid", "path").distinct()
+
+
 def _within(ranked: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= RANK_LIMIT).select("fid", "path", "rank")
 

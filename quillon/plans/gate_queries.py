@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.settled import settled
 from quillon.functions.text import tokens, tokens_sql
 from quillon.operators import gate as G
 from quillon.operators import search as S
@@ -19,11 +20,9 @@ FLOORS, CAPS = {"required_first_result": 5, "all_must_find_within_12": 5}, {"neg
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    """fid, path: pages by runs of eight tokens, met by an equality join."""
-    asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("fid"), tokens(F.col("text")).alias("t")).where(F.size("t") >= 14).select("fid", F.array_join(F.slice("t", 7, 8), " ").alias("run"))
-    runs = V.pages(spark, d).select("path", tokens(F.col("body")).alias("t")).where(F.size("t") >= 8)
-    every = F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " "))
-    return runs.select("path", F.explode_outer(F.array_distinct(every)).alias("run")).join(asked, "run").select("fid", "path").distinct()
+    """fid, path: pages by runs of eight tokens, met by an equality join on one of them."""
+    asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("fid"), tokens(F.col("text")).alias("t")).where(F.size("t") >= 14).select("fid", F.slice("t", 7, 8).alias("run"))
+    return G.holders_of_runs(V.pages(spark, d).select("path", tokens(F.col("body")).alias("t")), asked)
 
 
 def accepted(required: DataFrame) -> DataFrame:
@@ -66,6 +65,10 @@ SELECT fid, path, 1 AS bound, was AS held, now FROM told t WHERE was = 1 AND fid
 UNION ALL SELECT fid, path, CASE WHEN held <= 3 AND coalesce(now, 101) > 3 THEN 3 ELSE 12 END, held, now FROM told WHERE (held <= 3 AND coalesce(now, 101) > 3) OR (held <= 12 AND coalesce(now, 101) > 12)""")
 def rank_regressions(spark: SparkSession, d: str) -> DataFrame:
     pages, questions = V.pages(spark, d), V.questions(spark, d)
-    required = truth(spark, d)
-    found = G.rank_regressions(S.ranking(pages, questions, limit=G.RANK_LIMIT), S.ranking(pages, questions, with_signals=False), required, accepted(required))
+    required = settled(truth(spark, d))
+    # both rankings read the same scores
+    terms = S.query_term_plan(questions).where("dropped IS NULL").select("fid", "term")
+    fields, wanted = S.split_fields(pages), S.wanted_members(S.split_fields(pages), terms)
+    scores = S.page_scores(pages, terms, wanted, settled(S.asked_postings(fields, wanted)), levels=False)
+    found = G.rank_regressions(S.signalled(scores, pages, questions, G.RANK_LIMIT), S.plain_ranks(scores, G.RANK_LIMIT), required, accepted(required))
     return found.withColumns({x: F.col(x).cast("long") for x in ("held", "now")})

@@ -37,3 +37,12 @@ def test_regressions(table):
     assert got == {(2, "c"): (1, 1, 2), (3, "e"): (3, 3, 4), (4, "f"): (12, 12, None), (7, "i"): (12, 10, 13), (9, "k"): (12, 12, None)}
     better = {(r.fid, r.path): (r.was, r.now) for r in G.rank_improvements(ranked, recorded, truth).collect()}
     assert better == {(1, "b"): (2, 1)}
+
+
+def test_runs_are_met_where_their_longest_token_stands(spark):
+    pages = spark.createDataFrame([("a", "x y long z x y".split()), ("b", "long y x".split()), ("c", "y long z".split()), ("d", []), ("e", "long z y y long z".split())], "path string, t array<string>")
+    runs = spark.createDataFrame([(1, ["y", "long", "z"]), (2, ["x", "y"]), (3, ["y", "y"]), (4, ["z", "long"])], "fid long, run array<string>")
+    made = G.holders_of_runs(pages, runs)
+    assert {tuple(r) for r in made.collect()} == {(1, "a"), (1, "c"), (1, "e"), (2, "a"), (3, "e")}
+    # no page is written out as all its runs
+    assert "array_join" not in made._jdf.queryExecution().optimizedPlan().toString()
