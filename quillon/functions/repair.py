@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.text import TOKEN_RUN
+from quillon.functions.text import TOKEN_RUN, is_ascii
 
 #: Hidden characters, hyphens that are spelled "-", words after a hyphen at a line end that do not continue the word.
 HIDDEN, HYPHENS = "­​‌‍⁠﻿", "‐‑"
@@ -30,9 +30,12 @@ GROUP_MARKS = "[. '’]"
 _word = r"[\p{L}\p{N}]"
 REFERENCE = r"&(?:#\d{1,7}|#[xX]\p{XDigit}{1,6}|[a-zA-Z]\p{Alnum}{1,31});"
 _stars = r"(\*{1,3})(%s+)\%d(?!\*)"
-_continues = rf"(?<=\p{{L}})-[ \t]*\r?\n[ \t]*(?!(?i:{'|'.join(SUSPENDING)})(?![\p{{L}}\p{{N}}_]))"
-GROUPS = rf"(?<![\p{{L}}\p{{N}}_.,'’])\d{{1,3}}(?:{GROUP_MARKS}\d{{3}})+(?!\d)"
-GLUED = rf"(?<![\p{{L}}\p{{N}}_-])(\d+)({'|'.join(GLUED_UNITS)})(?!{_word})"
+# patterns begin with the character that they need and look back from it, so other characters cost one comparison
+_inside = rf"\*(?<={_word}\*)(\*{{0,2}})({_word}+)\*\1(?!\*)"
+_before = rf"\*(?<!\*\*)(\*{{0,2}})({_word}+)\*\1(?!\*)(?={_word})"
+_continues = rf"-(?<=\p{{L}}-)[ \t]*\r?\n[ \t]*(?!(?i:{'|'.join(SUSPENDING)})(?![\p{{L}}\p{{N}}_]))"
+GROUPS = rf"\d(?<![\p{{L}}\p{{N}}_.,'’]\d)\d{{0,2}}(?:{GROUP_MARKS}\d{{3}})+(?!\d)"
+GLUED = rf"(\d(?<![\p{{L}}\p{{N}}_-]\d)\d*)({'|'.join(GLUED_UNITS)})(?!{_word})"
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -74,25 +77,53 @@ def _reference(ref: Column) -> Column:
     return F.when(digits != "", F.when(code.between(128, 159), F.try_element_at(lookup(paged), F.concat(F.lit("#"), code))).otherwise(letter)).otherwise(F.coalesce(F.try_element_at(lookup(named_references()), ref), ref))
 
 
+def _references(text: Column) -> Column:
+    """``text`` with its references decoded: one stands at the start of what an ampersand cuts off."""
+
+    def decoded(piece: Column) -> Column:
+        ref = F.regexp_extract(piece, "^" + REFERENCE, 0)
+        return F.when(ref == "", piece).otherwise(F.concat(F.coalesce(_reference(ref), F.lit("")), F.substr(piece, F.length(ref) + 1)))
+
+    pieces = F.transform(F.split(text, "&", -1), lambda x, i: F.when(i == 0, x).otherwise(bound(F.concat(F.lit("&"), x), decoded)))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+
+def _where(text: Column, sign: str, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a text that holds ``sign``; others stay as they are."""
+    return bound(text, lambda t: F.when(t.contains(sign), use(t)).otherwise(t))
+
+
+def _plain_hyphens(text: Column) -> Column:
+    for c in HYPHENS:
+        text = F.replace(text, F.lit(c), F.lit("-"))
+    for c in HIDDEN:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def repair(text: Column) -> Column:
     """``text`` without what splits its words; null: empty. Superscripts are left as ^...^, see ``join_superscripts``.
 
     Emphasis is taken away inside a word only. A hyphen at a line end joins the word, and stays before a capital; before a
     conjunction ("Netz- und ...") nothing is joined.
     """
-    text = rewritten(F.coalesce(text.cast("string"), F.lit("")), REFERENCE, _reference)
-    text = F.translate(text, HYPHENS + HIDDEN, "-" * len(HYPHENS))
-    text = F.regexp_replace(text, r"(?i)</?sub\b[^>]*>", "")
-    text = F.regexp_replace(text, r"(?i)<sup\b[^>]*>([^<]{0,64})</sup\s*>", "^$1^")
-    text = F.regexp_replace(text, rf"(?<={_word})~([^\s~]{{1,16}})~(?!~)", "$1")
-    text = F.regexp_replace(text, rf"(?<={_word}){_stars % (_word, 1)}", "$2")
-    text = F.regexp_replace(text, rf"(?<!\*){_stars % (_word, 1)}(?={_word})", "$2")
-    text = F.regexp_replace(text, _continues + r"(?=\p{Lu})", "-")
-    return F.regexp_replace(text, _continues + r"(?=\p{L})", "")
+    replaced = lambda *steps: lambda t: _replaced(t, steps)
+    text = bound(F.coalesce(text.cast("string"), F.lit("")), _references)
+    text = bound(text, lambda t: F.when(is_ascii(t), t).otherwise(_plain_hyphens(t)))
+    text = _where(text, "<", replaced((r"(?i)</?sub\b[^>]*>", ""), (r"(?i)<sup\b[^>]*>([^<]{0,64})</sup\s*>", "^$1^")))
+    text = _where(text, "~", replaced((rf"~(?<={_word}~)([^\s~]{{1,16}})~(?!~)", "$1")))
+    text = _where(text, "*", replaced((_inside, "$2"), (_before, "$2")))
+    return _where(text, "-", replaced((_continues + r"(?=\p{Lu})", "-"), (_continues + r"(?=\p{L})", "")))
+
+
+def _replaced(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, by in steps:
+        text = F.regexp_replace(text, pattern, by)
+    return text
 
 
 def join_superscripts(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?<={_word})\^([^\s^]{{1,16}})\^", "$1")
+    return F.regexp_replace(text, rf"\^(?<={_word}\^)([^\s^]{{1,16}})\^", "$1")
 
 
 def _class(letters: list[str]) -> str:
@@ -125,13 +156,14 @@ LIGATURE = _class(list(SEVERAL))
 
 def fold(text: Column) -> Column:
     """Lower case, compatibility forms as plain letters, without marks. Hangul stays composed."""
-    text = F.translate(F.lower(text), FOLDED, BASE)
-    return rewritten(text, LIGATURE, lambda c: F.try_element_at(lookup(SEVERAL), c))
+    several = lambda t: F.when(is_ascii(t), t).otherwise(rewritten(t, LIGATURE, lambda c: F.try_element_at(lookup(SEVERAL), c)))
+    return bound(F.lower(text), lambda t: F.when(is_ascii(t), t).otherwise(bound(F.translate(t, FOLDED, BASE), several)))
 
 
 def number_spelling(text: Column) -> Column:
     """Folded text with the digit groups of a number joined and a unit behind a number split off."""
-    return F.regexp_replace(rewritten(text, GROUPS, lambda x: F.regexp_replace(x, GROUP_MARKS, "")), GLUED, "$1 $2")
+    spelled = lambda t: F.regexp_replace(rewritten(t, GROUPS, lambda x: F.regexp_replace(x, GROUP_MARKS, "")), GLUED, "$1 $2")
+    return bound(text, lambda t: F.when(t.rlike("[0-9]"), spelled(t)).otherwise(t))
 
 
 def number_groups(text: Column) -> Column:
@@ -140,14 +172,27 @@ def number_groups(text: Column) -> Column:
     return F.flatten(F.transform(joined, lambda x: F.split(x, GROUP_MARKS)))
 
 
+def spelled_tokens(spelled: Column) -> Column:
+    """Tokens of a text that is repaired, folded and spelled."""
+    return F.regexp_extract_all(spelled, F.lit(TOKEN_RUN), F.lit(0))
+
+
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(number_spelling(fold(text)), F.lit(TOKEN_RUN), F.lit(0))
+    return spelled_tokens(number_spelling(fold(text)))
+
+
+def with_superscripts(repaired: Column, own: Column) -> Column:
+    """``own``, the tokens of a repaired text, and behind them once those that superscripts give, joined to their word.
+
+    No step behind the repair looks over the end of a line, so only lines with a superscript are read again.
+    """
+    raised = F.array_join(F.filter(F.split(repaired, "\n", -1), lambda x: x.contains("^")), "\n")
+    return F.when(repaired.contains("^"), bound(own, lambda w: F.concat(w, F.array_except(_tokens(join_superscripts(raised)), w)))).otherwise(own)
 
 
 def repaired_tokens(text: Column) -> Column:
     """Tokens of a repaired text in order; those that superscripts give, joined to their word, stand behind them once."""
-    behind = lambda t, own: F.when(t.contains("^"), F.concat(own, F.array_except(_tokens(join_superscripts(t)), own))).otherwise(own)
-    return bound(repair(text), lambda t: bound(_tokens(t), lambda own: behind(t, own)))
+    return bound(repair(text), lambda t: bound(_tokens(t), lambda own: with_superscripts(t, own)))
 
 
 def scan_tokens(text: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.repair import bound
 from quillon.functions.text import fold_key, normalize, stem
 
 #: Unit as written -> (canonical unit, power of ten to it).
@@ -47,6 +48,8 @@ _free = r"[^\p{L}\p{N}_.,'’/:⁄−+±=–—-]?"
 #: A span that is a quantity: number and unit; or an amount of money behind its unit.
 ACCEPTED = rf"^(?:\n?-[ \t]+|{_free})(?:zwischen[ \t]+)?({NUMBER}){_dash}[ \t]*([%€]|{_named})(?:[ \t]|$)"
 MONEY = rf"^{_free}(?:€|eur)[ \t]*({DIGITS}){_dash}$"
+#: What a line with a quantity holds, if it holds no digit, behind a line end.
+_worded = rf"[^\p{{L}}\p{{N}}_](?i:{_words})"
 
 
 def extract_quantities(pages: DataFrame) -> DataFrame:
@@ -55,17 +58,42 @@ def extract_quantities(pages: DataFrame) -> DataFrame:
     Number words and digits that a number word names may count days, months and the like; money may stand behind its
     unit. Citations, signed numbers, scaled amounts and the second number of a range are no quantities.
     """
+    spans = pages.select("path", F.explode_outer(bound(normalize(F.col("body")), spans_of)).alias("q")).select("path", quantity_of(F.col("q")).alias("f"))
+    return spans.where("f IS NOT NULL").select("path", "f.value", "f.unit", "f.token")
+
+
+def numbered_lines(text: Column) -> Column:
+    """The lines of a text that hold a digit or a number word, each behind a line end."""
+    worded = lambda x: F.concat(F.lit("\n"), x).rlike(_worded)
+    told = lambda words: F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[0-9]") | (words & worded(x)))
+    return bound(worded(text), lambda words: F.when(words | text.rlike("[0-9]"), F.concat(F.lit("\n"), F.array_join(told(words), "\n"))).otherwise(F.lit("")))
+
+
+def spans_of(text: Column) -> Column:
+    """The spans of a text that may be quantities. A span lies in one line, with the end of the one before, and holds a number."""
+    return bound(numbered_lines(text), lambda x: F.regexp_extract_all(normalize(x), F.lit(SPAN), F.lit(0)))
+
+
+def quantity_of(q: Column) -> Column:
+    """{value, unit, token} of a span, or null."""
     named = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
-    spans = pages.select("path", F.explode_outer(F.regexp_extract_all(normalize(F.col("body")), F.lit(SPAN), F.lit(0))).alias("q"))
-    money = F.regexp_extract("q", MONEY, 1)
-    found = spans.select("path", F.when(money != "", money).otherwise(F.regexp_extract("q", ACCEPTED, 1)).alias("n"), F.when(money != "", "eur").otherwise(F.regexp_extract("q", ACCEPTED, 2)).alias("u")).where("n <> ''")
-    plain = F.when(F.col("n").rlike(f"^{GROUPED}$"), F.regexp_replace("n", "[. '’]", "")).otherwise(F.col("n"))
-    number = F.coalesce(named(NUMBER_WORDS)[F.col("n")].cast("decimal(21,6)"), F.replace(plain, F.lit(","), F.lit(".")).try_cast("decimal(21,6)"))
-    power = F.coalesce(named({k: p for k, (_, p) in UNITS.items()})[F.col("u")], F.lit(0))
-    value = F.when(power < 0, number * F.pow(F.lit(10), power).cast("decimal(4,3)")).otherwise(number * F.pow(F.lit(10), power).cast("decimal(10,0)")).cast("decimal(38,9)")
-    rows = found.select("path", value.alias("value"), named(CANONICAL)[F.col("u")].alias("unit"), F.col("u").isin(list(COUNT_UNITS)).alias("counted"))
-    rows = rows.where(F.col("value").isNotNull() & (~F.col("counted") | F.col("value").isin(list(NUMBER_WORDS.values()))))
-    return rows.select("path", F.col("value").cast("double").alias("value"), "unit", F.concat(F.lit("="), F.regexp_replace(F.col("value").cast("string"), r"\.?0+$", ""), "unit").alias("token"))
+
+    def told(n: Column, u: Column) -> Column:
+        plain = F.when(n.rlike(f"^{GROUPED}$"), F.regexp_replace(n, "[. '’]", "")).otherwise(n)
+        number = F.coalesce(named(NUMBER_WORDS)[n].cast("decimal(21,6)"), F.replace(plain, F.lit(","), F.lit(".")).try_cast("decimal(21,6)"))
+        power = F.coalesce(named({k: p for k, (_, p) in UNITS.items()})[u], F.lit(0))
+        value = F.when(power < 0, number * F.pow(F.lit(10), power).cast("decimal(4,3)")).otherwise(number * F.pow(F.lit(10), power).cast("decimal(10,0)")).cast("decimal(38,9)")
+        return bound(value, lambda v: F.when(v.isNotNull() & (~u.isin(list(COUNT_UNITS)) | v.isin(list(NUMBER_WORDS.values()))), shown(v, named(CANONICAL)[u])))
+
+    shown = lambda v, unit: F.struct(v.cast("double").alias("value"), unit.alias("unit"), F.concat(F.lit("="), F.regexp_replace(v.cast("string"), r"\.?0+$", ""), unit).alias("token"))
+    money = F.regexp_extract(q, MONEY, 1)
+    read = F.struct(F.when(money != "", money).otherwise(F.regexp_extract(q, ACCEPTED, 1)).alias("n"), F.when(money != "", "eur").otherwise(F.regexp_extract(q, ACCEPTED, 2)).alias("u"))
+    return bound(read, lambda x: F.when(x["n"] != "", told(x["n"], x["u"])))
+
+
+def quantity_tokens(text: Column) -> Column:
+    """The tokens of the quantities of a text that is spelled by ``number_spelling``, in order."""
+    return F.transform(F.filter(F.transform(bound(text, spans_of), quantity_of), lambda f: f.isNotNull()), lambda f: f["token"])
 
 
 def concept_trigger(terms: DataFrame, concepts: DataFrame) -> DataFrame:

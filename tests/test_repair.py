@@ -87,3 +87,12 @@ def test_plain_letters_of_references_are_found_first(spark):
     row = spark.range(1).select(R._reference(F.lit("&uuml;")).alias("u"), R._reference(F.lit("&hellip;")).alias("h"), R._reference(F.lit("&#150;")).alias("n"), R._reference(F.lit("&nothing;")).alias("x"), R._reference(F.lit("&NotEqualTilde;")).alias("two"))
     assert tuple(row.first()) == ("ü", "…", "–", "&nothing;", "≂̸")
     assert list(R.named_references()).index("&uuml;") < 200
+
+
+def test_postings_of_a_page_are_counted_where_it_lies(spark):
+    rows = [("a", "Ab 5", ["x"], None, "## Kopf\n5 kWh und 5 kWh je m^2^\nzwei\nzwei Monate"), ("b", "H<sub", None, "Netz-", "ende 2~,~ 3 kWh"), ("c", "CO<su~b~", ["&uuml;-"], None, "kw 1 000 kWh"), ("d", None, None, None, None)]
+    pages = spark.createDataFrame(rows, "path string, title string, aliases array<string>, description string, body string")
+    made = D.field_postings(pages)
+    want = D.counted_fields(D.document_fields(pages), D.page_quantities(pages))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect())) and made.where("token = '=5kwh' AND tf = 2 AND field_len = 3").count() == 1
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
